@@ -8,10 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, packing
+from imgtrace.llm import byte_bpe, ogg, packing
 from imgtrace.llm.common import table
 
 
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ogg.read_back(ogg.store(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "n_streams",
+        "bad_pages",
+        "lost_packets",
+        "marks_agree",
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -29,7 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op6_ogg, op7_byte_bpe, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
