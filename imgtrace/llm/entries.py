@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, ogg, packing
+from imgtrace.llm import byte_bpe, ogg, packing, secret_scan
 from imgtrace.llm.common import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s.kind != "field")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ogg.read_back(ogg.store(table(spark, sf_dir, "documents")))
     return out.select(
@@ -47,7 +61,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ogg, op7_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_ogg, op7_byte_bpe, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
