@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, ogg, packing, secret_scan
+from imgtrace.llm import byte_bpe, ogg, packing, quality_rules, secret_scan
 from imgtrace.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ogg.read_back(ogg.store(table(spark, sf_dir, "documents")))
     return out.select(
@@ -61,7 +65,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_ogg, op7_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op3_secret_scan, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
