@@ -1,13 +1,16 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only documents have labels.
 
 A sentence's score is a logistic function of the weights of its words; a document's is their noisy-or, one less the product
-of what each sentence leaves. Training maximises the likelihood of the documents' labels, so the weights settle on the
-words of the sentences that explain them. A leak, a constant chance of the label without any sentence's doing, takes up
-labels that no word explains; it is part of the fit, not of the score. The level of a sentence without weighted words
-starts high and is lowered step by step to BASE, so that long documents do not add up to a score.
+of what each sentence leaves. A word's weight is the sum of its own and its beginnings' (so inflected forms of a stem share
+theirs). Training maximises the likelihood of the documents' labels, so the weights settle on the sentences that explain
+them. A leak, a constant chance of the label without any sentence's doing, takes up labels that no word explains; it is
+part of the fit, not of the score. The level BASE of a sentence without weighted words is fixed and so low that long
+documents do not add up to a score; from there small steps would not find any weights, so features whose count in toxic
+documents stands out start with one, and lose it if others explain the labels.
 
-Bounds of the fit: at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters, chosen by a hash of doc_id;
-words in fewer than LEAST_DOCS of these have no weight. Scoring reads every whole text.
+Bounds of the fit: at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters, chosen by a hash of doc_id,
+each sentence only where it occurs first; at most CANDIDATES features, those that stand out most. The counting runs in
+Spark, and only the sentences with a candidate reach the driver. Scoring reads every whole text.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both kinds all weights are 0 and
 all scores near 0; labels with nulls are not learnt from, of several labels of a document the largest counts; a null
@@ -19,7 +22,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.llm.common import pieces_of, text_or_empty
+from imgtrace.llm.common import materialize, pieces_of, text_or_empty
 
 FOLDS = 5
-SAMPLE_DOCS, SAMPLE_CHARS, LEAST_DOCS = 6000, 50_000, 3
-BASE, ROUNDS, RATE = -10.0, 80, 0.5
-#: What a word's weight costs for each unit, in documents: a constant, and a share of the sample.
-COST = (0.5, 0.0005)
-BUCKETS = 1 << 22
+SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 50_000
+BASE, ROUNDS, RATE = -9.0, 150, 0.3
+#: A feature is a candidate if its count in toxic documents lies so many deviations (of the count and two more) above chance.
+STANDS_OUT, LEAST_DOCS, CANDIDATES = 3.5, 3, 4000
+#: What each unit of weight costs, in documents: a constant, and a share of the sample.
+COST = (0.1, 0.0001)
+BEGINNINGS = (4, 5, 6, 7, 8)
 KEPT_WORDS = 500_000
 #: A word with the end of its line, if it is the last there; a sentence ends with a line or a full stop, ! or ?.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]*\n)?")
@@ -45,36 +49,41 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def token_key(token: str) -> tuple[int, bool]:
-    """Bucket of a token's word, and whether a sentence ends with it."""
+def features_of(token: str) -> tuple[list[str], bool]:
+    """A token's features, and whether a sentence ends with it."""
     bare = token.rstrip(" \t\n\x0b\x0c\r")
-    return zlib.crc32(bare.strip(_EDGES).lower().encode()) % BUCKETS, bare != token or bare.rstrip("\"')]").endswith((".", "!", "?"))
+    word = bare.strip(_EDGES).lower()
+    ends = bare != token or bare.rstrip("\"')]").endswith((".", "!", "?"))
+    return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)] if word else [], ends
 
 
-def sample_bags(docs: DataFrame, labels: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, buckets of the words, ends of the sentences) of the sample, from the folds that are learnt from."""
+def sample_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, sentence (its hash) and features of the sample's sentences, each where it occurs first."""
     toxic = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("of_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    keys = toxic.where(fold(F.col("of_doc")) != 0).withColumn("key", F.xxhash64("of_doc"))
+    chosen = toxic.where(fold(F.col("of_doc")) != 0).orderBy(F.xxhash64("of_doc"), "of_doc").limit(SAMPLE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
-    chosen = keys.orderBy("key").limit(SAMPLE_DOCS)
     sample = texts.join(chosen, F.col("doc_id") == F.col("of_doc")).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, bool]] = {}
         for batch in batches:
-            for part in pieces_of(batch):
-                words, ends = [], []
-                for text in part.column(1).to_pylist():
-                    tokens = _TOKEN.findall(text)
-                    for t in tokens:
-                        if t not in known:
-                            known[t] = token_key(t)
-                    words.append(np.array([known[t][0] for t in tokens], "<u4").tobytes())
-                    ends.append(np.array([i + 1 for i, t in enumerate(tokens) if known[t][1] or i + 1 == len(tokens)], "<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.binary()), pa.array(ends, pa.binary())], ["doc_id", "toxic", "words", "ends"])
-
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, words binary, ends binary").collect()
-    return [(r.toxic, np.frombuffer(r.words, "<u4"), np.frombuffer(r.ends, "<u4")) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))]
+            for part in pieces_of(batch, most=1 << 20):
+                rows = []
+                for doc_id, text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    features: set[str] = set()
+                    for token in _TOKEN.findall(text):
+                        new, ends = features_of(token)
+                        features.update(new)
+                        if ends and features:
+                            rows.append((doc_id, label, sorted(features)))
+                            features = set()
+                    if features:
+                        rows.append((doc_id, label, sorted(features)))
+                types = (pa.int64(), pa.int32(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "toxic", "features"])
+
+    found = sample.mapInArrow(run, "doc_id long, toxic int, features array<string>")
+    first = found.groupBy(F.xxhash64("features").alias("sentence")).agg(F.min(F.struct("doc_id", "toxic", "features")).alias("s"))
+    return materialize(first.select("s.doc_id", "s.toxic", "sentence", "s.features"))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -82,9 +91,9 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights by bucket, and the level of a sentence without weighted words."""
+    """Weights by feature, and the level of a sentence without weighted words."""
 
-    def __init__(self, weights: dict[int, float], base: float) -> None:
+    def __init__(self, weights: dict[str, float], base: float) -> None:
         self.weights, self.base = weights, base
         self.known: dict[str, float] = _Tokens(self)
 
@@ -116,8 +125,8 @@ class _Tokens(dict):
         self.model = model
 
     def __missing__(self, token: str) -> complex:
-        bucket, end = token_key(token)
-        value = complex(self.model.weights.get(bucket, 0.0), float(end))
+        features, end = features_of(token)
+        value = complex(sum(self.model.weights.get(f, 0.0) for f in features), float(end))
         if len(token) <= 64:
             self[token] = value
         return value
@@ -129,48 +138,54 @@ def load(dumped: str) -> Model:
     return Model(dict(map(tuple, x["weights"])), x["base"])
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    bags = [b for b in bags if len(b[1])]
-    labels = np.array([b[0] for b in bags], float)
-    if not len(bags) or labels.min() == labels.max():
+def train(hits: list[tuple[int, int, list[str]]], n_toxic: int, n_docs: int) -> Model:
+    """Fits weights to the sentences with a candidate, as (doc_id, toxic, features), and the counts of documents."""
+    if not hits or not 0 < n_toxic < n_docs:
         return Model({}, BASE)
-    buckets, inverse = np.unique(np.concatenate([b[1] for b in bags]), return_inverse=True)
-    doc_of = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
-    pairs = np.unique(np.stack([inverse, doc_of]), axis=1)
-    df = np.bincount(pairs[0], minlength=len(buckets))
-    df_toxic = np.bincount(pairs[0], labels[pairs[1]], len(buckets))
-    use = df >= LEAST_DOCS
-    number = np.cumsum(use) - 1
-    # Words of no weight only count as places in sentences: their column is dropped.
-    lengths = np.concatenate([np.diff(b[2], prepend=0) for b in bags]).astype(np.int64)
-    sentence_of = np.repeat(np.arange(len(lengths)), lengths)
-    doc_of_sentence = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
-    keep = use[inverse]
-    word, sentence = number[inverse[keep]], sentence_of[keep]
-    share = labels.mean()
-    odds = np.log((df_toxic[use] + 3 * share) / (df[use] + 3)) - np.log(share)
-    w = np.maximum(0, odds)
-    leak = np.log(share)
-    cost = COST[0] / len(bags) + COST[1]
+    names = sorted({f for _, _, features in hits for f in features})
+    number = {f: i for i, f in enumerate(names)}
+    docs = sorted({(d, t) for d, t, _ in hits})
+    place = {d: i for i, d in enumerate(docs)}
+    label = np.array([t for _, t in docs], float)
+    doc_of = np.array([place[d, t] for d, t, _ in hits])
+    feature = np.array([number[f] for _, _, features in hits for f in features])
+    sentence = np.repeat(np.arange(len(hits)), [len(x) for _, _, x in hits])
+    others_toxic, others = n_toxic - label.sum(), n_docs - len(docs) - (n_toxic - label.sum())
+    # A word and its beginnings share what lifts a sentence from the level.
+    w = np.full(len(names), (1 - BASE) / 3)
+    leak = np.log(n_toxic / n_docs)
+    cost = COST[0] / n_docs + COST[1]
     seen, seen_leak = np.zeros_like(w), 0.0
-    for k in range(ROUNDS):
-        base = -4 + (BASE + 4) * min(1, k / (0.7 * ROUNDS))
-        z = base + np.bincount(sentence, w[word], len(lengths))
-        hazard = np.bincount(doc_of_sentence, _softplus(z), len(bags)) + np.exp(leak)
-        pull = np.where(labels > 0, 1 / np.expm1(np.clip(hazard, 1e-9, 50)), -1.0)
-        slope = pull[doc_of_sentence] / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = np.bincount(word, slope[sentence], len(w)) / len(bags)
+    for _ in range(ROUNDS):
+        z = BASE + np.bincount(sentence, w[feature], len(hits))
+        hazard = np.bincount(doc_of, _softplus(z), len(docs)) + np.exp(leak)
+        pull = np.where(label > 0, 1 / np.expm1(np.clip(hazard, 1e-9, 50)), -1.0)
+        slope = pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
+        g = np.bincount(feature, slope[sentence], len(w)) / n_docs
         seen += g * g
-        w = w + RATE * g / np.sqrt(seen + 1e-10)
-        w = np.sign(w) * np.maximum(0, np.abs(w) - RATE * cost / np.sqrt(seen + 1e-10))
-        g_leak = float((pull * np.exp(leak)).mean())
+        w = w + RATE * g / np.sqrt(seen + 1e-12)
+        w = np.maximum(0, w - RATE * cost / np.sqrt(seen + 1e-12))
+        rest = others_toxic / np.expm1(np.exp(leak)) - others
+        g_leak = float((pull.sum() + rest) * np.exp(leak) / n_docs)
         seen_leak += g_leak * g_leak
-        leak += 0.1 * g_leak / np.sqrt(seen_leak + 1e-10)
-    return Model({int(b): round(float(x), 4) for b, x in zip(buckets[use], w) if abs(x) > 1e-3}, BASE)
+        leak += 0.1 * g_leak / np.sqrt(seen_leak + 1e-12)
+    return Model({f: round(float(x), 4) for f, x in zip(names, w, strict=True) if x > 1e-3}, BASE)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(sample_bags(docs, labels))
+    sentences = sample_sentences(docs, labels)
+    counts = sentences.select("doc_id", "toxic").distinct().agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    n, toxic = counts.n, counts.toxic or 0
+    share = toxic / max(1, n)
+    each = sentences.select("doc_id", "toxic", F.explode("features").alias("feature"))
+    by_feature = each.distinct().groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("toxic_df"))
+    above = (F.col("toxic_df") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df") + 2)
+    candidates = by_feature.withColumn("above", above).where((F.col("above") > STANDS_OUT) & (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("above"), "feature").limit(CANDIDATES)
+    wanted = {r.feature for r in candidates.select("feature").collect()}
+    known = F.array(*(F.lit(f) for f in sorted(wanted))).cast("array<string>")
+    hits = sentences.select("doc_id", "toxic", "sentence", F.array_intersect("features", known).alias("features")).where(F.size("features") > 0)
+    rows = [(r.doc_id, r.toxic, r.features) for r in hits.orderBy("doc_id", "sentence").collect()]
+    return train(rows, toxic, n)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
