@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, line_dedup, ogg, packing, quality_rules, secret_scan, toxicity
+from imgtrace.llm import byte_bpe, line_dedup, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, toxicity
 from imgtrace.llm.common import table
 
 
@@ -75,8 +75,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pseudo_likelihood.fit_and_score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_secret_scan, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_secret_scan, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
 
 
 def oracle_sql() -> dict[str, str]:
