@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, line_dedup, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, toxicity
+from imgtrace.llm import byte_bpe, line_dedup, ngram_join, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, toxicity
 from imgtrace.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
@@ -81,8 +85,8 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_secret_scan, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_secret_scan, op4_ngram_join, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.SQL}
