@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +27,51 @@ GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 MOST = 0xFFFF  # counts beyond are as good as this
 
-#: From the texts of a group, in order, to each one's distinct keys (uint64, any order).
-Keys = Callable[[list[str]], list[np.ndarray]]
+#: From the texts of a group, in order, to something to work on with and arrays of keys (uint64); a key counts once an array.
+Keys = Callable[[list[str]], tuple[Any, list[np.ndarray]]]
+
+
+class Group(NamedTuple):
+    """What a group works with once it has the counts: rows in order, what `keys_of` gave, counts of keys, and which rows are copies."""
+
+    g: int
+    doc_ids: list[int | None]
+    texts: list[str]
+    made: Any
+    keys: list[np.ndarray]
+    counts_of: Callable[[np.ndarray], np.ndarray]
+    copies: list[bool]
 
 
 def grouped_texts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of g, doc_id and text, and the number of buckets; g deals the rows into groups of about GROUP_BYTES."""
+    """Rows of g, doc_id, text and text_key (a hash), and the number of buckets; g deals the rows into groups of about GROUP_BYTES."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     buckets = 1 << max(4, (size // BUCKET_BYTES).bit_length())
-    g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
-    return source.select(g.alias("g"), "doc_id", "text"), buckets
+    key = F.xxhash64("text")
+    return source.select(F.pmod(F.xxhash64("doc_id", key), F.lit(groups)).alias("g"), "doc_id", "text", key.alias("text_key")), buckets
+
+
+def ordered(table: pa.Table) -> tuple[list[int | None], list[str], list[int]]:
+    """doc_ids, texts and text keys of a group, in an order that does not hang on how the rows arrived."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("doc_id", "text", "text_key")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def copies_of_texts(texts: DataFrame) -> DataFrame:
+    """g and mark (binary, for copied_rows) of the rows whose text a smaller doc_id has too, by 128 bits of hash and the length."""
+    small = texts.where("doc_id is not null").select("g", "doc_id", "text_key", F.xxhash64(F.lit("copy"), "text").alias("other_key"), F.octet_length("text").alias("size"))
+    same = ["text_key", "other_key", "size"]
+    firsts = small.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    mark = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("doc_id", "text_key")))
+    return small.join(firsts, same).where("doc_id > first").select("g", mark.alias("mark"))
 
 
-def ordered(table: pa.Table) -> tuple[list[int | None], list[str]]:
-    """doc_ids and texts of a group, in an order that does not hang on how the rows arrived."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1] for r in rows]
+def copied_rows(doc_ids: list[int | None], text_keys: list[int], marks: list[bytes]) -> list[bool]:
+    known = set(marks)
+    pack = lambda d, k: d.to_bytes(8, "big", signed=True) + k.to_bytes(8, "big", signed=True)
+    return [d is not None and pack(d, k) in known for d, k in zip(doc_ids, text_keys, strict=True)]
 
 
 def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -51,13 +79,13 @@ def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def with_counts(texts: DataFrame, buckets: int, keys_of: Keys, use: Callable[[list, list[str], list[np.ndarray], Callable[[np.ndarray], np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """What `use` makes of each group: it gets doc_ids, texts, each text's keys, and a function from keys to counts of documents."""
+def with_counts(texts: DataFrame, buckets: int, keys_of: Keys, use: Callable[[Group], pa.Table], schema: str, copies: DataFrame | None = None) -> DataFrame:
+    """What `use` makes of each group, once the count of every key's arrays over all groups is known; copies as copies_of_texts gives them."""
     shift = np.uint64(32 - (buckets.bit_length() - 1))
 
     def send(table: pa.Table) -> pa.Table:
         g = table["g"][0].as_py()
-        keys, counts = np.unique(np.concatenate(keys_of(ordered(table)[1])), return_counts=True)
+        keys, counts = np.unique(np.concatenate(keys_of(ordered(table)[1])[1]), return_counts=True)
         prints = ((keys >> shift) & np.uint64(0xFFFFFFFF)).astype("<u4")
         counts = np.minimum(counts, MOST).astype("<u2")
         ends = _bounds(keys, buckets)
@@ -75,14 +103,17 @@ def with_counts(texts: DataFrame, buckets: int, keys_of: Keys, use: Callable[[li
         return pa.table({"g": table["g"], "b": table["b"], "totals": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        doc_ids, rows = ordered(table)
-        each = keys_of(rows)
-        known = np.unique(np.concatenate(each))
-        order = np.argsort(found["b"].to_numpy(), kind="stable")
-        packed = found["totals"].to_pylist()
+        doc_ids, rows, text_keys = ordered(table)
+        made, keys = keys_of(rows)
+        known = np.unique(np.concatenate(keys))
+        bs, packed = found["b"].to_numpy(), found["totals"].to_pylist()
+        order = [i for i in np.argsort(bs, kind="stable") if bs[i] >= 0]
         totals = np.concatenate([np.frombuffer(zlib.decompress(packed[i]), "<u2") for i in order] or [np.zeros(0, "<u2")])
-        return use(doc_ids, rows, each, lambda keys: totals[np.searchsorted(known, keys)])
+        copied = copied_rows(doc_ids, text_keys, [packed[i] for i in np.flatnonzero(bs < 0)])
+        return use(Group(table["g"][0].as_py(), doc_ids, rows, made, keys, lambda x: totals[np.searchsorted(known, x)], copied))
 
     sent = texts.groupBy("g").applyInArrow(send, "g long, b int, prints binary, counts binary")
     back = sent.groupBy("b").applyInArrow(merge, "g long, b int, totals binary")
+    if copies is not None:
+        back = back.unionAll(copies.select("g", F.lit(-1).alias("b"), F.col("mark").alias("totals")))
     return texts.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(finish, schema)

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, line_dedup, ngram_join, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, toxicity
+from imgtrace.llm import byte_bpe, line_dedup, ngram_join, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, suffix_dedup, toxicity
 from imgtrace.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_passages", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -85,7 +91,7 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_secret_scan, op4_ngram_join, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_join, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from imgtrace.llm.common import materialize
 from imgtrace.llm.components import components
-from imgtrace.llm.document_keys import grouped_texts, with_counts
+from imgtrace.llm.document_keys import Group, grouped_texts, with_counts
 
 WORDS = 5
 #: The least similarity is NEED / OF.
@@ -81,11 +81,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bins array<int>"
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
-    def use(doc_ids, rows, each, counts_of) -> pa.Table:
+    def use(group: Group) -> pa.Table:
         out = []
-        for doc_id, keys in zip(doc_ids, each, strict=True):
+        for doc_id, keys in zip(group.doc_ids, group.keys, strict=True):
             n = len(keys)
-            df = counts_of(keys)
+            df = group.counts_of(keys)
             shared = df > 1
             own = np.array([np.add.reduce(keys, dtype=np.uint64), np.bitwise_xor.reduce(_mixed(keys))], np.uint64).view(np.int64) if n else (0, 0)
             tokens = bins = None
@@ -96,7 +96,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             out.append((doc_id, n, int(own[0]), int(own[1]), tokens, bins))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return with_counts(texts, buckets, lambda rows: [shingles(x) for x in rows], use, schema)
+    return with_counts(texts, buckets, lambda rows: (None, [shingles(x) for x in rows]), use, schema)
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
