@@ -52,11 +52,13 @@ def later_places(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what stays), n_lines (with a word), n_removed and n_passages (maximal removed runs) of every document."""
+def _marked(docs: DataFrame, row: Column) -> DataFrame:
+    """row, doc_id, text, n_lines, n_removed, n_passages and kept (the text that stays) of every document."""
     found = later_places(docs).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), "places")
-    joined = _keyed(docs).join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
-    numbered = joined.select("doc_id", "text", "places", F.split("text", "\n").alias("lines")).withColumn(
+    text = text_or_empty()
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
+    numbered = joined.select("row", "doc_id", "text", "places", F.split("text", "\n").alias("lines")).withColumn(
         "worded", F.filter(F.transform("lines", lambda line, i: F.struct(F.btrim(line, F.lit(SPACES)).alias("t"), i.alias("i"))), lambda x: x.t != "")
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + LINES - 1)))))
@@ -64,17 +66,38 @@ def dedup(docs: DataFrame) -> DataFrame:
     # Ordinals among lines with a word become places among all lines.
     gone = marked.withColumn("gone", F.transform("covered", lambda c: F.get("worded", c).i))
     n = F.size("covered")
-    breaks = F.size(F.filter(F.zip_with(F.slice("covered", 2, F.greatest(n - 1, F.lit(0))), F.slice("covered", 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a), lambda gap: gap > 1))
+    fewer = F.greatest(n - 1, F.lit(0))
+    gaps = F.zip_with(F.slice("covered", F.lit(2), fewer), F.slice("covered", F.lit(1), fewer), lambda b, a: b - a)
     kept = F.when(n == 0, F.col("text")).otherwise(F.array_join(F.transform(_kept_runs(), lambda r: F.array_join(F.slice("lines", r.start + 1, r.n), "\n")), "\n"))
     return gone.select(
+        "row",
         "doc_id",
-        kept.alias("text"),
+        "text",
         F.size("worded").cast("long").alias("n_lines"),
         n.cast("long").alias("n_removed"),
-        F.when(n > 0, breaks + 1).otherwise(0).cast("long").alias("n_passages"),
+        F.when(n > 0, F.size(F.filter(gaps, lambda gap: gap > 1)) + 1).otherwise(0).cast("long").alias("n_passages"),
+        kept.alias("kept"),
     )
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, text (what stays), n_lines (with a word), n_removed and n_passages (maximal removed runs) of every document."""
+    return _marked(docs, F.lit(None)).select("doc_id", F.col("kept").alias("text"), "n_lines", "n_removed", "n_passages")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with repeated passages removed from `text`; those that lose all their lines go.
+
+    Null texts stay null, and n_chars, where there is such a column, follows a changed text.
+    """
+    out = _marked(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept")} | ({"n_chars": F.char_length("kept")} if "n_chars" in docs.columns else {})
+    kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    column = lambda c: F.col(f"row.`{c}`")
+    return kept.select(*(F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(column(c)).alias(c) if c in new else column(c).alias(c) for c in docs.columns))
+
+
 def _kept_runs() -> Column:
     """(start, n) of the runs of lines between those that are gone, without empty runs."""
     before = F.concat(F.array(F.lit(-1)), F.col("gone"))

@@ -195,6 +195,13 @@ def similar(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that links connect to a smaller doc_id; null doc_ids stay."""
+    found = similar(docs)
+    losers = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 SQL = r"""
 with recursive words as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
