@@ -32,3 +32,10 @@ def missing(planes: DataFrame, actual: DataFrame, plane: str, kinds: list[str])
     """plane and kind of the expected artifacts that are not there."""
     expected = planes.select(plane, F.explode(F.array(*(F.lit(k) for k in kinds))).alias("kind"))
     return expected.join(actual.select(plane, "kind").distinct(), [plane, "kind"], "left_anti")
+
+
+def overall(rows: DataFrame, recording: str, status: str, done: str, failed: str, running: str) -> DataFrame:
+    """Overall status of each recording: completed if all jobs are done, failed if one is, else as far as they got."""
+    is_ = lambda s: F.col(status) == s
+    state = F.when(F.bool_and(is_(done)), "completed").when(F.bool_or(is_(failed)), "failed").when(F.bool_or(is_(running)), "processing").otherwise("scheduled")
+    return rows.groupBy(recording).agg(state.alias("overall"), F.count("*").alias("jobs"), F.count(F.when(is_(failed), 1)).alias("failed"))
