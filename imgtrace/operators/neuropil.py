@@ -26,8 +26,6 @@ def surrounds(masks: DataFrame, region: str, pixel: str, width: int, height: int
     return free.join(_grown(masks, region, pixel, width, height, inner), [region, pixel], "left_anti")
 
 
-def surround_means(surround: DataFrame, regions: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str) -> DataFrame:
-    """Mean of the movie over each region's surround, by frame; 0 where a region has none."""
-    means = surround.join(movie, pixel).groupBy(region, frame).agg(F.avg(value).alias("f"))
-    every = regions.select(region).distinct().join(movie.select(frame).distinct())
-    return every.join(means, [region, frame], "left").select(region, frame, F.coalesce("f", F.lit(0.0)).alias("f"))
+def surround_means(surround: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str) -> DataFrame:
+    """Mean of the movie over each region's surround, by frame; a region without a surround has no rows, its trace counts as 0."""
+    return surround.join(movie, pixel).groupBy(region, frame).agg(F.avg(value).alias("f"))
