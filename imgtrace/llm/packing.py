@@ -26,7 +26,7 @@ from imgtrace.llm.common import pieces_of, text_or_empty
 from imgtrace.llm.splitting import splitter
 
 #: Distinct matches whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 300_000
 
 
 def _byte_characters() -> list[str]:

@@ -39,7 +39,7 @@ BEGIN, INSIDE, OUTSIDE = range(3)
 _WORD = re.compile(WORD)
 _EDGES = "\"'`,;:()[]{}<>.!?"
 _HINTS = frozenset("password passwd pwd pass secret token apikey api_key key keys auth bearer credential credentials login access private authorization signature".split())
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: The sample: so many documents at most, and a window of so many words from each.
 SAMPLE_DOCS, WINDOW = 1500, 40
 ROUNDS = 60
@@ -195,7 +195,7 @@ class _Words(dict):
         return at
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load(dumped: str) -> Field:
     x = json.loads(dumped)
     return Field({f: i for i, f in enumerate(x["features"])}, np.array(x["weights"]).reshape(-1, 9), np.array(x["pairs"]), np.array(x["ends"]))
@@ -221,7 +221,7 @@ def tag_words(text: str, spans: list[Span]) -> tuple[list[str], list[int]]:
 
 def sample_windows(docs: DataFrame) -> list[Example]:
     """Windows of the sample's documents: around the first match of a rule, else where a hash of doc_id says."""
-    schema = "words array<string>, tags array<int>, features array<string>"
+    schema = "key long, words array<string>, tags array<int>, features array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,14 +232,18 @@ def sample_windows(docs: DataFrame) -> list[Example]:
                     words, tags = tag_words(text, spans)
                     hit = next((i for i, t in enumerate(tags) if t == BEGIN), key % max(1, len(words)))
                     start = max(0, hit - WINDOW // 2)
-                    rows.append((words[start : start + WINDOW], tags[start : start + WINDOW], text_features(text, len(spans))))
-                types = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["words", "tags", "features"])
+                    rows.append((key, words[start : start + WINDOW], tags[start : start + WINDOW], text_features(text, len(spans))))
+                types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["key", "words", "tags", "features"])
 
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     source = docs.select(key.alias("key"), text_or_empty().alias("text"))
-    chosen = source.orderBy("key").limit(SAMPLE_DOCS)
-    return [(r.words, r.tags, tuple(r.features)) for r in chosen.repartition(8, "key").mapInArrow(run, schema).collect()]
+    # The texts of the least keys: the bound is found on keys alone, so no text moves but those of the sample.
+    bound = source.select("key").orderBy("key").limit(SAMPLE_DOCS).agg(F.max("key")).first()[0]
+    if bound is None:
+        return []
+    windows = source.where(F.col("key") <= bound).mapInArrow(run, schema).orderBy("key").limit(SAMPLE_DOCS)
+    return [(r.words, r.tags, tuple(r.features)) for r in windows.collect()]
 
 
 def train(windows: list[Example], seed: int = 0) -> Field:
@@ -362,13 +366,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span of their texts replaced by a mark; null texts stay null, other columns as they are."""
     dumped = train(sample_windows(docs)).dump()
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = load(dumped)
-        return texts.map(lambda x: replace_spans(x, scan_text(x, field), mark) if x is not None else None)
+        for batch in batches:
+            for part in pieces_of(batch):
+                texts = [x if x is None else replace_spans(x, scan_text(x, field), mark) for x in part.column(place).to_pylist()]
+                yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    kind = docs.schema["text"].dataType
-    return docs.withColumn("text", cleaned(F.col("text").cast("string")).cast(kind))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def replace_spans(text: str, spans: list[Span], mark: str) -> str:

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from imgtrace.llm.common import materialize, pieces_of, text_or_empty
 
 FOLDS = 5
-SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 50_000
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 50_000
 BASE, ROUNDS, RATE = -9.0, 150, 0.3
 #: A feature is a candidate if its count in toxic documents lies so many deviations (of the count and two more) above chance.
 STANDS_OUT, LEAST_DOCS, CANDIDATES = 3.5, 3, 4000
 #: What each unit of weight costs, in documents: a constant, and a share of the sample.
 COST = (0.1, 0.0001)
 BEGINNINGS = (4, 5, 6, 7, 8)
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: A word with the end of its line, if it is the last there; a sentence ends with a line or a full stop, ! or ?.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]*\n)?")
 _EDGES = "\"'`,;:()[]{}<>.!?*#$%&|\n\t\r\x0b\x0c "
@@ -132,7 +132,7 @@ class _Tokens(dict):
         return value
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load(dumped: str) -> Model:
     x = json.loads(dumped)
     return Model(dict(map(tuple, x["weights"])), x["base"])
@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = sentences.select("doc_id", "toxic").distinct().agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = counts.n, counts.toxic or 0
     share = toxic / max(1, n)
-    each = sentences.select("doc_id", "toxic", F.explode("features").alias("feature"))
-    by_feature = each.distinct().groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("toxic_df"))
+    by_doc = sentences.groupBy("doc_id", "toxic").agg(F.array_distinct(F.flatten(F.collect_list("features"))).alias("features"))
+    by_feature = by_doc.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("toxic_df"))
     above = (F.col("toxic_df") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df") + 2)
     candidates = by_feature.withColumn("above", above).where((F.col("above") > STANDS_OUT) & (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("above"), "feature").limit(CANDIDATES)
     wanted = {r.feature for r in candidates.select("feature").collect()}
@@ -225,10 +225,12 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def keep_harmless(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents that score below `least`, with all their columns."""
     dumped = model.dump()
+    place = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scores(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(dumped)
-        return texts.map(own.score).astype(float)
+        for batch in batches:
+            for part in pieces_of(batch):
+                yield part.filter(pa.array([own.score(x or "") < least for x in part.column(place).to_pylist()], pa.bool_()))
 
-    return docs.where(scores(text_or_empty()) < least)
+    return docs.mapInArrow(run, docs.schema)
