@@ -24,14 +24,28 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def downward(links: DataFrame) -> DataFrame:
+    """Links (a, b) with a > b, each once."""
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def one_step(links: DataFrame) -> DataFrame:
+    """Downward links that connect what these connect, nearer to stars around least nodes."""
+    return materialize(_star(_star(links, True), False))
+
+
+def least_known(links: DataFrame) -> DataFrame:
+    """node and component (a node that it is connected to, the least it points to) of the nodes that point to another."""
+    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (the least node that links reach) of the nodes in `links` (a, b); nodes without links are left out."""
-    now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    now, seen = one_step(downward(links)), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-        now = materialize(_star(_star(now, True), False))
+        now = one_step(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

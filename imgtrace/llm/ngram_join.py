@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imgtrace.llm.common import materialize
-from imgtrace.llm.components import components
+from imgtrace.llm.components import components, downward, least_known, one_step
 from imgtrace.llm.document_keys import Group, grouped_texts, with_counts
 
 WORDS = 5
 #: The least similarity is NEED / OF.
 NEED, OF = 3, 4
 BINS = 16
-STARS = 3
-KEPT_WORDS = 500_000
+STARS = 2
+KEPT_WORDS = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -161,10 +161,14 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b) that connect all of the sets (rep, n, tokens, bins) that links connect, and their components."""
+    """Verified links (a, b) that connect all of the sets (rep, n, tokens, bins) that links connect, and their components.
+
+    Between the turns one step towards the components is enough: what has one label is connected, what is connected but has
+    two is only looked at again.
+    """
     prefixes = materialize(_prefixes(sets))
     checked: list[DataFrame] = []
-    labels = None
+    known = labels = None
     for turn in range(STARS + 1):
         rows = materialize(_labelled(prefixes, labels))
         if rows.isEmpty():
@@ -173,10 +177,13 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         for old in checked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         checked.append(materialize(_verified(pairs, sets)))
-        found = reduce(DataFrame.union, checked).where("linked").select("a", "b")
-        labels = materialize(components(found))
+        new = checked[-1].where("linked").select("a", "b")
+        known = downward(known.union(new) if known is not None else new)
+        if turn < STARS:
+            known = one_step(known)
+            labels = least_known(known)
     found = reduce(DataFrame.union, checked).where("linked").select("a", "b") if checked else sets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
-    return found, labels
+    return found, components(known) if known is not None else None
 
 
 def similar(docs: DataFrame) -> DataFrame:
