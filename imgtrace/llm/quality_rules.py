@@ -22,7 +22,7 @@ SPACES = " \t\n\x0b\x0c\r"
 RATES = {"mean_word_chars": "both", "symbols_per_word": "high", "dup_lines_per_line": "high", "repeats_per_word": "high"}
 #: Fences lie so many interquartile ranges outside the quartiles, and a rate may always differ from them by this share or amount.
 FENCE = 3.0
-SLACK = {"mean_word_chars": 1.0, "symbols_per_word": 0.05, "dup_lines_per_line": 0.1, "repeats_per_word": 0.1}
+SLACK = {"mean_word_chars": 1.0, "symbols_per_word": 0.05, "dup_lines_per_line": 0.1, "repeats_per_word": 0.3}
 #: Groups with fewer documents take the limits of the next larger group.
 LEAST_DOCS = 50
 REPEAT_WINDOW = 8
