@@ -4,9 +4,10 @@ A sentence's score is a logistic function of the weights of its words; a documen
 of what each sentence leaves. A word's weight is the sum of its own and its beginnings' (so inflected forms of a stem share
 theirs). Training maximises the likelihood of the documents' labels, so the weights settle on the sentences that explain
 them. A leak, a constant chance of the label without any sentence's doing, takes up labels that no word explains; it is
-part of the fit, not of the score. The level BASE of a sentence without weighted words is fixed and so low that long
-documents do not add up to a score; from there small steps would not find any weights, so features whose count in toxic
-documents stands out start with one, and lose it if others explain the labels.
+part of the fit, not of the score. The level BASE of a sentence without weighted words is fixed, and what it alone would
+leave is taken off each sentence, so such sentences add nothing, however many there are. From that level small steps would
+not find any weights, so features whose count in toxic documents stands out start with one, and lose it if others explain
+the labels.
 
 Bounds of the fit: at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters, chosen by a hash of doc_id,
 each sentence only where it occurs first; at most CANDIDATES features, those that stand out most. The counting runs in
@@ -90,6 +91,11 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _hazard(z: np.ndarray, base: float) -> np.ndarray:
+    """What sentences add to the noisy-or, in logs: nothing at the level of one without weighted words."""
+    return np.where(z > base, _softplus(z) - _softplus(base), 0.0)
+
+
 class Model:
     """Weights by feature, and the level of a sentence without weighted words."""
 
@@ -113,7 +119,7 @@ class Model:
 
     def score(self, text: str) -> float:
         _, _, logits = self.sentence_scores(text)
-        return float(-np.expm1(-_softplus(logits).sum()))
+        return float(-np.expm1(-_hazard(logits, self.base).sum()))
 
     def dump(self) -> str:
         return json.dumps({"weights": sorted(self.weights.items()), "base": self.base})
@@ -158,7 +164,7 @@ def train(hits: list[tuple[int, int, list[str]]], n_toxic: int, n_docs: int) ->
     seen, seen_leak = np.zeros_like(w), 0.0
     for _ in range(ROUNDS):
         z = BASE + np.bincount(sentence, w[feature], len(hits))
-        hazard = np.bincount(doc_of, _softplus(z), len(docs)) + np.exp(leak)
+        hazard = np.bincount(doc_of, _hazard(z, BASE), len(docs)) + np.exp(leak)
         pull = np.where(label > 0, 1 / np.expm1(np.clip(hazard, 1e-9, 50)), -1.0)
         slope = pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
         g = np.bincount(feature, slope[sentence], len(w)) / n_docs

@@ -240,6 +240,16 @@ def test_toxicity_is_learnt_from_documents_and_located(spark):
     assert kept.columns == table.columns and kept.count() == sum(s < 0.5 for s in rows.values())
 
 
+def test_toxicity_of_very_long_texts(spark):
+    """Clean lines add nothing, however many; one toxic sentence among them counts in full."""
+    model = toxicity.Model({"vile": 8.0, "rotten": 8.0}, toxicity.BASE)
+    clean, toxic = "a clean line of text\n" * 20_000, "a vile and rotten line\n"
+    assert model.score(clean) == 0.0
+    assert model.score(clean + toxic + clean) == model.score(toxic) > 0.99
+    table = spark.createDataFrame([(1, clean), (2, clean + toxic)], "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.keep_harmless(table, model).collect()] == [1]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
