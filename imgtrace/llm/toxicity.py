@@ -10,12 +10,13 @@ not find any weights, so features whose count in toxic documents stands out star
 the labels.
 
 Bounds of the fit: at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters, chosen by a hash of doc_id,
-each sentence only where it occurs first; at most CANDIDATES features, those that stand out most. The counting runs in
-Spark, and only the sentences with a candidate reach the driver. Scoring reads every whole text.
+each with all its sentences; at most CANDIDATES features, those that stand out most. The counting runs in Spark, and only
+the candidates of sentences reach the driver, equal ones of a document as one row with their count. Scoring reads every
+whole text.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both kinds all weights are 0 and
-all scores near 0; labels with nulls are not learnt from, of several labels of a document the largest counts; a null
-doc_id counts as empty text in the fold; every row gives one row; lang, source and further columns are not read.
+all scores near 0; labels with nulls are not learnt from, of several labels of a document the largest counts, and rows of
+one doc_id are one bag; labelled documents without sentences count as documents without features; a null doc_id counts as empty text in the fold; every row gives one row; lang, source and further columns are not read.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def features_of(token: str) -> tuple[list[str], bool]:
 
 
 def sample_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, sentence (its hash) and features of the sample's sentences, each where it occurs first."""
+    """doc_id, toxic and features of the sample's sentences, and of each document without any, a row with no features."""
     toxic = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("of_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = toxic.where(fold(F.col("of_doc")) != 0).orderBy(F.xxhash64("of_doc"), "of_doc").limit(SAMPLE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
@@ -70,6 +71,7 @@ def sample_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in pieces_of(batch, most=1 << 20):
                 rows = []
                 for doc_id, text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    before = len(rows)
                     features: set[str] = set()
                     for token in _TOKEN.findall(text):
                         new, ends = features_of(token)
@@ -77,14 +79,12 @@ def sample_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
                         if ends and features:
                             rows.append((doc_id, label, sorted(features)))
                             features = set()
-                    if features:
+                    if features or len(rows) == before:
                         rows.append((doc_id, label, sorted(features)))
                 types = (pa.int64(), pa.int32(), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "toxic", "features"])
 
-    found = sample.mapInArrow(run, "doc_id long, toxic int, features array<string>")
-    first = found.groupBy(F.xxhash64("features").alias("sentence")).agg(F.min(F.struct("doc_id", "toxic", "features")).alias("s"))
-    return materialize(first.select("s.doc_id", "s.toxic", "sentence", "s.features"))
+    return materialize(sample.mapInArrow(run, "doc_id long, toxic int, features array<string>"))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -144,18 +144,19 @@ def load(dumped: str) -> Model:
     return Model(dict(map(tuple, x["weights"])), x["base"])
 
 
-def train(hits: list[tuple[int, int, list[str]]], n_toxic: int, n_docs: int) -> Model:
-    """Fits weights to the sentences with a candidate, as (doc_id, toxic, features), and the counts of documents."""
+def train(hits: list[tuple[int, int, list[str], int]], n_toxic: int, n_docs: int) -> Model:
+    """Fits weights to the sentences with a candidate, as (doc_id, toxic, features, how often), and the counts of documents."""
     if not hits or not 0 < n_toxic < n_docs:
         return Model({}, BASE)
-    names = sorted({f for _, _, features in hits for f in features})
+    names = sorted({f for _, _, features, _ in hits for f in features})
     number = {f: i for i, f in enumerate(names)}
-    docs = sorted({(d, t) for d, t, _ in hits})
+    docs = sorted({(d, t) for d, t, _, _ in hits})
     place = {d: i for i, d in enumerate(docs)}
     label = np.array([t for _, t in docs], float)
-    doc_of = np.array([place[d, t] for d, t, _ in hits])
-    feature = np.array([number[f] for _, _, features in hits for f in features])
-    sentence = np.repeat(np.arange(len(hits)), [len(x) for _, _, x in hits])
+    doc_of = np.array([place[d, t] for d, t, _, _ in hits])
+    times = np.array([n for *_, n in hits], float)
+    feature = np.array([number[f] for _, _, features, _ in hits for f in features])
+    sentence = np.repeat(np.arange(len(hits)), [len(x) for _, _, x, _ in hits])
     others_toxic, others = n_toxic - label.sum(), n_docs - len(docs) - (n_toxic - label.sum())
     # A word and its beginnings share what lifts a sentence from the level.
     w = np.full(len(names), (1 - BASE) / 3)
@@ -164,9 +165,9 @@ def train(hits: list[tuple[int, int, list[str]]], n_toxic: int, n_docs: int) ->
     seen, seen_leak = np.zeros_like(w), 0.0
     for _ in range(ROUNDS):
         z = BASE + np.bincount(sentence, w[feature], len(hits))
-        hazard = np.bincount(doc_of, _hazard(z, BASE), len(docs)) + np.exp(leak)
+        hazard = np.bincount(doc_of, times * _hazard(z, BASE), len(docs)) + np.exp(leak)
         pull = np.where(label > 0, 1 / np.expm1(np.clip(hazard, 1e-9, 50)), -1.0)
-        slope = pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
+        slope = times * pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
         g = np.bincount(feature, slope[sentence], len(w)) / n_docs
         seen += g * g
         w = w + RATE * g / np.sqrt(seen + 1e-12)
@@ -183,14 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = sentences.select("doc_id", "toxic").distinct().agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = counts.n, counts.toxic or 0
     share = toxic / max(1, n)
-    by_doc = sentences.groupBy("doc_id", "toxic").agg(F.array_distinct(F.flatten(F.collect_list("features"))).alias("features"))
-    by_feature = by_doc.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("toxic_df"))
+    by_doc = sentences.select("doc_id", "toxic", F.explode("features").alias("feature")).distinct()
+    by_feature = by_doc.groupBy("feature").agg(F.count("*").alias("df"), F.sum("toxic").alias("toxic_df"))
     above = (F.col("toxic_df") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df") + 2)
     candidates = by_feature.withColumn("above", above).where((F.col("above") > STANDS_OUT) & (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("above"), "feature").limit(CANDIDATES)
     wanted = {r.feature for r in candidates.select("feature").collect()}
     known = F.array(*(F.lit(f) for f in sorted(wanted))).cast("array<string>")
-    hits = sentences.select("doc_id", "toxic", "sentence", F.array_intersect("features", known).alias("features")).where(F.size("features") > 0)
-    rows = [(r.doc_id, r.toxic, r.features) for r in hits.orderBy("doc_id", "sentence").collect()]
+    hits = sentences.select("doc_id", "toxic", F.array_intersect("features", known).alias("features")).where(F.size("features") > 0)
+    counted = hits.groupBy("doc_id", "toxic", "features").agg(F.count("*").alias("times"))
+    rows = [(r.doc_id, r.toxic, r.features, r.times) for r in counted.orderBy("doc_id", "features").collect()]
     return train(rows, toxic, n)
 
 

@@ -250,6 +250,17 @@ def test_toxicity_of_very_long_texts(spark):
     assert [r.doc_id for r in toxicity.keep_harmless(table, model).collect()] == [1]
 
 
+def test_toxicity_learns_a_sentence_that_many_documents_share(spark):
+    """A sentence repeated word by word is evidence in each labelled document, also where a clean one with a smaller id holds it."""
+    rng = random.Random(5)
+    filler = lambda: " ".join(f"plain{rng.randrange(300)}" for _ in range(9)) + "."
+    toxic = {i for i in range(1, 600) if rng.random() < 0.25}
+    docs = [(i, f"{filler()} {'Xenial zorp quib. ' if i in toxic or not i else ''}{filler()}") for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i in toxic)) for i, _ in docs], "doc_id long, toxic int"))
+    assert np.mean([model.score(t) >= 0.5 for i, t in docs if i in toxic]) > 0.99
+    assert np.mean([model.score(t) >= 0.5 for i, t in docs[1:] if i not in toxic]) < 0.02
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
