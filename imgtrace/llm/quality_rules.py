@@ -22,7 +22,7 @@ SPACES = " \t\n\x0b\x0c\r"
 RATES = {"mean_word_chars": "both", "symbols_per_word": "high", "dup_lines_per_line": "high", "repeats_per_word": "high"}
 #: Fences lie so many interquartile ranges outside the quartiles, and a rate may always differ from them by this share or amount.
 FENCE = 3.0
-SLACK = {"mean_word_chars": 1.0, "symbols_per_word": 0.05, "dup_lines_per_line": 0.1, "repeats_per_word": 0.3}
+SLACK = {"mean_word_chars": 1.0, "symbols_per_word": 0.05, "dup_lines_per_line": 0.2, "repeats_per_word": 0.15}
 #: Groups with fewer documents take the limits of the next larger group.
 LEAST_DOCS = 50
 REPEAT_WINDOW = 8
@@ -32,7 +32,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every document.
+    """doc_id, lang, source, the counts of every document, and n_lines, its lines with a word.
 
     Windows are compared by 64-bit hashes within their document. Only documents with equal hashes sort them; the places of
     equal ones, in order, then give the words covered: the gaps to the next place, 8 at most, and 8 for the last.
@@ -56,6 +56,7 @@ def measure(docs: DataFrame) -> DataFrame:
         n.alias("n_words"),
         F.char_length(F.array_join("words", "")).alias("word_chars"),
         "n_symbols",
+        F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(n > REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), n - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(REPEAT_WINDOW))))).alias("windows"),
     )
@@ -76,7 +77,7 @@ def measure(docs: DataFrame) -> DataFrame:
     gaps = F.zip_with(F.slice("places", F.lit(2), k - 1), F.slice("places", F.lit(1), k - 1), lambda x, y: F.least(x - y, F.lit(REPEAT_WINDOW)))
     covered = F.when(k > 0, F.aggregate(gaps, F.lit(REPEAT_WINDOW), lambda total, x: total + x)).otherwise(0)
     counted = places.withColumn("n_repeat_words", covered)
-    return counted.select("doc_id", "lang", "source", *(F.col(c).cast("long").alias(c) for c in COUNTS))
+    return counted.select("doc_id", "lang", "source", *(F.col(c).cast("long").alias(c) for c in (*COUNTS, "n_lines")))
 
 
 def with_rates(measured: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def with_rates(measured: DataFrame) -> DataFrame:
             "base_failed": failed,
             "mean_word_chars": F.col("word_chars") / words,
             "symbols_per_word": F.col("n_symbols") / words,
-            "dup_lines_per_line": F.col("n_dup_lines") / words,
+            "dup_lines_per_line": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
             "repeats_per_word": F.col("n_repeat_words") / words,
         }
     )

@@ -199,6 +199,24 @@ def test_quality_limits_follow_the_groups(spark):
     assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == set(range(200))
 
 
+def test_quality_limits_lie_below_the_base_rule(spark):
+    """A group's fences reject repeated lines and passages that the base rules let pass; a single repeat may stay."""
+    line = "these are plain words of usual length, told in a usual way, and there are more than twenty of them in here {}"
+    phrase, filler = "these are plain words of some usual length", [f"w{i:03d}" for i in range(200)]
+    lines = [" ".join(filler[4 * i : 4 * i + 4]) for i in range(10)]
+    odd = [
+        f"{phrase} {' '.join(filler[:32])} {phrase} {' '.join(filler[32:64])}",  # 16 of 80 words are repeated
+        "\n".join([*lines[:3], lines[0], *lines[3:5], lines[0], *lines[5:7], lines[0]]),  # 3 of 10 lines of four words
+        f"{phrase} {' '.join(filler[:96])} {phrase} {' '.join(filler[96:192])}",  # 16 of 208 words
+        "\n".join([*lines[:9], lines[0]]),  # 1 of 10 lines
+    ]
+    rows = [(i, line.format(i), "en", "a") for i in range(200)] + [(1000 + i, t, "en", "a") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert not any(r.base_failed for r in judged.values()) and judged[1001].n_lines == 10
+    assert [judged[1000 + i].kept for i in range(4)] == [False, False, True, True]
+
+
 def _plain_base(text):
     assign = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
