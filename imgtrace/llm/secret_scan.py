@@ -7,9 +7,9 @@ sample of the documents, with made-up secrets put into other windows of the samp
 score for outside leads by more than the tag pairs can ever make up is outside on any best path, so the chain is cut
 there and Viterbi runs on what lies between.
 
-Defined results: null text is empty text and has no spans; the rules' spans stay as they are, found ones are added where
-they touch none of these; every row gives one row, repeated rows too; with no documents the field is trained on made-up
-windows alone; offsets count code points, ends are exclusive; columns other than doc_id and text are not read.
+Defined results: null text is empty text and has no spans; the rules' spans stay as they are, and of each found run the
+parts outside of these are added, but for mere quotes, brackets and stops; every row gives one row, repeated rows too; with
+no documents the field is trained on made-up windows alone; offsets count code points, ends are exclusive; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 BEGIN, INSIDE, OUTSIDE = range(3)
 _WORD = re.compile(WORD)
 _EDGES = "\"'`,;:()[]{}<>.!?"
+_BREAKS = " \t\n\x0b\x0c\r"
 _HINTS = frozenset("password passwd pwd pass secret token apikey api_key key keys auth bearer credential credentials login access private authorization signature".split())
 KEPT_WORDS = 150_000
 #: The sample: so many documents at most, and a window of so many words from each.
@@ -309,7 +310,7 @@ def train(windows: list[Example], seed: int = 0) -> Field:
 
 
 def scan_text(text: str, field: Field) -> list[Span]:
-    """All spans of a text: the rules', and the field's that touch none of these, by start and then kind."""
+    """All spans of a text: the rules', and the parts of the field's runs outside of these, by start and then kind."""
     base = base_spans(text)
     words = _WORD.findall(text)
     if not words:
@@ -317,10 +318,10 @@ def scan_text(text: str, field: Field) -> list[Span]:
     runs = field.decode(field.scores(words) + field.score(text_features(text, len(base)))[:3])
     if not runs:
         return base
-    return _add_runs(text, words, base, runs)
+    return _add_runs(text, base, runs)
 
 
-def _add_runs(text: str, words: list[str], base: list[Span], runs: list[tuple[int, int]]) -> list[Span]:
+def _add_runs(text: str, base: list[Span], runs: list[tuple[int, int]]) -> list[Span]:
     added, at, position, k = [], 0, 0, 0
     wanted = sorted({i for run in runs for i in (run[0], run[1] - 1)})
     place = {}
@@ -331,14 +332,19 @@ def _add_runs(text: str, words: list[str], base: list[Span], runs: list[tuple[in
             if k == len(wanted):
                 break
         at += 1
-    for first, stop in runs:
-        start, end = place[first][0], place[stop - 1][1]
-        longest = max((w.strip(_EDGES) for w in words[first:stop]), key=len)
+    for first, last in runs:
+        start, end = place[first][0], place[last - 1][1]
         while position < len(base) and base[position][1] <= start:
             position += 1
-        clear = all(s[1] <= start or s[0] >= end for s in base[max(0, position - 1) :])
-        if clear and len(longest) >= 8 and not longest.isalpha():
-            added.append((start, end, "field"))
+        stop = position
+        while stop < len(base) and base[stop][0] < end:
+            stop += 1
+        for before, after, _ in [*base[position:stop], (end, end, "")]:
+            part = text[start : max(start, before)]
+            if part.strip(_EDGES + _BREAKS):
+                left = len(part) - len(part.lstrip(_BREAKS))
+                added.append((start + left, start + len(part.rstrip(_BREAKS)), "field"))
+            start = max(start, after)
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -273,6 +273,28 @@ def test_field_adds_what_the_rules_miss_and_leaves_prose(field, texts):
     assert sum(bool(secret_scan.scan_text(t, field)) for t in clean) <= 0.01 * len(clean)
 
 
+class _Tags(secret_scan.Field):
+    """A field that tags the runs it is given."""
+
+    def __init__(self, *runs):
+        super().__init__({}, np.zeros((0, 9)), np.zeros((3, 3)), np.zeros(3))
+        self.runs = list(runs)
+
+    def decode(self, scores):
+        return self.runs
+
+
+def test_decoded_runs_are_kept_beside_the_rules_spans():
+    text = "use password=abcdefgh$Xy7zzQ91 now"
+    assert secret_scan.scan_text(text, _Tags((1, 2))) == [(4, 21, "assign"), (21, 30, "field")]
+    assert "zzQ91" not in secret_scan.replace_spans(text, secret_scan.scan_text(text, _Tags((1, 2))), "*")
+    second = "token: abcdefgh12 Zq8Lm2Rt5Vx9 end"
+    assert secret_scan.scan_text(second, _Tags((0, 3))) == [(0, 17, "assign"), (18, 30, "field")]
+    two = 'x token=abcdefgh1;secret=abcdefgh2", y'
+    assert secret_scan.scan_text(two, _Tags((1, 2))) == [(2, 17, "assign"), (18, 34, "assign")]
+    assert secret_scan.scan_text("key correcthorsebattery ab1", _Tags((1, 2), (2, 3))) == [(4, 23, "field"), (24, 27, "field")]
+
+
 def test_secret_query_and_redaction(spark, odd, texts):
     rows = entries.op3_secret_scan(spark, SF).collect()
     for r in rows:
