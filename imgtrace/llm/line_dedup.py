@@ -2,14 +2,16 @@
 
 A document's lines with a word, trimmed of white space, give overlapping windows of three consecutive ones. Windows are
 compared by 128 bits of hash over the whole table. The first occurrence of a repeated window, by doc_id and then place,
-stays; later ones are removed, and as neighbouring windows overlap, their places merge into whole passages. Only windows
-are counted and joined, never documents, and counting pre-aggregates, so a window that a third of all documents holds is
-a few rows by the time it is shuffled.
+stays; later ones are removed, and as neighbouring windows overlap, their places merge into whole passages. Counting
+pre-aggregates, so a window that a third of all documents holds is a few rows by the time it is shuffled; where its
+occurrences meet the first one, the join has one row on that side, and adaptive execution may split the other.
 
 Defined results: null text is empty; documents of fewer than three lines with a word have no window and stay as they are;
 lines without a word are never removed; repeated rows (same doc_id and text) are occurrences of the same place, so they
-do not remove each other; rows of one doc_id and different texts are ordered by a hash of the text; a null doc_id comes
-first; an empty table gives no rows. A run of equal lines overlaps itself, so its first line stays.
+do not remove each other; rows of one doc_id and different texts are ordered by a hash of the text (the tie-break between
+them); a null doc_id comes first; an empty table gives no rows; a very long text is one row, cut like any other; columns
+of the table whose names are used here do not clash, as rows travel in a struct. A run of equal lines overlaps itself, so
+its first line stays.
 """
 
 from __future__ import annotations
@@ -53,30 +55,35 @@ def later_places(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, row: Column) -> DataFrame:
-    """row, doc_id, text, n_lines, n_removed, n_passages and kept (the text that stays) of every document."""
-    found = later_places(docs).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), "places")
+    """row, doc_id, text, n_lines, n_removed, n_passages and kept (the text that stays) of every document.
+
+    Lines with a word are counted before the join; arrays of lines are made only of the few documents that lose any. The
+    join builds its table from the places, so texts are streamed past it and never sorted.
+    """
+    found = later_places(docs).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), "places").hint("shuffle_hash")
     text = text_or_empty()
-    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != ""))
+    keyed = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), n_lines.cast("long").alias("n_lines"))
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
-    numbered = joined.select("row", "doc_id", "text", "places", F.split("text", "\n").alias("lines")).withColumn(
+    hit = F.col("places").isNotNull()
+    split = joined.select("row", "doc_id", "text", "n_lines", "places", F.when(hit, F.split("text", "\n")).alias("lines")).withColumn(
         "worded", F.filter(F.transform("lines", lambda line, i: F.struct(F.btrim(line, F.lit(SPACES)).alias("t"), i.alias("i"))), lambda x: x.t != "")
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + LINES - 1)))))
-    marked = numbered.withColumn("covered", F.coalesce(covered, F.array().cast("array<int>")))
+    marked = split.withColumn("covered", covered)
     # Ordinals among lines with a word become places among all lines.
     gone = marked.withColumn("gone", F.transform("covered", lambda c: F.get("worded", c).i))
     n = F.size("covered")
-    fewer = F.greatest(n - 1, F.lit(0))
-    gaps = F.zip_with(F.slice("covered", F.lit(2), fewer), F.slice("covered", F.lit(1), fewer), lambda b, a: b - a)
-    kept = F.when(n == 0, F.col("text")).otherwise(F.array_join(F.transform(_kept_runs(), lambda r: F.array_join(F.slice("lines", r.start + 1, r.n), "\n")), "\n"))
+    gaps = F.zip_with(F.slice("covered", F.lit(2), n - 1), F.slice("covered", F.lit(1), n - 1), lambda b, a: b - a)
+    kept = F.array_join(F.transform(_kept_runs(), lambda r: F.array_join(F.slice("lines", r.start + 1, r.n), "\n")), "\n")
     return gone.select(
         "row",
         "doc_id",
         "text",
-        F.size("worded").cast("long").alias("n_lines"),
-        n.cast("long").alias("n_removed"),
-        F.when(n > 0, F.size(F.filter(gaps, lambda gap: gap > 1)) + 1).otherwise(0).cast("long").alias("n_passages"),
-        kept.alias("kept"),
+        "n_lines",
+        F.when(hit, n).otherwise(0).cast("long").alias("n_removed"),
+        F.when(hit, F.size(F.filter(gaps, lambda gap: gap > 1)) + 1).otherwise(0).cast("long").alias("n_passages"),
+        F.when(hit, kept).otherwise(F.col("text")).alias("kept"),
     )
 
 
