@@ -3,19 +3,22 @@
 The strings that start at each byte (windows) are dealt out by their content: a window's key is the least hash of the
 GRAM-byte strings in it, so equal windows meet wherever they stand, and as neighbours mostly share their key, a run of them
 travels as one segment. Keys of one document only (document_keys counts them) have no match and are not sent, exact copies
-of a document's text are settled by a hash, and equal segments are merged before they leave a group of documents. Keys of very
-many documents are split up: their windows go by a hash of the whole window.
+of a document's text are settled by a hash. Of equal segments in a group of documents only those of its least document
+travel; the others are gone whole, which the group notes as masks of its own. So a passage that a third of all documents
+hold weighs an entry a group. Keys of very many documents are split up: their windows go by a hash of the whole window.
 
 Each bucket sets its segments one after the other, by document, and sorts its windows as suffixes, by their first LENGTH
-bytes and then by place. A place's longest previous factor is the greater of its common prefixes with the previous smaller
-and the next smaller place in suffix order. Among suffixes that agree in LENGTH bytes places ascend, so there the previous
-smaller place is the left neighbour; the next smaller lies beyond, where less agrees. Where the factor reaches LENGTH,
-an earlier document has the window, and the first place of the run says which; later ones are marked, as a mask a segment.
-Groups get their masks back and cut the texts.
+bytes and then by place, with the common prefix of neighbours. The previous and the next smaller place of each place in
+suffix order give its longest previous factor (LPF): the longest string that starts there and at a smaller place too, as
+far as LENGTH bytes. Where the LPF reaches LENGTH, an earlier place has the whole window; following these places down
+leads to the least document that has it, and windows of later documents are marked, as a mask a segment. Groups get
+their masks back and cut the texts.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; a null doc_id is neither smaller nor greater
 than others, so such rows lose nothing and give no matches; rows with the same doc_id do not remove each other's text, so
-repeated rows stay; an empty table gives no rows; other columns are not read.
+repeated rows stay (ties: the same window at several places of the least document stays at all of them); a very long text
+is hashed in chunks of CHUNK bytes and travels as segments like any other; an empty table gives no rows; columns other
+than doc_id and text are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -123,9 +126,25 @@ def _whole_window_keys(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
+#: Segments of a group for a bucket; where content is null, masks of windows that the group itself found gone.
 SEGMENTS = "g long, bucket int, docs binary, starts binary, counts binary, content binary"
 
 
+def _later_copies(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which segments (slices of x, of documents `ids`) a smaller document among these has too."""
+    number = _content_numbers(x, starts, lengths)
+    least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, ids)
+    return ids > least[number]
+
+
+def _content_numbers(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same number for slices of equal content."""
+    data, seen = x.tobytes(), {}
+    found = (seen.setdefault(data[b : b + n], len(seen)) for b, n in zip(starts.tolist(), lengths.tolist(), strict=True))
+    return np.fromiter(found, np.int64, len(starts))
+
+
 def _segments(buckets: int):
     """For with_counts: the segments that may have a match, packed by bucket."""
 
@@ -146,18 +165,25 @@ def _segments(buckets: int):
         ids = np.array([d if d is not None else 0 for d in group.doc_ids], np.int64)
         begins = np.concatenate([[0], runs.ends[:-1]]) if len(runs.ends) else np.zeros(1, np.int64)
         bucket = (_mixed(keys) % _U(buckets)).astype(np.int32)
-        order = np.lexsort((starts, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows: dict[str, list] = {k: [] for k in ("g", "bucket", "docs", "starts", "counts", "content")}
+
+        def send(b: int, mine: np.ndarray, whole: bool) -> None:
+            rows["g"].append(group.g)
+            rows["bucket"].append(b)
+            rows["docs"].append(_packed(np.stack([docs[mine], ids[docs[mine]]]).astype("<i8")))
+            rows["starts"].append(_packed((starts[mine] - begins[docs[mine]]).astype("<i8")))
+            rows["counts"].append(_packed(sizes[mine].astype(np.uint8)))
+            rows["content"].append(_packed(_gather(runs.bytes, starts[mine], sizes[mine] + LENGTH - 1)) if whole else None)
+
+        later = _later_copies(runs.bytes, starts, sizes + LENGTH - 1, ids[docs])
+        if later.any():
+            send(group.g % buckets, np.flatnonzero(later), False)
+        first = np.flatnonzero(~later)
+        order = first[np.lexsort((starts[first], bucket[first]))]
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
-            mine = order[bounds[b] : bounds[b + 1]]
-            if len(mine):
-                rows["g"].append(group.g)
-                rows["bucket"].append(b)
-                rows["docs"].append(_packed(np.stack([docs[mine], ids[docs[mine]]]).astype("<i8")))
-                rows["starts"].append(_packed((starts[mine] - begins[docs[mine]]).astype("<i8")))
-                rows["counts"].append(_packed(sizes[mine].astype(np.uint8)))
-                rows["content"].append(_packed(_gather(runs.bytes, starts[mine], sizes[mine] + LENGTH - 1)))
+            if bounds[b + 1] > bounds[b]:
+                send(b, order[bounds[b] : bounds[b + 1]], True)
         kinds = {"g": pa.int64(), "bucket": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
 
@@ -165,7 +191,7 @@ def _segments(buckets: int):
 
 
 def sort_windows(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows at the places in suffix order (by LENGTH bytes, then place; places ascend), and which start a new run of equal ones."""
+    """The windows at the places (ascending) in suffix order, by LENGTH bytes and then place, and each one's common prefix with the one before."""
     words = [(k, min(8, LENGTH - k)) for k in range(0, LENGTH, 8)]
 
     def word(at: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -174,10 +200,19 @@ def sort_windows(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
             out = (out << _U(8)) | x[at + (k + j)]
         return out
 
-    order = np.argsort(word(places, 0, 8), kind="stable")
-    first = word(places[order], 0, 8)
+    def agree(value: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+        """Leading bytes in which two different words of n bytes agree."""
+        off = value ^ before
+        return sum((off >> _U(8 * (n - j)) == 0).astype(np.int64) for j in range(1, n))
+
+    first = word(places, 0, 8)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    common = np.zeros(len(order), np.int64)
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
+    cut = np.flatnonzero(new)[1:]
+    common[cut] = agree(first[cut], first[cut - 1], 8)
     for k, n in words[1:]:
         alone = new.copy()
         alone[:-1] &= new[1:]
@@ -189,18 +224,60 @@ def sort_windows(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
         within = np.lexsort((value, run))
         order[open_] = order[open_][within]
         value = value[within]
-        new[open_[1:]] |= value[1:] != value[:-1]  # runs keep their extent, so run starts stay
-    return order, new
-
-
-def longest_previous_factors(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place (by rank of place): whether its longest previous factor reaches LENGTH, and the earliest place that has it."""
-    reaches = np.zeros(len(order), bool)
-    reaches[order[~new]] = True  # the previous smaller place is the left neighbour, and LENGTH bytes agree
-    starts = np.flatnonzero(new)
-    earliest = np.empty(len(order), np.int64)
-    earliest[order] = order[starts[np.cumsum(new) - 1]]
-    return reaches, earliest
+        cut = np.flatnonzero((value[1:] != value[:-1]) & ~new[open_[1:]]) + 1  # runs keep their extent, so run starts stay
+        common[open_[cut]] = k + agree(value[cut], value[cut - 1], n)
+        new[open_[cut]] = True
+    common[~new] = LENGTH
+    return order, common
+
+
+def previous_smaller(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each rank the nearest rank before it that has a smaller place, or -1, and the common prefix with it.
+
+    All ranks climb at once: one whose candidate has a greater place takes that one's own candidate, which lies beyond
+    nothing smaller. The common prefix is the least over the ranks passed.
+    """
+    to, prefix = np.arange(len(order)) - 1, common.copy()
+    climbing = np.arange(1, len(order))
+    climbing = climbing[order[climbing - 1] > order[climbing]]
+    while len(climbing):
+        at = to[climbing]
+        near, nearer = to[at], np.minimum(prefix[climbing], prefix[at])
+        to[climbing], prefix[climbing] = near, nearer
+        going = near >= 0
+        climbing, near = climbing[going], near[going]
+        climbing = climbing[order[near] > order[climbing]]
+    prefix[to < 0] = 0
+    return to, prefix
+
+
+def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place (as a number in `order`): the length of its longest previous factor, and an earlier place that has it, or -1.
+
+    Of the previous and the next smaller place in suffix order, the one with the longer common prefix; the previous on a tie.
+    """
+    n = len(order)
+    back, back_prefix = previous_smaller(order, common)
+    turned = np.concatenate([np.zeros(min(1, n), np.int64), common[:0:-1]])
+    ahead, ahead_prefix = (a[::-1] for a in previous_smaller(order[::-1], turned))
+    ahead = n - 1 - ahead  # n where there is none
+    use_back = back_prefix >= ahead_prefix
+    rank = np.where(use_back, back, ahead)
+    length, source = np.zeros(n, np.int64), np.full(n, -1)
+    length[order] = np.maximum(back_prefix, ahead_prefix)
+    source[order] = np.where((rank >= 0) & (rank < n), order[np.clip(rank, 0, max(0, n - 1))] if n else rank, -1)
+    source[length == 0] = -1
+    return length, source
+
+
+def earliest_places(length: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """For each place the least place that has its whole window: sources of full length, followed to their end."""
+    to = np.where(length >= LENGTH, source, np.arange(len(length)))
+    while True:
+        further = to[to]
+        if np.array_equal(further, to):
+            return to
+        to = further
 
 
 MASKS = "g long, docs binary, starts binary, masks binary"
@@ -208,14 +285,27 @@ MASKS = "g long, docs binary, starts binary, masks binary"
 
 def match_bucket(table: pa.Table) -> pa.Table:
     """Masks of the windows that an earlier document has, for the segments of each group."""
-    parts = [
-        (_unpacked(d, "<i8").reshape(2, -1), _unpacked(s, "<i8"), _unpacked(c, "u1").astype(np.int64), _unpacked(x, "u1"))
-        for d, s, c, x in zip(*(table[k].to_pylist() for k in ("docs", "starts", "counts", "content")), strict=True)
-    ]
-    gs = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-    docs = np.concatenate([p[0][1] for p in parts])
-    counts = np.concatenate([p[2] for p in parts])
-    x = np.concatenate([p[3] for p in parts])
+    rows: list[tuple] = []
+    packed = list(zip(*(table[k].to_pylist() for k in ("g", "docs", "starts", "counts", "content")), strict=True))
+    for g, docs_, starts_, counts_, content in packed:
+        if content is None:
+            whole = (np.int64(1) << _unpacked(counts_, "u1").astype(np.int64)) - 1
+            rows.append((g, _packed(_unpacked(docs_, "<i8").reshape(2, -1)[0].astype("<i4")), starts_, _packed(whole.astype("<u4"))))
+    parts = [(g, _unpacked(d, "<i8").reshape(2, -1), _unpacked(s, "<i8"), _unpacked(c, "u1").astype(np.int64), _unpacked(x, "u1")) for g, d, s, c, x in packed if x is not None]
+    if parts:
+        masks = _masks(np.concatenate([p[1][1] for p in parts]), np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]))
+        ends = np.cumsum([len(p[2]) for p in parts])
+        for (g, docs, starts, _, _), end in zip(parts, ends.tolist(), strict=True):
+            own = masks[end - len(starts) : end]
+            hit = np.flatnonzero(own)
+            if len(hit):
+                rows.append((g, _packed(docs[0][hit].astype("<i4")), _packed(starts[hit]), _packed(own[hit].astype("<u4"))))
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["g", "docs", "starts", "masks"])
+
+
+def _masks(docs: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each segment (its document, its count of windows, its bytes in x, end to end) a bit for each window that a smaller document has."""
     lengths = counts + LENGTH - 1
     begins = np.cumsum(lengths) - lengths
     first_copy, copy_of = _distinct_segments(x, begins, lengths, docs)
@@ -226,30 +316,18 @@ def match_bucket(table: pa.Table) -> pa.Table:
     first_window = np.cumsum(own_counts) - own_counts
     segment = np.repeat(np.arange(len(first_copy)), own_counts)
     places = at[segment] + np.arange(len(segment)) - first_window[segment]
-    order, new = sort_windows(text, places)
-    reaches, earliest = longest_previous_factors(order, new)
-    holder = docs[first_copy][segment]
-    least_doc = np.where(reaches, holder[earliest], holder)
+    earliest = earliest_places(*longest_previous_factors(*sort_windows(text, places)))
+    least_doc = docs[first_copy][segment][earliest]
     # Every segment's windows again, against the least document that has each.
     of = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     gone = least_doc[first_window[copy_of][of] + nth] < docs[of]
-    masks = np.add.reduceat(gone.astype(np.int64) << nth, np.cumsum(counts) - counts) if len(of) else np.zeros(0, np.int64)
-    rows: list[tuple] = []
-    for k, g in enumerate(table["g"].to_pylist()):
-        lo, hi = np.searchsorted(gs, [k, k + 1])
-        hit = np.flatnonzero(masks[lo:hi])
-        if len(hit):
-            rows.append((g, _packed(parts[k][0][0][hit].astype("<i4")), _packed(parts[k][1][hit]), _packed(masks[lo:hi][hit].astype("<u4"))))
-    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["g", "docs", "starts", "masks"])
+    return np.add.reduceat(gone.astype(np.int64) << nth, np.cumsum(counts) - counts)
 
 
 def _distinct_segments(x: np.ndarray, begins: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of one segment of each content, that of the least document, by document; and for each segment its place among these."""
-    data, seen, number = x.tobytes(), {}, np.empty(len(begins), np.int64)
-    for i, (b, n) in enumerate(zip(begins.tolist(), lengths.tolist(), strict=True)):
-        number[i] = seen.setdefault(data[b : b + n], len(seen))
+    number = _content_numbers(x, begins, lengths)
     order = np.lexsort((np.arange(len(docs)), docs, number))
     new = np.ones(len(order), bool)
     new[1:] = number[order][1:] != number[order][:-1]

@@ -100,19 +100,50 @@ def test_window_keys_hang_on_the_window_alone():
     assert keys[500:].tolist() == own[50 : 50 + len(keys[500:])].tolist()
 
 
-def test_factors_reach_by_brute_force():
-    rng = random.Random(4)
-    text = "".join(rng.choice("ab") for _ in range(60)) * 4 + "".join(rng.choice("abc") for _ in range(200))
+def _common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_previous_factors_by_brute_force(seed):
+    """Suffix order, common prefixes, previous and next smaller places, factor lengths and earliest places, all by their definitions."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice("ab") for _ in range(60)) * 3 + "".join(rng.choice("abc"[: 2 + seed % 2]) for _ in range(150)) + "c" * 70 * (seed % 2)
     x = np.frombuffer(text.encode(), np.uint8)
-    places = np.arange(len(x) - 49)
-    order, new = suffix_dedup.sort_windows(x, places)
-    windows = [text[p : p + 50] for p in places]
-    assert order.tolist() == sorted(places.tolist(), key=lambda p: (windows[p], p))
-    reaches, earliest = suffix_dedup.longest_previous_factors(order, new)
+    n = len(x) - 49
+    order, common = suffix_dedup.sort_windows(x, np.arange(n))
+    windows = [text[p : p + 50] for p in range(n)]
+    assert order.tolist() == sorted(range(n), key=lambda p: (windows[p], p))
+    assert common.tolist() == [0] + [_common(windows[a], windows[b]) for a, b in zip(order, order[1:])]
+    back, prefix = suffix_dedup.previous_smaller(order, common)
+    for r in range(n):
+        want = next((k for k in range(r - 1, -1, -1) if order[k] < order[r]), -1)
+        assert back[r] == want and prefix[r] == (_common(windows[order[r]], windows[order[want]]) if want >= 0 else 0)
+    length, source = suffix_dedup.longest_previous_factors(order, common)
+    for p in range(n):
+        assert length[p] == max((_common(windows[p], windows[q]) for q in range(p)), default=0)
+        assert source[p] == -1 if not length[p] else source[p] < p and _common(windows[p], windows[source[p]]) == length[p]
     first = {}
-    for p in places.tolist():
+    for p in range(n):
         first.setdefault(windows[p], p)
-    assert reaches.tolist() == [first[w] != p for p, w in enumerate(windows)] and earliest.tolist() == [first[w] for w in windows]
+    assert suffix_dedup.earliest_places(length, source).tolist() == [first[w] for w in windows]
+
+
+def test_factors_of_nothing():
+    none = np.zeros(0, np.int64)
+    length, source = suffix_dedup.longest_previous_factors(none, none)
+    assert len(length) == len(source) == len(suffix_dedup.earliest_places(length, source)) == 0
+
+
+def test_a_passage_of_all_documents_leaves_each_group_once():
+    """Equal segments of a group travel once, for its least document; repeated rows of that document keep theirs."""
+    passage = "a passage that every document of the group holds, of more than fifty bytes"
+    made = suffix_dedup.Runs([f"{passage}"] * 40)
+    group = suffix_dedup.Group(3, [5, 5, *range(6, 44)], [passage] * 40, made, [made.keys], lambda k: np.full(len(k), 2), [False] * 40)
+    rows = suffix_dedup._segments(8)(group).to_pylist()
+    sent = [suffix_dedup._unpacked(r["docs"], "<i8").reshape(2, -1)[1].tolist() for r in rows if r["content"] is not None]
+    own = [suffix_dedup._unpacked(r["docs"], "<i8").reshape(2, -1)[1].tolist() for r in rows if r["content"] is None]
+    assert {d for x in sent for d in x} == {5} and {d for x in own for d in x} == set(range(6, 44))
 
 
 def _plain_lines(texts):
