@@ -1,49 +1,60 @@
 """Masked pseudo-likelihood: a window network predicts each word from the words on both sides.
 
-Words are counted over the whole corpus; the KNOWN most frequent ones have an id of their own, the others share BUCKETS
-ids by a hash. The network sums embeddings of RADIUS words on each side through a tanh layer; the output is a softmax over
-CLASSES classes and one over the ids of the true word's class, so the probabilities of all ids sum to 1 at a small cost.
-A document's score is the sum of the log-probabilities of its words, each given its neighbours (pseudo-likelihood).
-
-Training: every document gives the windows whose hash is 0 mod RATE, so the training set grows with the corpus. They are
-written to the shared folder. In each of ROUNDS rounds every partition trains the current network on its own windows
-in numpy, and the partitions' weights, weighted by their windows, are averaged in Spark: of each partition, one network
-moves, and one network reaches the driver.
-
-Defined results: null text and texts without words have no tokens and score 0; every row gives one row, repeated rows too;
-an empty corpus leaves the first weights; ties in the counts go by the word; columns other than doc_id and text are not read.
+Words are counted over the whole corpus; the most frequent ones have one of the SIZE ids of their own, the others share
+SHARED ids by a hash. An id is three digits of base DIGIT. The network adds up the embeddings of RADIUS words on each side,
+scaled by their place, and a tanh layer gives the hidden state; a softmax predicts the first digit from it, another the
+second digit from it and the first, a third the last digit from it and the first two. So the probabilities of all ids sum
+to 1, at the cost of three small softmaxes, whatever the vocabulary. A document's score is the sum of the log-probabilities
+of its words, each given its neighbours (pseudo-likelihood).
+
+Texts are split into words once: a chunk of documents keeps its own list of words with counts, which the vocabulary is
+counted from, and the documents as numbers in that list, which become ids by one look-up a chunk. All words of all
+documents are windows to learn from. Documents are dealt into shards of about SHARD_WORDS words by a hash of their ids, so
+shards grow in number with the corpus. In each of ROUNDS rounds every shard takes the current network one pass further over
+its own part of that round (its documents are dealt to rounds by another digit of the hash), and the shards' networks,
+weighted by their windows, are averaged by blocks of weights in Spark; Adagrad's sums are averaged and kept with them.
+Shards, their order and the order of the averages hang on the texts alone, not on partitions.
+
+Defined results: null text and texts without words have no tokens and score 0; every row gives one row, repeated rows too,
+and equal texts score alike; an empty corpus leaves the first weights; ties in the counts go by the word; a very long text
+is one document of one shard, and is scored in slices; columns other than doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.llm.common import WORD, WORD_BREAKS, materialize, pieces_of, text_or_empty
+from imgtrace.llm.common import WORD, list_array, materialize, pieces_of, text_or_empty
 
-KNOWN, BUCKETS = 896, 128
-CLASSES, IN_CLASS = 32, 32  # their product is KNOWN + BUCKETS
-SIZE = KNOWN + BUCKETS
-RADIUS, WIDTH, HIDDEN = 2, 16, 24
-RATE, ROUNDS, BATCH, STEP = 16, 2, 1024, 0.08
-KEPT_WORDS = 150_000
+DIGIT = 32
+SIZE = DIGIT**3
+SHARED = 2048
+RADIUS, WIDTH = 2, 16
+ROUNDS, BATCH, STEP = 2, 4096, 0.1
+SHARD_WORDS = 2_000_000
+#: Weights in a block that is averaged as one, and partial averages of each block.
+BLOCK, PARTIAL = 1 << 14, 16
 _WORD = re.compile(WORD)
 PAD = SIZE
 _SHAPES = {
     "embed": (SIZE + 1, WIDTH),
-    "mix": (2 * RADIUS * WIDTH, HIDDEN),
-    "mix_bias": (HIDDEN,),
-    "to_class": (HIDDEN, CLASSES),
-    "class_bias": (CLASSES,),
-    "to_word": (CLASSES, HIDDEN, IN_CLASS),
-    "word_bias": (CLASSES, IN_CLASS),
+    "place": (2 * RADIUS, WIDTH),
+    "bias": (WIDTH,),
+    "first": (WIDTH, DIGIT),
+    "first_bias": (DIGIT,),
+    "after_first": (DIGIT, WIDTH),
+    "second": (WIDTH, DIGIT),
+    "second_bias": (DIGIT, DIGIT),
+    "after_second": (DIGIT * DIGIT, WIDTH),
+    "third": (WIDTH, DIGIT),
+    "third_bias": (DIGIT * DIGIT, DIGIT),
 }
 _N_WEIGHTS = sum(int(np.prod(s)) for s in _SHAPES.values())
 
@@ -51,6 +62,7 @@ Weights = dict[str, np.ndarray]
 
 
 def unflatten(flat: np.ndarray) -> Weights:
+    """The network's arrays, as copies."""
     out, at = {}, 0
     for name, shape in _SHAPES.items():
         n = int(np.prod(shape))
@@ -65,45 +77,63 @@ def flatten(weights: Weights) -> np.ndarray:
 
 def first_weights(seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    flat = np.concatenate([(rng.normal(0, 0.1, s) if len(s) > 1 and n != "word_bias" else np.zeros(s)).ravel() for n, s in _SHAPES.items()])
-    return flat.astype(np.float32)
+    start = {n: rng.normal(0, 0.1, s) if n in ("embed", "first", "second", "third", "after_first", "after_second") else np.zeros(s) for n, s in _SHAPES.items()}
+    start["place"] = rng.normal(1, 0.3, _SHAPES["place"])
+    return np.concatenate([start[n].ravel() for n in _SHAPES]).astype(np.float32)
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words of all documents, at most KNOWN."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty()), WORD_BREAKS)).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN)
-    return [r.word for r in top.collect()]
+# ---- words and ids
 
 
-class _Ids(dict):
-    """From a word to its id; frequent words are spread over the classes in turn, so that classes have equal weight."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """Rows of a few documents: words (distinct) and counts, and doc_ids, lengths and codes (binary, 32-bit numbers of words)."""
+    schema = "words array<string>, counts array<long>, doc_ids array<long>, lengths array<int>, codes binary"
 
-    def __init__(self, words: tuple[str, ...]) -> None:
-        super().__init__()
-        per_class = KNOWN // CLASSES
-        self.own = {w: (k % CLASSES) * IN_CLASS + k // CLASSES for k, w in enumerate(words)}
-        self.shared = [c * IN_CLASS + i for c in range(CLASSES) for i in range(per_class, IN_CLASS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, "text", 2 << 20):
+                number: dict[str, int] = {}
+                add = number.setdefault
+                found = [[add(w, len(number)) for w in _WORD.findall(text.lower())] for text in part.column(1).to_pylist()]
+                codes = np.concatenate([np.array(x, "<i4") for x in found])
+                one = lambda values: list_array(values, [len(values)])
+                columns = [
+                    one(pa.array(list(number), pa.string())),
+                    one(pa.array(np.bincount(codes, minlength=len(number)).astype(np.int64), pa.int64())),
+                    one(pa.array(part.column(0).to_pylist(), pa.int64())),
+                    one(pa.array([len(x) for x in found], pa.int32())),
+                    pa.array([codes.tobytes()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["words", "counts", "doc_ids", "lengths", "codes"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+
+
+def vocabulary(chunked: DataFrame) -> list[str]:
+    """The most frequent words of all documents, at most SIZE - SHARED of them."""
+    words = chunked.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
+    top = words.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "word").limit(SIZE - SHARED)
+    return [r.word for r in top.collect()]
 
-    def __missing__(self, word: str) -> int:
-        lower = word.lower()
-        found = self.own.get(lower)
-        if found is None:
-            found = self.shared[zlib.crc32(lower.encode()) % len(self.shared)]
-        if len(word) <= 64:
-            self[word] = found
-        return found
 
-    def of(self, text: str) -> np.ndarray:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        words = _WORD.findall(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def ids_of_words(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Ids: frequent words have theirs by rank, spread over the first digits in turn; others share the rest by a hash."""
+    return np.array([SIZE - SHARED + zlib.crc32(w.encode()) % SHARED if (k := known.get(w)) is None else k for w in words], np.int64)
 
 
-@functools.lru_cache(maxsize=1)
-def _ids(words: tuple[str, ...]) -> _Ids:
-    return _Ids(words)
+def numbered(chunked: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id and ids (binary, 16-bit) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(words)}
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = ids_of_words(row["words"], known).astype("<u2")[np.frombuffer(row["codes"], "<i4")]
+                ends = np.cumsum(row["lengths"])
+                packed = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), row["lengths"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+
+    return chunked.mapInArrow(run, "doc_id long, ids binary")
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
@@ -115,126 +145,148 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + n] for k in [*sides, RADIUS]], axis=1)
 
 
+# ---- the network
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(-1, keepdims=True)
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def log_probs(weights: Weights, windows: np.ndarray) -> np.ndarray:
-    """The log-probability of each window's middle id."""
-    hidden = np.tanh(weights["embed"][windows[:, :-1]].reshape(len(windows), -1) @ weights["mix"] + weights["mix_bias"])
-    target = windows[:, -1]
-    of_class, in_class = target // IN_CLASS, target % IN_CLASS
-    every = np.arange(len(windows))
-    out = _log_softmax(hidden @ weights["to_class"] + weights["class_bias"])[every, of_class]
-    order = np.argsort(of_class, kind="stable")
-    bounds = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            inside = _log_softmax(hidden[rows] @ weights["to_word"][c] + weights["word_bias"][c])
-            out[rows] += inside[np.arange(len(rows)), in_class[rows]]
-    return out
+def _digits(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The three digits of ids, the last first, so that frequent ids differ early; and the first two as one number."""
+    a, b = target % DIGIT, target // DIGIT % DIGIT
+    return a, b, target // (DIGIT * DIGIT), a * DIGIT + b
+
 
+def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
+    total = w["embed"][context[:, 0]] * w["place"][0]
+    for k in range(1, 2 * RADIUS):
+        total += w["embed"][context[:, k]] * w["place"][k]
+    return np.tanh(total + w["bias"])
 
-def train_on(flat: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray:
-    """The weights after one pass of Adagrad steps over the windows."""
-    w = unflatten(flat)
-    seen = {n: np.full_like(x, 1e-2) for n, x in w.items()}
+
+def log_probs(w: Weights, windows: np.ndarray) -> np.ndarray:
+    """The log-probability of each window's middle id."""
+    hidden = _hidden(w, windows[:, :-1])
+    a, b, c, ab = _digits(windows[:, -1])
+    every = np.arange(len(windows))
+    out = _log_softmax(hidden @ w["first"] + w["first_bias"])[every, a]
+    out += _log_softmax((hidden + w["after_first"][a]) @ w["second"] + w["second_bias"][a])[every, b]
+    return out + _log_softmax((hidden + w["after_second"][ab]) @ w["third"] + w["third_bias"][ab])[every, c]
+
+
+def _summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows added up by their numbers, which lie below n."""
+    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
+def gradient(w: Weights, windows: np.ndarray) -> Weights:
+    """Of the summed log-probabilities of the windows."""
+    context, n = windows[:, :-1], len(windows)
+    a, b, c, ab = _digits(windows[:, -1])
+    every = np.arange(n)
+    hidden = _hidden(w, context)
+    g: Weights = {}
+
+    def part(state: np.ndarray, name: str, bias: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        off = -np.exp(_log_softmax(state @ w[name] + bias))
+        off[every, digit] += 1
+        g[name] = state.T @ off
+        return off, off @ w[name].T
+
+    off, g_hidden = part(hidden, "first", w["first_bias"], a)
+    g["first_bias"] = off.sum(0)
+    off, g_state = part(hidden + w["after_first"][a], "second", w["second_bias"][a], b)
+    g["second_bias"], g["after_first"] = _summed_rows(a, off, DIGIT), _summed_rows(a, g_state, DIGIT)
+    g_hidden = g_hidden + g_state
+    off, g_state = part(hidden + w["after_second"][ab], "third", w["third_bias"][ab], c)
+    g["third_bias"], g["after_second"] = _summed_rows(ab, off, DIGIT * DIGIT), _summed_rows(ab, g_state, DIGIT * DIGIT)
+    g_hidden = (g_hidden + g_state) * (1 - hidden * hidden)
+    g["bias"] = g_hidden.sum(0)
+    g["place"] = np.stack([(g_hidden * w["embed"][context[:, k]]).sum(0) for k in range(2 * RADIUS)])
+    g["embed"] = _summed_rows(context.T.ravel(), np.concatenate([g_hidden * w["place"][k] for k in range(2 * RADIUS)]), SIZE + 1)
+    return g
+
+
+def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights and Adagrad's sums after one pass over the windows, in an order that the seed gives."""
+    w, seen = unflatten(flat), unflatten(sums)
     order = np.random.default_rng(seed).permutation(len(windows))
     for start in range(0, len(order), BATCH):
         batch = windows[order[start : start + BATCH]]
-        n = len(batch)
-        context, target = batch[:, :-1], batch[:, -1]
-        of_class, in_class = target // IN_CLASS, target % IN_CLASS
-        x = w["embed"][context].reshape(n, -1)
-        hidden = np.tanh(x @ w["mix"] + w["mix_bias"])
-        g_class = -np.exp(_log_softmax(hidden @ w["to_class"] + w["class_bias"]))
-        g_class[np.arange(n), of_class] += 1
-        g = {"to_class": hidden.T @ g_class, "class_bias": g_class.sum(0), "to_word": np.zeros_like(w["to_word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        g_hidden = g_class @ w["to_class"].T
-        by_class = np.argsort(of_class, kind="stable")
-        bounds = np.searchsorted(of_class[by_class], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = by_class[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                part = -np.exp(_log_softmax(hidden[rows] @ w["to_word"][c] + w["word_bias"][c]))
-                part[np.arange(len(rows)), in_class[rows]] += 1
-                g["to_word"][c], g["word_bias"][c] = hidden[rows].T @ part, part.sum(0)
-                g_hidden[rows] += part @ w["to_word"][c].T
-        g_hidden *= 1 - hidden * hidden
-        g["mix"], g["mix_bias"] = x.T @ g_hidden, g_hidden.sum(0)
-        g_embed = (g_hidden @ w["mix"].T).reshape(-1, WIDTH)
-        places = context.ravel()
-        g["embed"] = np.stack([np.bincount(places, g_embed[:, k], SIZE + 1) for k in range(WIDTH)], axis=1)
-        for name, grad in g.items():
-            grad = grad.astype(np.float32) / n
+        for name, grad in gradient(w, batch).items():
+            grad /= len(batch)
             seen[name] += grad * grad
             w[name] += STEP * grad / np.sqrt(seen[name])
-    return flatten(w)
+    return flatten(w), flatten(seen)
 
 
-def training_windows(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """Packed windows (binary, 16-bit ids) of all documents, at a rate of one in RATE by their hash."""
+# ---- training in shards
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(words)
-        mixed = np.array([40503, 60493, 25717, 52711, 31337], np.int64)
-        for batch in batches:
-            for part in pieces_of(batch, "text", 1 << 20):
-                every = [windows_of(ids.of(x)) for x in part.column(0).to_pylist()]
-                rows = np.concatenate(every)
-                rows = rows[((rows * mixed).sum(1) >> 3) % RATE == 0]
-                yield pa.RecordBatch.from_arrays([pa.array([rows.astype("<u2").tobytes()], pa.binary())], ["windows"])
-
-    return materialize(docs.select(text_or_empty().alias("text")).mapInArrow(run, "windows binary"))
-
-
-def train(windows: DataFrame) -> np.ndarray:
-    """The averaged network after ROUNDS rounds."""
-    flat = first_weights()
-
-    def one_round(start: np.ndarray, seed: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights, n = start, 0
-            for batch in batches:
-                for k, packed in enumerate(batch.column(0).to_pylist()):
-                    rows = np.frombuffer(packed, "<u2").reshape(-1, 2 * RADIUS + 1).astype(np.int64)
-                    if len(rows):
-                        weights, n = train_on(weights, rows, seed + k), n + len(rows)
-            if n:
-                columns = [pa.array(np.arange(_N_WEIGHTS, dtype=np.int32)), pa.array(weights.astype(np.float64) * n), pa.array(np.full(_N_WEIGHTS, float(n)))]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "total", "n"])
-
-        parts = windows.mapInArrow(run, "place int, total double, n double")
-        return parts.groupBy("place").agg((F.sum("total") / F.sum("n")).alias("value"))
+
+def _shard(ids: Column, shards: int) -> list[Column]:
+    key = F.xxhash64(ids)
+    return [F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).cast("int").alias("round")]
+
+
+def _averaged(blocks: DataFrame) -> DataFrame:
+    """block, and weights and sums averaged over the shards' rows by their windows; partial averages come first."""
+    schema = "shard long, block int, windows long, weights binary, sums binary"
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        n = rows["windows"].to_numpy().astype(np.float64)
+        out = [sum(k * np.frombuffer(x, "<f8") for k, x in zip(n.tolist(), rows[c].to_pylist(), strict=True)) / n.sum() for c in ("weights", "sums")]
+        return pa.table([rows["shard"][:1], rows["block"][:1], pa.array([int(n.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=rows.column_names)
+
+    partial = blocks.groupBy("block", F.pmod("shard", F.lit(PARTIAL))).applyInArrow(mean, schema)
+    return partial.groupBy("block").applyInArrow(mean, schema)
+
+
+def train(documents: DataFrame, n_words: int) -> np.ndarray:
+    """The averaged network after ROUNDS rounds; documents as `numbered` gives them."""
+    flat, sums = first_weights(), np.full(_N_WEIGHTS, 1e-3, np.float32)
+    source = documents.where(F.length("ids") > 0).select("ids", *_shard(F.col("ids"), max(1, -(-n_words // SHARD_WORDS))))
+    schema = "shard long, block int, windows long, weights binary, sums binary"
+
+    def one_round(weights: np.ndarray, adagrad: np.ndarray, number: int) -> DataFrame:
+        def run(rows: pa.Table) -> pa.Table:
+            shard = rows["shard"][0].as_py()
+            windows = np.concatenate([windows_of(np.frombuffer(x, "<u2")) for x in sorted(rows["ids"].to_pylist())])
+            new = [x.astype("<f8") for x in train_on(weights, adagrad, windows, shard * ROUNDS + number)]
+            starts = range(0, _N_WEIGHTS, BLOCK)
+            columns = [pa.array([shard] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([len(windows)] * len(starts), pa.int64())]
+            return pa.table([*columns, *(pa.array([x[i : i + BLOCK].tobytes() for i in starts], pa.binary()) for x in new)], names=["shard", "block", "windows", "weights", "sums"])
+
+        return _averaged(source.where(F.col("round") == number).groupBy("shard").applyInArrow(run, schema))
 
     for k in range(ROUNDS):
-        rows = one_round(flat, 1000 * k).collect()
+        rows = sorted(one_round(flat, sums, k).collect(), key=lambda r: r.block)
         if rows:
-            flat = flat.copy()
-            flat[[r.place for r in rows]] = [r.value for r in rows]
+            flat, sums = (np.concatenate([np.frombuffer(r[c], "<f8") for r in rows]).astype(np.float32) for c in ("weights", "sums"))
     return flat
 
 
-def score(docs: DataFrame, words: tuple[str, ...], flat: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens and log_likelihood (the sum over its words) of every document."""
+def score(documents: DataFrame, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens and log_likelihood (the sum over its words) of every document; documents as `numbered` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights = _ids(words), unflatten(flat)
+        weights = unflatten(flat)
         for batch in batches:
-            for part in pieces_of(batch, "text", 1 << 19):
-                every = [windows_of(ids.of(x)) for x in part.column(1).to_pylist()]
-                rows = np.concatenate(every)
-                found = np.concatenate([log_probs(weights, rows[i : i + 8192]) for i in range(0, len(rows), 8192)] or [np.zeros(0)])
+            for part in pieces_of(batch, "ids", 1 << 20):
+                every = [np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()]
+                rows = np.concatenate([windows_of(x) for x in every])
+                found = np.concatenate([log_probs(weights, rows[i : i + BATCH]) for i in range(0, len(rows), BATCH)] or [np.zeros(0)])
                 ends = np.cumsum([len(x) for x in every])
-                sums = [float(found[e - len(x) : e].sum(dtype=np.float64)) for x, e in zip(every, ends, strict=True)]
+                sums = [float(found[e - len(x) : e].sum(dtype=np.float64)) for x, e in zip(every, ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in every], pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+    return documents.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    words = tuple(vocabulary(docs))
-    return score(docs, words, train(training_windows(docs, words)))
+    chunked = materialize(chunks(docs))
+    documents = materialize(numbered(chunked, vocabulary(chunked)))
+    n_words = documents.agg(F.sum(F.length("ids"))).first()[0] or 0
+    return score(documents, train(documents, n_words // 2))

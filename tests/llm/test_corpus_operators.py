@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from imgtrace.llm import components, entries, line_dedup, ngram_join, pseudo_likelihood, suffix_dedup, toxicity
@@ -312,15 +314,24 @@ def test_toxicity_query_on_held_out_rows(spark):
 
 
 def test_network_is_normalised_and_its_gradient_is_right():
-    rng = np.random.default_rng(0)
-    flat = pseudo_likelihood.first_weights(1) * 3
-    w = pseudo_likelihood.unflatten(flat)
-    context = rng.integers(0, pseudo_likelihood.SIZE, 4)
-    every = np.concatenate([np.tile(context, (pseudo_likelihood.SIZE, 1)), np.arange(pseudo_likelihood.SIZE)[:, None]], axis=1)
-    assert np.exp(pseudo_likelihood.log_probs(w, every)).sum() == pytest.approx(1, abs=1e-4)
-    windows = every[rng.integers(0, 40, 600)]
-    before = pseudo_likelihood.log_probs(w, windows).mean()
-    after = pseudo_likelihood.log_probs(pseudo_likelihood.unflatten(pseudo_likelihood.train_on(flat, windows, 0)), windows).mean()
+    pl, rng = pseudo_likelihood, np.random.default_rng(0)
+    flat = pl.first_weights(1) * 3
+    w = {k: x.astype(np.float64) for k, x in pl.unflatten(flat).items()}
+    context = rng.integers(0, pl.SIZE, 4)
+    every = np.concatenate([np.tile(context, (pl.SIZE, 1)), np.arange(pl.SIZE)[:, None]], axis=1)
+    assert np.exp(pl.log_probs(w, every)).sum() == pytest.approx(1, abs=1e-9)
+    windows = rng.integers(0, 40, (60, 5))
+    for name, grad in pl.gradient(w, windows).items():
+        for at in np.argwhere(np.abs(grad) > np.abs(grad).max() / 2)[:2].tolist():
+            old = w[name][tuple(at)]
+            both = []
+            for step in (1e-5, -1e-5):
+                w[name][tuple(at)] = old + step
+                both.append(pl.log_probs(w, windows).sum())
+            w[name][tuple(at)] = old
+            assert grad[tuple(at)] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-4)
+    before = pl.log_probs(pl.unflatten(flat), windows).mean()
+    after = pl.log_probs(pl.unflatten(pl.train_on(flat, np.full_like(flat, 1e-3), windows, 0)[0]), windows).mean()
     assert after > before
 
 
@@ -342,18 +353,57 @@ def test_pseudo_likelihood_prefers_the_corpus(spark, odd, empty):
     assert pseudo_likelihood.fit_and_score(empty).count() == 0
 
 
+def _plain_ids(text, known):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return [known[x] if x in known else pseudo_likelihood.SIZE - pseudo_likelihood.SHARED + zlib.crc32(x.encode()) % pseudo_likelihood.SHARED for x in words]
+
+
+def _plain_log_prob(w, left, right, target):
+    """One word's log-probability, number by number."""
+    total = w["bias"].astype(float).copy()
+    for k, near in enumerate([*left, *right]):
+        total += w["embed"][near] * w["place"][k]
+    hidden, digits, out = np.tanh(total), (target % 32, target // 32 % 32, target // 1024), 0.0
+    states = (hidden, hidden + w["after_first"][digits[0]], hidden + w["after_second"][digits[0] * 32 + digits[1]])
+    biases = (w["first_bias"], w["second_bias"][digits[0]], w["third_bias"][digits[0] * 32 + digits[1]])
+    for state, name, bias, digit in zip(states, ("first", "second", "third"), biases, digits):
+        logits = [float(sum(state * w[name][:, j]) + bias[j]) for j in range(32)]
+        out += logits[digit] - np.log(sum(np.exp(x) for x in logits))
+    return out
+
+
 def test_pseudo_likelihood_scores_are_sums_over_words(spark, table):
+    pl = pseudo_likelihood
+    chunked = pl.chunks(_documents(spark, table))
+    words = pl.vocabulary(chunked)
+    counts = Counter(w for t in table.values() for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
+    assert words == sorted(counts, key=lambda w: (-counts[w], w))[: pl.SIZE - pl.SHARED]
+    known, flat = {w: i for i, w in enumerate(words)}, pl.first_weights(2)
+    w, pad = pl.unflatten(flat), [pl.PAD] * 2
+    for r in pl.score(pl.numbered(chunked, words), flat).collect()[:8]:
+        ids = _plain_ids(table[r.doc_id], known)
+        padded = pad + ids + pad
+        assert r.n_tokens == len(ids)
+        want = sum(_plain_log_prob(w, padded[t : t + 2], padded[t + 3 : t + 5], padded[t + 2]) for t in range(min(len(ids), 300)))
+        if len(ids) <= 300:
+            assert r.log_likelihood == pytest.approx(want, rel=1e-4)
+
+
+def test_every_window_trains_and_partitions_do_not_matter(spark, table, monkeypatch):
+    pl = pseudo_likelihood
+    monkeypatch.setattr(pl, "SHARD_WORDS", 20_000)
     docs = _documents(spark, table)
-    words = tuple(pseudo_likelihood.vocabulary(docs))
-    flat = pseudo_likelihood.first_weights(2)
-    w, ids = pseudo_likelihood.unflatten(flat), pseudo_likelihood._ids(words)
-    for r in pseudo_likelihood.score(docs, words, flat).collect()[:20]:
-        own = [words.index(x.lower()) if x.lower() in words else None for x in re.findall(r"[^\x20\x09-\x0D]+", table[r.doc_id])]
-        assert r.n_tokens == len(own)
-        known = ids.of(table[r.doc_id])
-        padded = [pseudo_likelihood.PAD] * 2 + known.tolist() + [pseudo_likelihood.PAD] * 2
-        want = sum(float(pseudo_likelihood.log_probs(w, np.array([[padded[t], padded[t + 1], padded[t + 3], padded[t + 4], padded[t + 2]]]))[0]) for t in range(len(own)))
-        assert r.log_likelihood == pytest.approx(want, rel=1e-4)
+    scores = []
+    for parts in (2, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        scores.append({r.doc_id: r.log_likelihood for r in pl.fit_and_score(docs.repartition(parts, "doc_id")).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+    assert len({r.n_tokens for r in pl.fit_and_score(docs).collect()}) > 1
+    documents = pl.numbered(pl.chunks(docs), ["the"])
+    n_words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in table.values())
+    dealt = documents.where("length(ids) > 0").select("ids", *pl._shard(F.col("ids"), 7)).collect()
+    assert sum(len(r.ids) // 2 for r in dealt) == n_words and {r.round for r in dealt} == set(range(pl.ROUNDS)) and len({r.shard for r in dealt}) == 7
 
 
 def test_pipeline_stages_against_plain_code(spark):
