@@ -2,12 +2,20 @@
 
 Counts are taken row by row inside the JVM. Thresholds are not fixed: each language and source has KLL sketches of its
 documents' rates, built in one partial aggregation; the sketches merge into sketches of a language and of the whole
-corpus, which serve the groups with too few documents. The limits are Tukey's fences around the quartiles, and a join
-brings them back to the documents.
+corpus, which serve the groups whose own sketch holds too few values. A join brings the limits back to the documents.
+
+Of symbols, repeated lines and repeated passages good text mostly has none, so the quantiles of all documents are often 0
+and say little. Each of these rates has a second sketch of the documents that have any. A document is rejected if it lies
+above the quantile TOP of its whole group, and also above the quantile SOME of those that have any: so never more than
+1 - TOP of a group by one rate, and in a group where these are rare, those that have hardly any stay. Word lengths are
+rejected that lie farther outside the quantiles TAIL and 1 - TAIL than these lie apart (or than NARROW of the median, for
+groups of mere copies).
 
 Defined results: null text has no words and fails; null languages and sources are groups of their own; every row gives
-one row, repeated rows count as often as they occur; an empty table gives no rows; other columns are not read. A document
-is kept if it passes the fixed base rules and all its rates lie within the limits.
+one row, repeated rows count as often as they occur; a rate at its limit is inside (ties are kept); a group of fewer than
+LEAST documents takes the limits of its language, that of the whole corpus if that has fewer too; an empty table gives no rows; a very long text is one row of long arrays; columns
+other than doc_id, lang, source and text are not read, so none can clash. A document is kept if it passes the fixed base
+rules and all its rates lie within the limits.
 """
 
 from __future__ import annotations
@@ -20,11 +28,10 @@ from imgtrace.llm.common import WORD_BREAKS, materialize, text_or_empty
 SPACES = " \t\n\x0b\x0c\r"
 #: The rates that get limits: name, and whether small, large or both extremes are rejected.
 RATES = {"mean_word_chars": "both", "symbols_per_word": "high", "dup_lines_per_line": "high", "repeats_per_word": "high"}
-#: Fences lie so many interquartile ranges outside the quartiles, and a rate may always differ from them by this share or amount.
-FENCE = 3.0
-SLACK = {"mean_word_chars": 1.0, "symbols_per_word": 0.05, "dup_lines_per_line": 0.2, "repeats_per_word": 0.15}
-#: Groups with fewer documents take the limits of the next larger group.
-LEAST_DOCS = 50
+#: Quantiles of all documents and of those with a rate above 0, both of which a rejected one exceeds; those for word lengths.
+TOP, SOME, TAIL, NARROW = 0.97, 0.25, 0.05, 0.1
+#: Sketches of fewer documents leave the limits to those of the next larger group.
+LEAST = 50
 REPEAT_WINDOW = 8
 
 
@@ -94,24 +101,36 @@ def with_rates(measured: DataFrame) -> DataFrame:
     )
 
 
-def _limits(sketch: str, rate: str) -> dict[str, Column]:
-    low, high = (F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(q)) for q in (0.25, 0.75))
-    reach = FENCE * (high - low) + SLACK[rate]
-    below = low - reach if RATES[rate] == "both" else F.lit(float("-inf"))
-    return {f"{rate}_least": below, f"{rate}_most": high + reach}
+def _sketches() -> dict[str, Column]:
+    """What goes into each sketch, nulls left out: every rate, and the non-zero ones of the rates whose high values are rejected."""
+    return {r: F.col(r) for r in RATES} | {f"some_{r}": F.when(F.col(r) > 0, F.col(r)) for r, kind in RATES.items() if kind == "high"}
+
+
+def _limits(prefix: str, rate: str) -> tuple[Column, Column]:
+    quantile = lambda sketch, q: F.kll_sketch_get_quantile_double(F.col(f"{prefix}{sketch}"), F.lit(q))
+    if RATES[rate] == "high":
+        some = F.when(F.kll_sketch_get_n_double(F.col(f"{prefix}some_{rate}")) > 0, quantile(f"some_{rate}", SOME)).otherwise(0.0)
+        return F.lit(float("-inf")), F.greatest(quantile(rate, TOP), some)
+    low, high = quantile(rate, TAIL), quantile(rate, 1 - TAIL)
+    reach = F.greatest(high - low, NARROW * quantile(rate, 0.5))
+    return low - reach, high + reach
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, and a lower and an upper limit for each rate, from the documents that pass the base rules."""
     good = with_rates(measured).where(~F.col("base_failed"))
-    own = materialize(good.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r).alias(r) for r in RATES)))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES)]
-    by_lang = own.groupBy("lang").agg(*merged).select(F.col("lang").alias("of"), F.col("n").alias("lang_n"), *(F.col(r).alias(f"lang_{r}") for r in RATES))
-    whole = own.agg(*merged).first()
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
-    pick = lambda r: F.when(F.col("n") >= LEAST_DOCS, F.col(r)).when(F.col("lang_n") >= LEAST_DOCS, F.col(f"lang_{r}")).otherwise(F.lit(bytes(whole[r]) if whole[r] else None))
-    chosen = joined.select("lang", "source", *(pick(r).alias(r) for r in RATES))
-    return chosen.select("lang", "source", *(c.alias(k) for r in RATES for k, c in _limits(r, r).items()))
+    sketches = _sketches()
+    own = materialize(good.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(k) for k, c in sketches.items())))
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in sketches)]
+    named = lambda df, prefix: df.withColumnsRenamed({c: f"{prefix}{c}" for c in ("n", *sketches)})
+    by_lang = named(own.groupBy("lang").agg(*merged), "lang_").withColumnRenamed("lang", "of")
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of"))).join(F.broadcast(named(own.agg(*merged), "all_")))
+    out = []
+    for r in RATES:
+        from_own, from_lang, from_all = (_limits(prefix, r) for prefix in ("", "lang_", "all_"))
+        for k, end in enumerate(("least", "most")):
+            out.append(F.when(F.col("n") >= LEAST, from_own[k]).when(F.col("lang_n") >= LEAST, from_lang[k]).otherwise(from_all[k]).alias(f"{r}_{end}"))
+    return joined.select("lang", "source", *out)
 
 
 def judge(docs: DataFrame) -> DataFrame:

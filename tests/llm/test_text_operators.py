@@ -192,6 +192,36 @@ def test_quality_counts_and_verdicts(spark, odd, texts):
     assert len(rows) == len(ODD) and not any(r.kept for r in rows if r.n_words < 20)
 
 
+def test_quality_limits_are_the_groups_quantiles(spark):
+    """Verdicts by exact quantiles of each group, within the sketch's error of rank; two groups get limits of their own for every rate."""
+    rng, rows = random.Random(3), []
+    for lang, scale in (("en", 1), ("de", 3)):
+        for i in range(600):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(scale + rng.randint(2, 6))) for _ in range(60)]
+            phrase = words[:8]
+            text = [" ".join(words[k : k + 6]) for k in range(0, 60, 6)]
+            text += [text[0]] * (rng.randint(1, 2 * scale) if rng.random() < 0.3 else 0) + (["#" * rng.randint(1, 20 * scale)] if rng.random() < 0.3 else [])
+            text += [" ".join(phrase[: 6 + scale % 3])] if rng.random() < 0.3 else []
+            rows.append((len(rows), "\n".join(text), lang, "a"))
+    judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    limits = {}
+    for lang, group in judged[~judged.base_failed].groupby("lang"):
+        for rate, kind in quality_rules.RATES.items():
+            x = np.sort(group[rate].to_numpy())
+            near = lambda v, q, found: np.searchsorted(v, found, "left") / len(v) - 0.03 <= q <= np.searchsorted(v, found, "right") / len(v) + 0.03
+            most, least = group[f"{rate}_most"].iloc[0], group[f"{rate}_least"].iloc[0]
+            limits.setdefault(rate, []).append((least, most))
+            if kind == "high":
+                some = x[x > 0]
+                assert near(x, quality_rules.TOP, most) or near(some, quality_rules.SOME, most)
+                assert (x > most).mean() <= 1 - quality_rules.TOP + 0.03
+            else:
+                low, high = np.quantile(x, [quality_rules.TAIL, 1 - quality_rules.TAIL])
+                assert least == pytest.approx(2 * low - high, abs=0.3) and most == pytest.approx(2 * high - low, abs=0.3)
+    assert all(a != b for a, b in limits.values())
+    assert (judged.kept == (~judged.base_failed & np.logical_and.reduce([judged[r].between(judged[f"{r}_least"], judged[f"{r}_most"]) for r in quality_rules.RATES]))).all()
+
+
 def test_quality_limits_follow_the_groups(spark):
     line = "these are plain words of usual length, told in a usual way, and there are more than twenty of them in here {}"
     rows = [(i, line.format(i), "en", "a") for i in range(200)] + [(1000 + i, " ".join(f"{w}$$$$" for w in line.format(i).split()), "en", "a") for i in range(3)]
