@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,25 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, one of our own under the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again, which cuts the lineage and survives lost executors.
 
-    The files go when the session's JVM ends.
+    The files go by forget(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/imgtrace-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table from materialize(), which nothing reads any more."""
+    known, path = _paths.pop(id(table), (None, ""))
+    if known is not None and known() is table:
+        system, target = _file_system(table.sparkSession, path)
+        system.delete(target, True)
 
 
 def pieces_of(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ documents are windows to learn from. Documents are dealt into shards of about SH
 shards grow in number with the corpus. In each of ROUNDS rounds every shard takes the current network one pass further over
 its own part of that round (its documents are dealt to rounds by another digit of the hash), and the shards' networks,
 weighted by their windows, are averaged by blocks of weights in Spark; Adagrad's sums are averaged and kept with them.
-Shards, their order and the order of the averages hang on the texts alone, not on partitions.
+Shards, their order and the order of the averages hang on the documents alone, not on partitions; copies of a text spread
+over the shards by their doc_ids.
 
 Defined results: null text and texts without words have no tokens and score 0; every row gives one row, repeated rows too,
 and equal texts score alike; an empty corpus leaves the first weights; ties in the counts go by the word; a very long text
@@ -28,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.llm.common import WORD, list_array, materialize, pieces_of, text_or_empty
+from imgtrace.llm.common import WORD, forget, list_array, materialize, pieces_of, text_or_empty
 
 DIGIT = 32
 SIZE = DIGIT**3
 SHARED = 2048
 RADIUS, WIDTH = 2, 16
 ROUNDS, BATCH, STEP = 2, 4096, 0.1
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 8_000_000
 #: Weights in a block that is averaged as one, and partial averages of each block.
 BLOCK, PARTIAL = 1 << 14, 16
 _WORD = re.compile(WORD)
@@ -110,36 +112,47 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(chunked: DataFrame) -> list[str]:
-    """The most frequent words of all documents, at most SIZE - SHARED of them."""
+    """The most frequent words of all documents, at most SIZE - SHARED of them.
+
+    A count that about twice as many words reach cuts off the rest first, so tasks send no more than these to be ranked.
+    """
+    most = SIZE - SHARED
     words = chunked.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
-    top = words.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "word").limit(SIZE - SHARED)
-    return [r.word for r in top.collect()]
+    counted = materialize(words.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n")))
+    total = counted.count()
+    if total > 2 * most:
+        counted = counted.where(F.col("n") >= counted.agg(F.percentile_approx("n", 1 - 2 * most / total, 10 * total // most)).first()[0])
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def ids_of_words(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """Ids: frequent words have theirs by rank, spread over the first digits in turn; others share the rest by a hash."""
-    return np.array([SIZE - SHARED + zlib.crc32(w.encode()) % SHARED if (k := known.get(w)) is None else k for w in words], np.int64)
+def ids_of_words(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Ids: frequent words have their place among the known ones, which spreads them over the first digits; others share the rest by a hash."""
+    found = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
+    rare = np.flatnonzero(np.isnan(found)) if found.dtype.kind == "f" else np.zeros(0, np.int64)
+    ids = np.nan_to_num(found).astype(np.int64)
+    ids[rare] = [SIZE - SHARED + zlib.crc32(w.encode()) % SHARED for w in words.take(pa.array(rare)).to_pylist()]
+    return ids
 
 
 def numbered(chunked: DataFrame, words: list[str]) -> DataFrame:
     """doc_id and ids (binary, 16-bit) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(words)}
+        known = pa.array(words, pa.string())
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = ids_of_words(row["words"], known).astype("<u2")[np.frombuffer(row["codes"], "<i4")]
-                ends = np.cumsum(row["lengths"])
-                packed = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), row["lengths"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            for own, doc_ids, lengths, codes in zip(*batch.columns, strict=True):
+                ids = ids_of_words(own.values, known).astype("<u2")[np.frombuffer(codes.as_py(), "<i4")]
+                sizes = lengths.values.to_numpy()
+                packed = [ids[e - n : e].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
-    return chunked.mapInArrow(run, "doc_id long, ids binary")
+    return chunked.select("words", "doc_ids", "lengths", "codes").mapInArrow(run, "doc_id long, ids binary")
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """A row for each id: its RADIUS neighbours on the left, on the right, and itself."""
     n = len(ids)
-    padded = np.full(n + 2 * RADIUS, PAD, np.int64)
+    padded = np.full(n + 2 * RADIUS, PAD, np.int32)
     padded[RADIUS : RADIUS + n] = ids
     sides = [k for k in range(2 * RADIUS + 1) if k != RADIUS]
     return np.stack([padded[k : k + n] for k in [*sides, RADIUS]], axis=1)
@@ -178,11 +191,14 @@ def log_probs(w: Weights, windows: np.ndarray) -> np.ndarray:
 
 def _summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The rows added up by their numbers, which lie below n."""
-    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[:, k] = np.bincount(at, column, n)
+    return out
 
 
-def gradient(w: Weights, windows: np.ndarray) -> Weights:
-    """Of the summed log-probabilities of the windows."""
+def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
+    """Of the summed log-probabilities of the windows; and the embeddings' rows that it has, all others being 0."""
     context, n = windows[:, :-1], len(windows)
     a, b, c, ab = _digits(windows[:, -1])
     every = np.arange(n)
@@ -205,8 +221,12 @@ def gradient(w: Weights, windows: np.ndarray) -> Weights:
     g_hidden = (g_hidden + g_state) * (1 - hidden * hidden)
     g["bias"] = g_hidden.sum(0)
     g["place"] = np.stack([(g_hidden * w["embed"][context[:, k]]).sum(0) for k in range(2 * RADIUS)])
-    g["embed"] = _summed_rows(context.T.ravel(), np.concatenate([g_hidden * w["place"][k] for k in range(2 * RADIUS)]), SIZE + 1)
-    return g
+    at = context.T.ravel()
+    touched = np.flatnonzero(np.bincount(at, minlength=SIZE + 1))
+    slot = np.zeros(SIZE + 1, np.int64)
+    slot[touched] = np.arange(len(touched))
+    g["embed"] = _summed_rows(slot[at], np.concatenate([g_hidden * w["place"][k] for k in range(2 * RADIUS)]), len(touched))
+    return g, touched
 
 
 def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,10 +235,13 @@ def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int)
     order = np.random.default_rng(seed).permutation(len(windows))
     for start in range(0, len(order), BATCH):
         batch = windows[order[start : start + BATCH]]
-        for name, grad in gradient(w, batch).items():
+        found, touched = gradient(w, batch)
+        for name, grad in found.items():
+            rows = touched if name == "embed" else slice(None)
             grad /= len(batch)
-            seen[name] += grad * grad
-            w[name] += STEP * grad / np.sqrt(seen[name])
+            square = seen[name][rows] + grad * grad
+            seen[name][rows] = square
+            w[name][rows] += STEP * grad / np.sqrt(square)
     return flatten(w), flatten(seen)
 
 
@@ -226,7 +249,7 @@ def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int)
 
 
 def _shard(ids: Column, shards: int) -> list[Column]:
-    key = F.xxhash64(ids)
+    key = F.xxhash64("doc_id", ids)
     return [F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).cast("int").alias("round")]
 
 
@@ -237,8 +260,8 @@ def _averaged(blocks: DataFrame) -> DataFrame:
     def mean(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard")
         n = rows["windows"].to_numpy().astype(np.float64)
-        out = [sum(k * np.frombuffer(x, "<f8") for k, x in zip(n.tolist(), rows[c].to_pylist(), strict=True)) / n.sum() for c in ("weights", "sums")]
-        return pa.table([rows["shard"][:1], rows["block"][:1], pa.array([int(n.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=rows.column_names)
+        out = [sum(k * np.frombuffer(x, "<f4").astype(np.float64) for k, x in zip(n.tolist(), rows[c].to_pylist(), strict=True)) / n.sum() for c in ("weights", "sums")]
+        return pa.table([rows["shard"][:1], rows["block"][:1], pa.array([int(n.sum())], pa.int64()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in out)], names=rows.column_names)
 
     partial = blocks.groupBy("block", F.pmod("shard", F.lit(PARTIAL))).applyInArrow(mean, schema)
     return partial.groupBy("block").applyInArrow(mean, schema)
@@ -254,7 +277,7 @@ def train(documents: DataFrame, n_words: int) -> np.ndarray:
         def run(rows: pa.Table) -> pa.Table:
             shard = rows["shard"][0].as_py()
             windows = np.concatenate([windows_of(np.frombuffer(x, "<u2")) for x in sorted(rows["ids"].to_pylist())])
-            new = [x.astype("<f8") for x in train_on(weights, adagrad, windows, shard * ROUNDS + number)]
+            new = [x.astype("<f4") for x in train_on(weights, adagrad, windows, shard * ROUNDS + number)]
             starts = range(0, _N_WEIGHTS, BLOCK)
             columns = [pa.array([shard] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([len(windows)] * len(starts), pa.int64())]
             return pa.table([*columns, *(pa.array([x[i : i + BLOCK].tobytes() for i in starts], pa.binary()) for x in new)], names=["shard", "block", "windows", "weights", "sums"])
@@ -264,7 +287,7 @@ def train(documents: DataFrame, n_words: int) -> np.ndarray:
     for k in range(ROUNDS):
         rows = sorted(one_round(flat, sums, k).collect(), key=lambda r: r.block)
         if rows:
-            flat, sums = (np.concatenate([np.frombuffer(r[c], "<f8") for r in rows]).astype(np.float32) for c in ("weights", "sums"))
+            flat, sums = (np.concatenate([np.frombuffer(r[c], "<f4") for r in rows]) for c in ("weights", "sums"))
     return flat
 
 
@@ -288,5 +311,6 @@ def score(documents: DataFrame, flat: np.ndarray) -> DataFrame:
 def fit_and_score(docs: DataFrame) -> DataFrame:
     chunked = materialize(chunks(docs))
     documents = materialize(numbered(chunked, vocabulary(chunked)))
+    forget(chunked)
     n_words = documents.agg(F.sum(F.length("ids"))).first()[0] or 0
     return score(documents, train(documents, n_words // 2))

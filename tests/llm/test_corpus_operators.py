@@ -321,7 +321,11 @@ def test_network_is_normalised_and_its_gradient_is_right():
     every = np.concatenate([np.tile(context, (pl.SIZE, 1)), np.arange(pl.SIZE)[:, None]], axis=1)
     assert np.exp(pl.log_probs(w, every)).sum() == pytest.approx(1, abs=1e-9)
     windows = rng.integers(0, 40, (60, 5))
-    for name, grad in pl.gradient(w, windows).items():
+    found, touched = pl.gradient(w, windows)
+    assert touched.tolist() == sorted(set(windows[:, :-1].ravel().tolist()))
+    whole = np.zeros_like(w["embed"])
+    whole[touched] = found["embed"]
+    for name, grad in (found | {"embed": whole}).items():
         for at in np.argwhere(np.abs(grad) > np.abs(grad).max() / 2)[:2].tolist():
             old = w[name][tuple(at)]
             both = []
