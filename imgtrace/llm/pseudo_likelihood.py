@@ -161,9 +161,19 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 # ---- the network
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, in their place, less the greatest of each row; the greatest; and the sums."""
+    top = x.max(-1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return x, top, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_prob(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """By a softmax of the logits."""
+    own = x[np.arange(len(x)), digit]
+    _, top, total = _exponentials(x)
+    return own - top - np.log(total)
 
 
 def _digits(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,10 +193,9 @@ def log_probs(w: Weights, windows: np.ndarray) -> np.ndarray:
     """The log-probability of each window's middle id."""
     hidden = _hidden(w, windows[:, :-1])
     a, b, c, ab = _digits(windows[:, -1])
-    every = np.arange(len(windows))
-    out = _log_softmax(hidden @ w["first"] + w["first_bias"])[every, a]
-    out += _log_softmax((hidden + w["after_first"][a]) @ w["second"] + w["second_bias"][a])[every, b]
-    return out + _log_softmax((hidden + w["after_second"][ab]) @ w["third"] + w["third_bias"][ab])[every, c]
+    out = _log_prob(hidden @ w["first"] + w["first_bias"], a)
+    out += _log_prob((hidden + w["after_first"][a]) @ w["second"] + w["second_bias"][a], b)
+    return out + _log_prob((hidden + w["after_second"][ab]) @ w["third"] + w["third_bias"][ab], c)
 
 
 def _summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -206,7 +215,8 @@ def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
     g: Weights = {}
 
     def part(state: np.ndarray, name: str, bias: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        off = -np.exp(_log_softmax(state @ w[name] + bias))
+        off, _, total = _exponentials(state @ w[name] + bias)
+        off /= -total[:, None]
         off[every, digit] += 1
         g[name] = state.T @ off
         return off, off @ w[name].T
