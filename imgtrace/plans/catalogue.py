@@ -464,11 +464,11 @@ def cluster_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with recursive phases(phase, needs) as (values ('binarize', null), ('register', 'binarize'), ('detect', 'register'), ('extract', 'detect'), ('combine', 'extract')),
-done as (select label as plane, min(vec_id % 5) as reached from embeddings where vec_id % 7 <> 0 group by label),
+done as (select label as plane, min(vec_id % 5 + label % 5) as reached from embeddings group by label),
 jobs as (select plane, phase, needs, row_number() over (partition by plane order by case phase when 'binarize' then 0 when 'register' then 1 when 'detect' then 2 when 'extract' then 3 else 4 end) - 1 as k, reached from done, phases)
 select plane, phase from jobs where k = reached""")
 def jobs_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = read(spark, sf_dir, "embeddings").where("vec_id % 7 <> 0").groupBy(F.col("label").alias("plane")).agg(F.min(F.col("vec_id") % 5).alias("reached"))
+    reached = read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("plane")).agg(F.min(F.col("vec_id") % 5 + F.col("label") % 5).alias("reached"))
     return jobs.ready(jobs.finished_up_to(reached, "plane", "reached"), reached.select("plane"))
 
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from imgtrace.plans import catalogue, results  # noqa: F401
+from imgtrace.plans import catalogue, records, results  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
