@@ -25,7 +25,7 @@ def binned(rows: DataFrame, region: str, frame: str, value: str) -> DataFrame:
 
 
 def maximin_baseline(traces: DataFrame, region: str, frame: str, value: str, half: int) -> DataFrame:
-    """Adds `baseline`: the running maximum of the running minimum over 2 * half + 1 frames, cut off at the ends."""
+    """Adds `baseline`: the running maximum of the running minimum of (smoothed) values over 2 * half + 1 frames; repeating the end values beyond the ends would not change it."""
     near = Window.partitionBy(region).orderBy(frame).rowsBetween(-half, half)
     low = traces.withColumn("low", F.min(value).over(near))
     return low.withColumn("baseline", F.max("low").over(near)).drop("low")
@@ -38,9 +38,9 @@ def neuropil_subtracted(traces: DataFrame, region: str, frame: str, value: str,
     return traces.join(whole, frame).withColumn("corrected", F.col(value) - coefficient * others).drop("total", "n")
 
 
-def constant_baseline(traces: DataFrame, value: str) -> DataFrame:
-    """Adds `delta`: the value less the least value of all regions."""
-    return traces.withColumn("delta", F.col(value) - traces.agg(F.min(value)).scalar())
+def constant_baseline(traces: DataFrame, value: str, smooth: str) -> DataFrame:
+    """Adds `delta`: the value less the least smoothed value of all regions."""
+    return traces.withColumn("delta", F.col(value) - traces.agg(F.min(smooth)).scalar())
 
 
 def percentile_baseline(traces: DataFrame, region: str, value: str, share: float) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Images and movies as rows of (frame, pixel, value), of h by w pixels laid row by row."""
+"""Images over many frames: projections, steps, similarity and mosaics. Kernels of single frames are in `frames`."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,31 +19,6 @@ def projection(movie: DataFrame) -> DataFrame:
     return movie.groupBy("pixel").agg(F.avg("value").alias("mean"), F.max("value").alias("maximum"), F.stddev_pop("value").alias("deviation"))
 
 
-def downsampled(movie: DataFrame, width: int, factor: int = 2) -> DataFrame:
-    """Means of factor by factor blocks."""
-    y, x = F.floor(F.col("pixel") / width / factor), F.floor((F.col("pixel") % width) / factor)
-    small = movie.withColumn("pixel", (y * (width // factor) + x).cast("long"))
-    return small.groupBy("frame", "pixel").agg(F.avg("value").alias("value"))
-
-
-def box_high_pass(movie: DataFrame, width: int, height: int, half: int) -> DataFrame:
-    """Adds `passed`: each pixel less the mean of the box around it, as far as that lies in the image."""
-    y, x = F.floor(F.col("pixel") / width), F.col("pixel") % width
-    steps = [(dy, dx) for dy in range(-half, half + 1) for dx in range(-half, half + 1)]
-    spread = movie.select("frame", "value", F.explode(F.array(*(F.struct((y + dy).cast("long").alias("y"), (x + dx).cast("long").alias("x")) for dy, dx in steps))).alias("p"))
-    inside = spread.where(F.col("p.y").between(0, height - 1) & F.col("p.x").between(0, width - 1))
-    means = inside.groupBy("frame", (F.col("p.y") * width + F.col("p.x")).alias("pixel")).agg(F.avg("value").alias("mean"))
-    return movie.join(means, ["frame", "pixel"]).withColumn("passed", F.col("value") - F.col("mean")).drop("mean")
-
-
-def percentile_normalized(movie: DataFrame, by: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Adds `scaled`: the value between two percentiles of its image, clipped to 0 and 1."""
-    ends = movie.groupBy(by).agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
-    scaled = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
-    clipped = F.when(F.col("high") > F.col("low"), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return movie.join(ends, by).withColumn("scaled", clipped).drop("low", "high")
-
-
 def mosaic_offsets(planes: DataFrame, plane: str, height: int, width: int) -> DataFrame:
     """Where each plane goes in a near-square mosaic, by the order of the planes."""
     count = planes.select(plane).distinct().agg(F.count("*")).scalar()
@@ -49,12 +28,25 @@ def mosaic_offsets(planes: DataFrame, plane: str, height: int, width: int) -> Da
     return ranked.select(plane, (F.floor(F.col("k") / columns) * height).cast("long").alias("y"), ((F.col("k") % columns) * width).cast("long").alias("x"))
 
 
-def frame_steps(movie: DataFrame) -> DataFrame:
-    """Temporal deviation of each pixel: the root of the summed squared steps between neighbouring frames over the frame count."""
-    after = movie.select((F.col("frame") - 1).alias("frame"), "pixel", F.col("value").alias("next"))
-    joined = movie.join(after, ["frame", "pixel"], "left")
-    step = F.coalesce(F.col("next") - F.col("value"), F.lit(0.0))
-    return joined.groupBy("pixel").agg(F.greatest(F.lit(1e-10), F.sqrt(F.sum(step * step) / F.count("*"))).alias("deviation"))
+def frame_steps(frames: DataFrame, frame: str, values: str) -> DataFrame:
+    """Temporal deviation of each pixel: the root of the summed squared steps between neighbouring frames over the frame count.
+
+    Frames meet the one after them as arrays; tasks add up their frames' squares before anything is dealt by pixel.
+    """
+    own = frames.select(F.col(frame).alias("frame"), F.col(values).cast("array<double>").alias("v"))
+    steps = own.join(own.select((F.col("frame") - 1).alias("frame"), F.col("v").alias("after")), "frame", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(0), 0
+        for batch in batches:
+            for v, after in zip(batch.column("v").to_pylist(), batch.column("after").to_pylist(), strict=True):
+                square = np.square(np.subtract(after, v)) if after is not None else np.zeros(len(v))
+                total, n = total + square if n else square, n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], ["pixel", "total", "n"])
+
+    sums = steps.select("v", "after").mapInArrow(run, "pixel long, total double, n long")
+    return sums.groupBy("pixel").agg(F.greatest(F.lit(1e-10), F.sqrt(F.sum("total") / F.sum("n"))).alias("deviation"))
 
 
 def summary(rows: DataFrame, by: list[str], value: Column, digits: int = 4) -> DataFrame:
@@ -64,15 +56,27 @@ def summary(rows: DataFrame, by: list[str], value: Column, digits: int = 4) -> D
     return rows.groupBy(*by).agg(*(F.round(c, digits).alias(n) for n, c in stats.items()))
 
 
-def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int) -> DataFrame:
-    """For each frame the `most` frames of its plane that correlate best with it."""
-    v = F.transform(values, lambda x: x.cast("double"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
-    centred = frames.select(F.col(frame).alias("frame"), F.col(plane).alias("plane"), v.alias("v")).withColumn("m", total(F.col("v")) / F.size("v"))
-    centred = centred.select("frame", "plane", F.transform("v", lambda x: x - F.col("m")).alias("v")).withColumn("norm", F.sqrt(total(F.transform("v", lambda x: x * x))))
-    other = centred.select("plane", F.col("frame").alias("other"), F.col("v").alias("w"), F.col("norm").alias("other_norm"))
-    pairs = centred.join(other, "plane").where(F.col("frame") != F.col("other"))
-    dot = total(F.zip_with("v", "w", lambda x, y: x * y))
-    scored = pairs.select("plane", "frame", "other", F.round(dot / (F.col("norm") * F.col("other_norm")), 6).alias("correlation"))
-    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("correlation"), "other")))
-    return ranked.where(F.col("place") <= most)
+def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int, sample: int = 500) -> DataFrame:
+    """For each frame the `most` frames of its plane that correlate best with it, among at most `sample` frames, evenly spaced."""
+    place = F.row_number().over(Window.partitionBy(plane).orderBy(frame)) - 1
+    counts = frames.groupBy(plane).agg(F.count("*").alias("n"))
+    wanted = frames.select(plane, frame).withColumn("k", place).join(F.broadcast(counts), plane)
+    step = F.greatest(F.lit(1.0), F.col("n") / sample)
+    first = F.floor(F.col("k") / step) > F.floor((F.col("k") - 1) / step)
+    chosen = frames.join(wanted.where((F.col("k") == 0) | first).select(frame), frame, "left_semi")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(frame)
+        names = table[frame].to_numpy()
+        x = np.array(table[values].to_pylist(), float)
+        x -= x.mean(1, keepdims=True)
+        x /= np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
+        close = np.round(x @ x.T, 6)
+        np.fill_diagonal(close, -np.inf)
+        n = min(most, len(names) - 1)
+        best = np.argsort(-close, axis=1, kind="stable")[:, :n]
+        columns = [np.repeat(table[plane].to_numpy(), n), np.repeat(names, n), names[best].ravel(), np.take_along_axis(close, best, 1).ravel(), np.tile(np.arange(1, n + 1), len(names))]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["plane", "frame", "other", "correlation", "place"])
+
+    source = chosen.select(F.col(plane).cast("long").alias(plane), F.col(frame).cast("long").alias(frame), F.col(values).cast("array<double>").alias(values))
+    return source.groupBy(plane).applyInArrow(run, "plane long, frame long, other long, correlation double, place long")

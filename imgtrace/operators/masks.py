@@ -36,20 +36,31 @@ def background_mean(masks: DataFrame, movie: DataFrame, pixel: str, frame: str,
 
 def shared_pixels(left: DataFrame, right: DataFrame, region: str, pixel: str) -> DataFrame:
     """a, b, shared, n_a and n_b of all pairs of regions that share a pixel."""
-    sizes = lambda m, name: m.groupBy(F.col(region).alias(name)).agg(F.count("*").alias(f"n_{name}"))
-    a = left.select(F.col(region).alias("a"), F.col(pixel).alias("pixel"))
-    b = right.select(F.col(region).alias("b"), F.col(pixel).alias("pixel"))
-    pairs = a.join(b, "pixel").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.join(sizes(left, "a"), "a").join(sizes(right, "b"), "b")
+    a, b = _sized(left, region, pixel, "a"), _sized(right, region, pixel, "b")
+    return a.join(b, "pixel").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+
+
+def _sized(masks: DataFrame, region: str, pixel: str, name: str) -> DataFrame:
+    """Pixels of regions with the region's size beside each, so that pairs need no second look at the masks."""
+    size = F.count("*").over(Window.partitionBy(region))
+    return masks.select(F.col(region).alias(name), F.col(pixel).alias("pixel"), size.alias(f"n_{name}"))
+
+
+def _own_pairs(masks: DataFrame, region: str, pixel: str) -> DataFrame:
+    """shared_pixels of a table with itself, each pair once: the lower region's rows meet the higher's only."""
+    a = _sized(masks, region, pixel, "a")
+    b = a.select(F.col("a").alias("b"), "pixel", F.col("n_a").alias("n_b"))
+    met = a.join(b, "pixel").where("a < b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def jaccard(masks: DataFrame, region: str, pixel: str) -> DataFrame:
-    pairs = shared_pixels(masks, masks, region, pixel).where("a < b")
+    pairs = _own_pairs(masks, region, pixel)
     return pairs.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
 def least_overlap(masks: DataFrame, region: str, pixel: str) -> DataFrame:
-    pairs = shared_pixels(masks, masks, region, pixel).where("a < b")
+    pairs = _own_pairs(masks, region, pixel)
     return pairs.withColumn("overlap", F.col("shared") / F.least("n_a", "n_b"))
 
 
@@ -68,12 +79,12 @@ def mutual_matches(first: DataFrame, second: DataFrame, region: str, pixel: str,
 
 def intensity_colocalization(masks: DataFrame, image: DataFrame, region: str, pixel: str, weight: str, value: str) -> DataFrame:
     """inside / (inside + outside): the weighted mean under the mask against the mean of the pixels that no mask of this region holds."""
-    whole = image.agg(F.sum(value).alias("total"), F.count("*").alias("n")).first()
+    total, n = image.agg(F.sum(value)).scalar(), image.agg(F.count("*")).scalar()
     inside = masks.join(image, pixel).groupBy(region).agg(
         F.greatest(F.lit(1e-3), F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("inside"), F.sum(value).alias("own"), F.count("*").alias("own_n")
     )
-    left = F.lit(whole.n) - F.col("own_n")
-    outside = F.when(left > 0, (F.lit(whole.total) - F.col("own")) / left).otherwise(0.0)
+    left = n - F.col("own_n")
+    outside = F.when(left > 0, (total - F.col("own")) / left).otherwise(0.0)
     return inside.withColumn("probability", F.col("inside") / (F.col("inside") + outside)).select(region, "inside", "probability")
 
 

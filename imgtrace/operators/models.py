@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,7 +21,10 @@ def predict(rows: DataFrame, key: str, label: str, features: list[str], strength
 
 
 def principal_components(frames: DataFrame, frame: str, values: str, count: int) -> DataFrame:
-    """frame, component and projection of each frame on the first components."""
+    """frame, component and projection of each frame on the first components; a component's greatest loading by size is positive."""
     vectors = frames.select(frame, array_to_vector(F.col(values).cast("array<double>")).alias("v"))
     model = PCA(k=count, inputCol="v", outputCol="p").fit(vectors)
-    return model.transform(vectors).select(frame, F.posexplode(vector_to_array("p")).alias("component", "projection")).withColumn("projection", F.round(F.abs("projection"), 4))
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(0), np.arange(count)])
+    sign = F.element_at(F.array(*(F.lit(float(s)) for s in signs)), F.col("component") + 1)
+    return model.transform(vectors).select(frame, F.posexplode(vector_to_array("p")).alias("component", "projection")).withColumn("projection", F.round(F.col("projection") * sign, 4))

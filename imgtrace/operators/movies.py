@@ -1,43 +1,36 @@
-"""Movies as rows of (frame, pixel, value): shifts, filters and warps as joins and aggregations.
-
-A shift moves pixel numbers and a filter joins neighbours, so frames never have to be gathered whole.
-"""
+"""Movies: filters along frames, extremes, mosaics of planes and correction between channels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgtrace.operators.frames import lists
+
 
 def _yx(width: int) -> tuple[Column, Column]:
     return F.floor(F.col("pixel") / width).cast("long"), (F.col("pixel") % width).cast("long")
 
 
-def translated(movie: DataFrame, offsets: DataFrame, height: int, width: int) -> DataFrame:
-    """Every frame moved circularly by its offset (frame, dy, dx), as registration applies it: against the offset."""
-    y, x = _yx(width)
-    moved = movie.join(offsets, "frame")
-    pixel = F.pmod(y - F.col("dy"), F.lit(height)) * width + F.pmod(x - F.col("dx"), F.lit(width))
-    return moved.select("frame", pixel.cast("long").alias("pixel"), "value")
-
-
-def odd_rows_shifted(movie: DataFrame, offset: int, width: int) -> DataFrame:
-    """Odd rows moved by `offset` pixels, zeros coming in; even rows as they are."""
-    y, x = _yx(width)
-    moves = y % 2 == 1
-    target = F.when(moves, x + offset).otherwise(x)
-    blank = movie.select("frame", "pixel", F.when(moves, 0.0).otherwise(F.col("value")).alias("value"))
-    sent = movie.where(moves).select("frame", (y * width + target).alias("pixel"), F.col("value").alias("new"), target.alias("x")).where(F.col("x").between(0, width - 1))
-    return blank.join(sent.drop("x"), ["frame", "pixel"], "left").select("frame", "pixel", F.coalesce("new", "value").alias("value"))
-
-
 def weighted_in_time(traces: DataFrame, region: str, frame: str, value: str, sigma: float, reach: int) -> DataFrame:
-    """Gaussian smoothing along frames; beyond the ends, weights are renormalised."""
-    weights = [(k, F.exp(F.lit(-(k * k) / (2 * sigma * sigma)))) for k in range(-reach, reach + 1)]
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), w.alias("w")) for k, w in weights))
-    spread = traces.select(region, frame, value, F.explode(steps).alias("s")).select(region, (F.col(frame) + F.col("s.k")).alias(frame), (F.col(value) * F.col("s.w")).alias("part"), F.col("s.w").alias("w"))
-    smooth = spread.groupBy(region, frame).agg((F.sum("part") / F.sum("w")).alias("smooth"))
-    return traces.join(smooth, [region, frame])
+    """Adds `smooth`: Gaussian weights over `reach` frames each way, the trace mirrored at its ends (edge frames come twice).
+
+    Frames must be 0, 1, 2, ... in each region. Each frame is sent to those that it and its mirror images weigh on.
+    """
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    table = F.array(*(F.lit(float(w)) for w in weights))
+    sized = traces.select(region, F.col(frame).alias("j"), F.col(value).alias("v")).join(traces.groupBy(region).agg(F.count("*").alias("n")), region)
+    turns = F.sequence(-F.ceil(F.lit(reach) / F.col("n")).cast("int"), F.ceil(F.lit(reach) / F.col("n")).cast("int"))
+    images = sized.select(region, "v", "n", F.explode(F.flatten(F.transform(turns, lambda m: F.array(F.col("j") + 2 * F.col("n") * m, 2 * F.col("n") * m - 1 - F.col("j"))))).alias("at"))
+    near = images.where((F.col("at") >= -reach) & (F.col("at") < F.col("n") + reach))
+    spread = near.select(region, "v", "n", "at", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("k"))
+    sent = spread.select(region, (F.col("at") + F.col("k")).alias(frame), (F.col("v") * F.element_at(table, F.col("k") + reach + 1)).alias("part"), "n").where((F.col(frame) >= 0) & (F.col(frame) < F.col("n")))
+    return traces.join(sent.groupBy(region, frame).agg(F.sum("part").alias("smooth")), [region, frame])
 
 
 def block_slopes(images: DataFrame, height: int, width: int, blocks: int) -> DataFrame:
@@ -55,18 +48,6 @@ def bleedthrough_corrected(images: DataFrame, height: int, width: int, blocks: i
     return joined.select("pixel", F.greatest(F.lit(0.0), F.col("second") - F.col("slope") * F.col("first")).alias("value"))
 
 
-def warped(image: DataFrame, field: DataFrame, height: int, width: int) -> DataFrame:
-    """Bilinear samples of an image (key, pixel, value) at each pixel moved by a field (key, pixel, dy, dx); neighbours are kept inside."""
-    y, x = _yx(width)
-    at = field.withColumns({"sy": y + F.col("dy"), "sx": x + F.col("dx")})
-    y0, x0 = F.floor("sy").cast("long"), F.floor("sx").cast("long")
-    fy, fx = F.col("sy") - y0, F.col("sx") - x0
-    corners = F.array(*(F.struct((y0 + a).alias("y"), (x0 + b).alias("x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)))
-    inside = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
-    wanted = at.select("key", F.col("pixel").alias("to"), F.explode(corners).alias("c")).select("key", "to", (inside(F.col("c.y"), height) * width + inside(F.col("c.x"), width)).alias("pixel"), F.col("c.w").alias("w"))
-    return wanted.join(image, ["key", "pixel"]).groupBy("key", F.col("to").alias("pixel")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-
-
 def extreme_means(movie: DataFrame, scores: DataFrame, count: int) -> DataFrame:
     """For each component (rows: component, frame, score) the mean image of its `count` lowest and highest frames."""
     rank = lambda order: F.row_number().over(Window.partitionBy("component").orderBy(order, "frame"))
@@ -76,9 +57,19 @@ def extreme_means(movie: DataFrame, scores: DataFrame, count: int) -> DataFrame:
     return movie.join(chosen, "frame").groupBy("component", "end", "pixel").agg(F.avg("value").alias("value"))
 
 
-def combined(planes: DataFrame, offsets: DataFrame, width: int, mosaic_width: int) -> DataFrame:
-    """Rows of all planes (plane, frame, pixel, value) in one mosaic, cut to the frames that every plane has."""
+def combined(planes: DataFrame, offsets: DataFrame, height: int, width: int, mosaic_height: int, mosaic_width: int) -> DataFrame:
+    """frame and pixels of mosaics of all planes (plane, frame, pixels), 0 where no plane lies, cut to the frames that every plane has."""
     shortest = planes.groupBy("plane").agg(F.max("frame").alias("last")).agg(F.min("last")).scalar()
-    y, x = _yx(width)
-    placed = planes.join(offsets.withColumnsRenamed({"y": "oy", "x": "ox"}), "plane").where(F.col("frame") <= shortest)
-    return placed.select("frame", ((y + F.col("oy")) * mosaic_width + x + F.col("ox")).alias("pixel"), "plane", "value")
+    placed = planes.join(F.broadcast(offsets), "plane").where(F.col("frame") <= shortest)
+    parts = placed.groupBy("frame").agg(F.collect_list(F.struct("y", "x", F.col("pixels").cast("array<double>").alias("pixels"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                canvas = np.zeros((batch.num_rows, mosaic_height, mosaic_width))
+                for out, own in zip(canvas, batch.column("parts").to_pylist(), strict=True):
+                    for p in own:
+                        out[p["y"] : p["y"] + height, p["x"] : p["x"] + width] = np.reshape(p["pixels"], (height, width))
+                yield pa.RecordBatch.from_arrays([batch.column("frame"), lists(canvas)], ["frame", "pixels"])
+
+    return parts.select(F.col("frame").cast("long").alias("frame"), "parts").mapInArrow(run, "frame long, pixels array<double>")

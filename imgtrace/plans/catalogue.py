@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import deconvolution, images, masks, models, registration, rois, tracking
+from imgtrace.operators import deconvolution, frames, images, masks, models, movies, registration, rois, tracking
 from imgtrace.plans import jobs
 from imgtrace.streaming import windows
 
@@ -54,17 +54,30 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.binned(events, "user_id", "bin", "value")
 
 
+def numbered_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.numbered(traces(spark, sf_dir), "user_id", "bin")
+
+
 def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.numbered(read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "frame", "value")
 
 
-@query(f"""with {TRACES}, low as (
-    select *, min(f) over (partition by user_id order by bin rows between 3 preceding and 3 following) as low from traces
+def smoothed_sql(sigma: float, reach: int) -> str:
+    """Gaussian weights over mirrored traces, as `smooth`."""
+    return f"""numbered as (select *, row_number() over (partition by user_id order by bin) - 1 as frame, count(*) over (partition by user_id) as n from traces),
+weights as (select k, exp(-0.5 * power(k / {sigma}, 2)) / (select sum(exp(-0.5 * power(q / {sigma}, 2))) from (select unnest(range(-{reach}, {reach + 1})) as q)) as w from (select unnest(range(-{reach}, {reach + 1})) as k)),
+wanted as (select a.user_id, a.bin, a.frame, a.f, w, ((a.frame + k) % (2 * n) + 2 * n) % (2 * n) as pos, n from numbered a, weights),
+smooth as (select x.user_id, x.bin, x.frame, any_value(x.f) as f, sum(w * b.f) as s from wanted x join numbered b on b.user_id = x.user_id and b.frame = case when pos < x.n then pos else 2 * x.n - 1 - pos end group by x.user_id, x.bin, x.frame)"""
+
+
+@query(f"""with {TRACES}, {smoothed_sql(1.0, 3)}, low as (
+    select *, min(s) over (partition by user_id order by frame rows between 3 preceding and 3 following) as low from smooth
 ), base as (
-    select *, max(low) over (partition by user_id order by bin rows between 3 preceding and 3 following) as baseline from low
+    select *, max(low) over (partition by user_id order by frame rows between 3 preceding and 3 following) as baseline from low
 ) select user_id, bin, round(baseline, 4) + 0.0 as baseline, round(f - baseline, 4) + 0.0 as delta from base""")
 def trace_delta_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = temporal.maximin_baseline(traces(spark, sf_dir), "user_id", "bin", "f", 3)
+    smooth = movies.weighted_in_time(numbered_traces(spark, sf_dir), "user_id", "frame", "f", 1.0, 3)  # three deviations, as the running minimum wants
+    out = temporal.maximin_baseline(smooth, "user_id", "frame", "smooth", 3)
     return rounded(out.select("user_id", "bin", "baseline", (F.col("f") - F.col("baseline")).alias("delta")), "baseline", "delta")
 
 
@@ -74,9 +87,10 @@ def trace_neuropil_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.neuropil_subtracted(traces(spark, sf_dir), "user_id", "bin", "f", 0.7).select("user_id", "bin", "corrected"), "corrected", digits=9)
 
 
-@query(f"with {TRACES} select user_id, bin, round(f - (select min(f) from traces), 4) + 0.0 as delta from traces")
+@query(f"with {TRACES}, {smoothed_sql(1.0, 4)} select user_id, bin, round(f - (select min(s) from smooth), 4) + 0.0 as delta from smooth")
 def trace_constant_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(temporal.constant_baseline(traces(spark, sf_dir), "f").select("user_id", "bin", "delta"), "delta")
+    smooth = movies.weighted_in_time(numbered_traces(spark, sf_dir), "user_id", "frame", "f", 1.0, 4)
+    return rounded(temporal.constant_baseline(smooth, "f", "smooth").select("user_id", "bin", "delta"), "delta")
 
 
 @query(f"""with {TRACES}, base as (select user_id, quantile_cont(f, 0.08) as base from traces group by user_id)
@@ -162,7 +176,7 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {MOVIE}, after as (select frame - 1 as frame, pixel, value as next from movie)
 select m.pixel, round(greatest(1e-10, sqrt(sum(power(coalesce(next - value, 0), 2)) / count(*))), 4) + 0.0 as deviation from movie m left join after a on a.frame = m.frame and a.pixel = m.pixel group by m.pixel""")
 def trace_diff_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(images.frame_steps(movie(spark, sf_dir)).withColumn("pixel", F.col("pixel").cast("long")), "deviation")
+    return rounded(images.frame_steps(read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "deviation")
 
 
 @query(f"""with {OFFSETS}, near as (
@@ -389,21 +403,54 @@ def image_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {MOVIE} select frame, (pixel // 8 // 2) * 4 + (pixel % 8) // 2 as pixel, round(avg(value), 5) + 0.0 as value from movie group by all")
 def image_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(images.downsampled(movie(spark, sf_dir), 8), "value", digits=5)
+    out = frames.per_frame(read(spark, sf_dir, "embeddings"), "embedding", 8, 8, lambda x, _: frames.halved(x, False), ["vec_id"])
+    return rounded(frames.as_pixels(out.withColumnRenamed("vec_id", "frame"), "frame"), "value", digits=5)
+
+
+@query("""with small as (select vec_id as frame, unnest(range(35)) as pixel, unnest(embedding[1:35])::double as value from embeddings)
+select frame, pixel // 5 // 2 * 3 + pixel % 5 // 2 as pixel, round(sum(value) / 4, 5) + 0.0 as tapered, round(avg(value), 5) + 0.0 as value from small group by all""")
+def image_downsample_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.slice("embedding", 1, 35).alias("v"))
+    plain, tapered = (frames.per_frame(small, "v", 7, 5, lambda x, _, t=t: frames.halved(x, t), ["frame"]) for t in (False, True))
+    both = frames.as_pixels(plain, "frame").join(frames.as_pixels(tapered, "frame").withColumnRenamed("value", "tapered"), ["frame", "pixel"])
+    return rounded(both, "value", "tapered", digits=5)
+
+
+@query(f"""with {MOVIE}, means as (select label, avg(value) as mean from movie group by label),
+side as (select unnest(range(8)) as i), mask as (select i, 1 / (1 + exp((abs(i - 3.5) - (3.5 - 2 * 0.8)) / 0.8)) as s from side),
+masked as (select m.frame, m.pixel, m.value, e.mean, a.s * b.s as mask from movie m join means e on e.label = m.label join mask a on a.i = m.pixel // 8 join mask b on b.i = m.pixel % 8)
+select frame, pixel, round(value * mask + mean * (1 - mask), 5) + 0.0 as value from masked""")
+def image_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = movie(spark, sf_dir, "label").groupBy("label").agg(F.avg("value").alias("mean"))
+    rows = read(spark, sf_dir, "embeddings").join(F.broadcast(means), "label")
+    out = frames.per_frame(rows, "embedding", 8, 8, lambda x, other: frames.tapered(x, frames.taper_mask(8, 8, 0.8), other["mean"]), ["vec_id", "mean"])
+    return rounded(frames.as_pixels(out.select(F.col("vec_id").alias("frame"), "pixels"), "frame"), "value", digits=5)
+
+
+@query(f"""with {MOVIE}, mean_ as (select label, pixel, avg(value) as value from movie group by all),
+near as (select a.label, a.pixel, any_value(a.value) as value, list(b.value) as v from mean_ a join mean_ b on b.label = a.label and abs(b.pixel // 8 - a.pixel // 8) <= 2 and abs(b.pixel % 8 - a.pixel % 8) <= 2 group by a.label, a.pixel),
+left_ as (select label, pixel, value - list_sort(list_concat(v, list_transform(range(25 - len(v)), lambda i: 0.0::double)))[13] as value from near),
+again as (select a.label, a.pixel, any_value(a.value) as value, list(abs(b.value)) as v from left_ a join left_ b on b.label = a.label and abs(b.pixel // 8 - a.pixel // 8) <= 2 and abs(b.pixel % 8 - a.pixel % 8) <= 2 group by a.label, a.pixel)
+select label, pixel, round(least(greatest((value / (list_sort(list_concat(v, list_transform(range(25 - len(v)), lambda i: 0.0::double)))[13] + 1e-10) + 6) / 12, 0), 1), 4) + 0.0 as value from again""")
+def image_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = movie(spark, sf_dir, "label").groupBy("label", "pixel").agg(F.avg("value").alias("value"))
+    planes = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pixel", "value"))), lambda x: x.value).alias("image"))
+    out = frames.per_frame(planes, "image", 8, 8, lambda x, _: frames.enhanced(x, 1.0), ["label"])
+    return rounded(frames.as_pixels(out, "label"), "value")
 
 
 @query(f"""with {MOVIE}, means as (select a.frame, a.pixel, avg(b.value) as mean from movie a join movie b on b.frame = a.frame and abs(b.pixel // 8 - a.pixel // 8) <= 1 and abs(b.pixel % 8 - a.pixel % 8) <= 1 group by all)
 select m.frame, m.pixel, round(value - mean, 5) + 0.0 as passed from movie m join means a on a.frame = m.frame and a.pixel = m.pixel""")
 def image_box_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images.box_high_pass(movie(spark, sf_dir), 8, 8, 1)
-    return rounded(out.select("frame", F.col("pixel").cast("long").alias("pixel"), "passed"), "passed", digits=5)
+    out = frames.per_frame(read(spark, sf_dir, "embeddings"), "embedding", 8, 8, lambda x, _: frames.box_high_pass(x, 1), ["vec_id"])
+    return rounded(frames.as_pixels(out.withColumnRenamed("vec_id", "frame"), "frame").withColumnRenamed("value", "passed"), "passed", digits=5)
 
 
 @query(f"""with {MOVIE}, ends as (select frame, quantile_cont(value, 0.01) as low, quantile_cont(value, 0.99) as high from movie group by frame)
 select m.frame, pixel, round(case when high > low then least(greatest((value - low) / (high - low), 0), 1) else 0 end, 5) + 0.0 as scaled from movie m join ends e on e.frame = m.frame""")
 def image_percentile_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images.percentile_normalized(movie(spark, sf_dir), "frame")
-    return rounded(out.select("frame", F.col("pixel").cast("long").alias("pixel"), "scaled"), "scaled", digits=5)
+    out = frames.per_frame(read(spark, sf_dir, "embeddings"), "embedding", 8, 8, lambda x, _: frames.percentile_normalized(x, 1, 99), ["vec_id"])
+    return rounded(frames.as_pixels(out.withColumnRenamed("vec_id", "frame"), "frame").withColumnRenamed("value", "scaled"), "scaled", digits=5)
 
 
 @query("""with p as (select label, row_number() over (order by label) - 1 as k, count(*) over () as n from (select distinct label from embeddings)),
@@ -420,7 +467,7 @@ c as (select frame, plane, list_transform(v, lambda x: x - list_sum(v) / 64) as
 select plane, frame, other, correlation + 0.0 as correlation, place from ranked where place <= 20""")
 def frame_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = images.similar_frames(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 20)
-    return out.withColumns({"correlation": F.col("correlation") + 0.0, "place": F.col("place").cast("long")})
+    return out.withColumn("correlation", F.col("correlation") + 0.0)
 
 
 @query(f"""with {MOVIE} select label, round(min(value), 4) as least, round(max(value), 4) as greatest, round(avg(value), 4) + 0.0 as mean, round(stddev_pop(value), 4) as deviation from movie group by label""")

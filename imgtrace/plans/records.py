@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import naming, temporal
-from imgtrace.operators import catalog, images
+from imgtrace.operators import catalog, extraction, images, shape
 from imgtrace.plans import jobs
-from imgtrace.plans.catalogue import MASKS, MOVIE, TRACES, movie, query, read, rounded, supplier_masks, traces
+from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, PLACED, PRICES, TRACES, monthly_prices, movie, offsets, placed_pixels, query, read, rounded, supplier_masks, traces
 
 # ---- jobs
 
@@ -287,3 +287,96 @@ def recordings_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("recording")).agg(F.countDistinct("l_partkey").alias("regions"))
     joined = spark.range(1990, 2001).withColumnRenamed("id", "recording").join(found, "recording", "left")
     return joined.select("recording", F.coalesce("regions", F.lit(0)).alias("regions"), F.col("regions").isNull().alias("skipped"))
+
+
+# ---- shape
+
+CENTRES = f"""{PLACED}, m as (select roi, quantile_cont(y, 0.5) as my, quantile_cont(x, 0.5) as mx from placed group by roi),
+near as (select p.roi, y, x, row_number() over (partition by p.roi order by power(y - my, 2) + power(x - mx, 2), y, x) as place from placed p join m on m.roi = p.roi),
+centres as (select roi, y as cy, x as cx from near where place = 1)"""
+
+
+@query(f"with {CENTRES} select roi, cy, cx from centres")
+def roi_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.centres(placed_pixels(spark, sf_dir), "roi", "y", "x")
+
+
+@query(f"""with {CENTRES}, r as (select p.roi, count(*) as pixels, avg(sqrt(power(y - cy, 2) + power(x - cx, 2))) as radius from placed p join centres c on c.roi = p.roi group by p.roi),
+side as (select unnest(range(-40, 41)) as i), grid as (select sqrt(a.i * a.i + b.i * b.i) as d from side a, side b), placed_d as (select d, row_number() over (order by d) as k from grid),
+disc as (select k, avg(d) over (order by k rows unbounded preceding) as baseline from placed_d)
+select roi, pixels, round(radius, 4) + 0.0 as radius, round(greatest(1, radius / (coalesce(baseline, 2.0 / 3.0 * sqrt(pixels / pi())) + 1e-10)), 4) + 0.0 as compactness from r left join disc on k = pixels and pixels <= 4096""")
+def roi_compactness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shape.compactness(placed_pixels(spark, sf_dir), "roi", "y", "x"), "radius", "compactness")
+
+
+@query(f"""with {CENTRES}, apart as (select p.roi, sqrt(power(y - cy, 2) + power(x - cx, 2)) as d, weight from placed p join centres c on c.roi = p.roi),
+whole as (select roi, floor(max(d))::bigint as last, count(*) as n from apart group by roi),
+rings as (select roi, unnest(range(1, last)) as r from whole), sums as (select roi, floor(d)::bigint as r, sum(weight) as w from apart group by all),
+density as (select g.roi, g.r, coalesce(w, 0) as w from rings g left join sums s on s.roi = g.roi and s.r = g.r), cut as (select roi, max(w) / 3 as cut from density group by roi),
+first as (select d.roi, min(r) as first from density d join cut c on c.roi = d.roi where w > cut group by d.roi), fall as (select d.roi, min(r) as crop from density d join cut c on c.roi = d.roi join first f on f.roi = d.roi where r >= first and w < cut group by d.roi)
+select a.roi, count(*) as pixels, sum((n <= 10 or coalesce(cut, 0) = 0 or d < coalesce(crop, last))::int)::bigint as soma from apart a join whole w on w.roi = a.roi left join cut c on c.roi = a.roi left join fall f on f.roi = a.roi group by a.roi""")
+def roi_soma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shape.soma(placed_pixels(spark, sf_dir), "roi", "y", "x", "weight")
+    return out.groupBy("roi").agg(F.count("*").alias("pixels"), F.sum(F.col("soma").cast("int")).alias("soma"))
+
+
+@query()
+def roi_solidity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shape.solidity(placed_pixels(spark, sf_dir).select("roi", "y", "x").distinct(), "roi", "y", "x"), "solidity")
+
+
+# ---- extraction
+
+BRIGHT = "bright as (select l_suppkey as roi, l_partkey as pixel, sum(l_quantity) as weight from lineitem where l_quantity >= 49 group by all)"
+BUILT = f"""{BRIGHT}, single as (select *, count(*) over (partition by pixel) as holders from bright), built as (select roi, pixel, weight / sum(weight) over (partition by roi) as share from single where holders = 1)"""
+SURROUND = """planes as (select distinct s_nationkey as plane, roi, pixel from bright join supplier on s_suppkey = roi),
+held as (select distinct plane, pixel from planes),
+inner_ as (select distinct plane, roi, y * 200 + x as pixel from (select plane, roi, pixel // 200 + dy as y, pixel % 200 + dx as x from planes, (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx)) where y between 0 and 999 and x between 0 and 199),
+taken as (select i.plane, i.roi, min(i.pixel // 200) as y0, max(i.pixel // 200) as y1, min(i.pixel % 200) as x0, max(i.pixel % 200) as x1, sum((h.pixel is null)::int) as taken from inner_ i left join held h on h.plane = i.plane and h.pixel = i.pixel group by all),
+rounds as (select plane, roi, taken, k, greatest(y0 - 5 * k, 0) as y0, least(y1 + 5 * k, 999) as y1, greatest(x0 - 5 * k, 0) as x0, least(x1 + 5 * k, 199) as x1 from taken, (select unnest(range(1, 8)) as k)),
+counts as (select r.plane, r.roi, r.k, any_value(taken) as taken, any_value((y1 - y0 + 1) * (x1 - x0 + 1)) - count(h.pixel) as free from rounds r left join held h on h.plane = r.plane and h.pixel // 200 between y0 and y1 and h.pixel % 200 between x0 and x1 group by r.plane, r.roi, r.k),
+chosen as (select plane, roi, min(k) as k from counts where free - taken > 350 group by all),
+rows_ as (select r.plane, r.roi, x0, x1, unnest(range(y0, y1 + 1)) as y from rounds r join chosen c on c.plane = r.plane and c.roi = r.roi and c.k = r.k),
+around as (select plane, roi, y * 200 + x as pixel from (select plane, roi, y, unnest(range(x0, x1 + 1)) as x from rows_)),
+surround as (select a.* from around a where not exists (select 1 from held h where h.plane = a.plane and h.pixel = a.pixel) and not exists (select 1 from inner_ i where i.plane = a.plane and i.roi = a.roi and i.pixel = a.pixel))"""
+
+
+def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_masks_of(read(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
+
+
+def supplier_masks_of(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).agg(F.sum("l_quantity").alias("weight"))
+
+
+def grown_surrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").cast("long").alias("plane"))
+    return extraction.surrounds(bright_regions(spark, sf_dir).join(planes, "roi"), "plane", "roi", "pixel", 1000, 200, 1, 350)
+
+
+@query(f"with {BUILT} select roi, pixel, round(share, 6) + 0.0 as share from built")
+def mask_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(extraction.built_masks(bright_regions(spark, sf_dir), "roi", "pixel", "weight", False), "share", digits=6)
+
+
+@query(f"with {BRIGHT}, {SURROUND} select plane, roi, count(*) as pixels, sum(pixel)::bigint as total from surround group by all")
+def mask_surrounds_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grown_surrounds(spark, sf_dir).groupBy("plane", "roi").agg(F.count("*").alias("pixels"), F.sum("pixel").alias("total"))
+
+
+@query(f"""with {BUILT}, {PRICES}, {SURROUND}, own as (select roi, frame, sum(share * value) as f from built b join prices p on p.pixel = b.pixel group by all),
+near as (select roi, frame, avg(value) as n from surround s join prices p on p.pixel = s.pixel group by all)
+select o.roi, o.frame, round(f, 3) + 0.0 as fluorescence, round(coalesce(n, 0), 3) + 0.0 as neuropil, round(f - 0.7 * coalesce(n, 0), 3) + 0.0 as corrected from own o left join near n on n.roi = o.roi and n.frame = o.frame""")
+def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = extraction.built_masks(bright_regions(spark, sf_dir), "roi", "pixel", "weight", False)
+    out = extraction.traces(built, grown_surrounds(spark, sf_dir), monthly_prices(spark, sf_dir), "roi", "pixel", "frame", "value", 0.7)
+    return rounded(out, "fluorescence", "neuropil", "corrected", digits=3)
+
+
+@query(f"""with {OFFSETS}, near as (select *, list(y) over w as ys, list(x) over w as xs, list(correlation) over w as cs from offsets window w as (partition by plane order by frame rows between 2 preceding and 2 following)),
+padded as (select *, list_sort(list_concat(ys, list_transform(range(5 - len(ys)), lambda i: 0.0::double)))[3] as my, list_sort(list_concat(xs, list_transform(range(5 - len(xs)), lambda i: 0.0::double)))[3] as mx, list_sort(list_concat(cs, list_transform(range(5 - len(cs)), lambda i: 0.0::double)))[3] as mc from near),
+apart as (select *, sqrt(power(y - my, 2) + power(x - mx, 2)) as apart from padded), scaled as (select *, case when avg(apart) over (partition by plane) > 0 then apart / avg(apart) over (partition by plane) else apart end as s, coalesce(greatest(0, correlation / nullif(mc, 0)), 1) as q from apart)
+select plane, frame, frame % 97 = 5 or case when q > 0 then s / q > 100 * 0.02 else s > 0 end or abs(y) > 0.95 * 0.5 * 64 or abs(x) > 0.95 * 0.5 * 64 as bad from scaled""")
+def frame_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = offsets(spark, sf_dir).withColumn("listed", F.col("frame") % 97 == 5)
+    return extraction.crop(rows, "plane", "frame", "y", "x", "correlation", "listed", 0.02, 0.5, 64, 64, 2)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import naming
-from imgtrace.operators import classifier, images, movies, neuropil
+from imgtrace.functions import temporal
+from imgtrace.operators import classifier, frames, images, movies, neuropil
 from imgtrace.plans import jobs
 from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, RANKED, monthly_prices, movie, offsets, query, ranked_events, read, rounded, supplier_masks
 
@@ -17,19 +18,21 @@ from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, RANKED, monthly_pric
 select m.frame, (((pixel // 8 - dy) % 8 + 8) % 8) * 8 + ((pixel % 8 - dx) % 8 + 8) % 8 as pixel, round(value, 5) + 0.0 as value from movie m join moved o on o.frame = m.frame""")
 def frame_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifts = offsets(spark, sf_dir).select("frame", F.round("y").cast("long").alias("dy"), F.round("x").cast("long").alias("dx"))
-    return rounded(movies.translated(movie(spark, sf_dir), shifts, 8, 8), "value", digits=5)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding").join(shifts, "frame")
+    out = frames.per_frame(rows, "embedding", 8, 8, lambda x, o: frames.translated(x, o["dy"], o["dx"]), ["frame", "dy", "dx"])
+    return rounded(frames.as_pixels(out, "frame"), "value", digits=5)
 
 
 @query(f"""with {MOVIE} select m.frame, m.pixel, round(case when m.pixel // 8 % 2 = 0 then m.value else coalesce(s.value, 0) end, 5) + 0.0 as value
 from movie m left join movie s on s.frame = m.frame and s.pixel = m.pixel - 2 and m.pixel % 8 >= 2""")
 def frame_bidirectional_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = movies.odd_rows_shifted(movie(spark, sf_dir), 2, 8)
-    return rounded(out.select("frame", F.col("pixel").cast("long").alias("pixel"), "value"), "value", digits=5)
+    out = frames.per_frame(read(spark, sf_dir, "embeddings"), "embedding", 8, 8, lambda x, _: frames.odd_rows_shifted(x, 2), ["vec_id"])
+    return rounded(frames.as_pixels(out.withColumnRenamed("vec_id", "frame"), "frame"), "value", digits=5)
 
 
-@query(f"""with {RANKED}, k as (select unnest(range(-3, 4)) as k), spread as (select user_id, frame + k as frame, value * exp(-k * k / 8.0) as part, exp(-k * k / 8.0) as w from ranked, k),
-smooth as (select user_id, frame, sum(part) / sum(w) as smooth from spread group by all)
-select r.user_id, r.frame, round(smooth, 6) + 0.0 as smooth from ranked r join smooth s on s.user_id = r.user_id and s.frame = r.frame""")
+@query(f"""with {RANKED}, counted as (select *, count(*) over (partition by user_id) as n from ranked), k as (select k, exp(-k * k / 8.0) / (select sum(exp(-q * q / 8.0)) from (select unnest(range(-3, 4)) as q)) as w from (select unnest(range(-3, 4)) as k)),
+wanted as (select user_id, frame, w, n, ((frame + k) % (2 * n) + 2 * n) % (2 * n) as pos from counted, k)
+select x.user_id, x.frame, round(sum(w * value), 6) + 0.0 as smooth from wanted x join ranked r on r.user_id = x.user_id and r.frame = case when pos < x.n then pos else 2 * x.n - 1 - pos end group by x.user_id, x.frame""")
 def trace_gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = movies.weighted_in_time(ranked_events(spark, sf_dir), "user_id", "frame", "value", 2.0, 3)
     return rounded(out.select("user_id", "frame", "smooth"), "smooth", digits=6)
@@ -52,14 +55,14 @@ def image_bleedthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {MOVIE}, field as (select frame, pixel, pixel // 8 + value * 0.5 as sy, pixel % 8 - value * 0.5 as sx from movie),
-corners as (select frame, pixel, floor(sy) + a as y, floor(sx) + b as x, (case a when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case b when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) as w from field, (values (0), (1)) p(a), (values (0), (1)) q(b)),
+corners as (select frame, pixel, trunc(sy) + a as y, trunc(sx) + b as x, (case a when 1 then sy - trunc(sy) else 1 - (sy - trunc(sy)) end) * (case b when 1 then sx - trunc(sx) else 1 - (sx - trunc(sx)) end) as w from field, (values (0), (1)) p(a), (values (0), (1)) q(b)),
 wanted as (select frame, pixel, (least(greatest(y, 0), 7) * 8 + least(greatest(x, 0), 7))::bigint as source, w from corners)
 select w.frame as key, w.pixel, round(sum(w * value), 5) + 0.0 as value from wanted w join movie m on m.frame = w.frame and m.pixel = w.source group by all""")
 def image_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = movie(spark, sf_dir).withColumnRenamed("frame", "key")
-    field = image.select("key", "pixel", (F.col("value") * 0.5).alias("dy"), (F.col("value") * -0.5).alias("dx"))
-    out = movies.warped(image, field, 8, 8)
-    return rounded(out.select("key", F.col("pixel").cast("long").alias("pixel"), "value"), "value", digits=5)
+    half = lambda sign: F.transform("embedding", lambda v: v.cast("double") * sign * 0.5)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", half(1).alias("dy"), half(-1).alias("dx"))
+    out = frames.per_frame(rows, "embedding", 8, 8, lambda x, o: frames.warped(x, o["dy"].reshape(x.shape), o["dx"].reshape(x.shape)), ["key", "dy", "dx"])
+    return rounded(frames.as_pixels(out, "key"), "value", digits=5)
 
 
 @query(f"""with {MOVIE}, scores as (select pixel as component, frame, value as score from movie where pixel < 3),
@@ -75,16 +78,15 @@ def image_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {MOVIE}, planes as (select label as plane, pixel, value, dense_rank() over (partition by label order by frame) - 1 as frame from movie),
 n as (select min(last) as last from (select max(frame) as last from planes group by plane)),
-places as (select label as plane, (row_number() over (order by label) - 1) // 4 * 8 as oy, (row_number() over (order by label) - 1) % 4 * 8 as ox from (select distinct label from embeddings))
-select frame, (pixel // 8 + oy) * 32 + pixel % 8 + ox as pixel, p.plane, round(value, 5) + 0.0 as value from planes p join places a on a.plane = p.plane where frame <= (select last from n)""")
+places as (select label as plane, (row_number() over (order by label) - 1) // 4 * 8 as oy, (row_number() over (order by label) - 1) % 4 * 8 as ox from (select distinct label from embeddings)),
+placed as (select frame, (pixel // 8 + oy) * 32 + pixel % 8 + ox as pixel, value from planes p join places a on a.plane = p.plane where frame <= (select last from n)),
+canvas as (select frame, pixel from (select distinct frame from placed), (select unnest(range(24 * 32)) as pixel))
+select c.frame, c.pixel, round(coalesce(value, 0), 5) + 0.0 as value from canvas c left join placed p on p.frame = c.frame and p.pixel = c.pixel""")
 def movie_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = read(spark, sf_dir, "embeddings")
-    from imgtrace.functions import temporal
-
-    numbered = temporal.numbered(frames, "label", "vec_id")
-    planes = images.pixels(numbered, "frame", "embedding", "label").withColumnRenamed("label", "plane")
-    at = images.mosaic_offsets(frames, "label", 8, 8).withColumnRenamed("label", "plane")
-    return rounded(movies.combined(planes, at, 8, 32).withColumn("pixel", F.col("pixel").cast("long")), "value", digits=5)
+    rows = read(spark, sf_dir, "embeddings")
+    planes = temporal.numbered(rows, "label", "vec_id").select(F.col("label").alias("plane"), "frame", F.col("embedding").alias("pixels"))
+    at = images.mosaic_offsets(rows, "label", 8, 8).withColumnRenamed("label", "plane")
+    return rounded(frames.as_pixels(movies.combined(planes, at, 8, 8, 24, 32), "frame"), "value", digits=5)
 
 
 # ---- surrounds and classification
