@@ -20,6 +20,8 @@ rules and all its rates lie within the limits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +108,10 @@ def _sketches() -> dict[str, Column]:
     return {r: F.col(r) for r in RATES} | {f"some_{r}": F.when(F.col(r) > 0, F.col(r)) for r, kind in RATES.items() if kind == "high"}
 
 
-def _limits(prefix: str, rate: str) -> tuple[Column, Column]:
-    quantile = lambda sketch, q: F.kll_sketch_get_quantile_double(F.col(f"{prefix}{sketch}"), F.lit(q))
+def _limits(sketch: Callable[[str], Column], rate: str) -> tuple[Column, Column]:
+    quantile = lambda name, q: F.kll_sketch_get_quantile_double(sketch(name), F.lit(q))
     if RATES[rate] == "high":
-        some = F.when(F.kll_sketch_get_n_double(F.col(f"{prefix}some_{rate}")) > 0, quantile(f"some_{rate}", SOME)).otherwise(0.0)
+        some = F.when(F.kll_sketch_get_n_double(sketch(f"some_{rate}")) > 0, quantile(f"some_{rate}", SOME)).otherwise(0.0)
         return F.lit(float("-inf")), F.greatest(quantile(rate, TOP), some)
     low, high = quantile(rate, TAIL), quantile(rate, 1 - TAIL)
     reach = F.greatest(high - low, NARROW * quantile(rate, 0.5))
@@ -122,12 +124,12 @@ def thresholds(measured: DataFrame) -> DataFrame:
     sketches = _sketches()
     own = materialize(good.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(k) for k, c in sketches.items())))
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in sketches)]
-    named = lambda df, prefix: df.withColumnsRenamed({c: f"{prefix}{c}" for c in ("n", *sketches)})
-    by_lang = named(own.groupBy("lang").agg(*merged), "lang_").withColumnRenamed("lang", "of")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of"))).join(F.broadcast(named(own.agg(*merged), "all_")))
+    by_lang = own.groupBy("lang").agg(*merged).withColumnsRenamed({c: f"lang_{c}" for c in ("n", *sketches)}).withColumnRenamed("lang", "of")
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
+    whole = own.agg(*merged).first()  # a few kilobytes, whatever the corpus
     out = []
     for r in RATES:
-        from_own, from_lang, from_all = (_limits(prefix, r) for prefix in ("", "lang_", "all_"))
+        from_own, from_lang, from_all = (_limits(s, r) for s in (F.col, lambda k: F.col(f"lang_{k}"), lambda k: F.lit(bytes(whole[k]) if whole[k] else None)))
         for k, end in enumerate(("least", "most")):
             out.append(F.when(F.col("n") >= LEAST, from_own[k]).when(F.col("lang_n") >= LEAST, from_lang[k]).otherwise(from_all[k]).alias(f"{r}_{end}"))
     return joined.select("lang", "source", *out)
