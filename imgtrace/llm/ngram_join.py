@@ -6,7 +6,8 @@ each must be in the other, so
 - a set with less than 3/4 of its shingles in other documents links with nothing and is left out;
 - two linked sets share a shingle in their prefixes, the first n - ceil(3n/4) + 1 in order: prefixes meet by a join;
 - sizes must agree to 3/4 (length filter), and what can still follow the shared place must suffice (positional filter);
-- counts of shingles by hash range must leave a small enough distance (suffix filter, on a fixed partition of the order).
+- before the first shared place nothing agrees, and behind it the two suffixes, parted by hash ranges, differ at least by
+  what their counts differ in each part; all of that must leave enough to share (suffix filter).
 What passes is verified once a pair by the exact intersection.
 
 Groups of near copies would meet in all pairs. Instead each prefix shingle's documents first meet one of them (a star, so
@@ -15,12 +16,14 @@ are joined in full. Every pair that passes the filters is verified or already co
 
 Defined results: null text and texts without words have an empty set, link with nothing and are their own component;
 fewer than five words make one shingle of the whole sequence; repeated rows are equal sets and link with themselves;
-null doc_ids take part in nothing and have no component; an empty table gives no rows; other columns are not read.
+ties of shingles in the order go by their hash; a very long text is one set like any other; null doc_ids take part in
+nothing and have no component; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -76,10 +79,11 @@ def shingles(text: str) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1 and h2 (hashes of the set), and for sets that may link, tokens (shared shingles, rare first) and bins."""
+    """doc_id, n, h1 and h2 (hashes of the set), and for sets that may link, tokens (shared shingles, rare first), bins (counts of
+    shingles by hash range) and prefix (the hash ranges of its first shingles, a byte each)."""
     texts, buckets = grouped_texts(docs)
-    schema = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bins array<int>"
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    schema = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bins array<int>, prefix binary"
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
 
     def use(group: Group) -> pa.Table:
         out = []
@@ -88,12 +92,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             df = group.counts_of(keys)
             shared = df > 1
             own = np.array([np.add.reduce(keys, dtype=np.uint64), np.bitwise_xor.reduce(_mixed(keys))], np.uint64).view(np.int64) if n else (0, 0)
-            tokens = bins = None
+            tokens = bins = prefix = None
             if n and OF * np.count_nonzero(shared) >= NEED * n:
-                order = np.lexsort((keys[shared], df[shared]))
-                tokens = keys[shared][order].view(np.int64)
-                bins = np.bincount((keys >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32)
-            out.append((doc_id, n, int(own[0]), int(own[1]), tokens, bins))
+                order = np.lexsort((keys, df))
+                tokens = keys[order[n - np.count_nonzero(shared) :]].view(np.int64)
+                ranges = (keys >> np.uint64(60)).astype(np.uint8)
+                bins = np.bincount(ranges, minlength=BINS).astype(np.int32)
+                prefix = ranges[order[: n - -(-NEED * n // OF) + 1]].tobytes()
+            out.append((doc_id, n, int(own[0]), int(own[1]), tokens, bins, prefix))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
     return with_counts(texts, buckets, lambda rows: (None, [shingles(x) for x in rows]), use, schema)
@@ -117,20 +123,45 @@ def _may_link(n: Column, pos: Column, m: Column, other_pos: Column) -> Column:
     return sizes & ((NEED + OF) * (1 + F.least(n - pos - 1, m - other_pos - 1)) >= _least_overlap(n, m))
 
 
+def suffix_distance(bins: np.ndarray, prefix: bytes, pos: int, other_bins: np.ndarray, other_prefix: bytes, other_pos: int) -> int:
+    """At least how many shingles behind the shared places are in one set only: what the counts by hash range differ in."""
+    behind = bins - np.bincount(np.frombuffer(prefix, np.uint8, pos + 1), minlength=BINS)
+    other = other_bins - np.bincount(np.frombuffer(other_prefix, np.uint8, other_pos + 1), minlength=BINS)
+    return int(np.abs(behind - other).sum())
+
+
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shared places leave enough to share behind them."""
+    for batch in batches:
+        rows = batch.to_pydict()
+        sides = zip(*(rows[f"{s}_{c}"] for s in "ab" for c in ("n", "pos", "bins", "prefix")), strict=True)
+        keep = [(NEED + OF) * (n + m - p - q - suffix_distance(np.array(x), u, p, np.array(y), v, q)) >= 2 * NEED * (n + m) for n, p, x, u, m, q, y, v in sides]
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("a", "b", "a_n", "b_n")], ["a", "b", "a_n", "b_n"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with `linked`: whether the sets are similar enough."""
+    """Pairs (a, b) with `linked`: whether the sets are similar enough.
+
+    The place of a pair must be its first shared one; where stars meet at a later one, the filter may drop a pair that links,
+    which then is not among the checked ones and comes again when all pairs meet.
+    """
     side = lambda s, columns: sets.select(F.col("rep").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    small = pairs.join(side("a", ("n", "bins")), "a").join(side("b", ("n", "bins")), "b")
-    distance = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    small = pairs.join(side("a", ("n", "bins", "prefix")), "a").join(side("b", ("n", "bins", "prefix")), "b")
+    near = small.mapInArrow(_suffix_filter, "a long, b long, a_n int, b_n int")
     n, m = F.col("a_n"), F.col("b_n")
-    near = (NEED + OF) * (n + m - distance) >= 2 * _least_overlap(n, m)
-    tokens = small.where(near).select("a", "b", "a_n", "b_n").join(side("b", ("tokens",)), "b").join(side("a", ("tokens",)), "a")
+    tokens = near.join(side("b", ("tokens",)), "b").join(side("a", ("tokens",)), "a")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return tokens.select("a", "b", ((NEED + OF) * common >= _least_overlap(n, m)).alias("linked"))
 
 
-def _ordered_pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _pairs(met: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+    """a, b, a_pos and b_pos of each pair once, the lower document first, at the first place at which they met."""
+    (rep, pos), (other, other_pos) = x, y
+    turned = rep < other
+    at = F.struct(F.when(turned, pos).otherwise(other_pos).alias("p"), F.when(turned, other_pos).otherwise(pos).alias("q"))
+    found = met.groupBy(F.least(rep, other).alias("a"), F.greatest(rep, other).alias("b")).agg(F.min(at).alias("at"))
+    return found.select("a", "b", F.col("at.p").cast("int").alias("a_pos"), F.col("at.q").cast("int").alias("b_pos"))
 
 
 def _labelled(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -150,18 +181,18 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     hubs = rows.groupBy("token").agg(F.min(key).alias("hub"))
     hub = F.col("hub")
     met = rows.join(hubs, "token").where((F.col("label") != hub.label) & _may_link(F.col("n"), F.col("pos"), hub.n, hub.pos))
-    return met.select(*_ordered_pair(F.col("rep"), hub.rep)).distinct()
+    return _pairs(met, (F.col("rep"), F.col("pos")), (hub.rep, hub.pos))
 
 
 def _open_pairs(rows: DataFrame) -> DataFrame:
     """All pairs that meet in a token, may link and are not connected."""
     other = rows.select("token", *(F.col(c).alias(f"other_{c}") for c in ("rep", "n", "pos", "label")))
     met = rows.join(other, "token").where((F.col("rep") < F.col("other_rep")) & (F.col("label") != F.col("other_label")) & _may_link(F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos")))
-    return met.select(*_ordered_pair(F.col("rep"), F.col("other_rep"))).distinct()
+    return _pairs(met, (F.col("rep"), F.col("pos")), (F.col("other_rep"), F.col("other_pos")))
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b) that connect all of the sets (rep, n, tokens, bins) that links connect, and their components.
+    """Verified links (a, b) that connect all of the sets (rep, n, tokens, bins, prefix) that links connect, and their components.
 
     Between the turns one step towards the components is enough: what has one label is connected, what is connected but has
     two is only looked at again.
@@ -175,7 +206,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         pairs = _star_pairs(rows, turn) if turn < STARS else _open_pairs(rows)
         for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         checked.append(materialize(_verified(pairs, sets)))
         new = checked[-1].where("linked").select("a", "b")
         known = downward(known.union(new) if known is not None else new)
@@ -189,7 +220,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
     every = materialize(shingle_sets(docs))
-    linked = every.where("tokens is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "tokens", "bins"), "doc_id").alias("s"))
+    linked = every.where("tokens is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "tokens", "bins", "prefix"), "doc_id").alias("s"))
     sets = materialize(linked.select("rep", "s.*"))
     _, labels = links(sets)
     classes = every.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))

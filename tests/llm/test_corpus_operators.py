@@ -225,6 +225,20 @@ def test_open_pairs_alone_find_all_links(spark, monkeypatch):
     assert rows == _plain_components(texts)
 
 
+def test_suffix_filter_never_exceeds_the_distance():
+    """The bound is at most the true count of shingles behind the first shared place that are in one set only."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
+        a, b = (np.sort(rng.choice(pool, rng.integers(20, 50), replace=False)) for _ in range(2))
+        first = np.intersect1d(a, b)[0]
+        p, q = int(np.searchsorted(a, first)), int(np.searchsorted(b, first))
+        ranges = [(x >> np.uint64(60)).astype(np.uint8) for x in (a, b)]
+        bins = [np.bincount(r, minlength=16) for r in ranges]
+        bound = ngram_join.suffix_distance(bins[0], ranges[0].tobytes(), p, bins[1], ranges[1].tobytes(), q)
+        assert bound <= len(np.setxor1d(a[p + 1 :], b[q + 1 :]))
+
+
 def test_ngram_join_of_odd_rows(spark, odd, empty):
     assert ngram_join.similar(empty).count() == 0
     rows = ngram_join.similar(odd).collect()
