@@ -1,10 +1,14 @@
-"""Classification of regions from binned log-odds of their features, naive over features."""
+"""Classification of regions from binned log-odds of their features: naive over features, or weighed by a logistic layer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgtrace.operators.movies import weighted_in_time
+
 
 def quantile_edges(training: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
     shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
@@ -33,3 +37,63 @@ def score(rows: DataFrame, training: DataFrame, key: str, label: str, features:
         out = out.withColumn(f"bin_{f}", bin_of(f, edges[f])).join(F.broadcast(odds), f"bin_{f}", "left")
     total = sum((F.coalesce(f"odds_{f}", F.lit(0.0)) for f in features), F.lit(0.0))
     return out.select(key, total.alias("score"))
+
+
+# ---- smoothed grids under a logistic layer
+
+
+def _by_feature(rows: DataFrame, features: list[str], *keep: str) -> DataFrame:
+    """A row for each feature, with its value, or null where it is missing or NaN."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f).cast("double"), F.lit(None)).alias("value")) for f in features))
+    return rows.select(*keep, F.inline(pairs))
+
+
+def probability_grid(training: DataFrame, key: str, label: str, features: list[str], nodes: int = 100, sigma: float = 2.0) -> DataFrame:
+    """feature and grid, an array of (bin, node, share): values at evenly spaced ranks, and the share of label 1 between
+    a node and the next, smoothed over bins; the last node, the greatest value, has no share.
+
+    Ties go by key. Missing values are left out. The windows sort one feature each: training rows are a curated table.
+    """
+    order = Window.partitionBy("feature")
+    ranked = _by_feature(training, features, key, label).where("value is not null")
+    ranked = ranked.withColumns({"k": F.row_number().over(order.orderBy("value", key)) - 1, "n": F.count("*").over(order)})
+    last = nodes - 1
+    place = F.when(F.col("k") < F.col("n") - 1, F.floor((last * (F.col("k") + 1) - 1) / (F.col("n") - 1))).otherwise(last)
+    bins = ranked.groupBy("feature", place.cast("long").alias("bin")).agg(F.min("value").alias("node"), F.avg(F.col(label).cast("double")).alias("share"))
+    smooth = weighted_in_time(bins.where(F.col("bin") < last), "feature", "bin", "share", sigma, int(4 * sigma + 0.5))
+    joined = bins.select("feature", "bin", "node").join(smooth.select("feature", "bin", F.col("smooth").alias("share")), ["feature", "bin"], "left")
+    return joined.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "node", "share"))).alias("grid"))
+
+
+def grid_log_odds(rows: DataFrame, grid: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """key, feature and odds; missing values count as the lowest. The grid has a row of bounded size for each feature, so it is broadcast."""
+    held = _by_feature(rows, features, key).join(F.broadcast(grid), "feature")
+    top = F.get(F.col("grid.node"), F.size("grid") - 1)
+    below = F.size(F.filter("grid", lambda g: g.node < F.least("value", top)))
+    share = F.get(F.col("grid.share"), F.when(F.col("value").isNull(), 0).otherwise(F.greatest(F.least(below, F.size("grid") - 1) - 1, F.lit(0))))
+    return held.select(key, "feature", (F.ln(share + 1e-6) - F.ln(1 - share + 1e-6)).alias("odds"))
+
+
+def classified(rows: DataFrame, training: DataFrame, key: str, label: str, features: list[str], threshold: float = 0.5, nodes: int = 100, strength: float = 100.0) -> DataFrame:
+    """key, probability and is_cell of every row, by a logistic regression on the features' log-odds; training needs `nodes` rows.
+
+    The intercept is penalised like the weights, so it is the weight of a constant feature here. Spark passes over features
+    that never vary, so each row is also there turned round, features and label, which leaves the mean loss as it is.
+    Keys must not be null.
+    """
+    n = training.count()
+    if n < nodes:
+        raise ValueError(f"training needs at least {nodes} rows")
+    grid = probability_grid(training, key, label, features, nodes)
+
+    def odds(table: DataFrame) -> DataFrame:
+        wide = grid_log_odds(table, grid, key, features).groupBy(key).pivot("feature", features).agg(F.first("odds"))
+        return wide.select(key, F.array(*(F.col(f"`{f}`") for f in features), F.lit(1.0)).alias("odds"))
+
+    vectors = lambda table: table.withColumn("features", array_to_vector("odds"))
+    plain = odds(training).join(training.select(key, F.col(label).cast("double").alias("label")), key)
+    turned = plain.withColumns({"odds": F.transform("odds", lambda v: -v), "label": 1 - F.col("label")})
+    labelled = vectors(plain.unionByName(turned))
+    model = LogisticRegression(regParam=1.0 / (strength * n), fitIntercept=False, standardization=False, maxIter=200, tol=1e-9).fit(labelled)
+    probability = vector_to_array("probability")[1]
+    return model.transform(vectors(odds(rows))).select(key, probability.alias("probability"), (probability > threshold).alias("is_cell"))

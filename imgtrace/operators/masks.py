@@ -124,3 +124,17 @@ def near_pairs(rois: DataFrame, roi: str, recording: str, y: str, x: str, distan
     squared = F.pow(F.col("y_a") - F.col("y_b"), 2) + F.pow(F.col("x_a") - F.col("x_b"), 2)
     pairs = own.join(other, ["cy", "cx"]).where((F.col("a") < F.col("b")) & (F.col("rec_a") != F.col("rec_b")) & (squared < distance * distance))
     return pairs.select("a", "b", F.sqrt(squared).alias("distance"))
+
+
+def moved_by_field(regions: DataFrame, field: DataFrame, recording: str, height: int, width: int) -> DataFrame:
+    """recording, roi, pixel and weight of regions (recording, roi, pixel, weight) seen along a field (recording, pixel, dy, dx).
+
+    Each pixel takes the weight of the nearest pixel to where its offsets point; nothing comes from beyond the image,
+    and weights of 0 and pixels that none points to go. One join on the pixel pointed to.
+    """
+    nearest = lambda at, offset: F.floor(at + F.col(offset) + 0.5)
+    y, x = nearest(F.floor(F.col("pixel") / width), "dy"), nearest(F.col("pixel") % width, "dx")
+    inside = field.where((y >= 0) & (y < height) & (x >= 0) & (x < width))
+    aimed = inside.select(recording, F.col("pixel").alias("target"), (y * width + x).cast("long").alias("pixel"))
+    held = regions.where("weight <> 0").join(aimed, [recording, "pixel"])
+    return held.select(recording, "roi", F.col("target").alias("pixel"), "weight")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 APART = 10_000.0
@@ -61,3 +61,26 @@ def without_overlapping(masks: DataFrame, plane: str, roi: str, pixel: str, most
         return pd.DataFrame({"plane": rows[plane].iloc[0], "roi": sorted(kept)})
 
     return masks.select(F.col(plane).cast("long").alias(plane), F.col(roi).cast("long").alias(roi), pixel).groupBy(plane).applyInPandas(run, "plane long, roi long")
+
+
+def in_bins(rois: DataFrame, y: str, x: str, step: int, margin: int, height: int, width: int) -> DataFrame:
+    """A row for each bin of step by step pixels, by and bx, that holds the region's centre or has it less than `margin` beyond its edge."""
+
+    def reached(at: str, length: int) -> Column:
+        first = F.greatest(F.floor((F.col(at) - step - margin) / step) + 1, F.lit(0))
+        last = F.least(F.ceil((F.col(at) + margin) / step) - 1, F.lit((length - 1) // step))
+        return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
+
+    return rois.withColumn("by", F.explode(reached(y, height))).withColumn("bx", F.explode(reached(x, width)))
+
+
+def accepted(members: DataFrame, step: int, least: int) -> DataFrame:
+    """by, bx, cluster and roi of clusters (by, bx, cluster, roi, recording, y, x) that are kept as templates.
+
+    A cluster must have regions of `least` recordings and its middle in its own bin, not only in the margin. A region
+    that several such clusters hold goes to the first bin, row by row; the others lose it.
+    """
+    own = lambda at, bin: (F.avg(at) >= F.col(bin) * step) & (F.avg(at) < (F.col(bin) + 1) * step)
+    clusters = members.groupBy("by", "bx", "cluster").agg(F.countDistinct("recording").alias("n"), own("y", "by").alias("oy"), own("x", "bx").alias("ox"))
+    kept = members.join(clusters.where((F.col("n") >= least) & F.col("oy") & F.col("ox")).select("by", "bx", "cluster"), ["by", "bx", "cluster"])
+    return kept.groupBy("roi").agg(F.min(F.struct("by", "bx", "cluster")).alias("first")).select("first.by", "first.bx", "first.cluster", "roi")

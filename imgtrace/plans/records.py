@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import naming, temporal
-from imgtrace.operators import catalog, extraction, images, shape
+from imgtrace.operators import alignment, catalog, classifier, extraction, images, masks, shape, tracking
 from imgtrace.plans import jobs
 from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, PLACED, PRICES, TRACES, monthly_prices, movie, offsets, placed_pixels, query, read, rounded, supplier_masks, traces
 
@@ -380,3 +380,104 @@ select plane, frame, frame % 97 = 5 or case when q > 0 then s / q > 100 * 0.02 e
 def frame_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offsets(spark, sf_dir).withColumn("listed", F.col("frame") % 97 == 5)
     return extraction.crop(rows, "plane", "frame", "y", "x", "correlation", "listed", 0.02, 0.5, 64, 64, 2)
+
+
+# ---- alignment, classification by grids, tracking rules
+
+SEGMENTS = """pairs as (select c_custkey as key, (c_mktsegment = 'BUILDING')::int as label, unnest(['balance', 'nation']) as feature, unnest([c_acctbal::double, c_nationkey::double]) as value from customer),
+ranked as (select *, row_number() over (partition by feature order by value, key) - 1 as k, count(*) over (partition by feature) as n from pairs),
+bins as (select feature, (99 * (k + 1) - 1) // (n - 1) as bin, avg(label) as share, min(value) as node from ranked where k < n - 1 group by all),
+weights as (select d, exp(-d * d / 8.0) / (select sum(exp(-e * e / 8.0)) from range(-8, 9) r(e)) as w from range(-8, 9) q(d)),
+grid as (select b.feature, b.bin, b.node, sum(w * o.share) as share from bins b, weights, bins o
+    where o.feature = b.feature and o.bin = case when b.bin + d < 0 then -1 - b.bin - d when b.bin + d > 98 then 197 - b.bin - d else b.bin + d end group by all)"""
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), label, F.col("c_acctbal").cast("double").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+
+
+@query(f"with {SEGMENTS} select feature, bin, round(node, 4) + 0.0 as node, round(share, 6) + 0.0 as share from grid")
+def class_grid_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = classifier.probability_grid(segments(spark, sf_dir), "key", "label", ["balance", "nation"])
+    out = grid.select("feature", F.inline("grid")).where("share is not null")
+    return rounded(rounded(out, "node"), "share", digits=6)
+
+
+@query(f"""with {SEGMENTS}, tops as (select feature, max(value) as top from pairs group by feature),
+nodes as (select feature, node from grid union all select feature, top from tops),
+rows_ as (select s_suppkey as key, unnest(['balance', 'nation']) as feature, unnest([s_acctbal::double, s_nationkey::double]) as value from supplier),
+placed as (select r.key, r.feature, greatest(least(count(*) filter (where node < least(value, top)), 99) - 1, 0) as bin from rows_ r join tops t on t.feature = r.feature join nodes n on n.feature = r.feature group by r.key, r.feature)
+select key, p.feature, round(ln(share + 1e-6) - ln(1 - share + 1e-6), 4) + 0.0 as odds from placed p join grid g on g.feature = p.feature and g.bin = p.bin""")
+def class_grid_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    grid = classifier.probability_grid(segments(spark, sf_dir), "key", "label", ["balance", "nation"])
+    return rounded(classifier.grid_log_odds(rows, grid, "key", ["balance", "nation"]), "odds")
+
+
+@query()
+def class_grid_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return rounded(classifier.classified(rows, segments(spark, sf_dir), "key", "label", ["balance", "nation"]), "probability")
+
+
+CENTRES = "centres as (select c_custkey as roi, c_nationkey % 5 as recording, c_custkey * 37 % 1000 as y, c_custkey * 91 % 1000 as x from customer)"
+REACHED = f"""{CENTRES}, reached as (select c.*, b.k as "by", d.k as bx from centres c, range(10) b(k), range(10) d(k)
+    where y > b.k * 100 - 20 and y < b.k * 100 + 120 and x > d.k * 100 - 20 and x < d.k * 100 + 120)"""
+
+
+def reached_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    centres = read(spark, sf_dir, "customer").select(key.alias("roi"), (F.col("c_nationkey") % 5).alias("recording"), (key * 37 % 1000).alias("y"), (key * 91 % 1000).alias("x"))
+    return tracking.in_bins(centres, "y", "x", 100, 20, 1000, 1000)
+
+
+@query(f"with {REACHED} select * from reached")
+def tracking_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_bins(spark, sf_dir)
+
+
+@query(f"""with {REACHED}, members as (select *, roi % 3 as cluster from reached),
+kept as (select "by", bx, cluster from members group by all having count(distinct recording) >= 2 and avg(y) >= "by" * 100 and avg(y) < "by" * 100 + 100 and avg(x) >= bx * 100 and avg(x) < bx * 100 + 100),
+ranked as (select m.roi, m."by", m.bx, m.cluster, row_number() over (partition by m.roi order by m."by", m.bx, m.cluster) as place from members m join kept k on k."by" = m."by" and k.bx = m.bx and k.cluster = m.cluster)
+select "by", bx, cluster, roi from ranked where place = 1""")
+def tracking_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.accepted(reached_bins(spark, sf_dir).withColumn("cluster", F.col("roi") % 3), 100, 2)
+
+
+@query("""with regions as (select l_suppkey as roi, l_partkey as pixel, sum(l_quantity)::double as weight from lineitem group by all),
+field as (select p_partkey as target, floor(p_partkey // 100 + (p_size % 5 - 2) * 0.6::double + 0.5) as y, floor(p_partkey % 100 + (p_partkey % 7 - 3) * 0.7::double + 0.5) as x from part)
+select roi, target as pixel, round(weight, 4) + 0.0 as weight from regions r join field f on r.pixel = (y * 100 + x)::bigint where y between 0 and 999 and x between 0 and 99""")
+def mask_moved_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    offsets = [((F.col("p_size") % 5 - 2) * 0.6).alias("dy"), ((F.col("p_partkey") % 7 - 3) * 0.7).alias("dx")]
+    field = read(spark, sf_dir, "part").select(F.lit(0).alias("recording"), F.col("p_partkey").alias("pixel"), *offsets)
+    out = masks.moved_by_field(lines.withColumn("recording", F.lit(0)), field, "recording", 1000, 100)
+    return rounded(out.drop("recording"), "weight")
+
+
+def plane_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.numbered(read(spark, sf_dir, "embeddings"), "label", "vec_id")
+    return alignment.reference_images(rows, "label", "frame", "embedding", 8, 8, 2, 1.0, 1.0, most=200)
+
+
+@query()
+def frame_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_references(spark, sf_dir).select("label", F.transform("reference", lambda v: F.round(v, 4)).alias("reference"))
+
+
+@query()
+def frame_line_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.line_phases(read(spark, sf_dir, "embeddings"), "label", "embedding", 8, 8)
+
+
+@query()
+def frame_block_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = alignment.Grid.over(8, 8, 6, 6)
+    return alignment.block_offsets(read(spark, sf_dir, "embeddings"), plane_references(spark, sf_dir), "label", "vec_id", "embedding", 8, 8, grid, 2.0, 1.0, 1.0, around=1)
+
+
+@query()
+def frame_nonrigid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = alignment.Grid.over(8, 8, 6, 6)
+    return alignment.corrected(read(spark, sf_dir, "embeddings"), plane_references(spark, sf_dir), "label", "vec_id", "embedding", 8, 8, grid, 2.0, 1.0, 1.0, around=1)
