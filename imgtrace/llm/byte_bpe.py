@@ -4,7 +4,8 @@ A piece (one match of the split pattern) is merged as follows. Leaf i of the tre
 live part starting at byte i forms with its live right neighbour, with i itself as the tie-break; inner nodes hold the
 least of their children. The root is thus the leftmost pair of least rank. A merge joins that pair and makes three
 point updates (the pair itself, its left neighbour, the part that is gone), each over log2(n) nodes, so a piece of n
-bytes takes O(n log n) whatever it looks like.
+bytes takes O(n log n) whatever it looks like. Short pieces that are new go together, a tree a row of one numpy array:
+each step merges one pair in every piece that still has one. Longer ones go alone, in the same way.
 
 Defined results: null text is empty text and gives no ids; every row gives one row, repeated rows too; ids beyond the
 vocabulary are an error in decode(); columns other than doc_id and text are not read, so no name can clash.
@@ -28,6 +29,8 @@ from imgtrace.llm.splitting import splitter
 
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
 KEPT_PIECES = 800_000
+#: Bytes of a short piece, and pieces whose trees are held at once.
+SHORT, AT_ONCE = 64, 8192
 NONE = 1 << 62
 
 
@@ -90,38 +93,120 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class _Pieces(dict):
-    """From a piece of text to its ids as little-endian 32-bit integers."""
+class Pieces(dict):
+    """From a piece of text to its ids as little-endian 32-bit integers; learn() takes many new ones together."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+        self.has_all_bytes = bool((self.byte_ids >= 0).all())
+        self.ids = 1 + max(ranks.values(), default=0)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left * self.ids + right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = merge_piece(piece.encode(), self.ranks)
-        packed = struct.pack(f"<{len(ids)}i", *ids)
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        self.learn({piece})
+        return self[piece]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Adds what is new; a vocabulary without some byte takes the pieces one by one."""
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        alike: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces - self.keys():
+            data = piece.encode()
+            rank = self.ranks.get(data)
+            if rank is not None:
+                self[piece] = struct.pack("<i", rank)
+            elif len(data) <= SHORT and self.has_all_bytes:
+                alike.setdefault((len(data) - 1).bit_length(), []).append((piece, data))
+            else:
+                ids = merge_piece(data, self.ranks)
+                self[piece] = struct.pack(f"<{len(ids)}i", *ids)
+        for height, found in alike.items():
+            for start in range(0, len(found), AT_ONCE):
+                some = found[start : start + AT_ONCE]
+                ids, counts = self._merged([data for _, data in some], 1 << height)
+                packed, ends = ids.astype("<i4").tobytes(), (4 * counts.cumsum()).tolist()
+                self.update((piece, packed[a:b]) for (piece, _), a, b in zip(some, [0, *ends], ends, strict=False))
+
+    def forget_long(self, pieces: set[str]) -> None:
+        for piece in pieces:
+            if len(piece) > SHORT:
+                self.pop(piece, None)
+
+    def _pair_values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+        """What a leaf holds: the pair's rank with its place as the tie-break, or NONE."""
+        key = left * self.ids + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at] * size + place, NONE)
+
+    def _merged(self, pieces: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has; a piece has more than size / 2 bytes, and size at most.
+
+        Node 1 of a row's tree is its root, nodes 2k and 2k + 1 are the children of k, and leaf i is node size + i.
+        """
+        count, places = len(pieces), np.arange(size)
+        length = np.fromiter(map(len, pieces), np.int64, count)
+        data = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(count, size)
+        ids = np.where(places < length[:, None], self.byte_ids[data], -1)
+        tree = np.full((count, 2 * size), NONE, np.int64)
+        if len(self.pairs):
+            tree[:, size:-1] = np.where(places[1:] < length[:, None], self._pair_values(ids[:, :-1], ids[:, 1:], places[:-1], size), NONE)
+        half = size // 2
+        while half:
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+            half //= 2
+        after, before = np.tile(np.arange(1, size + 2), (count, 1)), np.tile(np.arange(-1, size), (count, 1))
+        flat, row = tree.ravel(), np.flatnonzero(tree[:, 1] < NONE)
+        while len(row):
+            root, ends = tree[row, 1], length[row]
+            i = root % size
+            merged = root // size
+            gone = after[row, i]
+            end = after[row, gone]
+            left = before[row, i]
+            after[row, i], before[row, end] = end, i
+            ids[row, i], ids[row, gone] = merged, -1
+            right_value = np.where(end < ends, self._pair_values(merged, ids[row, np.minimum(end, size - 1)], i, size), NONE)
+            left_value = np.where(left >= 0, self._pair_values(ids[row, left], merged, left, size), NONE)
+            base = row * (2 * size)
+            nodes = size + np.stack([gone, i, np.where(left >= 0, left, gone)])
+            flat[base + nodes[0]] = NONE
+            flat[base + nodes[1]] = right_value
+            flat[base + nodes[2]] = left_value
+            for _ in range(size.bit_length() - 1):
+                nodes >>= 1
+                first = base + 2 * nodes
+                flat[base + nodes] = np.minimum(flat[first], flat[first + 1])
+            row = row[flat[base + 1] < NONE]
+        return ids[ids >= 0], (ids >= 0).sum(1)
 
 
 @functools.cache
-def _encoder(path: str) -> _Pieces:
-    return _Pieces(load_ranks(path))
+def _encoder(path: str) -> Pieces:
+    return Pieces(load_ranks(path))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = _encoder(ranks_path), splitter(pattern)
+        encoder, split = _encoder(ranks_path), splitter(pattern)
         for batch in batches:
-            for part in pieces_of(batch):
-                packed = []
-                for text in part.column(1).to_pylist():
-                    packed.append(b"".join(map(known.__getitem__, split(text))))
-                    if len(known) > KEPT_PIECES:
-                        known.clear()
+            for part in pieces_of(batch, most=1 << 20):
+                texts = [split(text) for text in part.column(1).to_pylist()]
+                distinct = set().union(*texts)
+                encoder.learn(distinct)
+                packed = [b"".join(map(encoder.__getitem__, text)) for text in texts]
+                encoder.forget_long(distinct)
                 values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), list_array(values, [len(x) // 4 for x in packed])], ["doc_id", "ids"])
 

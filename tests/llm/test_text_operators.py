@@ -70,6 +70,19 @@ def test_leftmost_pair_of_least_rank_merges_first():
     assert byte_bpe.merge_piece(b"babab", ranks) == [98, 300, 300]
 
 
+def test_pieces_merged_together_are_as_alone():
+    rng = random.Random(5)
+    for tokens in ([b"ab", b"ba", b"aa", b"aaa", b"abab", b"bab"], [], [b"aa", b"aaaa", b"a" * 8]):
+        ranks = {bytes([b]): b for b in range(256)} | {t: 300 + k for k, t in enumerate(tokens)}
+        for known in (ranks, {t: r for t, r in ranks.items() if t != b"z"}):
+            pieces = {"".join(rng.choice("aab") for _ in range(rng.randint(1, 200))) for _ in range(300)}
+            encoder = byte_bpe.Pieces(known)
+            encoder.learn(pieces)
+            assert all(np.frombuffer(encoder[p], "<i4").tolist() == byte_bpe.merge_piece(p.encode(), known) for p in pieces)
+            encoder.forget_long(pieces)
+            assert max(map(len, encoder)) <= byte_bpe.SHORT
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS), RANKS).count() == 0
