@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgtrace.llm import byte_bpe, line_dedup, ngram_join, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, suffix_dedup, toxicity
+from imgtrace.llm import byte_bpe, divergence, importance, line_dedup, ngram_join, ogg, packing, pseudo_likelihood, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from imgtrace.llm.common import table
 
 
@@ -90,9 +90,24 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1)))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(table(spark, sf_dir, "documents"), 40)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return out.select("doc_id", sharding.size_of().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_join, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_join, op5_quality_rules, op6_ogg, op7_byte_bpe, op8_packing, op9_toxicity, op10_pseudo_likelihood, op11_sharding, op12_importance_resampling, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.SQL, "op12_importance_resampling": importance.SQL, "op13_source_divergence": divergence.SQL}
