@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Counts are taken row by row inside the JVM. Thresholds are not fixed: each language and source has KLL sketches of its
-documents' rates, built in one partial aggregation; the sketches merge into sketches of a language and of the whole
-corpus, which serve the groups whose own sketch holds too few values. A join brings the limits back to the documents.
+Counts are taken row by row inside the JVM. Thresholds are not fixed: each language and source has quantile sketches of its
+documents' rates, counts in logarithmic buckets (a value is known to GAMMA - 1 of itself), built in one partial aggregation.
+Sketches merge by adding their counts up, into those of a language and of the whole corpus, which serve the groups whose
+own sketch holds too few values. Sums don't hang on their order, so the verdicts are the same however rows are dealt out
+and tasks repeated. A join brings the limits back to the documents.
 
 Of symbols, repeated lines and repeated passages good text mostly has none, so the quantiles of all documents are often 0
 and say little. Each of these rates has a second sketch of the documents that have any. A document is rejected if it lies
@@ -12,17 +14,17 @@ rejected that lie farther outside the quantiles TAIL and 1 - TAIL than these lie
 groups of mere copies).
 
 Defined results: null text has no words and fails; null languages and sources are groups of their own; every row gives
-one row, repeated rows count as often as they occur; a rate at its limit is inside (ties are kept); a group of fewer than
-LEAST documents takes the limits of its language, that of the whole corpus if that has fewer too; an empty table gives no rows; a very long text is one row of long arrays; columns
+one row, repeated rows count as often as they occur; a rate at its limit is inside (ties are kept); a sketch of fewer than
+LEAST values leaves its limit to that of the language, or of the whole corpus if that has fewer too; an empty table gives no rows; a very long text is one row of long arrays; columns
 other than doc_id, lang, source and text are not read, so none can clash. A document is kept if it passes the fixed base
 rules and all its rates lie within the limits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imgtrace.llm.common import WORD_BREAKS, materialize, text_or_empty
@@ -34,6 +36,9 @@ RATES = {"mean_word_chars": "both", "symbols_per_word": "high", "dup_lines_per_l
 TOP, SOME, TAIL, NARROW = 0.97, 0.25, 0.05, 0.1
 #: Sketches of fewer documents leave the limits to those of the next larger group.
 LEAST = 50
+#: Ratio of neighbouring buckets' edges, and the bucket of 0, below all others.
+GAMMA = 1.005
+NONE = -1_000_000
 REPEAT_WINDOW = 8
 
 
@@ -103,35 +108,62 @@ def with_rates(measured: DataFrame) -> DataFrame:
     )
 
 
-def _sketches() -> dict[str, Column]:
-    """What goes into each sketch, nulls left out: every rate, and the non-zero ones of the rates whose high values are rejected."""
-    return {r: F.col(r) for r in RATES} | {f"some_{r}": F.when(F.col(r) > 0, F.col(r)) for r, kind in RATES.items() if kind == "high"}
+def _bucket(rate: Column) -> Column:
+    """The logarithmic bucket of a rate: values of one bucket differ by a factor of GAMMA at most; NONE for 0."""
+    return F.when(rate > 0, F.floor(F.log(rate) / math.log(GAMMA)).cast("int")).otherwise(NONE)
 
 
-def _limits(sketch: Callable[[str], Column], rate: str) -> tuple[Column, Column]:
-    quantile = lambda name, q: F.kll_sketch_get_quantile_double(sketch(name), F.lit(q))
-    if RATES[rate] == "high":
-        some = F.when(F.kll_sketch_get_n_double(sketch(f"some_{rate}")) > 0, quantile(f"some_{rate}", SOME)).otherwise(0.0)
-        return F.lit(float("-inf")), F.greatest(quantile(rate, TOP), some)
-    low, high = quantile(rate, TAIL), quantile(rate, 1 - TAIL)
-    reach = F.greatest(high - low, NARROW * quantile(rate, 0.5))
-    return low - reach, high + reach
+def _edge(bucket: Column) -> Column:
+    """The value where a bucket begins."""
+    return F.when(bucket > NONE, F.exp(bucket * math.log(GAMMA))).otherwise(0.0)
+
+
+def sketches(rated: DataFrame) -> DataFrame:
+    """lang, source, rate, bucket and n: the documents of each group by buckets of their rates. Sketches merge by adding up n."""
+    each = rated.select("lang", "source", F.inline(F.array(*(F.struct(F.lit(r).alias("rate"), _bucket(F.col(r)).alias("bucket")) for r in RATES))))
+    return each.groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
+
+
+def _read(merged: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """A row for each group of `keys` with what its merged sketches say: counts of documents and quantiles' buckets by rate."""
+    within = Window.partitionBy(*keys, "rate")
+    running = within.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    some = F.when(F.col("bucket") > NONE, F.col("n")).otherwise(0)
+    counted = merged.withColumns({"upto": F.sum("n").over(running), "all": F.sum("n").over(within), "some_upto": F.sum(some).over(running), "some": F.sum(some).over(within)})
+    out = []
+    for r, kind in RATES.items():
+        mine = F.col("rate") == r
+        at = lambda q, upto="upto", n="all": F.min(F.when(F.lit(mine) & (F.col(n) > 0) & (F.col(upto) >= F.ceil(q * F.col(n))), F.col("bucket")))  # noqa: B023, E731
+        out += [F.max(F.when(mine, F.col("all"))).alias(f"{prefix}{r}_n"), F.max(F.when(mine, F.col("some"))).alias(f"{prefix}{r}_some_n")]
+        if kind == "high":
+            out += [at(TOP).alias(f"{prefix}{r}_top"), at(SOME, "some_upto", "some").alias(f"{prefix}{r}_some")]
+        else:
+            out += [at(q).alias(f"{prefix}{r}_{name}") for name, q in (("low", TAIL), ("middle", 0.5), ("high", 1 - TAIL))]
+    return counted.groupBy(*keys).agg(*out)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, and a lower and an upper limit for each rate, from the documents that pass the base rules."""
-    good = with_rates(measured).where(~F.col("base_failed"))
-    sketches = _sketches()
-    own = materialize(good.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(k) for k, c in sketches.items())))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in sketches)]
-    by_lang = own.groupBy("lang").agg(*merged).withColumnsRenamed({c: f"lang_{c}" for c in ("n", *sketches)}).withColumnRenamed("lang", "of")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
-    whole = own.agg(*merged).first()  # a few kilobytes, whatever the corpus
+    own = materialize(sketches(with_rates(measured).where(~F.col("base_failed"))))
+    merged = lambda *keys: own.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = _read(merged("lang"), ["lang"], "lang_").withColumnRenamed("lang", "of")
+    whole = _read(merged(), [], "").first()  # one row of counts and buckets
+    joined = _read(own, ["lang", "source"], "").join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
+
+    def chosen(name: str, count: str) -> Column:
+        """What the smallest group with LEAST documents behind this sketch says."""
+        return F.when(F.col(count) >= LEAST, F.col(name)).when(F.col(f"lang_{count}") >= LEAST, F.col(f"lang_{name}")).otherwise(F.lit(whole[name]).cast("int"))
+
     out = []
-    for r in RATES:
-        from_own, from_lang, from_all = (_limits(s, r) for s in (F.col, lambda k: F.col(f"lang_{k}"), lambda k: F.lit(bytes(whole[k]) if whole[k] else None)))
-        for k, end in enumerate(("least", "most")):
-            out.append(F.when(F.col("n") >= LEAST, from_own[k]).when(F.col("lang_n") >= LEAST, from_lang[k]).otherwise(from_all[k]).alias(f"{r}_{end}"))
+    for r, kind in RATES.items():
+        if kind == "high":
+            least = F.lit(float("-inf"))
+            most = _edge(F.greatest(chosen(f"{r}_top", f"{r}_n"), F.coalesce(chosen(f"{r}_some", f"{r}_some_n"), F.lit(NONE))) + 1)
+        else:
+            low, middle, high = (_edge(chosen(f"{r}_{k}", f"{r}_n") + int(k == "high")) for k in ("low", "middle", "high"))
+            reach = F.greatest(high - low, NARROW * middle)
+            least, most = low - reach, high + reach
+        out += [least.alias(f"{r}_least"), most.alias(f"{r}_most")]
     return joined.select("lang", "source", *out)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -235,6 +236,57 @@ def test_quality_limits_are_the_groups_quantiles(spark):
     assert (judged.kept == (~judged.base_failed & np.logical_and.reduce([judged[r].between(judged[f"{r}_least"], judged[f"{r}_most"]) for r in quality_rules.RATES]))).all()
 
 
+def _plain_limits(rows, groups):
+    """Limits by rate, from sorted buckets of the smallest of `groups` that has LEAST values behind them."""
+    bucket = lambda x: math.floor(math.log(x) / math.log(quality_rules.GAMMA)) if x > 0 else quality_rules.NONE
+    edge = lambda b: math.exp(b * math.log(quality_rules.GAMMA)) if b > quality_rules.NONE else 0.0
+    out = {}
+    for rate, kind in quality_rules.RATES.items():
+        every = [sorted(bucket(r[rate]) for r in rows if not r.base_failed and belongs(r)) for belongs in groups]
+        first = lambda lists: next((x for x in lists if len(x) >= quality_rules.LEAST), lists[-1])
+        at = lambda x, q: x[math.ceil(q * len(x)) - 1] if x else quality_rules.NONE
+        values = first(every)
+        if kind == "high":
+            some = first([[b for b in x if b > quality_rules.NONE] for x in every])
+            out[rate] = (-math.inf, edge(max(at(values, quality_rules.TOP), at(some, quality_rules.SOME)) + 1))
+        else:
+            low, middle, high = edge(at(values, quality_rules.TAIL)), edge(at(values, 0.5)), edge(at(values, 1 - quality_rules.TAIL) + 1)
+            reach = max(high - low, quality_rules.NARROW * middle)
+            out[rate] = (low - reach, high + reach)
+    return out
+
+
+def _sized(seed, n):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(15, 50))]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+        text = lines + [lines[0]] * (rng.random() < 0.3) + ["#" * rng.randint(1, 9)] * (rng.random() < 0.1)
+        rows.append((i, "\n".join(text), *rng.choice([("en", "a")] * 8 + [("en", "b"), ("de", None), (None, "c")])))
+    return rows
+
+
+def test_quality_verdicts_are_what_plain_limits_give(spark):
+    judged = quality_rules.judge(spark.createDataFrame(_sized(5, 700), "doc_id long, text string, lang string, source string")).collect()
+    seen = set()
+    for lang, source in {(r.lang, r.source) for r in judged}:
+        limits = _plain_limits(judged, [lambda r: (r.lang, r.source) == (lang, source), lambda r: r.lang == lang, lambda r: True])  # noqa: B023
+        for r in judged:
+            if (r.lang, r.source) == (lang, source):
+                for rate, (least, most) in limits.items():
+                    assert (r[f"{rate}_least"], r[f"{rate}_most"]) == pytest.approx((least, most), rel=1e-12)
+                assert r.kept == (not r.base_failed and all(least <= r[rate] <= most for rate, (least, most) in limits.items()))
+                seen.add(r.kept)
+    assert seen == {True, False}
+
+
+def test_quality_verdicts_do_not_hang_on_partitions(spark):
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t, *_ in _sized(6, 400)], "doc_id long, text string, lang string, source string")
+    docs = docs.join(spark.range(50).withColumnRenamed("id", "k")).selectExpr("doc_id * 50 + k AS doc_id", "concat(text, repeat(' #', cast((doc_id * k) % 23 as int)))  AS text", "lang", "source")
+    found = [{(r.doc_id, r.kept) for r in quality_rules.judge(docs.repartition(n)).select("doc_id", "kept").collect()} for n in (2, 8, 8)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 20_000 and len({k for _, k in found[0]}) == 2
+
+
 def test_quality_limits_follow_the_groups(spark):
     line = "these are plain words of usual length, told in a usual way, and there are more than twenty of them in here {}"
     rows = [(i, line.format(i), "en", "a") for i in range(200)] + [(1000 + i, " ".join(f"{w}$$$$" for w in line.format(i).split()), "en", "a") for i in range(3)]
