@@ -1,15 +1,24 @@
 """Sequential steps over regions: clustering across recordings, and removal of overlapping regions.
 
-Both go on one bin or plane at a time, of bounded size, in a task; pairs and counts come from joins in masks.
+Pairs and counts come from joins. What has to go in order goes on by connected groups of regions, one in a task: regions
+that no chain of overlaps connects can't change each other's result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import defaultdict
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgtrace.operators.graphs import checkpointed, components
+from imgtrace.operators.masks import consensus, large_enough, near_pairs
+
 APART = 10_000.0
 
 
@@ -29,38 +38,151 @@ def complete_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def clusters(members: DataFrame, bin: str, recording: str, roi: str, pixel: str, cut: float) -> DataFrame:
-    """bin, roi and cluster: regions of different recordings, by one less their Jaccard overlap."""
+def linked(near: dict[int, dict[int, float]], cut: float) -> list[list[int]]:
+    """Members of each cluster by complete linkage over sparse distances; those that `near` lacks are farther than any cut.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: (g[recording].iloc[0], frozenset(g[pixel])) for k, g in rows.groupby(roi)}
-        names = sorted(sets)
-        d = np.full((len(names), len(names)), APART)
-        for i, a in enumerate(names):
-            for j in range(i):
-                (ra, pa), (rb, pb) = sets[a], sets[names[j]]
-                if ra != rb and (shared := len(pa & pb)):
-                    d[i, j] = d[j, i] = 1 - shared / (len(pa) + len(pb) - shared)
-        return pd.DataFrame({"bin": rows[bin].iloc[0], "roi": names, "cluster": complete_linkage(d, cut)})
+    `near` holds each member, and each distance both ways. The closest clusters merge first, ties by their least members.
+    """
+    near = {k: dict(v) for k, v in near.items()}
+    held = {k: [k] for k in near}
+    queue = [(d, i, j) for i, others in near.items() for j, d in others.items() if i < j]
+    heapq.heapify(queue)
+    while queue:
+        d, i, j = heapq.heappop(queue)
+        if d > cut:
+            break
+        if i not in held or j not in held or near[i].get(j) != d:
+            continue
+        both = {k: max(near[i][k], near[j][k]) for k in near[i].keys() & near[j].keys()}
+        for gone in (i, j):
+            for k in near[gone]:
+                near[k].pop(gone, None)
+        held[i] = sorted(held[i] + held.pop(j))
+        del near[j]
+        near[i] = both
+        for k, far in both.items():
+            near[k][i] = far
+            heapq.heappush(queue, (far, min(i, k), max(i, k)))
+    return [held[k] for k in sorted(held)]
+
+
+def _nearness(nodes: Iterable[int], edges: Iterable[tuple[int, int, float]]) -> dict[int, dict[int, float]]:
+    near: dict[int, dict[int, float]] = {k: {} for k in nodes}
+    for a, b, d in edges:
+        if a in near and b in near:
+            near[a][b] = near[b][a] = d
+    return near
 
-    return members.select(bin, recording, roi, pixel).distinct().groupBy(bin).applyInPandas(run, "bin long, roi long, cluster long")
+
+def clusters(members: DataFrame, bin: str, recording: str, roi: str, pixel: str, cut: float) -> DataFrame:
+    """bin, roi and cluster (from 0 in each bin): regions of different recordings, by one less their Jaccard overlap (`cut` below 1).
+
+    Pairs meet on their pixels, and only those within the cut go on; each connected group of regions is clustered by itself.
+    """
+    rows = members.select(F.struct(F.col(bin).cast("long").alias("bin"), F.col(roi).cast("long").alias("roi")).alias("key"), F.col(recording).alias("recording"), F.struct(bin, pixel).alias("pixel")).distinct()
+    pairs = checkpointed(_distances(rows.select(F.col("key").alias("roi"), "recording", "pixel"), cut))
+    every = rows.select("key", "key.bin", "key.roi").distinct()
+    grouped = components(pairs)
+    groups = every.join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bin", "roi", F.coalesce("component.roi", "roi").alias("component"))
+    links = pairs.join(grouped.withColumnRenamed("node", "a"), "a").select(F.col("component.bin").alias("bin"), F.col("component.roi").alias("component"), F.col("a.roi").alias("a"), F.col("b.roi").alias("b"), "d")
+
+    def run(found: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near = _nearness(found["roi"].tolist(), zip(edges["a"], edges["b"], edges["d"], strict=True))
+        held = linked(near, cut)
+        return pd.DataFrame([(found["bin"].iloc[0], r, c[0]) for c in held for r in c], columns=["bin", "roi", "least"])
+
+    out = groups.groupBy("bin", "component").cogroup(links.groupBy("bin", "component")).applyInPandas(run, "bin long, roi long, least long")
+    return out.select("bin", "roi", (F.dense_rank().over(Window.partitionBy("bin").orderBy("least")) - 1).cast("long").alias("cluster"))
+
+
+def _distances(masks: DataFrame, cut: float, near: DataFrame | None = None) -> DataFrame:
+    """a, b and d (one less the Jaccard overlap) of regions (roi, recording, pixel) of different recordings, up to `cut`; of the pairs in near, if given."""
+    size = F.count("*").over(Window.partitionBy("roi"))
+    side = lambda name: masks.select(F.col("roi").alias(name), F.col("recording").alias(f"rec_{name}"), "pixel", size.alias(f"n_{name}"))
+    if near is None:
+        met = side("a").join(side("b"), "pixel").where("a < b and rec_a <> rec_b")
+    else:
+        met = near.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "pixel"])
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return counted.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d")).where(F.col("d") <= cut)
+
+
+def tracked(regions: DataFrame, masks: DataFrame, step: int, margin: int, distance: float, cut: float, least: int, height: int, width: int) -> DataFrame:
+    """roi, recording, cluster (its least region), by and bx of the regions (roi, recording, y, x) that are found again.
+
+    Bins of step by step pixels take their turns row by row. A bin clusters the regions that it reaches, `margin` pixels
+    beyond its edges too, and that no bin before has taken: by complete linkage of Jaccard distances between regions of
+    different recordings whose centres lie closer than `distance`. It takes the clusters with regions of `least`
+    recordings (2 at least) and their middle in the bin. Distances over `cut` (below 1) never merge, so groups that no
+    chain of smaller ones connects can't touch each other in any bin: each connected group goes through its bins by
+    itself, in their order, with distances only. A group is as large as one stretch of touching regions.
+    """
+    if least < 2 or cut >= 1:
+        raise ValueError("a cluster needs regions of two recordings, and a cut below 1")
+    near = near_pairs(regions, "roi", "recording", "y", "x", distance)
+    held = masks.select("roi", "pixel").distinct().join(regions.select("roi", "recording"), "roi")
+    pairs = checkpointed(_distances(held, cut, near))
+    grouped = components(pairs)
+    nodes = regions.join(grouped.withColumnRenamed("node", "roi"), "roi").select("component", "roi", "recording", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    links = pairs.join(grouped.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("of"), "a", "b", "d")
+
+    def run(found: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        place = {r: (y, x, rec) for r, y, x, rec in zip(found["roi"], found["y"], found["x"], found["recording"], strict=True)}
+        reach = defaultdict(list)
+        for r, (y, x, _) in sorted(place.items()):
+            for by in range(max(0, math.floor((y - step - margin) / step) + 1), min((height - 1) // step, math.ceil((y + margin) / step) - 1) + 1):
+                for bx in range(max(0, math.floor((x - step - margin) / step) + 1), min((width - 1) // step, math.ceil((x + margin) / step) - 1) + 1):
+                    reach[by, bx].append(r)
+        every = _nearness(place, zip(edges["a"], edges["b"], edges["d"], strict=True))
+        taken, out = set(), []
+        for (by, bx), reached in sorted(reach.items()):
+            free = {r for r in reached if r not in taken}
+            for c in linked({r: {k: d for k, d in every[r].items() if k in free} for r in sorted(free)}, cut):
+                middle = np.mean([place[r][:2] for r in c], axis=0) // step
+                if len({place[r][2] for r in c}) >= least and tuple(middle) == (by, bx):
+                    taken.update(c)
+                    out += [(r, place[r][2], c[0], by, bx) for r in c]
+        return pd.DataFrame(out, columns=["roi", "recording", "cluster", "by", "bx"])
+
+    return nodes.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(run, "roi long, recording long, cluster long, by long, bx long")
+
+
+def templates(found: DataFrame, masks: DataFrame, percent: int, least: int) -> DataFrame:
+    """cluster, pixel, holders and weight of tracked clusters' shared masks (roi, pixel, weight): the pixels that enough of
+    their regions hold, of clusters with `least` pixels that no other cluster has."""
+    shared = consensus(found.select("roi", "cluster").join(masks, "roi"), "cluster", "roi", "pixel", "weight", percent)
+    return shared.join(large_enough(shared, "cluster", "pixel", least).select("cluster"), "cluster", "left_semi")
 
 
 def without_overlapping(masks: DataFrame, plane: str, roi: str, pixel: str, most: float) -> DataFrame:
-    """plane and roi of the regions that stay: from the last to the first, one goes if more than `most` of its pixels lie in others that are still there."""
+    """plane and roi of the regions that stay: from the last to the first, one goes if more than `most` of its pixels lie in others that are still there.
+
+    Counts of holders only fall, so a region within the limit at the start stays. The others hang on each other only
+    through pixels that two of them hold, so each connected group of these takes its turns by itself.
+    """
+    key = F.struct(F.col(plane).cast("long").alias("plane"), F.col(roi).cast("long").alias("roi"))
+    rows = masks.select(key.alias("key"), F.struct(plane, pixel).alias("pixel"))
+    holders = rows.withColumn("holders", F.count("*").over(Window.partitionBy("pixel")))
+    crowded = F.sum(F.when(F.col("holders") > 1, 1).otherwise(0)).over(Window.partitionBy("key")) > most * F.count("*").over(Window.partitionBy("key"))
+    judged = checkpointed(holders.withColumn("open", crowded))
+    at_pixel = Window.partitionBy("pixel")
+    open_rows = judged.where("open").select("key", "pixel", (F.col("holders") - F.count("*").over(at_pixel)).alias("settled"), F.min("key").over(at_pixel).alias("first"))
+    grouped = components(open_rows.select(F.col("key").alias("a"), F.col("first").alias("b")))
+    joined = open_rows.join(grouped.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("component", "key").alias("component"), "key.plane", "key.roi", F.col(f"pixel.{pixel}").alias("pixel"), "settled")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        count = rows[pixel].value_counts().to_dict()
+        count = (rows["pixel"].value_counts() + rows.groupby("pixel")["settled"].first()).to_dict()
         kept = []
-        for name, own in sorted(((k, g[pixel].tolist()) for k, g in rows.groupby(roi)), reverse=True):
+        for name, own in sorted(((k, g["pixel"].tolist()) for k, g in rows.groupby("roi")), reverse=True):
             if sum(count[p] > 1 for p in own) > most * len(own):
                 for p in own:
                     count[p] -= 1
             else:
                 kept.append(name)
-        return pd.DataFrame({"plane": rows[plane].iloc[0], "roi": sorted(kept)})
+        return pd.DataFrame({"plane": rows["plane"].iloc[0], "roi": sorted(kept)})
 
-    return masks.select(F.col(plane).cast("long").alias(plane), F.col(roi).cast("long").alias(roi), pixel).groupBy(plane).applyInPandas(run, "plane long, roi long")
+    stay = judged.where("not open").select("key.plane", "key.roi").distinct()
+    return stay.union(joined.groupBy("component").applyInPandas(run, "plane long, roi long"))
 
 
 def in_bins(rois: DataFrame, y: str, x: str, step: int, margin: int, height: int, width: int) -> DataFrame:

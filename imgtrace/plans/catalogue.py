@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import deconvolution, frames, images, masks, models, movies, registration, rois, tracking
+from imgtrace.operators import deconvolution, frames, images, masks, models, movies, rois, tracking
 from imgtrace.plans import jobs
 from imgtrace.streaming import windows
 
@@ -549,13 +549,3 @@ def class_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def image_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.principal_components(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
-
-
-@query()
-def frame_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registration.rigid_offsets(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 8, 8, 2)
-
-
-@query()
-def roi_greedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.without_overlapping(supplier_masks(spark, sf_dir).join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("plane")), "roi"), "plane", "roi", "pixel", 0.2)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from imgtrace.functions import temporal
-from imgtrace.operators import deconvolution, masks, registration, rois, tracking
+from imgtrace.operators import deconvolution, masks, rois, tracking
 from imgtrace.sources import tiff
 from imgtrace.streaming import windows
 
@@ -38,12 +38,6 @@ def test_complete_linkage_cuts_at_the_greatest_distance():
     assert tracking.complete_linkage(d, 4).tolist() == [0, 0, 0, 1]
 
 
-def test_phase_correlation_finds_a_roll():
-    image = np.random.default_rng(0).normal(size=(32, 32))
-    dy, dx, peak = registration.phase_correlation(np.roll(image, (3, -2), (0, 1)), image, 5)
-    assert (dy, dx) == (-3, 2) and peak == pytest.approx(1)
-
-
 def test_greedy_overlap_goes_from_the_last(spark):
     rows = [(0, r, p) for r, ps in ((1, [1, 2, 3]), (2, [3, 4, 5]), (3, [4, 5, 3])) for p in ps]
     out = tracking.without_overlapping(spark.createDataFrame(rows, "plane long, roi long, pixel long"), "plane", "roi", "pixel", 0.5)
