@@ -34,6 +34,8 @@ TOP = 50
 #: Bytes of text a shard, and rows that a task's DuckDB holds before it adds them up.
 SHARD_BYTES = 16 << 20
 HELD = 1_000_000
+#: Parts of a shard in the second round, so that its tasks are many and even.
+PARTS = 8
 #: Shards whose highest terms are merged first, before all of them are.
 MERGED = 64
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -166,7 +168,9 @@ def audit(docs: DataFrame) -> DataFrame:
     kept, shards = kept_terms(docs)
     kept = materialize(kept)
     groups = materialize(sizes(docs, kept))
-    everywhere = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    part = F.pmod(F.xxhash64(F.lit("part"), "lang", "term"), F.lit(PARTS)).cast("int")
+    kept = kept.withColumn("shard", F.col("shard") * PARTS + part)
+    everywhere = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards * PARTS - 1))))
     compared = materialize(kept.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInArrow(_compare, _PART))
     terms = compared.where("part = 'term'").withColumn("merged", F.pmod("shard", F.lit(MERGED)))
     highest = _rank(terms, "merged").where(F.col("rank") <= TOP).drop("rank")
