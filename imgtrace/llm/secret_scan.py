@@ -238,13 +238,14 @@ def sample_windows(docs: DataFrame) -> list[Example]:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["key", "words", "tags", "features"])
 
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    source = docs.select(key.alias("key"), text_or_empty().alias("text"))
-    # The texts of the least keys: the bound is found on keys alone, so no text moves but those of the sample.
-    bound = source.select("key").orderBy("key").limit(SAMPLE_DOCS).agg(F.max("key")).first()[0]
+    source = docs.select(key.alias("key"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    # The least pairs of hashes of id and text, equal rows once: found on the hashes alone, so no text moves but those of the sample.
+    bound = source.select("key", "tie").distinct().orderBy("key", "tie").limit(SAMPLE_DOCS).agg(F.max(F.struct("key", "tie")).alias("last")).first().last
     if bound is None:
         return []
-    windows = source.where(F.col("key") <= bound).mapInArrow(run, schema).orderBy("key").limit(SAMPLE_DOCS)
-    return [(r.words, r.tags, tuple(r.features)) for r in windows.collect()]
+    least = (F.col("key") < bound.key) | ((F.col("key") == bound.key) & (F.col("tie") <= bound.tie))
+    chosen = source.where(least).dropDuplicates(["key", "tie"]).orderBy("key", "tie").drop("tie")
+    return [(r.words, r.tags, tuple(r.features)) for r in chosen.mapInArrow(run, schema).collect()]
 
 
 def train(windows: list[Example], seed: int = 0) -> Field:
