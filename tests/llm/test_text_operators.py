@@ -390,6 +390,16 @@ def test_decoded_runs_are_kept_beside_the_rules_spans():
     assert secret_scan.scan_text("key correcthorsebattery ab1", _Tags((1, 2), (2, 3))) == [(4, 23, "field"), (24, 27, "field")]
 
 
+def test_secret_sample_does_not_hang_on_partitions(spark, monkeypatch):
+    """Documents of one id, or none, are told apart by their texts, and equal rows count once."""
+    monkeypatch.setattr(secret_scan, "SAMPLE_DOCS", 40)
+    for doc_id in ("cast(null as long)", "7", "id % 3"):
+        docs = spark.range(300).selectExpr(f"{doc_id} AS doc_id", "concat('text number ', id % 150, repeat(' and', cast(id % 7 as int))) AS text")
+        found = [secret_scan.sample_windows(docs.repartition(n)) for n in (1, 7)]
+        assert found[0] == found[1] and len(found[0]) == 40
+        assert len({tuple(words) for words, _, _ in found[0]}) > 25
+
+
 def test_secret_query_and_redaction(spark, odd, texts):
     rows = entries.op3_secret_scan(spark, SF).collect()
     for r in rows:
