@@ -54,6 +54,7 @@ def summed_images(frames: DataFrame, keys: Sequence[str], values: str) -> DataFr
     """keys (numbers), pixels (sums over the key's frames, array<double>) and n, the number of frames.
 
     Tasks add up their own frames first; sums then meet in a tree of fixed fan-in, so no task gets an image of each task.
+    Keys may have images of different sizes, but each key of one size.
     """
     names = [*keys, "part"]
     fields = ", ".join(f"{k} long" for k in names)
@@ -73,8 +74,10 @@ def summed_images(frames: DataFrame, keys: Sequence[str], values: str) -> DataFr
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield added(*read(batch), np.ones(batch.num_rows, np.int64))
+            sizes = batch.column("pixels").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                same = batch.filter(pa.array(sizes == size))
+                yield added(*read(same), np.ones(same.num_rows, np.int64))
 
     def again(rows: pa.Table) -> pa.Table:
         return pa.Table.from_batches([added(*read(rows), rows["n"].to_numpy())])

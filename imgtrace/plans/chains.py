@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, frames, registration, tracking
+from imgtrace.operators import alignment, frames, principal, registration, tracking
 from imgtrace.plans.catalogue import MOVIE, query, read, rounded, supplier_masks
 
 # ---- registration
@@ -115,3 +115,16 @@ def tracking_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracking_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, held = yearly_regions(spark, sf_dir)
     return tracking.templates(tracking.tracked(regions, held, 100, 20, 12.0, 0.97, 2, 1000, 1000), held, 50, 1)
+
+
+# ---- motion left after registration
+
+
+@query()
+def pc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(principal.scores(numbered_movie(spark, sf_dir), "label", "frame", "embedding", 3), "score", "share", digits=6)
+
+
+@query()
+def pc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(principal.metrics(numbered_movie(spark, sf_dir), "label", "frame", "embedding", CHAIN, 3, 10), "share", "rigid", "blocks_mean", "blocks_most")
