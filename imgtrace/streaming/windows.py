@@ -17,14 +17,19 @@ def counted(events: DataFrame, ts: str, width: str, kind: str, value: str) -> Da
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n", "total")
 
 
-def tumbling(spark: SparkSession, path: str, ts: str, width: str, kind: str, value: str) -> DataFrame:
-    """Runs the stream over all files there are, and gives the windows as they stand at its end."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or in local mode one of our own under the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    out = f"{shared.rstrip('/')}/imgtrace-stream-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def tumbling(spark: SparkSession, path: str, ts: str, width: str, kind: str, value: str) -> DataFrame:
+    """Runs the stream over all files there are, and gives the windows as they stand at its end."""
+    out = f"{shared_folder(spark)}/imgtrace-stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     table = counted(events, ts, width, kind, value)
 
