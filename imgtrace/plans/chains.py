@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, frames, principal, registration, tracking
+from imgtrace.operators import alignment, deconvolution, extraction, fluorescence, frames, masks, principal, registration, tracking
 from imgtrace.plans.catalogue import MOVIE, TRACES, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
 from imgtrace.streaming import traces as streams
 from imgtrace.streaming import windows
@@ -157,3 +157,117 @@ def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ranked_events(spark, sf_dir).select(F.col("user_id").cast("long").alias("region"), F.col("frame").cast("long").alias("frame"), F.col("value").cast("double").alias("value"))
     least = table.agg(F.min("value")).first()[0] or 0.0
     return streams.in_turns(spark, windows.shared_folder(spark), arriving(spark, table, (20, 45)), lambda s: streams.spikes(s, "region", "frame", "value", 0.7, 10.0, least))
+
+
+# ---- extraction
+
+#: Regions are nations, in planes by number; their pixels are those that get most of the nation's parts, by number of part.
+REGIONS = """regions as (select s_nationkey as roi, s_nationkey % 10 as plane, l_partkey % 64 as pixel, sum(l_quantity)::double as weight from lineitem join supplier on s_suppkey = l_suppkey group by all),
+masks as (select * from regions qualify weight >= quantile_cont(weight, 0.9) over (partition by roi)),
+every as (select distinct plane, roi from masks),
+built as (select plane, roi, pixel, weight / sum(weight) over (partition by plane, roi) as share from masks),
+held as (select distinct plane, pixel from masks),
+grown as (select plane, roi, pixel // 8 + dy as y, pixel % 8 + dx as x from masks, (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) as steps(dy, dx)),
+around as (select plane, roi, i as pixel from every e, (select unnest(range(64)) as i) where not exists (select 1 from held h where h.plane = e.plane and h.pixel = i)
+  and not exists (select 1 from grown g where g.plane = e.plane and g.roi = e.roi and g.y = i // 8 and g.x = i % 8))"""
+FOUND = f"""{MOVIE}, numbered as (select label as plane, dense_rank() over (partition by label order by frame) - 1 as frame, pixel, value from movie), {REGIONS},
+own as (select plane, roi, frame, sum(share * value) as fluorescence from built join numbered using (plane, pixel) group by all),
+near as (select plane, roi, frame, avg(value) as neuropil from around join numbered using (plane, pixel) group by all),
+found as (select plane, roi, frame, fluorescence, coalesce(neuropil, 0) as neuropil, fluorescence - 0.7::double * coalesce(neuropil, 0) as corrected from own left join near using (plane, roi, frame))"""
+
+
+def regions_of_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    nation = F.col("s_nationkey").cast("long")
+    whole = lines.groupBy(nation.alias("roi"), (nation % 10).alias("plane"), (F.col("l_partkey") % 64).cast("long").alias("pixel")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    most = F.percentile("weight", F.lit(0.9)).over(Window.partitionBy("roi"))
+    return whole.withColumn("most", most).where("weight >= most").drop("most")
+
+
+def masks_of_planes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Masks with shared pixels, and surrounds that take all free pixels of the plane but the region's own border."""
+    regions = regions_of_planes(spark, sf_dir)
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("plane", "roi"))
+    return regions.select("plane", "roi", "pixel", share.alias("share")), extraction.surrounds(regions, "plane", "roi", "pixel", 8, 8, 1, 64)
+
+
+def extracted(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    movie = numbered_movie(spark, sf_dir)
+    movie = movie.withColumn("embedding", F.reverse("embedding")) if second else movie
+    return fluorescence.traces(movie, *masks_of_planes(spark, sf_dir), "label", "frame", "embedding", 8, 8, 0.7)
+
+
+@query(f"""with {FOUND} select plane, roi, frame, round(fluorescence, 5) + 0.0 as fluorescence, round(neuropil, 5) + 0.0 as neuropil, round(corrected, 5) + 0.0 as corrected,
+round(corrected - quantile_cont(corrected, 0.08) over (partition by plane, roi), 5) + 0.0 as delta from found""")
+def extraction_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fluorescence.with_baseline(extracted(spark, sf_dir), 0.08)
+    return rounded(out, "fluorescence", "neuropil", "corrected", "delta", digits=5)
+
+
+@query(f"""with {FOUND}, centred as (select *, corrected - avg(corrected) over (partition by plane, roi) as c from found)
+select plane, roi, count(*) as frames, round(avg(corrected), 5) + 0.0 as mean, round(stddev_pop(corrected), 5) + 0.0 as deviation, round(avg(c * c * c) / power(avg(c * c), 1.5), 5) + 0.0 as skewness from centred group by all""")
+def extraction_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fluorescence.activity(extracted(spark, sf_dir)), "mean", "deviation", "skewness", digits=5)
+
+
+@query()
+def extraction_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes of each region's corrected trace less its baseline."""
+    deltas = fluorescence.with_baseline(extracted(spark, sf_dir), 0.08).withColumn("region", F.col("plane") * 1000 + F.col("roi"))
+    return rounded(deconvolution.spikes(deltas, "region", "frame", "delta", 0.7, 10.0), "spike", digits=6)
+
+
+BLENDED = f"""with {FOUND}, means as (select plane, pixel, avg(value) as f from numbered group by all),
+images as (select a.plane, a.pixel, a.f, b.f as s, a.pixel // 8 as y, a.pixel % 8 as x from means a join means b on b.plane = a.plane and b.pixel = 63 - a.pixel),
+bounds as (select unnest(range(3)) as b, unnest([0, 2, 5]) as low, unnest([2, 5, 8]) as high),
+bell as (select k, exp(-0.5::double * k * k) / sum(exp(-0.5::double * k * k)) over () as w from (select unnest(range(-4, 5)) as k)),
+side as (select b, i, sum(w) as w from bounds, bell, (select unnest(range(8)) as i) where case when (i + k + 16) % 16 < 8 then (i + k + 16) % 16 else 15 - (i + k + 16) % 16 end between low and high - 1 group by all),
+slopes as (select plane, v.b as by_, h.b as bx, case when sum(f * f) > 0 then sum(f * s) / sum(f * f) else 0 end as slope from images join bounds v on y between v.low and v.high - 1 join bounds h on x between h.low and h.high - 1 group by all),
+blend as (select i.plane, i.pixel, any_value(f) as f, any_value(s) as s, sum(v.w * h.w * slope) as blend from images i join slopes p on p.plane = i.plane join side v on v.b = by_ and v.i = i.y join side h on h.b = bx and h.i = i.x group by all),
+fixed as (select plane, pixel, greatest(0, s - f * blend) as value from blend)"""
+
+
+def second_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean images of the first channel and of the second (the frames upside down), and the second without bleedthrough."""
+    movie = read(spark, sf_dir, "embeddings").withColumn("other", F.reverse("embedding"))
+    first = frames.mean_images(movie, ["label"], "embedding").select(F.col("label").alias("plane"), F.col("pixels").alias("functional"))
+    second = frames.mean_images(movie, ["label"], "other").select(F.col("label").alias("plane"), F.col("pixels").alias("structural"))
+    return fluorescence.corrected_images(first.join(second, "plane"), 8, 8)
+
+
+@query(f"{BLENDED} select plane, pixel, round(value, 6) + 0.0 as value from fixed")
+def image_bleedthrough_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = second_images(spark, sf_dir).select("plane", F.posexplode("pixels").alias("pixel", "value"))
+    return rounded(pixels.withColumn("pixel", F.col("pixel").cast("long")), "value", digits=6)
+
+
+@query(f"""{BLENDED}, inside as (select plane, roi, greatest(1e-3, sum(share * value)) as inside from built join fixed using (plane, pixel) group by all),
+outside as (select plane, roi, avg(value) as outside from around join fixed using (plane, pixel) group by all),
+trace as (select plane, roi, avg(share_value) as mean from (select plane, roi, frame, sum(share * value) as share_value from built b join (select plane, frame, 63 - pixel as pixel, value from numbered) using (plane, pixel) group by all) group by all)
+select plane, roi, round(mean, 5) + 0.0 as mean, round(inside, 5) + 0.0 as inside, round(coalesce(outside, 0), 5) + 0.0 as outside, round(inside / (inside + coalesce(outside, 0)), 5) + 0.0 as probability, inside / (inside + coalesce(outside, 0)) > 0.65 as colocalized
+from inside join trace using (plane, roi) left join outside using (plane, roi)""")
+def channel_2_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first channel's masks on the second channel: mean fluorescence, and whether the corrected image is bright under them."""
+    means = extracted(spark, sf_dir, second=True).groupBy("plane", "roi").agg(F.avg("fluorescence").alias("mean"))
+    met = fluorescence.colocalized(*masks_of_planes(spark, sf_dir), second_images(spark, sf_dir), 0.65)
+    return rounded(means.join(met, ["plane", "roi"]), "mean", "inside", "outside", "probability", digits=5)
+
+
+@query(f"""with {FOUND}, moved as (select plane, roi + 100 as roi, 63 - pixel as pixel, share from built), placed as (select plane, roi, frame, sum(share * value) as f from moved join (select plane, frame, 63 - pixel as pixel, value from numbered) using (plane, pixel) group by all),
+centred as (select *, f - avg(f) over (partition by plane, roi) as c from placed),
+stats as (select plane, roi, count(*) as frames, avg(f) as mean, avg(c * c * c) / power(avg(c * c), 1.5) as skewness from centred group by all),
+a as (select plane, roi, pixel, count(*) over (partition by plane, roi) as n from built), b as (select plane, roi, pixel, count(*) over (partition by plane, roi) as n from moved),
+score as (select b.plane, b.roi, a.roi as other, count(*) / least(any_value(a.n), any_value(b.n))::double as score from a join b on a.plane = b.plane and a.pixel = b.pixel group by all),
+best as (select *, row_number() over (partition by plane, roi order by score desc, other) as r1, row_number() over (partition by plane, other order by score desc, roi) as r2 from score)
+select s.plane, s.roi, frames, round(mean, 5) + 0.0 as mean, round(skewness, 5) + 0.0 as skewness, coalesce(other, -1) as matched, round(coalesce(score, 0), 5) + 0.0 as score
+from stats s left join best b on b.plane = s.plane and b.roi = s.roi and r1 = 1 and r2 = 1 and score >= 0.1""")
+def channel_2_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second channel's own masks: their traces on it, and the first channel's regions that they match best."""
+    built, _ = masks_of_planes(spark, sf_dir)
+    second = built.select("plane", (F.col("roi") + 100).alias("roi"), (63 - F.col("pixel")).alias("pixel"), "share")
+    movie = numbered_movie(spark, sf_dir).withColumn("embedding", F.reverse("embedding"))
+    found = fluorescence.traces(movie, second, second.limit(0), "label", "frame", "embedding", 8, 8, 0.0)
+    by_plane = lambda m: m.select(F.col("roi"), (F.col("plane") * 64 + F.col("pixel")).alias("pixel"))
+    matches = masks.mutual_matches(by_plane(second), by_plane(built), "roi", "pixel", 0.1).withColumnRenamed("a", "roi")
+    out = fluorescence.activity(found).drop("deviation").join(matches, "roi")
+    return rounded(out.select("plane", "roi", "frames", "mean", "skewness", "matched", "score"), "mean", "skewness", "score", digits=5)
