@@ -5,14 +5,17 @@ Shapes as in the catalogue: movies are embeddings (plane label, frames in order
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, deconvolution, extraction, fluorescence, frames, masks, principal, registration, tracking
+from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, principal, registration, tracking
 from imgtrace.plans.catalogue import MOVIE, TRACES, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
+from imgtrace.sources import tiff
 from imgtrace.streaming import traces as streams
 from imgtrace.streaming import windows
 
@@ -271,3 +274,56 @@ def channel_2_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = masks.mutual_matches(by_plane(second), by_plane(built), "roi", "pixel", 0.1).withColumnRenamed("a", "roi")
     out = fluorescence.activity(found).drop("deviation").join(matches, "roi")
     return rounded(out.select("plane", "roi", "frames", "mean", "skewness", "matched", "score"), "mean", "skewness", "score", digits=5)
+
+
+# ---- stacks of pages
+
+
+@query("""with pages as (select vec_id as position, count(*) over () as n, unnest(range(64)) as pixel, trunc(unnest(embedding)::double * 10000)::integer as value from embeddings)
+select position % 4 // 2 as plane, position % 2 as channel, position // 4 as frame, pixel, value from pages where position < n // 4 * 4""")
+def tiff_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movie written as stacks of pages, read again, and dealt to two planes of two channels."""
+    folder = f"{re.sub('^file:/+', '/', windows.shared_folder(spark))}/imgtrace-stacks-{uuid.uuid4().hex}"
+    values = F.transform("embedding", lambda v: (v.cast("double") * 10000).cast("int").cast("smallint"))
+    movie = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), values.alias("pixels"))
+    for source in (tiff.TiffPages, tiff.TiffStack):
+        spark.dataSource.register(source)
+    movie.repartitionByRange("frame").sortWithinPartitions("frame").write.format("tiff_stack").mode("append").save(folder)
+    pages = spark.read.format("tiff_pages").load(folder)
+    return tiff.converted(pages, 2, 2).select("plane", "channel", "frame", F.posexplode("pixels").alias("pixel", "value")).withColumns({"pixel": F.col("pixel").cast("long"), "value": F.col("value").cast("int")})
+
+
+# ---- masks between recordings
+
+#: Regions of the world are recordings, each with a smooth field of its own over 40 by 50 pixels.
+FIELDS = """fields as (select r_regionkey as recording, i as pixel, 2 * sin(i // 50 / 12.0::double + r_regionkey) as dy, 1.5::double * cos(i % 50 / 10.0::double - r_regionkey) as dx from region, (select unnest(range(2000)) as i)),
+placed as (select n_regionkey as recording, l_suppkey as roi, l_partkey % 2000 as pixel, sum(l_quantity)::double as weight from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by all)"""
+
+
+def smooth_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = F.sequence(F.lit(0), F.lit(1999))
+    key = F.col("r_regionkey")
+    dy = F.transform(grid, lambda i: 2 * F.sin(F.floor(i / 50) / 12.0 + key))
+    dx = F.transform(grid, lambda i: 1.5 * F.cos(i % 50 / 10.0 - key))
+    return read(spark, sf_dir, "region").select(key.cast("long").alias("recording"), dy.alias("dy"), dx.alias("dx"))
+
+
+def placed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    homes = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
+    lines = read(spark, sf_dir, "lineitem").join(homes, F.col("s_suppkey") == F.col("l_suppkey"))
+    keys = [F.col("n_regionkey").cast("long").alias("recording"), F.col("l_suppkey").cast("long").alias("roi"), (F.col("l_partkey") % 2000).cast("long").alias("pixel")]
+    return lines.groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("weight"))
+
+
+@query(f"""with {FIELDS}, aimed as (select recording, pixel as target, floor(pixel // 50 + dy + 0.5::double) as y, floor(pixel % 50 + dx + 0.5::double) as x from fields)
+select p.recording, roi, target as pixel, weight from placed p join aimed a on a.recording = p.recording and a.y between 0 and 39 and a.x between 0 and 49 and p.pixel = (a.y * 50 + a.x)::bigint""")
+def masks_into_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.into_common(placed_regions(spark, sf_dir), smooth_fields(spark, sf_dir), 40, 50)
+
+
+@query()
+def masks_into_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's mask, taken into the common view from its own recording, as all recordings see it; by counts and middles."""
+    moving = smooth_fields(spark, sf_dir)
+    common = fields.into_common(placed_regions(spark, sf_dir), moving, 40, 50).select(F.col("roi").alias("cluster"), "pixel", "weight")
+    return rounded(fields.summary(fields.into_recordings(common, moving, 40, 50), "cluster", 50), "radius")
