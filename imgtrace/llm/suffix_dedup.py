@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from imgtrace.llm.document_keys import Group, copied_rows, copies_of_texts, grouped_texts, ordered, with_counts
 
 LENGTH, GRAM = 50, 32
+#: Rounds of climbing before ranks go down by powers of two.
+CLIMBS = 64
 SPREAD = LENGTH - GRAM + 1  # hashes of grams in a window
 RUN = 32  # windows in a segment at most, for a mask of 32 bits
 #: Keys of more runs than this go by whole windows.
@@ -235,22 +237,45 @@ def previous_smaller(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray,
     """For each rank the nearest rank before it that has a smaller place, or -1, and the common prefix with it.
 
     All ranks climb at once: one whose candidate has a greater place takes that one's own candidate, which lies beyond
-    nothing smaller. The common prefix is the least over the ranks passed.
+    nothing smaller. The common prefix is the least over the ranks passed. Long runs of places that rise, then fall, would
+    take a round for each, so what still climbs after CLIMBS rounds goes down by powers of two.
     """
     to, prefix = np.arange(len(order)) - 1, common.copy()
     climbing = np.arange(1, len(order))
     climbing = climbing[order[climbing - 1] > order[climbing]]
-    while len(climbing):
+    for _ in range(CLIMBS):
+        if not len(climbing):
+            break
         at = to[climbing]
         near, nearer = to[at], np.minimum(prefix[climbing], prefix[at])
         to[climbing], prefix[climbing] = near, nearer
         going = near >= 0
         climbing, near = climbing[going], near[going]
         climbing = climbing[order[near] > order[climbing]]
+    if len(climbing):
+        to[climbing], prefix[climbing] = _descended(order, common, climbing, to[climbing], prefix[climbing])
     prefix[to < 0] = 0
     return to, prefix
 
 
+def _descended(order: np.ndarray, common: np.ndarray, ranks: np.ndarray, to: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for some ranks from their candidates on: past blocks of 2 ** k ranks without a smaller place, largest first."""
+    least, nearest = [order.astype(np.int32)], [common.astype(np.int32)]
+    while 2 << (len(least) - 1) <= len(order):
+        half = 1 << (len(least) - 1)
+        for levels in (least, nearest):
+            up = levels[-1].copy()  # of the 2 * half ranks that end here; those too near the start are never asked for
+            up[half:] = np.minimum(levels[-1][half:], levels[-1][:-half])
+            levels.append(up)
+    for k in range(len(least) - 1, -1, -1):
+        whole = to >= (1 << k) - 1
+        past = np.zeros(len(ranks), bool)
+        past[whole] = least[k][to[whole]] > order[ranks[whole]]
+        prefix = np.where(past, np.minimum(prefix, nearest[k][to]), prefix)
+        to = np.where(past, to - (1 << k), to)
+    return to, prefix
+
+
 def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By place (as a number in `order`): the length of its longest previous factor, and an earlier place that has it, or -1.
 
