@@ -41,8 +41,8 @@ SHARED = 2048
 RADIUS, WIDTH = 2, 16
 ROUNDS, BATCH, STEP = 2, 4096, 0.1
 SHARD_WORDS = 8_000_000
-#: Weights in a block that is averaged as one, and partial averages of each block.
-BLOCK, PARTIAL = 1 << 14, 16
+#: Weights in a block that is averaged as one, and rows of it that a task averages.
+BLOCK, FAN_IN = 1 << 14, 64
 _WORD = re.compile(WORD)
 PAD = SIZE
 _SHAPES = {
@@ -263,24 +263,28 @@ def _shard(ids: Column, shards: int) -> list[Column]:
     return [F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).cast("int").alias("round")]
 
 
-def _averaged(blocks: DataFrame) -> DataFrame:
-    """block, and weights and sums averaged over the shards' rows by their windows; partial averages come first."""
+def _averaged(blocks: DataFrame, shards: int) -> DataFrame:
+    """block, and weights and sums averaged over the shards' rows by their windows, in a tree: a task takes FAN_IN rows at most."""
     schema = "shard long, block int, windows long, weights binary, sums binary"
 
     def mean(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("shard")
+        rows = rows.sort_by("part")
         n = rows["windows"].to_numpy().astype(np.float64)
         out = [sum(k * np.frombuffer(x, "<f4").astype(np.float64) for k, x in zip(n.tolist(), rows[c].to_pylist(), strict=True)) / n.sum() for c in ("weights", "sums")]
-        return pa.table([rows["shard"][:1], rows["block"][:1], pa.array([int(n.sum())], pa.int64()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in out)], names=rows.column_names)
+        return pa.table([rows["shard"][:1], rows["block"][:1], pa.array([int(n.sum())], pa.int64()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in out)], names=["shard", "block", "windows", "weights", "sums"])
 
-    partial = blocks.groupBy("block", F.pmod("shard", F.lit(PARTIAL))).applyInArrow(mean, schema)
-    return partial.groupBy("block").applyInArrow(mean, schema)
+    while True:
+        blocks = blocks.withColumn("part", F.col("shard")).withColumn("shard", F.floor(F.col("shard") / FAN_IN)).groupBy("block", "shard").applyInArrow(mean, schema)
+        shards = -(-shards // FAN_IN)
+        if shards == 1:
+            return blocks
 
 
 def train(documents: DataFrame, n_words: int) -> np.ndarray:
     """The averaged network after ROUNDS rounds; documents as `numbered` gives them."""
     flat, sums = first_weights(), np.full(_N_WEIGHTS, 1e-3, np.float32)
-    source = documents.where(F.length("ids") > 0).select("ids", *_shard(F.col("ids"), max(1, -(-n_words // SHARD_WORDS))))
+    shards = max(1, -(-n_words // SHARD_WORDS))
+    source = documents.where(F.length("ids") > 0).select("ids", *_shard(F.col("ids"), shards))
     schema = "shard long, block int, windows long, weights binary, sums binary"
 
     def one_round(weights: np.ndarray, adagrad: np.ndarray, number: int) -> DataFrame:
@@ -292,7 +296,7 @@ def train(documents: DataFrame, n_words: int) -> np.ndarray:
             columns = [pa.array([shard] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([len(windows)] * len(starts), pa.int64())]
             return pa.table([*columns, *(pa.array([x[i : i + BLOCK].tobytes() for i in starts], pa.binary()) for x in new)], names=["shard", "block", "windows", "weights", "sums"])
 
-        return _averaged(source.where(F.col("round") == number).groupBy("shard").applyInArrow(run, schema))
+        return _averaged(source.where(F.col("round") == number).groupBy("shard").applyInArrow(run, schema), shards)
 
     for k in range(ROUNDS):
         rows = sorted(one_round(flat, sums, k).collect(), key=lambda r: r.block)
