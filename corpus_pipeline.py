@@ -1,4 +1,10 @@
-"""A training corpus from the table of documents, in five stages."""
+"""A training corpus from the table of documents, in five stages.
+
+Each stage takes all that its predecessor kept, whole texts, and passes on all columns of its input; null texts count as
+empty. Defined results: rows without words, with a null doc_id, or of a doc_id that comes more than once stay as long as
+no stage's own rule drops them (line dedup: rows that lose all their lines; the n-gram join: rows linked to a smaller
+doc_id), and packing gives each of them its pieces; an empty table gives no rows, and without labels no document is toxic.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
-from imgtrace.llm.common import materialize, table
+from imgtrace.llm.common import forget, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs, done = materialize(stage(spark, docs, sf_dir)), before
+        if done is not None:
+            forget(done)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
