@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from imgtrace.llm import components, entries, line_dedup, ngram_join, pseudo_likelihood, suffix_dedup, toxicity
+from imgtrace.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, None, 0), (2, "", "en", 1), (3, " \n\t ", None, 2), (3, " \n\t ", None, 2), (None, "no id here " * 20, "en", 3), (None, "no id here " * 20, "en", 3), (5, "x" * 3000, "en", 4), (6, "x" * 3000, "en", 5), (6, "x" * 3000, "en", 5), (7, "word " * 20000, "en", 6), (7, "other", "en", 7)]
@@ -131,6 +132,42 @@ def test_previous_factors_by_brute_force(seed):
     assert suffix_dedup.earliest_places(length, source).tolist() == [first[w] for w in windows]
 
 
+def _smaller_by_stack(order, common):
+    """Previous smaller places with a stack, and the least common prefix on the way."""
+    stack, to, prefix = [], [], []
+    for r, place in enumerate(order):
+        near = int(common[r]) if r else 0
+        while stack and order[stack[-1][0]] > place:
+            near = min(near, stack.pop()[1])
+        to.append(stack[-1][0] if stack else -1)
+        prefix.append(near if stack else 0)
+        stack.append((r, near))
+    return to, prefix
+
+
+@pytest.mark.parametrize("climbs", [0, 2, 64])
+def test_smaller_places_of_long_climbs(monkeypatch, climbs):
+    monkeypatch.setattr(suffix_dedup, "CLIMBS", climbs)
+    rng = np.random.default_rng(5)
+    n = 3000
+    for order in (np.r_[0 : n // 2, n - 1 : n // 2 - 1 : -1], np.r_[0:n:2, n - 1 : 0 : -2], np.arange(n)[::-1], np.arange(n), rng.permutation(n), rng.permutation(5), np.zeros(1, np.int64)):
+        common = rng.integers(0, 50, len(order))
+        got = suffix_dedup.previous_smaller(order, common)
+        assert [x.tolist() for x in got] == list(_smaller_by_stack(order, common))
+
+
+def test_averages_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "FAN_IN", 4)
+    rng = np.random.default_rng(6)
+    weights, sums, windows = rng.random((70, 2, 5)).astype("<f4"), rng.random((70, 2, 5)).astype("<f4"), rng.integers(1, 99, 70)
+    rows = [(k, b, int(windows[k]), bytearray(weights[k, b].tobytes()), bytearray(sums[k, b].tobytes())) for k in range(70) for b in range(2)]
+    blocks = spark.createDataFrame(rows, "shard long, block int, windows long, weights binary, sums binary")
+    for r in pseudo_likelihood._averaged(blocks, 70).collect():
+        share = windows / windows.sum()
+        assert np.frombuffer(r.weights, "<f4") == pytest.approx(share @ weights[:, r.block], rel=1e-5) and np.frombuffer(r.sums, "<f4") == pytest.approx(share @ sums[:, r.block], rel=1e-5)
+        assert r.windows == windows.sum()
+
+
 def test_factors_of_nothing():
     none = np.zeros(0, np.int64)
     length, source = suffix_dedup.longest_previous_factors(none, none)
@@ -445,3 +482,59 @@ def test_pipeline_stages_against_plain_code(spark):
             assert {r.doc_id for r in rows} == set(before)
         docs = spark.createDataFrame(rows, out.schema) if name != "packing" else docs
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def _write(spark, folder, rows, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids long, bucket string"
+    spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, a text of more than 8 MiB, and columns with names that stages use go through every stage."""
+    lines = ["a line of some words here", "and a second line of words", "the third line has words too"]
+    long = "\n".join(f"line {i} of a very long text" for i in range(400_000))
+    texts = [(1, None), (2, ""), (3, " \n\t"), (4, "\n".join(lines)), (5, "\n".join(lines)), (6, "one lone text"), (6, "one lone text"), (None, "a text without an id, of nine words or so"), (8, long)]
+    rows = [(d, t, "en", None, 0 if t is None else len(t), 7, "x") for d, t in texts]
+    assert len(long) > 8 << 20
+    _write(spark, tmp_path, rows, [])
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = materialize(out)
+        kept[name] = sorted(str(r.doc_id) for r in (docs if name != "packing" else out).select("doc_id").distinct().collect())
+    assert kept["toxicity"] == sorted(["1", "2", "3", "4", "5", "6", "8", "None"])
+    assert kept["line_dedup"] == kept["ngram_join"] == kept["secrets"] == sorted(["1", "2", "3", "4", "6", "8", "None"])  # 5 lost all its lines
+    assert docs.where("doc_id = 6").count() == 2 and kept["packing"] == kept["secrets"]
+    assert docs.where("doc_id = 8").first().text == long
+    pieces = out.where("doc_id = 1").collect()
+    assert [(p.length, p.doc_tokens) for p in pieces] == [(1, 1)]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    _write(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_that_the_pipeline_still_finds(spark):
+    """Line dedup cuts shared passages from later copies, so fewer are linked after it than on whole texts; none of the clean ones goes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, copies = [], {}
+    for k in range(40):
+        lines = [[word() for _ in range(12)] for _ in range(12)]
+        rows.append((len(rows), "\n".join(map(" ".join, lines))))
+        for at in rng.sample(range(12), 3 if k % 2 else 1):
+            lines[at][rng.randrange(12)] = word()
+        copies[len(rows)] = len(rows) - 1
+        rows.append((len(rows), "\n".join(map(" ".join, lines))))
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    whole = {r.doc_id for r in stages["ngram_join"](spark, docs, SF).collect()}
+    cut = {r.doc_id for r in stages["ngram_join"](spark, materialize(stages["line_dedup"](spark, docs, SF)), SF).collect()}
+    assert whole >= {d for d in range(len(rows)) if d not in copies} and cut >= {d for d in range(len(rows)) if d not in copies}
+    found = [sum(d not in left for d in copies) / len(copies) for left in (whole, cut)]
+    assert found[0] > 0.9
+    print("near copies found on whole texts, and after line dedup:", found)
