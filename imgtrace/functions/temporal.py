@@ -81,8 +81,10 @@ def threshold_energy(rows: DataFrame, region: str, value: str, above: float) ->
 
 
 def read_window(traces: DataFrame, region: str, frame: str, regions: list[int], start: int, end: int, step: int) -> DataFrame:
-    """Traces of some regions (at most 50), every step-th frame from `start` up to but without `end`."""
-    wanted = F.col(region).isin(regions[:50]) & (F.col(frame) >= start) & (F.col(frame) < end)
+    """Traces of some regions (at most 50, or it is an error), every step-th frame from `start` up to but without `end`."""
+    if len(regions) > 50:
+        raise ValueError(f"{len(regions)} regions at once, where 50 are the most")
+    wanted = F.col(region).isin(regions) & (F.col(frame) >= start) & (F.col(frame) < end)
     return traces.where(wanted & ((F.col(frame) - start) % step == 0))
 
 

@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from imgtrace.operators.movies import weighted_in_time
 
 
-def quantile_edges(training: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
+def quantile_edges(training: DataFrame, features: list[str], bins: int) -> dict[str, Column]:
+    """For each feature an array of its edges, found when the query runs."""
     shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    row = training.agg(*(F.percentile(f, shares).alias(f) for f in features)).first()
-    return {f: list(row[f] or []) for f in features}
+    return {f: training.agg(F.percentile(f, shares)).scalar() for f in features}
 
 
-def bin_of(feature: str, edges: list[float]) -> Column:
+def bin_of(feature: str, edges: Column, bins: int) -> Column:
     """Bin of a value among its edges; null and NaN count as the lowest."""
     value = F.col(feature).cast("double")
-    place = sum(((value >= e).cast("int") for e in edges), F.lit(0))
+    place = sum((F.coalesce(value >= F.get(edges, k), F.lit(False)).cast("int") for k in range(bins - 1)), F.lit(0))
     return F.when(value.isNull() | F.isnan(value), 0).otherwise(place)
 
 
-def bin_log_odds(training: DataFrame, label: str, feature: str, edges: list[float]) -> DataFrame:
+def bin_log_odds(training: DataFrame, label: str, feature: str, edges: Column, bins: int) -> DataFrame:
     share = F.avg(F.col(label).cast("double"))
-    return training.groupBy(bin_of(feature, edges).alias("bin")).agg((F.ln(share + 1e-6) - F.ln(1 - share + 1e-6)).alias("odds"))
+    return training.groupBy(bin_of(feature, edges, bins).alias("bin")).agg((F.ln(share + 1e-6) - F.ln(1 - share + 1e-6)).alias("odds"))
 
 
 def score(rows: DataFrame, training: DataFrame, key: str, label: str, features: list[str], bins: int) -> DataFrame:
@@ -33,8 +33,8 @@ def score(rows: DataFrame, training: DataFrame, key: str, label: str, features:
     edges = quantile_edges(training, features, bins)
     out = rows.select(key, *features)
     for f in features:
-        odds = bin_log_odds(training, label, f, edges[f]).select(F.col("bin").alias(f"bin_{f}"), F.col("odds").alias(f"odds_{f}"))
-        out = out.withColumn(f"bin_{f}", bin_of(f, edges[f])).join(F.broadcast(odds), f"bin_{f}", "left")
+        odds = bin_log_odds(training, label, f, edges[f], bins).select(F.col("bin").alias(f"bin_{f}"), F.col("odds").alias(f"odds_{f}"))
+        out = out.withColumn(f"bin_{f}", bin_of(f, edges[f], bins)).join(F.broadcast(odds), f"bin_{f}", "left")
     total = sum((F.coalesce(f"odds_{f}", F.lit(0.0)) for f in features), F.lit(0.0))
     return out.select(key, total.alias("score"))
 

@@ -111,21 +111,56 @@ def halved(frames: np.ndarray, taper: bool) -> np.ndarray:
     return sums / (rows[:, None] * columns)
 
 
-def box_mean(frames: np.ndarray, half: int) -> np.ndarray:
-    """Mean of the 2 half + 1 square around each pixel, as far as it lies in the image; by sums over corners."""
+def box_sums(frames: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the square from `before` pixels before each pixel to `after` behind it, as far as it lies in the image, and
+    how many pixels that are; by sums over corners."""
     n, h, w = frames.shape
     sums = np.zeros((n, h + 1, w + 1))
     sums[:, 1:, 1:] = frames.cumsum(1).cumsum(2)
-    y0, y1 = np.maximum(np.arange(h) - half, 0), np.minimum(np.arange(h) + half + 1, h)
-    x0, x1 = np.maximum(np.arange(w) - half, 0), np.minimum(np.arange(w) + half + 1, w)
+    y0, y1 = np.maximum(np.arange(h) - before, 0), np.clip(np.arange(h) + after + 1, 0, h)
+    x0, x1 = np.maximum(np.arange(w) - before, 0), np.clip(np.arange(w) + after + 1, 0, w)
     box = sums[:, y1][:, :, x1] - sums[:, y0][:, :, x1] - sums[:, y1][:, :, x0] + sums[:, y0][:, :, x0]
-    return box / ((y1 - y0)[:, None] * (x1 - x0))
+    return box, (y1 - y0)[:, None] * (x1 - x0)
+
+
+def box_mean(frames: np.ndarray, half: int) -> np.ndarray:
+    """Mean of the 2 half + 1 square around each pixel, as far as it lies in the image."""
+    box, count = box_sums(frames, half, half)
+    return box / count
 
 
 def box_high_pass(frames: np.ndarray, half: int) -> np.ndarray:
     return frames - box_mean(frames, half)
 
 
+def _even(window: int) -> tuple[int, int]:
+    if window <= 0 or window % 2:
+        raise ValueError(f"a window must be even and above 0, not {window}")
+    return window // 2 - 1, window // 2
+
+
+def smoothed(frames: np.ndarray, window: int) -> np.ndarray:
+    """Means over an even window, one pixel further behind than before, zeros beyond the image."""
+    return box_sums(frames, *_even(window))[0] / window**2
+
+
+def high_passed(frames: np.ndarray, window: int) -> np.ndarray:
+    """Frames less their means over an even window, as far as it lies in the image."""
+    box, count = box_sums(frames, *_even(window))
+    return frames - box / count
+
+
+def without_background(frames: np.ndarray, size: int) -> np.ndarray:
+    """Frames less their means over a square of any size (an even one reaches further before), as far as it lies in the image."""
+    box, count = box_sums(frames, size // 2, (size - 1) // 2)
+    return frames - box / count
+
+
+def square_response(frames: np.ndarray, size: int) -> np.ndarray:
+    """The sum over a square of any size, zeros beyond the image, by its side: of a patch of unit length."""
+    return box_sums(frames, size // 2, (size - 1) // 2)[0] / size
+
+
 def percentile_normalized(frames: np.ndarray, low: float, high: float) -> np.ndarray:
     """Between two percentiles of each frame, clipped to 0 and 1; 0 where these are equal."""
     lo, hi = np.percentile(frames, [low, high], axis=(1, 2))[:, :, None, None]

@@ -56,27 +56,38 @@ def summary(rows: DataFrame, by: list[str], value: Column, digits: int = 4) -> D
     return rows.groupBy(*by).agg(*(F.round(c, digits).alias(n) for n, c in stats.items()))
 
 
-def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int, sample: int = 500) -> DataFrame:
-    """For each frame the `most` frames of its plane that correlate best with it, among at most `sample` frames, evenly spaced."""
-    place = F.row_number().over(Window.partitionBy(plane).orderBy(frame)) - 1
-    counts = frames.groupBy(plane).agg(F.count("*").alias("n"))
-    wanted = frames.select(plane, frame).withColumn("k", place).join(F.broadcast(counts), plane)
-    step = F.greatest(F.lit(1.0), F.col("n") / sample)
-    first = F.floor(F.col("k") / step) > F.floor((F.col("k") - 1) / step)
-    chosen = frames.join(wanted.where((F.col("k") == 0) | first).select(frame), frame, "left_semi")
-
-    def run(table: pa.Table) -> pa.Table:
+def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int, block: int = 256) -> DataFrame:
+    """For each frame the `most` frames of its plane that correlate best with it, ties to the lower one.
+
+    A plane's frames are dealt into blocks by a hash, and each task compares two blocks, so it holds 2 * block frames or
+    so however long the plane; the best of each block meet in a window.
+    """
+    numbers = frames.select(F.col(plane).cast("long").alias(plane), F.col(frame).cast("long").alias(frame), F.col(values).cast("array<double>").alias(values))
+    blocks = numbers.groupBy(plane).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = numbers.join(blocks, plane).withColumn("block", F.pmod(F.xxhash64(frame), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = dealt.select(plane, frame, values, F.col("block").alias("a"), every.alias("b"))
+    others = dealt.select(*(F.col(c).alias(c) for c in (plane, frame, values)), every.alias("a"), F.col("block").alias("b"))
+
+    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         table = table.sort_by(frame)
-        names = table[frame].to_numpy()
         x = np.array(table[values].to_pylist(), float)
-        x -= x.mean(1, keepdims=True)
-        x /= np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
-        close = np.round(x @ x.T, 6)
-        np.fill_diagonal(close, -np.inf)
-        n = min(most, len(names) - 1)
+        x = x - x.mean(1, keepdims=True)
+        return table[frame].to_numpy(), x / np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["plane", "frame", "other", "correlation"])
+        (names, x), (others_, y) = unit(left), unit(right)
+        close = np.round(x @ y.T, 6)
+        close[names[:, None] == others_] = -np.inf
+        n = min(most, len(others_))
         best = np.argsort(-close, axis=1, kind="stable")[:, :n]
-        columns = [np.repeat(table[plane].to_numpy(), n), np.repeat(names, n), names[best].ravel(), np.take_along_axis(close, best, 1).ravel(), np.tile(np.arange(1, n + 1), len(names))]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["plane", "frame", "other", "correlation", "place"])
-
-    source = chosen.select(F.col(plane).cast("long").alias(plane), F.col(frame).cast("long").alias(frame), F.col(values).cast("array<double>").alias(values))
-    return source.groupBy(plane).applyInArrow(run, "plane long, frame long, other long, correlation double, place long")
+        found = np.take_along_axis(close, best, 1).ravel()
+        kept = found > -np.inf
+        columns = [np.repeat(left[plane].to_numpy(), n)[kept], np.repeat(names, n)[kept], others_[best].ravel()[kept], found[kept]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["plane", "frame", "other", "correlation"])
+
+    pairs = own.groupBy(plane, "a", "b").cogroup(others.groupBy(plane, "a", "b")).applyInArrow(compare, "plane long, frame long, other long, correlation double")
+    place = F.row_number().over(Window.partitionBy("plane", "frame").orderBy(F.desc("correlation"), "other"))
+    return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= most)

@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgtrace.functions import temporal
 from imgtrace.operators.frames import lists
 
+#: Widths from which a Gaussian along frames costs more than means of blocks.
+GAUSSIAN_BELOW = 10
+
 
 def _yx(width: int) -> tuple[Column, Column]:
     return F.floor(F.col("pixel") / width).cast("long"), (F.col("pixel") % width).cast("long")
@@ -19,18 +23,28 @@ def _yx(width: int) -> tuple[Column, Column]:
 def weighted_in_time(traces: DataFrame, region: str, frame: str, value: str, sigma: float, reach: int) -> DataFrame:
     """Adds `smooth`: Gaussian weights over `reach` frames each way, the trace mirrored at its ends (edge frames come twice).
 
-    Frames must be 0, 1, 2, ... in each region. Each frame is sent to those that it and its mirror images weigh on.
+    Frames must be 0, 1, 2, ... in each region. A window of the region's frames holds all that weigh on a frame, mirror
+    images too, so nothing is sent but the trace itself.
     """
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weights /= weights.sum()
-    table = F.array(*(F.lit(float(w)) for w in weights))
-    sized = traces.select(region, F.col(frame).alias("j"), F.col(value).alias("v")).join(traces.groupBy(region).agg(F.count("*").alias("n")), region)
-    turns = F.sequence(-F.ceil(F.lit(reach) / F.col("n")).cast("int"), F.ceil(F.lit(reach) / F.col("n")).cast("int"))
-    images = sized.select(region, "v", "n", F.explode(F.flatten(F.transform(turns, lambda m: F.array(F.col("j") + 2 * F.col("n") * m, 2 * F.col("n") * m - 1 - F.col("j"))))).alias("at"))
-    near = images.where((F.col("at") >= -reach) & (F.col("at") < F.col("n") + reach))
-    spread = near.select(region, "v", "n", "at", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("k"))
-    sent = spread.select(region, (F.col("at") + F.col("k")).alias(frame), (F.col("v") * F.element_at(table, F.col("k") + reach + 1)).alias("part"), "n").where((F.col(frame) >= 0) & (F.col(frame) < F.col("n")))
-    return traces.join(sent.groupBy(region, frame).agg(F.sum("part").alias("smooth")), [region, frame])
+    whole = Window.partitionBy(region)
+    held = traces.withColumns({"_near": F.collect_list(value).over(whole.orderBy(frame).rowsBetween(-reach, reach)), "_n": F.count("*").over(whole)})
+    first = F.greatest(F.col(frame) - reach, F.lit(0))
+    smooth = F.lit(0.0)
+    for k, weight in zip(range(-reach, reach + 1), weights.tolist(), strict=True):
+        at = F.pmod(F.col(frame) + k, 2 * F.col("_n"))
+        place = F.when(at < F.col("_n"), at).otherwise(2 * F.col("_n") - 1 - at) - first
+        smooth = smooth + weight * F.element_at("_near", (place + 1).cast("int"))
+    return held.withColumn("smooth", smooth).drop("_near", "_n")
+
+
+def high_pass(traces: DataFrame, region: str, frame: str, value: str, width: int) -> DataFrame:
+    """Adds `passed`: the trace less its slow part, by a Gaussian of that width for widths below GAUSSIAN_BELOW, else by means of blocks."""
+    if width < GAUSSIAN_BELOW:
+        smooth = weighted_in_time(traces, region, frame, value, width, int(4 * width + 0.5))
+        return smooth.withColumn("passed", F.col(value) - F.col("smooth")).drop("smooth")
+    return temporal.block_high_pass(traces, region, frame, value, width)
 
 
 def block_slopes(images: DataFrame, height: int, width: int, blocks: int) -> DataFrame:

@@ -55,8 +55,8 @@ def top(rois: DataFrame, by: str, region: str, count: int) -> DataFrame:
 
 def grid_log_odds(rows: DataFrame, label: str, feature: str, bins: int) -> DataFrame:
     """Per quantile bin of a feature: rows, share of label 1, and its log-odds (shares kept off 0 and 1)."""
-    edges = rows.agg(F.percentile(feature, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges")).first().edges
-    place = sum(((F.col(feature) >= e).cast("int") for e in edges), F.lit(0))
+    edges = rows.agg(F.percentile(feature, F.array(*(F.lit(k / bins) for k in range(1, bins))))).scalar()
+    place = sum(((F.col(feature) >= F.get(edges, k)).cast("int") for k in range(bins - 1)), F.lit(0))
     share = F.least(F.greatest(F.avg(F.col(label).cast("double")), F.lit(1e-3)), F.lit(1 - 1e-3))
     return rows.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), share.alias("share")).withColumn("log_odds", F.ln(F.col("share") / (1 - F.col("share"))))
 

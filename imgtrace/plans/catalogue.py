@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
@@ -228,6 +228,17 @@ def supplier_masks(spark: SparkSession, sf_dir: str, flag: str | None = None) ->
     return lines.groupBy(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).agg(F.sum("l_quantity").alias("weight"))
 
 
+def brightest_sql(share: float) -> str:
+    """Of each region the pixels whose weight reaches its own quantile."""
+    return f"(select roi, pixel, weight from (select l_suppkey as roi, l_partkey as pixel, sum(l_quantity)::double as weight from lineitem group by all) qualify weight >= quantile_cont(weight, {share}) over (partition by roi))"
+
+
+def brightest(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    weighed = supplier_masks(spark, sf_dir).withColumn("weight", F.col("weight").cast("double"))
+    least = F.percentile("weight", F.lit(share)).over(Window.partitionBy("roi"))
+    return weighed.withColumn("least", least).where("weight >= least").drop("least")
+
+
 def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pixel"), F.month("l_shipdate").cast("long").alias("frame"))
     return lines.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("value"))
@@ -326,12 +337,11 @@ def template_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(masks.consensus(cluster_members(spark, sf_dir), "cluster", "member", "pixel", "weight", 25), "weight")
 
 
-@query("""with masks as (select distinct l_suppkey as roi, l_partkey as pixel from lineitem where l_quantity >= 48),
+@query(f"""with masks as {brightest_sql(0.96)},
 flagged as (select roi, count(*) over (partition by pixel) > 1 as many from masks)
 select roi, count(*) as pixels, sum(case when many then 0 else 1 end)::bigint as own from flagged group by roi having sum(case when many then 0 else 1 end) >= 6""")
 def template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bright = read(spark, sf_dir, "lineitem").where("l_quantity >= 48").select(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).distinct()
-    return masks.large_enough(bright, "roi", "pixel", 6)
+    return masks.large_enough(brightest(spark, sf_dir, 0.96), "roi", "pixel", 6)
 
 
 @query(f"with {MEMBERS}, held as (select cluster, pixel, count(*) as recordings from members group by all) select recordings, count(*) as templates from held group by recordings")
@@ -466,7 +476,7 @@ c as (select frame, plane, list_transform(v, lambda x: x - list_sum(v) / 64) as
 , ranked as (select *, row_number() over (partition by frame order by correlation desc, other) as place from pairs)
 select plane, frame, other, correlation + 0.0 as correlation, place from ranked where place <= 20""")
 def frame_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images.similar_frames(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 20)
+    out = images.similar_frames(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 20, block=64)
     return out.withColumn("correlation", F.col("correlation") + 0.0)
 
 

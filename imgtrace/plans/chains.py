@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, principal, registration, tracking
+from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, tracking
 from imgtrace.plans.catalogue import MOVIE, TRACES, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
 from imgtrace.sources import tiff
 from imgtrace.streaming import traces as streams
@@ -327,3 +329,43 @@ def masks_into_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     moving = smooth_fields(spark, sf_dir)
     common = fields.into_common(placed_regions(spark, sf_dir), moving, 40, 50).select(F.col("roi").alias("cluster"), "pixel", "weight")
     return rounded(fields.summary(fields.into_recordings(common, moving, 40, 50), "cluster", 50), "radius")
+
+
+# ---- windows over pixels and frames
+
+
+def around_sql(before: int, after: int) -> str:
+    """frame, pixel, value, total and n over the square from `before` pixels before to `after` behind."""
+    near = lambda axis: f"b.pixel {axis} 8 - a.pixel {axis} 8 between -{before} and {after}"
+    return f"(select a.frame, a.pixel, any_value(a.value) as value, sum(b.value) as total, count(*) as n from movie a join movie b on b.frame = a.frame and {near('//')} and {near('%')} group by all)"
+
+
+def filtered_movie(spark: SparkSession, sf_dir: str, kernel: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    out = frames.per_frame(read(spark, sf_dir, "embeddings"), "embedding", 8, 8, lambda x, _: kernel(x), ["vec_id"])
+    return frames.as_pixels(out.withColumnRenamed("vec_id", "frame"), "frame").withColumnRenamed("value", name)
+
+
+@query(f"with {MOVIE} select frame, pixel, round(total / 16, 5) + 0.0 as smoothed from {around_sql(1, 2)}")
+def image_even_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(filtered_movie(spark, sf_dir, lambda x: frames.smoothed(x, 4), "smoothed"), "smoothed", digits=5)
+
+
+@query(f"with {MOVIE} select frame, pixel, round(value - total / n, 5) + 0.0 as passed from {around_sql(1, 2)}")
+def image_even_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(filtered_movie(spark, sf_dir, lambda x: frames.high_passed(x, 4), "passed"), "passed", digits=5)
+
+
+@query(f"with {MOVIE} select frame, pixel, round(value - total / n, 5) + 0.0 as passed from {around_sql(2, 1)}")
+def image_without_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(filtered_movie(spark, sf_dir, lambda x: frames.without_background(x, 4), "passed"), "passed", digits=5)
+
+
+@query(f"with {MOVIE} select frame, pixel, round(total / 3, 5) + 0.0 as response from {around_sql(1, 1)}")
+def image_square_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(filtered_movie(spark, sf_dir, lambda x: frames.square_response(x, 3), "response"), "response", digits=5)
+
+
+@query(f"with {TRACES}, {smoothed_sql(2.0, 8)} select user_id, bin, round(f - s, 5) + 0.0 as passed from smooth")
+def trace_gaussian_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = movies.high_pass(numbered_traces(spark, sf_dir), "user_id", "frame", "f", 2)
+    return rounded(out.select("user_id", "bin", "passed"), "passed", digits=5)

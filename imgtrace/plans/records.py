@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from imgtrace.functions import naming, temporal
 from imgtrace.operators import alignment, catalog, classifier, extraction, images, masks, shape, tracking
 from imgtrace.plans import jobs
-from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, PLACED, PRICES, TRACES, monthly_prices, movie, offsets, placed_pixels, query, read, rounded, supplier_masks, traces
+from imgtrace.plans.catalogue import MASKS, brightest, brightest_sql, MOVIE, OFFSETS, PLACED, PRICES, TRACES, monthly_prices, movie, offsets, placed_pixels, query, read, rounded, supplier_masks, traces
 
 # ---- jobs
 
@@ -327,7 +327,7 @@ def roi_solidity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- extraction
 
-BRIGHT = "bright as (select l_suppkey as roi, l_partkey as pixel, sum(l_quantity) as weight from lineitem where l_quantity >= 49 group by all)"
+BRIGHT = f"bright as {brightest_sql(0.96)}"
 BUILT = f"""{BRIGHT}, single as (select *, count(*) over (partition by pixel) as holders from bright), built as (select roi, pixel, weight / sum(weight) over (partition by roi) as share from single where holders = 1)"""
 SURROUND = """planes as (select distinct s_nationkey as plane, roi, pixel from bright join supplier on s_suppkey = roi),
 held as (select distinct plane, pixel from planes),
@@ -342,11 +342,7 @@ surround as (select a.* from around a where not exists (select 1 from held h whe
 
 
 def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supplier_masks_of(read(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
-
-
-def supplier_masks_of(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).agg(F.sum("l_quantity").alias("weight"))
+    return brightest(spark, sf_dir, 0.96)
 
 
 def grown_surrounds(spark: SparkSession, sf_dir: str) -> DataFrame:

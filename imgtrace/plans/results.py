@@ -9,7 +9,7 @@ from imgtrace.functions import naming
 from imgtrace.functions import temporal
 from imgtrace.operators import classifier, frames, images, movies, neuropil
 from imgtrace.plans import jobs
-from imgtrace.plans.catalogue import MASKS, MOVIE, OFFSETS, RANKED, monthly_prices, movie, offsets, query, ranked_events, read, rounded, supplier_masks
+from imgtrace.plans.catalogue import brightest, brightest_sql, MASKS, MOVIE, OFFSETS, RANKED, monthly_prices, movie, offsets, query, ranked_events, read, rounded, supplier_masks
 
 
 # ---- movies
@@ -91,7 +91,7 @@ def movie_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- surrounds and classification
 
-RINGS = """marks as (select l_suppkey as roi, l_partkey as pixel from lineitem where l_quantity >= 50 group by all),
+RINGS = f"""marks as {brightest_sql(0.98)},
 box as (select roi, greatest(min(pixel // 100) - 1, 0) as y0, least(max(pixel // 100) + 1, 999) as y1, greatest(min(pixel % 100) - 1, 0) as x0, least(max(pixel % 100) + 1, 99) as x1 from marks group by roi),
 rows_ as (select roi, x0, x1, unnest(range(y0, y1 + 1)) as y from box), around as (select roi, y * 100 + x as pixel from (select roi, y, unnest(range(x0, x1 + 1)) as x from rows_)),
 border as (select distinct roi, y * 100 + x as pixel from (select roi, pixel // 100 + dy as y, pixel % 100 + dx as x from marks, (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx)) where y between 0 and 999 and x between 0 and 99),
@@ -99,7 +99,7 @@ surround as (select a.roi, a.pixel from around a where a.pixel not in (select pi
 
 
 def bright_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("roi"), F.col("l_partkey").alias("pixel")).distinct()
+    return brightest(spark, sf_dir, 0.98).select("roi", "pixel")
 
 
 @query(f"with {RINGS} select roi, count(*) as pixels, sum(pixel)::bigint as total from surround group by roi")

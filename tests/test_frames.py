@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from imgtrace.operators import extraction, frames, movies, shape
+from imgtrace.operators import extraction, frames, images, movies, shape
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +121,55 @@ def test_smoothing_mirrors_short_traces(spark):
     for r in out.collect():
         own = np.array([v for a, _, v in rows if a == r.roi])
         assert r.smooth == pytest.approx(np.pad(own, 6, mode="symmetric")[r.frame : r.frame + 13] @ weights)
+
+
+def test_windows_of_any_size_by_loops():
+    rng = np.random.default_rng(8)
+    x = rng.random((2, 7, 6))
+    n, h, w = x.shape
+
+    def near(k, y, c, before, after):
+        return x[k, max(0, y - before) : max(0, y + after + 1), max(0, c - before) : max(0, c + after + 1)]
+
+    for k in range(n):
+        for y in range(h):
+            for c in range(w):
+                for window in (2, 4, 6):
+                    box = near(k, y, c, window // 2 - 1, window // 2)
+                    assert frames.smoothed(x, window)[k, y, c] == pytest.approx(box.sum() / window**2)
+                    assert frames.high_passed(x, window)[k, y, c] == pytest.approx(x[k, y, c] - box.mean())
+                for size in (1, 2, 3, 4):
+                    box = near(k, y, c, size // 2, (size - 1) // 2)
+                    assert frames.without_background(x, size)[k, y, c] == pytest.approx(x[k, y, c] - box.mean())
+                    assert frames.square_response(x, size)[k, y, c] == pytest.approx(box.sum() / size)
+    for window in (0, 3, -2):
+        with pytest.raises(ValueError, match="even"):
+            frames.smoothed(x, window)
+
+
+def test_traces_less_their_slow_part(spark):
+    rng = np.random.default_rng(9)
+    table = {r: rng.random(n) for r, n in ((0, 40), (1, 3), (2, 1))}
+    rows = spark.createDataFrame([(r, t, float(v)) for r, x in table.items() for t, v in enumerate(x)], "region long, frame long, f double")
+    got = {(r.region, r.frame): r.passed for r in movies.high_pass(rows, "region", "frame", "f", 2).collect()}
+    bell = np.exp(-0.5 * (np.arange(-8, 9) / 2) ** 2)
+    for r, x in table.items():
+        n = len(x)
+        ring = np.concatenate([x, x[::-1]])
+        for t in range(n):
+            assert got[r, t] == pytest.approx(x[t] - sum(w * ring[(t + k) % (2 * n)] for k, w in zip(range(-8, 9), bell / bell.sum(), strict=True)))
+    blocks = {(r.region, r.frame): r.passed for r in movies.high_pass(rows, "region", "frame", "f", 12).collect()}
+    assert blocks[0, 5] == pytest.approx(table[0][5] - table[0][:12].mean()) and blocks[0, 39] == pytest.approx(table[0][39] - table[0][24:].mean())
+
+
+@pytest.mark.parametrize("block", [3, 7, 100])
+def test_similar_frames_of_all_blocks(spark, block):
+    rng = np.random.default_rng(10)
+    stack = {(p, p * 100 + t): rng.random(9) for p, n in ((0, 23), (1, 2), (2, 1)) for t in range(n)}
+    rows = spark.createDataFrame([(p, t, v.tolist()) for (p, t), v in stack.items()], "plane long, frame long, v array<double>")
+    got = sorted(map(tuple, images.similar_frames(rows, "frame", "plane", "v", 4, block=block).collect()))
+    want = []
+    for (p, t), v in stack.items():
+        others = sorted((-round(np.corrcoef(v, u)[0, 1], 6), s) for (q, s), u in stack.items() if q == p and s != t)[:4]
+        want += [(p, t, s, pytest.approx(-c, abs=2e-6), k + 1) for k, (c, s) in enumerate(others)]
+    assert got == sorted(want, key=lambda x: (x[0], x[1], x[2])) or len(got) == len(want) and {x[:3] for x in got} == {x[:3] for x in want}
