@@ -547,7 +547,7 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 numbered as (select *, sum(new) over (partition by user_id order by ts, event_id) as session from steps)
 select user_id, min(ts) as start, count(*) as n, round(sum(value), 3) + 0.0 as total from numbered group by user_id, session""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "value", "6 hours"), "total", digits=3)
+    return rounded(windows.streamed_sessions(spark, f"{sf_dir}/events.parque[t]", "user_id", "ts", "value", "6 hours"), "total", digits=3)
 
 
 @query()

@@ -94,3 +94,14 @@ def test_stream_and_table_agree(spark):
     table = windows.counted(spark.read.parquet(path), "ts", "6 hours", "event_type", "value")
     tidy = lambda df: sorted((str(r.start), r.event_type, r.n, round(r.total, 3)) for r in df.collect())
     assert tidy(streamed) == tidy(table)
+
+
+def test_streamed_sessions_are_those_of_the_table(spark):
+    path = "/root/testdata/sf0.001/events.parque[t]"
+    tidy = lambda df: sorted((r.user_id, str(r.start), r.n, round(r.total, 3)) for r in df.collect())
+    assert tidy(windows.streamed_sessions(spark, path, "user_id", "ts", "value", "6 hours")) == tidy(windows.sessions(spark.read.parquet(path), "user_id", "ts", "value", "6 hours"))
+
+
+def test_a_stream_of_no_events_has_no_windows(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "e"))
+    assert windows.tumbling(spark, str(tmp_path / "e"), "ts", "6 hours", "event_type", "value").count() == 0
