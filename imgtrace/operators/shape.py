@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from imgtrace.operators import rois, tracking
+from imgtrace.operators.graphs import checkpointed
+
 #: Regions of so many pixels at most are all soma, and have a fixed hull area.
 SMALL, SMALL_AREA = 10, 10.0
 
@@ -92,3 +95,50 @@ def solidity(masks: DataFrame, region: str, y: str, x: str) -> DataFrame:
 
     source = masks.select(F.col(region).cast("long").alias("region"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
     return source.groupBy("region").applyInArrow(run, "region long, solidity double").withColumnRenamed("region", region)
+
+
+# ---- one table
+
+
+def disc_means(spark: SparkSession, diameter: int) -> DataFrame:
+    """pixels and baseline: the mean distance of so many points of a grid, nearest first, out to two diameters each way.
+
+    A region of more pixels takes the mean of them all, so the table is as large as the diameter makes it, not the regions.
+    """
+    side = np.arange(-2 * diameter, 2 * diameter + 1)
+    apart = np.sort(np.hypot(side[:, None], side).ravel())
+    means = apart.cumsum() / np.arange(1, len(apart) + 1)
+    return spark.createDataFrame(list(zip(range(1, len(means) + 1), means.tolist(), strict=True)), "counted long, baseline double")
+
+
+def statistics(masks: DataFrame, width: int, diameter: int = 10, aspect: float | None = None, crop: bool = True, most_overlap: float | None = None, first: int = 100) -> DataFrame:
+    """A row for each region of masks (plane, roi, y, x, weight; roi unique over planes) with all that describes it.
+
+    cy and cx are its middle pixel, pixels and soma_pixels count it all and within its crop radius; compactness, solidity,
+    radius and aspect_ratio are those of the soma (of all pixels without crop), pixels of weight 0 left out of the ellipse;
+    overlapping counts the pixels that other regions of the plane hold too; normalized is the soma's size over the mean of
+    the plane's first regions. With most_overlap, regions of which more lies in others go first, from the last on, and then
+    overlaps are counted among those that stay; sizes are normalized before. `aspect` stretches the rows' scale.
+    """
+    spark = masks.sparkSession
+    keyed = masks.select(*(F.col(c).cast("long").alias(c) for c in ("plane", "roi", "y", "x")), F.col("weight").cast("double").alias("weight"))
+    marked = soma(keyed, "roi", "y", "x", "weight")
+    inner = checkpointed((marked.where("soma") if crop else marked).select("plane", "roi", "y", "x", "weight"))
+    sizes = keyed.groupBy("plane", "roi").agg(F.count("*").alias("pixels")).join(inner.groupBy("roi").agg(F.count("*").alias("soma_pixels")), "roi")
+    ranked = sizes.withColumn("_place", F.row_number().over(Window.partitionBy("plane").orderBy("roi")))
+    usual = F.avg(F.when(F.col("_place") <= first, F.col("soma_pixels"))).over(Window.partitionBy("plane"))
+    sized = ranked.withColumn("normalized", F.col("soma_pixels") / usual).drop("_place")
+    discs = disc_means(spark, diameter)
+    spread = rois.mean_radius(inner, "roi", "y", "x").withColumn("counted", F.least("pixels", F.lit((4 * diameter + 1) ** 2))).join(F.broadcast(discs), "counted")
+    compact = spread.select("roi", F.greatest(F.lit(1.0), F.col("radius") / diameter / (1e-10 + F.col("baseline") / diameter)).alias("compactness"))
+    y_scale = int(aspect * diameter) if aspect is not None else diameter
+    scaled = inner.where("weight > 0").select("roi", (F.col("y") / y_scale).alias("y"), (F.col("x") / diameter).alias("x"), "weight")
+    round_ = rois.ellipse(scaled, "roi", "y", "x", "weight").select("roi", (F.col("major") * ((y_scale + diameter) / 2)).alias("radius"), "aspect_ratio")
+    described = sized.join(centres(keyed, "roi", "y", "x"), "roi").join(compact, "roi").join(solidity(inner, "roi", "y", "x"), "roi").join(round_, "roi", "left")
+    rows = keyed.select("plane", "roi", (F.col("y") * width + F.col("x")).alias("pixel"))
+    if most_overlap is not None and most_overlap < 1:
+        stay = tracking.without_overlapping(rows, "plane", "roi", "pixel", most_overlap).select("roi")
+        rows = rows.join(stay, "roi", "left_semi")
+    held = rows.withColumn("holders", F.count("*").over(Window.partitionBy("plane", "pixel")))
+    shared = held.groupBy("roi").agg(F.sum(F.when(F.col("holders") > 1, 1).otherwise(0)).alias("overlapping"))
+    return described.join(shared, "roi")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, tracking
-from imgtrace.plans.catalogue import MOVIE, TRACES, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
+from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, shape, tracking
+from imgtrace.plans.catalogue import MOVIE, TRACES, brightest, brightest_sql, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
 from imgtrace.sources import tiff
 from imgtrace.streaming import traces as streams
 from imgtrace.streaming import windows
@@ -369,3 +369,30 @@ def image_square_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_gaussian_highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = movies.high_pass(numbered_traces(spark, sf_dir), "user_id", "frame", "f", 2)
     return rounded(out.select("user_id", "bin", "passed"), "passed", digits=5)
+
+
+# ---- statistics of regions
+
+
+STATISTICS = f"""with marks as {brightest_sql(0.96)}, placed as (select s_nationkey as plane, roi, pixel // 100 as y, pixel % 100 as x, pixel, weight from marks join supplier on s_suppkey = roi),
+m as (select roi, quantile_cont(y, 0.5) as my, quantile_cont(x, 0.5) as mx, count(*) as n from placed group by roi),
+near as (select p.roi, y, x, row_number() over (partition by p.roi order by power(y - my, 2) + power(x - mx, 2), y, x) as place from placed p join m using (roi)),
+grid as (select sqrt(a.i * a.i + b.i * b.i) as d from (select unnest(range(-20, 21)) as i) a, (select unnest(range(-20, 21)) as i) b),
+disc as (select row_number() over (order by d) as k, avg(d) over (order by d rows unbounded preceding) as baseline from grid),
+spread as (select p.roi, any_value(n) as n, avg(sqrt(power(y - my, 2) + power(x - mx, 2))) as r from placed p join m using (roi) group by p.roi),
+sums as (select roi, sum(weight) as w, sum(weight * y) as wy, sum(weight * x) as wx, sum(weight * y * y) as wyy, sum(weight * x * x) as wxx, sum(weight * y * x) as wyx from placed group by roi),
+moments as (select roi, (wyy / w - power(wy / w, 2)) / 100 as a, (wxx / w - power(wx / w, 2)) / 100 as b, (wyx / w - wy / w * wx / w) / 100 as c from sums),
+radii as (select roi, 2.5 * sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 0)) as major, 2.5 * sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0)) as minor from moments),
+counts as (select plane, roi, count(*) as pixels from placed group by all),
+sizes as (select *, row_number() over (partition by plane order by roi) as place from counts),
+usual as (select plane, avg(pixels) as mean from sizes where place <= 100 group by plane),
+shared as (select roi, sum((holders > 1)::int)::bigint as overlapping from (select roi, count(*) over (partition by plane, pixel) as holders from placed) group by roi)
+select s.plane, s.roi, s.pixels, round(s.pixels / mean, 4) + 0.0 as normalized, near.y as cy, near.x as cx, round(greatest(1, r / (baseline + 1e-9)), 4) + 0.0 as compactness, round(major * 10, 4) + 0.0 as radius, round(2 * major / (major + minor + 0.01), 4) + 0.0 as aspect_ratio, overlapping
+from sizes s join usual using (plane) join near on near.roi = s.roi and near.place = 1 join spread on spread.roi = s.roi join disc on k = least(n, 1681) join radii on radii.roi = s.roi join shared on shared.roi = s.roi"""
+
+
+@query(STATISTICS)
+def roi_statistics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("plane"))
+    placed = brightest(spark, sf_dir, 0.96).join(planes, "roi").select("plane", "roi", F.floor(F.col("pixel") / 100).alias("y"), (F.col("pixel") % 100).alias("x"), "weight")
+    return rounded(shape.statistics(placed, 100, crop=False).drop("soma_pixels", "solidity"), "normalized", "compactness", "radius", "aspect_ratio")
