@@ -7,8 +7,9 @@ point updates (the pair itself, its left neighbour, the part that is gone), each
 bytes takes O(n log n) whatever it looks like. Short pieces that are new go together, a tree a row of one numpy array:
 each step merges one pair in every piece that still has one. Longer ones go alone, in the same way.
 
-Defined results: null text is empty text and gives no ids; every row gives one row, repeated rows too; ids beyond the
-vocabulary are an error in decode(); columns other than doc_id and text are not read, so no name can clash.
+Defined results: null text is empty text and gives no ids; every row gives one row, repeated rows too; of pairs of one
+rank the leftmost merges first; a very long text is split into pieces like any other, and a very long piece has a tree of
+its own; ids beyond the vocabulary are an error in decode(); an empty table gives no rows; columns other than doc_id and text are not read, so no name can clash.
 """
 
 from __future__ import annotations

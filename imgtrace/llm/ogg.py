@@ -7,7 +7,9 @@ serial number into streams, and derives each packet's end, in samples and second
 
 Defined results: null text is empty text; a payload is padded with spaces to a positive multiple of 192 bytes; equal
 texts give equal files; a page with a wrong checksum is left out and counted, and packets that it cuts are lost and
-counted; null media gives no streams; columns other than doc_id and text are not read.
+counted; null media gives no streams; every row gives one row, repeated rows too, each by itself, so there are no ties; a
+very long text is one file, made in its task as a whole; an empty table gives no rows; columns other than doc_id and text
+are not read, so no name can clash.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ two, so nothing is padded and no sequence crosses documents; `bucket` (log2 of t
 into batches. Nothing has to be gathered for this, so there is no shuffle.
 
 Defined results: null text is empty text and gives the closing id alone, as a piece of length 1; an empty table gives
-no rows; repeated rows are packed each, in sequences of their own; columns other than doc_id and text are not read.
+no rows; repeated rows are packed each, in sequences of their own, so nothing hangs on ties; a very long text is encoded
+as a whole and cut into as many pieces as it takes; columns other than doc_id and text are not read, so no name can clash.
 sequence_id is unique, not dense: the partition's number in the upper bits and the piece's place in the lower ones.
 """
 

@@ -9,7 +9,9 @@ there and Viterbi runs on what lies between.
 
 Defined results: null text is empty text and has no spans; the rules' spans stay as they are, and of each found run the
 parts outside of these are added, but for mere quotes, brackets and stops; every row gives one row, repeated rows too; with
-no documents the field is trained on made-up windows alone; offsets count code points, ends are exclusive; columns other than doc_id and text are not read.
+no documents (an empty table, which gives no rows) the field is trained on made-up windows alone; of equally likely tags
+the first one is taken; documents of one id, or none, are told apart in the sample by their texts, and equal rows count
+once there; a very long text is tagged whole, cut only where any best path is outside; offsets count code points, ends are exclusive; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ whole text.
 
 Defined results: null and empty texts have no sentence and score 0; without labels of both kinds all weights are 0 and
 all scores near 0; labels with nulls are not learnt from, of several labels of a document the largest counts, and rows of
-one doc_id are one bag; labelled documents without sentences count as documents without features; a null doc_id counts as empty text in the fold; every row gives one row; lang, source and further columns are not read.
+one doc_id are one bag; labelled documents without sentences count as documents without features; a null doc_id counts as empty text in the fold; every row gives one row, repeated rows the same score; features that stand out
+equally are taken by name; a very long text is scored whole, as so many sentences, and left out of the sample if it is
+beyond its bound; an empty table gives no rows, and a model of zero weights if it is what the fit sees; lang, source and
+further columns are not read, so no name can clash.
 """
 
 from __future__ import annotations

@@ -538,3 +538,52 @@ def test_near_copies_that_the_pipeline_still_finds(spark):
     found = [sum(d not in left for d in copies) / len(copies) for left in (whole, cut)]
     assert found[0] > 0.9
     print("near copies found on whole texts, and after line dedup:", found)
+
+
+def test_toxicity_scores_are_a_plain_noisy_or():
+    """One less the product over sentences of what each leaves, against the level of a sentence without weighted words."""
+    words = ["bad", "worse", "fine", "so", "idiotic", "it"]
+    rng = random.Random(11)
+    model = toxicity.Model({f: round(rng.uniform(0, 9), 3) for w in words[:4] for f in toxicity.features_of(w)[0]}, toxicity.BASE)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(60):
+        sentences = [[rng.choice(words) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 7))]
+        text = " ".join(" ".join(s) + "." for s in sentences)
+        left = 1.0
+        for s in sentences:
+            z = toxicity.BASE + sum(model.weights.get(f, 0.0) for k, w in enumerate(s) for f in toxicity.features_of(w + "." * (k == len(s) - 1))[0])
+            left *= (1 - sigmoid(z)) / (1 - sigmoid(toxicity.BASE)) if z > toxicity.BASE else 1.0
+        assert model.score(text) == pytest.approx(1 - left, abs=1e-9)
+    assert model.score("") == model.score(" \n ") == 0
+
+
+def test_toxicity_gradient_by_differences(monkeypatch):
+    """One round of training moves each weight by the slope of the bags' log-likelihood, found by differences, less its cost."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    rng = random.Random(12)
+    names = [f"f{i}" for i in range(6)]
+    labels = {d: int(d % 3 == 0) for d in range(30)}
+    hits = [(d, labels[d], sorted(rng.sample(names, rng.randint(1, 3))), rng.randint(1, 3)) for d in range(30) for _ in range(rng.randint(1, 3))]
+    n_toxic, n_docs = 14, 50
+    leak = n_toxic / n_docs
+
+    def likelihood(w):
+        total = 0.0
+        for d, label in labels.items():
+            hazard = leak
+            for of, _, features, times in hits:
+                if of == d:
+                    z = toxicity.BASE + sum(w[f] for f in features)
+                    hazard += times * max(0.0, np.log1p(np.exp(z)) - np.log1p(np.exp(toxicity.BASE)))
+            total += np.log(-np.expm1(-hazard)) if label else -hazard
+        return total / n_docs
+
+    start = (1 - toxicity.BASE) / 3
+    w0 = dict.fromkeys(names, start)
+    cost = toxicity.COST[0] / n_docs + toxicity.COST[1]
+    got = toxicity.train(hits, n_toxic, n_docs).weights
+    for f in names:
+        slope = (likelihood({**w0, f: start + 1e-5}) - likelihood({**w0, f: start - 1e-5})) / 2e-5
+        size = np.sqrt(slope * slope + 1e-12)
+        assert got[f] == pytest.approx(start + toxicity.RATE * (slope - cost) / size, abs=2e-4)
+
