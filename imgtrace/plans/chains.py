@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
-from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, shape, tracking
+from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, settings, shape, tracking
 from imgtrace.plans.catalogue import MOVIE, TRACES, brightest, brightest_sql, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
 from imgtrace.sources import tiff
 from imgtrace.streaming import traces as streams
@@ -396,3 +396,71 @@ def roi_statistics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("plane"))
     placed = brightest(spark, sf_dir, 0.96).join(planes, "roi").select("plane", "roi", F.floor(F.col("pixel") / 100).alias("y"), (F.col("pixel") % 100).alias("x"), "weight")
     return rounded(shape.statistics(placed, 100, crop=False).drop("soma_pixels", "solidity"), "normalized", "compactness", "radius", "aspect_ratio")
+
+
+# ---- settings and readiness
+
+
+def _literal(x: object) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+
+
+def rules_sql() -> str:
+    limit = lambda text: None if text is None else float(text.strip("("))
+    rows = [(n, limit(low), (low or "").startswith("("), limit(high), kind, needs) for n, low, high, kind, needs in settings.RULES]
+    return "rules(name, low, open, high, kind, needs) as (values " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + ")"
+
+
+SWITCHES = {"one_photon_registration.enabled": 2, "nonrigid_registration.enabled": 3, "roi_detection.enabled": 5}
+#: Customers are recordings; the k-th setting by name gets a number from the customer's.
+CHOSEN = f"""with {rules_sql()}, names as (select name, row_number() over (order by name) as k from (select distinct name from rules)),
+chosen as (select c_custkey as key, name, (c_custkey * (k * 7 + 3) % 53 - 6) / 10.0::double as number from customer, names),
+on_ as (select c_custkey as key, switch from customer, (values {", ".join(f"('{n}', {k})" for n, k in SWITCHES.items())}) as s(switch, k) where c_custkey % k = 0),
+broken as (
+  select c.key, c.name, r.kind, 'out of range' as problem, r.needs from chosen c join rules r on r.name = c.name where number < low or (open and number = low) or number > high
+  union all select key, name, 'error', 'not even', 'one_photon_registration.enabled' from chosen
+  where name in ('one_photon_registration.spatial_highpass_window', 'one_photon_registration.pre_smoothing_sigma') and number >= 0 and trunc(number) % 2 <> 0),
+held as (select b.key, b.name, kind, problem from broken b left join on_ o on o.key = b.key and o.switch = b.needs where b.needs is null or o.key is not null),
+told as (select *, max((kind = 'error')::int) over (partition by key, name) as wrong from held)"""
+
+
+def chosen_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sorted({r[0] for r in settings.RULES})
+    key = F.col("c_custkey")
+    number = lambda k: ((key * (k * 7 + 3) % 53 - 6) / F.lit(10.0)).cast("string")
+    rows = [F.struct(F.lit(n).alias("name"), number(k + 1).alias("value")) for k, n in enumerate(names)]
+    rows += [F.struct(F.lit(n).alias("name"), (key % k == 0).cast("string").alias("value")) for n, k in SWITCHES.items()]
+    return read(spark, sf_dir, "customer").select(key.alias("key"), F.inline(F.array(*rows)))
+
+
+@query(f"{CHOSEN} select key, name, kind, problem from told where kind = 'error' or wrong = 0")
+def config_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.findings(chosen_settings(spark, sf_dir))
+
+
+@query(f"""{CHOSEN}, kept as (select * from told where kind = 'error' or wrong = 0)
+select c_custkey as key, count(*) filter (kind = 'error') as errors, count(*) filter (kind = 'warning') as warnings, count(*) filter (kind = 'error') = 0 as valid from customer left join kept on key = c_custkey group by c_custkey""")
+def config_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = chosen_settings(spark, sf_dir)
+    return settings.verdicts(values, settings.findings(values))
+
+
+@query("""with files as (select s_nationkey as recording, s_name as file, s_suppkey * 37 % 701 * (s_suppkey % 9 > 0)::int as pages, 8 + (s_suppkey % 7 = 0)::int as height, 8 as width, case s_suppkey % 5 when 0 then 'int16' when 1 then 'uint8' else 'uint16' end as kind from supplier),
+full_ as (select * from files where pages > 0),
+shapes as (select recording, height, width, sum(pages) as pages, count(*) as alike, min(file) as first from full_ group by all),
+usual as (select *, row_number() over (partition by recording order by pages desc, first) as place from shapes),
+kinds as (select recording, arg_min(kind, file) as kind, count(*) as whole_ from full_ group by recording),
+others as (select f.recording, count(*) filter (f.kind <> k.kind) as other_kinds from full_ f join kinds k on k.recording = f.recording group by f.recording),
+counts as (select recording, count(*) as files, count(*) filter (pages = 0) as empty_files from files group by recording),
+found as (select n_nationkey as recording, (n_nationkey % 3 + 1) * (n_nationkey % 2 + 1) as cycle, coalesce(files, 0) as files, coalesce(empty_files, 0) as empty_files, coalesce(pages, 0)::bigint as pages, height, width, kind, coalesce(whole_, 0) - coalesce(alike, 0) as odd_files, coalesce(other_kinds, 0) as other_kinds
+  from nation left join counts c on c.recording = n_nationkey left join usual u on u.recording = n_nationkey and place = 1 left join kinds k on k.recording = n_nationkey left join others o on o.recording = n_nationkey),
+told as (select * exclude (cycle), pages // cycle as frames, pages % cycle as left_over, (files = 0)::int + empty_files as errors from found)
+select *, (odd_files > 0)::int + (other_kinds > 0)::int + (left_over > 0)::int + (pages > 0 and frames < 200)::int + coalesce(kind not in ('uint16', 'int16', 'int32'), false)::int + coalesce(kind in ('uint16', 'int32'), false)::int as warnings, errors = 0 as valid from told""")
+def acquisition_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    recordings = read(spark, sf_dir, "nation").select(key.alias("recording"), (key % 3 + 1).alias("planes"), (key % 2 + 1).alias("channels"))
+    s = F.col("s_suppkey")
+    kind = F.when(s % 5 == 0, "int16").when(s % 5 == 1, "uint8").otherwise("uint16")
+    pages = s * 37 % 701 * (s % 9 > 0).cast("int")
+    files = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("recording"), F.col("s_name").alias("file"), pages.alias("pages"), (8 + (s % 7 == 0).cast("int")).alias("height"), F.lit(8).alias("width"), kind.alias("kind"))
+    return settings.readiness(recordings, files)
