@@ -82,9 +82,11 @@ def trace_delta_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {TRACES}, whole as (select bin, sum(f) as total, count(*) as n from traces group by bin)
-select user_id, t.bin, round(f - 0.7 * case when n > 1 then (total - f) / (n - 1) else 0 end, 9) + 0.0 as corrected from traces t join whole w on w.bin = t.bin""")
+select user_id, t.bin, round(f - 0.7 * case when n > 1 then (total - f) / (n - 1) else 0 end + 1e-11, 9) + 0.0 as corrected from traces t join whole w on w.bin = t.bin""")
 def trace_neuropil_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(temporal.neuropil_subtracted(traces(spark, sf_dir), "user_id", "bin", "f", 0.7).select("user_id", "bin", "corrected"), "corrected", digits=9)
+    """Values end in an exact half of the last digit where the divisor is a power of two; a little is added before rounding, lest the order of a sum decide."""
+    out = temporal.neuropil_subtracted(traces(spark, sf_dir), "user_id", "bin", "f", 0.7)
+    return rounded(out.select("user_id", "bin", (F.col("corrected") + 1e-11).alias("corrected")), "corrected", digits=9)
 
 
 @query(f"with {TRACES}, {smoothed_sql(1.0, 4)} select user_id, bin, round(f - (select min(s) from smooth), 4) + 0.0 as delta from smooth")

@@ -455,7 +455,7 @@ counts as (select recording, count(*) as files, count(*) filter (pages = 0) as e
 found as (select n_nationkey as recording, (n_nationkey % 3 + 1) * (n_nationkey % 2 + 1) as cycle, coalesce(files, 0) as files, coalesce(empty_files, 0) as empty_files, coalesce(pages, 0)::bigint as pages, height, width, kind, coalesce(whole_, 0) - coalesce(alike, 0) as odd_files, coalesce(other_kinds, 0) as other_kinds
   from nation left join counts c on c.recording = n_nationkey left join usual u on u.recording = n_nationkey and place = 1 left join kinds k on k.recording = n_nationkey left join others o on o.recording = n_nationkey),
 told as (select * exclude (cycle), pages // cycle as frames, pages % cycle as left_over, (files = 0)::int + empty_files as errors from found)
-select *, (odd_files > 0)::int + (other_kinds > 0)::int + (left_over > 0)::int + (pages > 0 and frames < 200)::int + coalesce(kind not in ('uint16', 'int16', 'int32'), false)::int + coalesce(kind in ('uint16', 'int32'), false)::int as warnings, errors = 0 as valid from told""")
+select * replace (coalesce(height, 0) as height, coalesce(width, 0) as width, coalesce(kind, '') as kind), (odd_files > 0)::int + (other_kinds > 0)::int + (left_over > 0)::int + (pages > 0 and frames < 200)::int + coalesce(kind not in ('uint16', 'int16', 'int32'), false)::int + coalesce(kind in ('uint16', 'int32'), false)::int as warnings, errors = 0 as valid from told""")
 def acquisition_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     recordings = read(spark, sf_dir, "nation").select(key.alias("recording"), (key % 3 + 1).alias("planes"), (key % 2 + 1).alias("channels"))
@@ -463,4 +463,4 @@ def acquisition_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(s % 5 == 0, "int16").when(s % 5 == 1, "uint8").otherwise("uint16")
     pages = s * 37 % 701 * (s % 9 > 0).cast("int")
     files = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("recording"), F.col("s_name").alias("file"), pages.alias("pages"), (8 + (s % 7 == 0).cast("int")).alias("height"), F.lit(8).alias("width"), kind.alias("kind"))
-    return settings.readiness(recordings, files)
+    return settings.readiness(recordings, files).na.fill({"height": 0, "width": 0, "kind": ""})
