@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from the folder in spark.checkpoint.dir, which all executors share; in local mode without it, from one under the warehouse."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_shared")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared")
     return df.checkpoint()
 
 
