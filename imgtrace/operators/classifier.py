@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgtrace.operators.graphs import checkpointed
 from imgtrace.operators.movies import weighted_in_time
 
 
@@ -67,11 +68,17 @@ def probability_grid(training: DataFrame, key: str, label: str, features: list[s
 
 def grid_log_odds(rows: DataFrame, grid: DataFrame, key: str, features: list[str]) -> DataFrame:
     """key, feature and odds; missing values count as the lowest. The grid has a row of bounded size for each feature, so it is broadcast."""
-    held = _by_feature(rows, features, key).join(F.broadcast(grid), "feature")
-    top = F.get(F.col("grid.node"), F.size("grid") - 1)
-    below = F.size(F.filter("grid", lambda g: g.node < F.least("value", top)))
-    share = F.get(F.col("grid.share"), F.when(F.col("value").isNull(), 0).otherwise(F.greatest(F.least(below, F.size("grid") - 1) - 1, F.lit(0))))
-    return held.select(key, "feature", (F.ln(share + 1e-6) - F.ln(1 - share + 1e-6)).alias("odds"))
+    nodes = grid.select("feature", F.col("grid.node").alias("nodes"), F.col("grid.share").alias("shares"), F.element_at("grid.node", -1).alias("top"))
+    held = _by_feature(rows, features, key).join(F.broadcast(nodes), "feature").withColumn("limit", F.least("value", "top"))
+    below = F.size(F.filter("nodes", lambda node: node < F.col("limit")))
+    placed = held.withColumn("bin", F.when(F.col("value").isNull(), 0).otherwise(F.greatest(F.least(below, F.size("nodes") - 1) - 1, F.lit(0))))
+    found = placed.withColumn("share", F.get("shares", F.col("bin")))
+    return found.select(key, "feature", (F.ln(F.col("share") + 1e-6) - F.ln(1 - F.col("share") + 1e-6)).alias("odds"))
+
+
+def weighed(labelled: DataFrame) -> DataFrame:
+    """odds, label and n, the number of rows that have them; kept in a table, since a fit reads it often."""
+    return checkpointed(labelled.groupBy("odds", "label").agg(F.count("*").cast("double").alias("n")))
 
 
 def classified(rows: DataFrame, training: DataFrame, key: str, label: str, features: list[str], threshold: float = 0.5, nodes: int = 100, strength: float = 100.0) -> DataFrame:
@@ -79,7 +86,8 @@ def classified(rows: DataFrame, training: DataFrame, key: str, label: str, featu
 
     The intercept is penalised like the weights, so it is the weight of a constant feature here. Spark passes over features
     that never vary, so each row is also there turned round, features and label, which leaves the mean loss as it is.
-    Keys must not be null.
+    Rows of equal log-odds and label go in once, weighed by their number, so the fit's passes don't grow with the rows
+    once their combinations of bins are all there. Keys must not be null.
     """
     n = training.count()
     if n < nodes:
@@ -91,9 +99,9 @@ def classified(rows: DataFrame, training: DataFrame, key: str, label: str, featu
         return wide.select(key, F.array(*(F.col(f"`{f}`") for f in features), F.lit(1.0)).alias("odds"))
 
     vectors = lambda table: table.withColumn("features", array_to_vector("odds"))
-    plain = odds(training).join(training.select(key, F.col(label).cast("double").alias("label")), key)
+    plain = weighed(odds(training).join(training.select(key, F.col(label).cast("double").alias("label")), key))
     turned = plain.withColumns({"odds": F.transform("odds", lambda v: -v), "label": 1 - F.col("label")})
     labelled = vectors(plain.unionByName(turned))
-    model = LogisticRegression(regParam=1.0 / (strength * n), fitIntercept=False, standardization=False, maxIter=200, tol=1e-9).fit(labelled)
+    model = LogisticRegression(regParam=1.0 / (strength * n), fitIntercept=False, standardization=False, maxIter=200, tol=1e-9, weightCol="n").fit(labelled)
     probability = vector_to_array("probability")[1]
     return model.transform(vectors(odds(rows))).select(key, probability.alias("probability"), (probability > threshold).alias("is_cell"))
