@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.operators.masks import dilated
+from imgtrace.operators.masks import dilated, outside
 
 
 def _grown(masks: DataFrame, region: str, pixel: str, width: int, height: int, steps: int) -> DataFrame:
@@ -15,15 +15,14 @@ def _grown(masks: DataFrame, region: str, pixel: str, width: int, height: int, s
 
 
 def surrounds(masks: DataFrame, region: str, pixel: str, width: int, height: int, inner: int, reach: int) -> DataFrame:
-    """Pixels of each region's bounding box grown by `reach`, without all regions' pixels and the region's own inner border."""
+    """Pixels of each region's bounding box grown by `reach`, without all regions' pixels and the region's own inner border; a region beyond the image has none."""
     y, x = F.floor(F.col(pixel) / width).cast("long"), (F.col(pixel) % width).cast("long")
     box = masks.groupBy(region).agg(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1"))
-    rows = F.sequence(F.greatest(F.col("y0") - reach, F.lit(0)), F.least(F.col("y1") + reach, F.lit(height - 1)))
-    columns = F.sequence(F.greatest(F.col("x0") - reach, F.lit(0)), F.least(F.col("x1") + reach, F.lit(width - 1)))
-    filled = box.select(region, F.explode(rows).alias("y"), columns.alias("xs")).select(region, "y", F.explode("xs").alias("x"))
-    around = filled.select(region, (F.col("y") * width + F.col("x")).alias(pixel))
-    free = around.join(masks.select(pixel).distinct(), pixel, "left_anti")
-    return free.join(_grown(masks, region, pixel, width, height, inner), [region, pixel], "left_anti")
+    low = [F.greatest(F.col(c) - reach, F.lit(0)).alias(c) for c in ("y0", "x0")]
+    high = [F.least(F.col(c) + reach, F.lit(n - 1)).alias(c) for c, n in (("y1", height), ("x1", width))]
+    inside = box.select(region, *low, *high).where("y0 <= y1 and x0 <= x1")
+    lines = inside.select(region, F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
+    return outside(lines, [(_grown(masks, region, pixel, width, height, inner), [region]), (masks, [])], pixel, width)
 
 
 def surround_means(surround: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """Faults that only odd or large inputs showed."""
 
-from imgtrace.operators import classifier
+from imgtrace.operators import classifier, neuropil
 
 
 def test_logistic_layer_reads_equal_rows_once(spark):
     rows = [(i, [0.5, 1.0] if i % 3 else [0.25, 1.0], float(i % 2)) for i in range(600)]
     out = classifier.weighed(spark.createDataFrame(rows, "key long, odds array<double>, label double"))
     assert sorted((r.odds[0], r.label, r.n) for r in out.collect()) == [(0.25, 0.0, 100.0), (0.25, 1.0, 100.0), (0.5, 0.0, 200.0), (0.5, 1.0, 200.0)]
+
+
+def test_regions_beyond_the_image_have_no_surround(spark):
+    masks = spark.createDataFrame([(1, 33), (1, 34), (2, 433), (2, 470)], "roi long, pixel long")
+    out = {(r.roi, r.pixel) for r in neuropil.surrounds(masks, "roi", "pixel", 10, 10, 1, 1).collect()}
+    assert out == {(1, p) for p in (22, 25, 42, 45)}
