@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from imgtrace.operators.masks import dilated
+from imgtrace.operators.masks import dilated, outside
 
 STEP, MOST_ROUNDS = 5, 100
 
@@ -47,7 +47,8 @@ def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int
 
     Free are pixels that no region of the plane holds; those of the region grown by `border` do not count and do not belong
     to the surround. A plane is an image of fixed size, and only its held pixels and its regions' boxes meet in a task, to
-    count free pixels by sums over corners; pixels of surrounds are made and matched by joins.
+    count free pixels by sums over corners; pixels of surrounds are made line by line. Pixels beyond the image hold
+    nothing, and a region that has no others has no surround.
     """
     rows = masks.select(plane, region, F.col(pixel).cast("long").alias(pixel)).distinct()
     key = F.struct(plane, region)
@@ -55,7 +56,7 @@ def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int
     for _ in range(border):
         inner = dilated(inner, "key", pixel, width, height)
     inner = inner.select(F.col(f"key.{plane}").alias(plane), F.col(f"key.{region}").alias(region), pixel)
-    held = rows.select(plane, pixel).distinct()
+    held = rows.where(F.col(pixel).between(0, height * width - 1)).select(plane, pixel).distinct()
     y, x = F.floor(F.col(pixel) / width).cast("long"), F.col(pixel) % width
     flagged = inner.join(held.withColumn("held", F.lit(True)), [plane, pixel], "left")
     boxes = flagged.groupBy(plane, region).agg(F.min(y).alias("y0"), (F.max(y) + 1).alias("y1"), F.min(x).alias("x0"), (F.max(x) + 1).alias("x1"), F.count(F.when(F.col("held").isNull(), 1)).alias("taken"))
@@ -71,9 +72,8 @@ def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(plane, region).schema.fields)
     grown = boxes.groupBy(plane).cogroup(held.groupBy(plane)).applyInArrow(grow, f"{schema}, y0 long, y1 long, x0 long, x1 long")
-    lines = grown.select(plane, region, "x0", "x1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    around = lines.select(plane, region, "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x")).select(plane, region, (F.col("y") * width + F.col("x")).alias(pixel))
-    return around.join(held, [plane, pixel], "left_anti").join(inner, [plane, region, pixel], "left_anti").select(plane, region, pixel)
+    lines = grown.select(plane, region, "x0", (F.col("x1") - 1).alias("x1"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
+    return outside(lines, [(inner, [plane, region]), (held, [plane])], pixel, width).select(plane, region, pixel)
 
 
 def traces(built: DataFrame, around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, coefficient: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """Faults that only odd or large inputs showed."""
 
-from imgtrace.operators import classifier, neuropil
+from imgtrace.operators import classifier, extraction, neuropil
 
 
 def test_logistic_layer_reads_equal_rows_once(spark):
@@ -13,3 +13,10 @@ def test_regions_beyond_the_image_have_no_surround(spark):
     masks = spark.createDataFrame([(1, 33), (1, 34), (2, 433), (2, 470)], "roi long, pixel long")
     out = {(r.roi, r.pixel) for r in neuropil.surrounds(masks, "roi", "pixel", 10, 10, 1, 1).collect()}
     assert out == {(1, p) for p in (22, 25, 42, 45)}
+
+
+def test_grown_surrounds_pass_over_pixels_beyond_the_image(spark):
+    near, far = [(0, 1, 33), (0, 1, 34), (0, 2, 71)], [(0, 3, 433), (0, 2, 999), (1, 4, 100_000)]
+    found = lambda rows: {tuple(r) for r in extraction.surrounds(spark.createDataFrame(rows, "plane long, roi long, pixel long"), "plane", "roi", "pixel", 10, 10, 1, 40).collect()}
+    want = found(near)
+    assert found(near + far) == want and {r for _, r, _ in want} == {1, 2}
