@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imgtrace.operators.graphs import checkpointed, components
-from imgtrace.operators.masks import consensus, large_enough, near_pairs
+from imgtrace.operators.masks import consensus, large_enough
 
 APART = 10_000.0
 
@@ -95,16 +95,19 @@ def clusters(members: DataFrame, bin: str, recording: str, roi: str, pixel: str,
     return out.select("bin", "roi", (F.dense_rank().over(Window.partitionBy("bin").orderBy("least")) - 1).cast("long").alias("cluster"))
 
 
-def _distances(masks: DataFrame, cut: float, near: DataFrame | None = None) -> DataFrame:
-    """a, b and d (one less the Jaccard overlap) of regions (roi, recording, pixel) of different recordings, up to `cut`; of the pairs in near, if given."""
-    size = F.count("*").over(Window.partitionBy("roi"))
-    side = lambda name: masks.select(F.col("roi").alias(name), F.col("recording").alias(f"rec_{name}"), "pixel", size.alias(f"n_{name}"))
-    if near is None:
-        met = side("a").join(side("b"), "pixel").where("a < b and rec_a <> rec_b")
-    else:
-        met = near.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "pixel"])
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return counted.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d")).where(F.col("d") <= cut)
+def _distances(masks: DataFrame, cut: float, within: Column | None = None, *place: str) -> DataFrame:
+    """a, b and d (one less the Jaccard overlap, `cut` below 1) of regions (roi, recording, pixel, and a place) of different recordings, up to `cut`.
+
+    Pairs meet on the pixels that they share, and `within` tests their places (named with _a and _b) there; regions that
+    share none are apart by 1, so near ones without overlap never become rows.
+    """
+    side = lambda name: masks.select(F.col("roi").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("recording", *place)), "pixel")
+    met = side("a").join(side("b"), "pixel").where("a < b and recording_a <> recording_b")
+    counted = (met if within is None else met.where(within)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = masks.groupBy("roi").agg(F.count("*").alias("n"))
+    size = lambda name: sizes.select(F.col("roi").alias(name), F.col("n").alias(f"n_{name}"))
+    sized = counted.join(size("a"), "a").join(size("b"), "b")
+    return sized.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d")).where(F.col("d") <= cut)
 
 
 def tracked(regions: DataFrame, masks: DataFrame, step: int, margin: int, distance: float, cut: float, least: int, height: int, width: int) -> DataFrame:
@@ -119,9 +122,9 @@ def tracked(regions: DataFrame, masks: DataFrame, step: int, margin: int, distan
     """
     if least < 2 or cut >= 1:
         raise ValueError("a cluster needs regions of two recordings, and a cut below 1")
-    near = near_pairs(regions, "roi", "recording", "y", "x", distance)
-    held = masks.select("roi", "pixel").distinct().join(regions.select("roi", "recording"), "roi")
-    pairs = checkpointed(_distances(held, cut, near))
+    held = masks.select("roi", "pixel").distinct().join(regions.select("roi", "recording", "y", "x"), "roi")
+    squared = F.pow(F.col("y_a") - F.col("y_b"), 2) + F.pow(F.col("x_a") - F.col("x_b"), 2)
+    pairs = checkpointed(_distances(held, cut, squared < distance * distance, "y", "x"))
     grouped = components(pairs)
     nodes = regions.join(grouped.withColumnRenamed("node", "roi"), "roi").select("component", "roi", "recording", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
     links = pairs.join(grouped.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("of"), "a", "b", "d")

@@ -1,6 +1,8 @@
 """Faults that only odd or large inputs showed."""
 
-from imgtrace.operators import classifier, extraction, neuropil
+from pyspark.sql import functions as F
+
+from imgtrace.operators import classifier, extraction, neuropil, tracking
 
 
 def test_logistic_layer_reads_equal_rows_once(spark):
@@ -20,3 +22,9 @@ def test_grown_surrounds_pass_over_pixels_beyond_the_image(spark):
     found = lambda rows: {tuple(r) for r in extraction.surrounds(spark.createDataFrame(rows, "plane long, roi long, pixel long"), "plane", "roi", "pixel", 10, 10, 1, 40).collect()}
     want = found(near)
     assert found(near + far) == want and {r for _, r, _ in want} == {1, 2}
+
+
+def test_near_regions_without_shared_pixels_make_no_rows(spark):
+    masks = spark.createDataFrame([(r, r % 2, 5.0, 5.0, r * 3 + k) for r in range(40) for k in range(4)], "roi long, recording long, y double, x double, pixel long")
+    pairs = tracking._distances(masks, 0.9, F.col("y_a") == F.col("y_b"), "y", "x")
+    assert sorted((r.a, r.b, round(r.d, 6)) for r in pairs.collect()) == [(r, r + 1, round(6 / 7, 6)) for r in range(39)]
