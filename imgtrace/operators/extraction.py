@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from imgtrace.operators.masks import dilated, outside
+from imgtrace.operators.masks import dilated, free_lines, line_pixels
 
 STEP, MOST_ROUNDS = 5, 100
 
@@ -43,7 +43,12 @@ def grown_box(free: np.ndarray, box: tuple[int, int, int, int], taken: int, star
 
 
 def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int, width: int, border: int, least: int) -> DataFrame:
-    """plane, region and pixel of each region's surround: a box grown until more than `least` of its pixels are free.
+    """plane, region and pixel of each region's surround, as `surround_lines` finds them."""
+    return line_pixels(surround_lines(masks, plane, region, pixel, height, width, border, least), pixel, width).select(plane, region, pixel)
+
+
+def surround_lines(masks: DataFrame, plane: str, region: str, pixel: str, height: int, width: int, border: int, least: int) -> DataFrame:
+    """plane, region, y and xs, the places in a line, of each region's surround: a box grown until more than `least` of its pixels are free.
 
     Free are pixels that no region of the plane holds; those of the region grown by `border` do not count and do not belong
     to the surround. A plane is an image of fixed size, and only its held pixels and its regions' boxes meet in a task, to
@@ -73,13 +78,28 @@ def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(plane, region).schema.fields)
     grown = boxes.groupBy(plane).cogroup(held.groupBy(plane)).applyInArrow(grow, f"{schema}, y0 long, y1 long, x0 long, x1 long")
     lines = grown.select(plane, region, "x0", (F.col("x1") - 1).alias("x1"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    return outside(lines, [(inner, [plane, region]), (held, [plane])], pixel, width).select(plane, region, pixel)
+    return free_lines(lines, [(inner, [plane, region]), (held, [plane])], pixel, width).select(plane, region, "y", "xs")
 
 
-def traces(built: DataFrame, around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, coefficient: float) -> DataFrame:
-    """region, frame, fluorescence, neuropil (0 without a surround) and corrected (less a share of the neuropil)."""
+def line_means(around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, width: int) -> DataFrame:
+    """region, frame and neuropil: means over surrounds (region, y, xs) of the movie's values; places without one don't count.
+
+    A line of the movie is one row of `width` values, so surrounds meet the movie by lines, and no pixel of them is a row.
+    """
+    y, x = F.floor(F.col(pixel) / width).cast("long"), (F.col(pixel) % width).cast("int")
+    ys = around.select("y").distinct()
+    cells = movie.select(frame, y.alias("y"), x.alias("x"), F.col(value).cast("double").alias("v")).where("v is not null").join(F.broadcast(ys), "y", "left_semi")
+    held = cells.groupBy("y", frame).agg(F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("by_x"))
+    lines = held.select("y", frame, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.try_element_at("by_x", k)).alias("line"))
+    met = around.select(region, "y", "xs").join(lines, "y").select(region, frame, F.transform("xs", lambda k: F.get("line", k.cast("int"))).alias("under"))
+    sums = met.select(region, frame, F.aggregate(F.array_compact("under"), F.lit(0.0), lambda total, v: total + v).alias("total"), F.size(F.array_compact("under")).alias("n"))
+    return sums.where("n > 0").groupBy(region, frame).agg((F.sum("total") / F.sum("n")).alias("neuropil"))
+
+
+def traces(built: DataFrame, around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, coefficient: float, width: int) -> DataFrame:
+    """region, frame, fluorescence, neuropil (0 without a surround; around as `surround_lines` gives it) and corrected (less a share of the neuropil)."""
     own = built.join(movie, pixel).groupBy(region, frame).agg(F.sum(F.col("share") * F.col(value)).alias("fluorescence"))
-    near = around.select(region, pixel).join(movie, pixel).groupBy(region, frame).agg(F.avg(value).alias("neuropil"))
+    near = line_means(around, movie, region, pixel, frame, value, width)
     joined = own.join(near, [region, frame], "left").withColumn("neuropil", F.coalesce("neuropil", F.lit(0.0)))
     return joined.withColumn("corrected", F.col("fluorescence") - coefficient * F.col("neuropil"))
 

@@ -101,8 +101,8 @@ def dilated(masks: DataFrame, region: str, pixel: str, width: int, height: int)
     return moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(region, (F.col("y") * width + F.col("x")).alias(pixel)).distinct()
 
 
-def outside(lines: DataFrame, taken: list[tuple[DataFrame, list[str]]], pixel: str, width: int) -> DataFrame:
-    """Each pixel of lines (y, x0 and x1, both inside the image and inclusive) that the taken tables (keys and pixel) don't hold.
+def free_lines(lines: DataFrame, taken: list[tuple[DataFrame, list[str]]], pixel: str, width: int) -> DataFrame:
+    """Lines (y, x0 and x1, both inside the image and inclusive) with xs, the places in them that the taken tables (keys and pixel) don't hold.
 
     Taken pixels meet the lines as one list of at most `width` places a row of the image, so pixels go through no shuffle.
     """
@@ -113,8 +113,13 @@ def outside(lines: DataFrame, taken: list[tuple[DataFrame, list[str]]], pixel: s
         lines = lines.join(rows, [*keys, "y"], "left")
         places = F.concat(places, F.coalesce(f"taken_{k}", F.array().cast("array<long>")))
     free = F.array_except(F.sequence(F.col("x0").cast("long"), F.col("x1").cast("long")), places)
-    rest = [c for c in lines.columns if c not in ("y", "x0", "x1") and not c.startswith("taken_")]
-    return lines.select(*rest, "y", F.explode(free).alias("x")).select(*rest, (F.col("y") * width + F.col("x")).alias(pixel))
+    return lines.select(*(c for c in lines.columns if c not in ("x0", "x1") and not c.startswith("taken_")), free.alias("xs"))
+
+
+def line_pixels(lines: DataFrame, pixel: str, width: int) -> DataFrame:
+    """A row for each place of lines with y and xs, by its pixel."""
+    rest = [c for c in lines.columns if c not in ("y", "xs")]
+    return lines.select(*rest, "y", F.explode("xs").alias("x")).select(*rest, (F.col("y") * width + F.col("x")).alias(pixel))
 
 
 def consensus(members: DataFrame, cluster: str, member: str, pixel: str, weight: str, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.operators.masks import dilated, outside
+from imgtrace.operators.masks import dilated, free_lines, line_pixels
 
 
 def _grown(masks: DataFrame, region: str, pixel: str, width: int, height: int, steps: int) -> DataFrame:
@@ -22,7 +22,7 @@ def surrounds(masks: DataFrame, region: str, pixel: str, width: int, height: int
     high = [F.least(F.col(c) + reach, F.lit(n - 1)).alias(c) for c, n in (("y1", height), ("x1", width))]
     inside = box.select(region, *low, *high).where("y0 <= y1 and x0 <= x1")
     lines = inside.select(region, F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
-    return outside(lines, [(_grown(masks, region, pixel, width, height, inner), [region]), (masks, [])], pixel, width)
+    return line_pixels(free_lines(lines, [(_grown(masks, region, pixel, width, height, inner), [region]), (masks, [])], pixel, width), pixel, width)
 
 
 def surround_means(surround: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ Shapes: recordings are nations, their planes the suppliers' numbers modulo 4, re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -345,9 +347,9 @@ def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brightest(spark, sf_dir, 0.96)
 
 
-def grown_surrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grown_surrounds(spark: SparkSession, sf_dir: str, found: Callable[..., DataFrame] = extraction.surrounds) -> DataFrame:
     planes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").cast("long").alias("plane"))
-    return extraction.surrounds(bright_regions(spark, sf_dir).join(planes, "roi"), "plane", "roi", "pixel", 1000, 200, 1, 350)
+    return found(bright_regions(spark, sf_dir).join(planes, "roi"), "plane", "roi", "pixel", 1000, 200, 1, 350)
 
 
 @query(f"with {BUILT} select roi, pixel, round(share, 6) + 0.0 as share from built")
@@ -365,7 +367,7 @@ near as (select roi, frame, avg(value) as n from surround s join prices p on p.p
 select o.roi, o.frame, round(f, 3) + 0.0 as fluorescence, round(coalesce(n, 0), 3) + 0.0 as neuropil, round(f - 0.7 * coalesce(n, 0), 3) + 0.0 as corrected from own o left join near n on n.roi = o.roi and n.frame = o.frame""")
 def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = extraction.built_masks(bright_regions(spark, sf_dir), "roi", "pixel", "weight", False)
-    out = extraction.traces(built, grown_surrounds(spark, sf_dir), monthly_prices(spark, sf_dir), "roi", "pixel", "frame", "value", 0.7)
+    out = extraction.traces(built, grown_surrounds(spark, sf_dir, extraction.surround_lines), monthly_prices(spark, sf_dir), "roi", "pixel", "frame", "value", 0.7, 200)
     return rounded(out, "fluorescence", "neuropil", "corrected", digits=3)
 
 

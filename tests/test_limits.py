@@ -28,3 +28,10 @@ def test_near_regions_without_shared_pixels_make_no_rows(spark):
     masks = spark.createDataFrame([(r, r % 2, 5.0, 5.0, r * 3 + k) for r in range(40) for k in range(4)], "roi long, recording long, y double, x double, pixel long")
     pairs = tracking._distances(masks, 0.9, F.col("y_a") == F.col("y_b"), "y", "x")
     assert sorted((r.a, r.b, round(r.d, 6)) for r in pairs.collect()) == [(r, r + 1, round(6 / 7, 6)) for r in range(39)]
+
+
+def test_means_of_surrounds_meet_the_movie_by_lines(spark):
+    around = spark.createDataFrame([(1, 0, [0, 2]), (1, 1, [1]), (2, 1, [0, 1, 2]), (3, 2, [0])], "roi long, y long, xs array<long>")
+    movie = spark.createDataFrame([(0, 7, 1.0), (2, 7, 2.0), (4, 7, 6.0), (3, 7, None), (5, 8, 4.0)], "pixel long, frame long, value double")
+    out = {(r.roi, r.frame): r.neuropil for r in extraction.line_means(around, movie, "roi", "pixel", "frame", "value", 3).collect()}
+    assert out == {(1, 7): 3.0, (2, 7): 6.0, (2, 8): 4.0}
