@@ -117,9 +117,13 @@ def free_lines(lines: DataFrame, taken: list[tuple[DataFrame, list[str]]], pixel
 
 
 def line_pixels(lines: DataFrame, pixel: str, width: int) -> DataFrame:
-    """A row for each place of lines with y and xs, by its pixel."""
+    """A row for each place of lines with y and xs, by its pixel.
+
+    Explodes a copy of xs: of a plain column Spark would first ask for its size, and so make every list again.
+    """
     rest = [c for c in lines.columns if c not in ("y", "xs")]
-    return lines.select(*rest, "y", F.explode("xs").alias("x")).select(*rest, (F.col("y") * width + F.col("x")).alias(pixel))
+    every = F.concat("xs", F.array().cast("array<long>"))
+    return lines.select(*rest, "y", F.explode(every).alias("x")).select(*rest, (F.col("y") * width + F.col("x")).alias(pixel))
 
 
 def consensus(members: DataFrame, cluster: str, member: str, pixel: str, weight: str, percent: int) -> DataFrame:
