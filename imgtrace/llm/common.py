@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -35,14 +36,28 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def materialize(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what is planned within: for rows so large that Spark's usual count would fill memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again, which cuts the lineage and survives lost executors.
 
-    The files go by forget(), or when the session's JVM ends.
+    Readers take up row groups as a whole; row_group is their size in bytes for tables of large rows. The files go by
+    forget(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/imgtrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer if row_group is None else writer.option("parquet.block.size", row_group)).parquet(path)
     system, target = _file_system(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)

@@ -23,8 +23,9 @@ is one document of one shard, and is scored in slices; columns other than doc_id
 
 from __future__ import annotations
 
-import re
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgtrace.llm.common import WORD, forget, list_array, materialize, pieces_of, text_or_empty
+from imgtrace.llm.common import forget, list_array, materialize, pieces_of, rows_a_batch, text_or_empty
 
 DIGIT = 32
 SIZE = DIGIT**3
@@ -41,9 +42,10 @@ SHARED = 2048
 RADIUS, WIDTH = 2, 16
 ROUNDS, BATCH, STEP = 2, 4096, 0.1
 SHARD_WORDS = 8_000_000
+#: Bytes of text in a chunk, chunks that a task takes up as one batch, and bytes of them that the table's readers do.
+CHUNK, CHUNKS, ROW_GROUP = 2 << 20, 8, 16 << 20
 #: Weights in a block that is averaged as one, and rows of it that a task averages.
 BLOCK, FAN_IN = 1 << 14, 64
-_WORD = re.compile(WORD)
 PAD = SIZE
 _SHAPES = {
     "embed": (SIZE + 1, WIDTH),
@@ -93,14 +95,13 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", 2 << 20):
-                number: dict[str, int] = {}
-                add = number.setdefault
-                found = [[add(w, len(number)) for w in _WORD.findall(text.lower())] for text in part.column(1).to_pylist()]
+            for part in pieces_of(batch, "text", CHUNK):
+                number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+                found = [list(map(number.__getitem__, text.lower().encode().split())) for text in part.column(1).to_pylist()]  # bytes part where WORD does
                 codes = np.concatenate([np.array(x, "<i4") for x in found])
                 one = lambda values: list_array(values, [len(values)])
                 columns = [
-                    one(pa.array(list(number), pa.string())),
+                    one(pa.array(list(number), pa.binary()).cast(pa.string())),
                     one(pa.array(np.bincount(codes, minlength=len(number)).astype(np.int64), pa.int64())),
                     one(pa.array(part.column(0).to_pylist(), pa.int64())),
                     one(pa.array([len(x) for x in found], pa.int32())),
@@ -152,7 +153,7 @@ def numbered(chunked: DataFrame, words: list[str]) -> DataFrame:
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """A row for each id: its RADIUS neighbours on the left, on the right, and itself."""
     n = len(ids)
-    padded = np.full(n + 2 * RADIUS, PAD, np.int32)
+    padded = np.full(n + 2 * RADIUS, PAD, np.uint16)
     padded[RADIUS : RADIUS + n] = ids
     sides = [k for k in range(2 * RADIUS + 1) if k != RADIUS]
     return np.stack([padded[k : k + n] for k in [*sides, RADIUS]], axis=1)
@@ -162,11 +163,15 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of logits, in their place, less the greatest of each row; the greatest; and the sums."""
-    top = x.max(-1)
-    x -= top[:, None]
+    """Of logits, in their place, less a number for each row; these numbers; and the sums.
+
+    The number is the greatest of all where no row then vanishes, which is faster to find than each row's greatest.
+    """
+    most = x.max(initial=-np.inf)
+    top = np.full((len(x), 1), most, x.dtype) if most - x.min(initial=np.inf) < 60 else x.max(-1, keepdims=True)
+    x -= top
     np.exp(x, out=x)
-    return x, top, x @ np.ones(x.shape[1], x.dtype)
+    return x, top[:, 0], x @ np.ones(x.shape[1], x.dtype)
 
 
 def _log_prob(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
@@ -178,24 +183,24 @@ def _log_prob(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
 
 def _digits(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The three digits of ids, the last first, so that frequent ids differ early; and the first two as one number."""
+    target = target.astype(np.int32)
     a, b = target % DIGIT, target // DIGIT % DIGIT
     return a, b, target // (DIGIT * DIGIT), a * DIGIT + b
 
 
-def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
-    total = w["embed"][context[:, 0]] * w["place"][0]
-    for k in range(1, 2 * RADIUS):
-        total += w["embed"][context[:, k]] * w["place"][k]
-    return np.tanh(total + w["bias"])
+def _hidden(w: Weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden state, and the embeddings of each window's neighbours."""
+    near = w["embed"].take(context, 0)
+    return np.tanh(np.einsum("nkd,kd->nd", near, w["place"]) + w["bias"]), near
 
 
 def log_probs(w: Weights, windows: np.ndarray) -> np.ndarray:
     """The log-probability of each window's middle id."""
-    hidden = _hidden(w, windows[:, :-1])
+    hidden, _ = _hidden(w, windows[:, :-1])
     a, b, c, ab = _digits(windows[:, -1])
     out = _log_prob(hidden @ w["first"] + w["first_bias"], a)
-    out += _log_prob((hidden + w["after_first"][a]) @ w["second"] + w["second_bias"][a], b)
-    return out + _log_prob((hidden + w["after_second"][ab]) @ w["third"] + w["third_bias"][ab], c)
+    out += _log_prob((hidden + w["after_first"].take(a, 0)) @ w["second"] + w["second_bias"].take(a, 0), b)
+    return out + _log_prob((hidden + w["after_second"].take(ab, 0)) @ w["third"] + w["third_bias"].take(ab, 0), c)
 
 
 def _summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -211,7 +216,8 @@ def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
     context, n = windows[:, :-1], len(windows)
     a, b, c, ab = _digits(windows[:, -1])
     every = np.arange(n)
-    hidden = _hidden(w, context)
+    hidden, near = _hidden(w, context)
+    ones = np.ones(n, np.float32)
     g: Weights = {}
 
     def part(state: np.ndarray, name: str, bias: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,20 +228,22 @@ def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
         return off, off @ w[name].T
 
     off, g_hidden = part(hidden, "first", w["first_bias"], a)
-    g["first_bias"] = off.sum(0)
-    off, g_state = part(hidden + w["after_first"][a], "second", w["second_bias"][a], b)
-    g["second_bias"], g["after_first"] = _summed_rows(a, off, DIGIT), _summed_rows(a, g_state, DIGIT)
+    g["first_bias"] = ones @ off
+    off, g_state = part(hidden + w["after_first"].take(a, 0), "second", w["second_bias"].take(a, 0), b)
+    is_first = np.zeros((n, DIGIT), np.float32)
+    is_first[every, a] = 1
+    g["second_bias"], g["after_first"] = is_first.T @ off, is_first.T @ g_state
     g_hidden = g_hidden + g_state
-    off, g_state = part(hidden + w["after_second"][ab], "third", w["third_bias"][ab], c)
+    off, g_state = part(hidden + w["after_second"].take(ab, 0), "third", w["third_bias"].take(ab, 0), c)
     g["third_bias"], g["after_second"] = _summed_rows(ab, off, DIGIT * DIGIT), _summed_rows(ab, g_state, DIGIT * DIGIT)
     g_hidden = (g_hidden + g_state) * (1 - hidden * hidden)
-    g["bias"] = g_hidden.sum(0)
-    g["place"] = np.stack([(g_hidden * w["embed"][context[:, k]]).sum(0) for k in range(2 * RADIUS)])
-    at = context.T.ravel()
+    g["bias"] = ones @ g_hidden
+    g["place"] = np.einsum("nkd,nd->kd", near, g_hidden)
+    at = context.ravel()
     touched = np.flatnonzero(np.bincount(at, minlength=SIZE + 1))
     slot = np.zeros(SIZE + 1, np.int64)
     slot[touched] = np.arange(len(touched))
-    g["embed"] = _summed_rows(slot[at], np.concatenate([g_hidden * w["place"][k] for k in range(2 * RADIUS)]), len(touched))
+    g["embed"] = _summed_rows(slot[at], (g_hidden[:, None] * w["place"]).reshape(-1, WIDTH), len(touched))
     return g, touched
 
 
@@ -244,7 +252,7 @@ def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int)
     w, seen = unflatten(flat), unflatten(sums)
     order = np.random.default_rng(seed).permutation(len(windows))
     for start in range(0, len(order), BATCH):
-        batch = windows[order[start : start + BATCH]]
+        batch = windows.take(order[start : start + BATCH], 0)
         found, touched = gradient(w, batch)
         for name, grad in found.items():
             rows = touched if name == "embed" else slice(None)
@@ -323,8 +331,10 @@ def score(documents: DataFrame, flat: np.ndarray) -> DataFrame:
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    chunked = materialize(chunks(docs))
-    documents = materialize(numbered(chunked, vocabulary(chunked)))
+    chunked = materialize(chunks(docs), ROW_GROUP)
+    words = vocabulary(chunked)
+    with rows_a_batch(docs.sparkSession, CHUNKS):
+        documents = materialize(numbered(chunked, words))
     forget(chunked)
     n_words = documents.agg(F.sum(F.length("ids"))).first()[0] or 0
     return score(documents, train(documents, n_words // 2))

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from imgtrace.llm import components, entries, line_dedup, ngram_join, pseudo_likelihood, suffix_dedup, toxicity
+from imgtrace.llm import common, components, entries, line_dedup, ngram_join, pseudo_likelihood, suffix_dedup, toxicity
 from imgtrace.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -587,3 +588,30 @@ def test_toxicity_gradient_by_differences(monkeypatch):
         size = np.sqrt(slope * slope + 1e-12)
         assert got[f] == pytest.approx(start + toxicity.RATE * (slope - cost) / size, abs=2e-4)
 
+
+
+def test_windows_take_two_bytes_a_word():
+    found = pseudo_likelihood.windows_of(np.array([1, pseudo_likelihood.SIZE - 1], "<u2"))
+    assert found.dtype.itemsize == 2 and found.tolist() == [[pseudo_likelihood.PAD, pseudo_likelihood.PAD, pseudo_likelihood.SIZE - 1, pseudo_likelihood.PAD, 1], [pseudo_likelihood.PAD, 1, pseudo_likelihood.PAD, pseudo_likelihood.PAD, pseudo_likelihood.SIZE - 1]]
+
+
+def test_softmax_of_any_span():
+    far = np.array([[0.0, 1.0], [500.0, 501.0], [-900.0, -900.0]], np.float32)
+    want = [-np.log1p(np.e), -np.log1p(1 / np.e), -np.log(2)]
+    assert np.allclose(pseudo_likelihood._log_prob(far, np.array([0, 1, 1])), want, atol=1e-4)
+    assert len(pseudo_likelihood._log_prob(np.zeros((0, 2), np.float32), np.zeros(0, int))) == 0
+
+
+def test_words_part_at_spaces_and_controls_only(spark):
+    docs = spark.createDataFrame([(1, "A\x1cb c 　d\te\x0bÉ\x85f"), (2, None)], "doc_id long, text string")
+    (row,) = pseudo_likelihood.chunks(docs.coalesce(1)).collect()
+    assert row.words == ["a\x1cb c", "　d", "e", "é\x85f"] and row.lengths == [4, 0] and row.counts == [1] * 4
+
+
+def test_large_rows_come_in_batches_of_few(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    seen = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with common.rows_a_batch(spark, 8):
+        found = common.materialize(spark.range(0, 20, 1, 1).mapInArrow(seen, "n long"), 1 << 20)
+    assert sorted(r.n for r in found.collect()) == [4, 8, 8] and spark.conf.get(name) == before
