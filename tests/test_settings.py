@@ -59,3 +59,14 @@ def test_readiness_is_what_loops_give(spark):
         r = got[k]
         assert (r.files, r.empty_files, r.pages, r.kind, r.odd_files, r.frames, r.left_over, r.errors, r.warnings, r.valid) == (len(own), len(own) - len(full), pages, kind, len(full) - len(alike), frames, left, errors, warnings, errors == 0)
         assert (r.height, r.width) == (alike[0][3:5] if alike else (None, None))
+
+
+def test_values_are_read_once(spark):
+    values = spark.range(40).selectExpr("id % 4 as key", "if(id < 20, 'main.tau', 'roi_detection.enabled') as name", "cast(id % 3 as string) as value")
+    assert settings.findings(values)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_repeated_rows_and_rows_without_key_are_found(spark):
+    rows = [(None, "main.tau", "0"), (1, "main.tau", "0"), (1, "main.tau", "0"), (None, "nonrigid_registration.enabled", "true"), (None, "nonrigid_registration.block_size", "0"), (1, None, "0"), (1, "no.rule", "0")]
+    found = settings.findings(spark.createDataFrame(rows, "key long, name string, value string")).collect()
+    assert sorted((r.key or 0, r.name, r.kind) for r in found) == [(0, "main.tau", "error"), (1, "main.tau", "error"), (1, "main.tau", "error")]
