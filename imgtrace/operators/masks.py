@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of pairs on shared pixels that a task takes up.
+PAIRS = 2_000_000
+
 
 def normalized(masks: DataFrame, region: str, weight: str) -> DataFrame:
     total = masks.groupBy(region).agg(F.sum(weight).alias("total"))
@@ -37,7 +40,17 @@ def background_mean(masks: DataFrame, movie: DataFrame, pixel: str, frame: str,
 def shared_pixels(left: DataFrame, right: DataFrame, region: str, pixel: str) -> DataFrame:
     """a, b, shared, n_a and n_b of all pairs of regions that share a pixel."""
     a, b = _sized(left, region, pixel, "a"), _sized(right, region, pixel, "b")
-    return a.join(b, "pixel").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return _counted(a, b)
+
+
+def _counted(a: DataFrame, b: DataFrame, own: bool = False) -> DataFrame:
+    """Pairs of the rows that meet on a pixel, in tasks of about PAIRS such rows, so that a task's memory stays as the input grows."""
+    held = lambda side, n: side.groupBy("pixel").agg(F.count("*").alias(n))
+    met = held(a, "x").select(F.sum(F.col("x") * (F.col("x") - 1) / 2)) if own else held(a, "x").join(held(b, "y"), "pixel").select(F.sum(F.col("x") * F.col("y")))
+    tasks = int((met.first()[0] or 0) // PAIRS) + 1
+    pairs = a.repartition(tasks, "pixel").join(b.repartition(tasks, "pixel"), "pixel")
+    pairs = (pairs.where("a < b") if own else pairs).select("a", "b", "n_a", "n_b").repartition(tasks, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def _sized(masks: DataFrame, region: str, pixel: str, name: str) -> DataFrame:
@@ -50,8 +63,7 @@ def _own_pairs(masks: DataFrame, region: str, pixel: str) -> DataFrame:
     """shared_pixels of a table with itself, each pair once: the lower region's rows meet the higher's only."""
     a = _sized(masks, region, pixel, "a")
     b = a.select(F.col("a").alias("b"), "pixel", F.col("n_a").alias("n_b"))
-    met = a.join(b, "pixel").where("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return _counted(a, b, own=True)
 
 
 def jaccard(masks: DataFrame, region: str, pixel: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from imgtrace.operators import classifier, extraction, neuropil, tracking
+from imgtrace.operators import classifier, extraction, masks, neuropil, tracking
 
 
 def test_logistic_layer_reads_equal_rows_once(spark):
@@ -35,3 +35,13 @@ def test_means_of_surrounds_meet_the_movie_by_lines(spark):
     movie = spark.createDataFrame([(0, 7, 1.0), (2, 7, 2.0), (4, 7, 6.0), (3, 7, None), (5, 8, 4.0)], "pixel long, frame long, value double")
     out = {(r.roi, r.frame): r.neuropil for r in extraction.line_means(around, movie, "roi", "pixel", "frame", "value", 3).collect()}
     assert out == {(1, 7): 3.0, (2, 7): 6.0, (2, 8): 4.0}
+
+
+def test_pairs_on_shared_pixels_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.createDataFrame([(r, p) for r in range(12) for p in range(r % 3, 9)], "roi long, pixel long")
+    want = {tuple(r) for r in masks.shared_pixels(rows, rows, "roi", "pixel").collect()}
+    monkeypatch.setattr(masks, "PAIRS", 50)
+    out = masks.shared_pixels(rows, rows, "roi", "pixel")
+    assert {tuple(r) for r in out.collect()} == want and len(want) == 144
+    held = [sum(r % 3 <= p for r in range(12)) for p in range(9)]
+    assert "hashpartitioning(a#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {sum(n * n for n in held) // 50 + 1})" in plan
