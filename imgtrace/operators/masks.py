@@ -159,7 +159,9 @@ def near_pairs(rois: DataFrame, roi: str, recording: str, y: str, x: str, distan
     other = rois.select(F.col(roi).alias("b"), F.col(recording).alias("rec_b"), F.col(y).alias("y_b"), F.col(x).alias("x_b"), cell(y).alias("cy0"), cell(x).alias("cx0"), F.explode(shifts).alias("s"))
     other = other.select("b", "rec_b", "y_b", "x_b", (F.col("cy0") + F.col("s.dy")).alias("cy"), (F.col("cx0") + F.col("s.dx")).alias("cx"))
     squared = F.pow(F.col("y_a") - F.col("y_b"), 2) + F.pow(F.col("x_a") - F.col("x_b"), 2)
-    pairs = own.join(other, ["cy", "cx"]).where((F.col("a") < F.col("b")) & (F.col("rec_a") != F.col("rec_b")) & (squared < distance * distance))
+    tasks = rois.count() // 100_000 + 1  # so that a task's memory stays as the input grows
+    met = own.repartition(tasks, "cy", "cx").hint("merge").join(other.repartition(tasks, "cy", "cx"), ["cy", "cx"])
+    pairs = met.where((F.col("a") < F.col("b")) & (F.col("rec_a") != F.col("rec_b")) & (squared < distance * distance))
     return pairs.select("a", "b", F.sqrt(squared).alias("distance"))
 
 

@@ -45,3 +45,10 @@ def test_pairs_on_shared_pixels_are_dealt_by_their_number(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == want and len(want) == 144
     held = [sum(r % 3 <= p for r in range(12)) for p in range(9)]
     assert "hashpartitioning(a#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {sum(n * n for n in held) // 50 + 1})" in plan
+
+
+def test_near_pairs_are_sent_to_no_single_task(spark):
+    rois = spark.createDataFrame([(k, k % 2, float(k), 0.0) for k in range(6)], "roi long, recording long, y double, x double")
+    out = masks.near_pairs(rois, "roi", "recording", "y", "x", 1.5)
+    assert sorted((r.a, r.b) for r in out.collect()) == [(k, k + 1) for k in range(5)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
