@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from imgtrace.llm.common import list_array, pieces_of, text_or_empty
 from imgtrace.llm.splitting import splitter
 
-#: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_PIECES = 800_000
+#: Distinct pieces whose ids a worker keeps (about 150 MB); beyond it the memory starts anew.
+KEPT_PIECES = 500_000
 #: Bytes of a short piece, and pieces whose trees are held at once.
 SHORT, AT_ONCE = 64, 8192
 NONE = 1 << 62
@@ -196,20 +196,43 @@ def _encoder(path: str) -> Pieces:
     return Pieces(load_ranks(path))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """doc_id and ids of batches of doc_id and text, in parts of a megabyte or so."""
+    encoder, split = _encoder(ranks_path), splitter(pattern)
+    for batch in batches:
+        for part in pieces_of(batch, most=1 << 20):
+            texts = [split(text) for text in part.column(1).to_pylist()]
+            distinct = set().union(*texts)
+            encoder.learn(distinct)
+            packed = [b"".join(map(encoder.__getitem__, text)) for text in texts]
+            encoder.forget_long(distinct)
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            yield part.column(0), list_array(values, [len(x) // 4 for x in packed])
+
+
+@functools.cache
+def _tokens(ranks_path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = load_ranks(ranks_path)
+    token = [b""] * (max(ranks.values(), default=-1) + 1)
+    for text, rank in ranks.items():
+        token[rank] = text
+    return token
+
+
+def _decoded(ids: pa.ListArray, token: list[bytes]) -> Iterator[tuple[pa.ListArray, pa.Array]]:
+    """ids and their bytes, some rows at a time."""
+    for start in range(0, len(ids), 512):
+        part = ids.slice(start, 512)
+        yield part, pa.array([b"".join(map(token.__getitem__, x)) for x in part.to_pylist()], pa.binary())
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = _encoder(ranks_path), splitter(pattern)
-        for batch in batches:
-            for part in pieces_of(batch, most=1 << 20):
-                texts = [split(text) for text in part.column(1).to_pylist()]
-                distinct = set().union(*texts)
-                encoder.learn(distinct)
-                packed = [b"".join(map(encoder.__getitem__, text)) for text in texts]
-                encoder.forget_long(distinct)
-                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(values, [len(x) // 4 for x in packed])], ["doc_id", "ids"])
+        for doc_ids, ids in _encoded(batches, ranks_path, pattern):
+            yield pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>")
@@ -219,15 +242,24 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds `decoded` (binary), the bytes that the ids stand for, to rows of doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(ranks_path)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for text, rank in ranks.items():
-            token[rank] = text
         for batch in batches:
-            ids = batch.column(1)
-            for start in range(0, batch.num_rows, 512):
-                part = ids.slice(start, 512)
-                out = [b"".join(map(token.__getitem__, x)) for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), part, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            start = 0
+            for ids, decoded in _decoded(batch.column(1), _tokens(ranks_path)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), ids, decoded], ["doc_id", "ids", "decoded"])
+                start += len(ids)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """decode(encode(docs)) by one Python worker a task: the ids do not go back to the JVM in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, encoded in _encoded(batches, ranks_path, pattern):
+            start = 0
+            for ids, decoded in _decoded(encoded, _tokens(ranks_path)):
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(ids)), ids, decoded], ["doc_id", "ids", "decoded"])
+                start += len(ids)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return source.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -65,7 +65,7 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -84,6 +84,13 @@ def test_pieces_merged_together_are_as_alone():
             assert max(map(len, encoder)) <= byte_bpe.SHORT
 
 
+def test_round_trip_takes_one_python_worker(spark, odd):
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.ids)
+    rows = sorted(byte_bpe.round_trip(odd, RANKS).collect(), key=key)
+    assert rows == sorted(byte_bpe.decode(byte_bpe.encode(odd, RANKS), RANKS).collect(), key=key) and len(rows) == len(ODD)
+    assert entries.op7_byte_bpe(spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_tables_give_no_rows(spark, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS), RANKS).count() == 0
