@@ -56,38 +56,66 @@ def summary(rows: DataFrame, by: list[str], value: Column, digits: int = 4) -> D
     return rows.groupBy(*by).agg(*(F.round(c, digits).alias(n) for n, c in stats.items()))
 
 
-def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int, block: int = 256) -> DataFrame:
+#: Bytes of a block of frames (as doubles), its frames at most, and pairs of frames whose correlations a task holds at once.
+BLOCK_BYTES, BLOCK_FRAMES, AT_ONCE = 8 << 20, 8192, 1 << 21
+
+
+def dealt_pairs(frames: DataFrame, frame: str, plane: str, values: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """plane, frame, v and a pair of blocks a <= b, for each pair of a frame's block: as frames of a, and of another b."""
+    numbers = frames.select(F.col(plane).cast("long").alias("plane"), F.col(frame).cast("long").alias("frame"), F.col(values).alias("v"))
+    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("v") * F.lit(8.0)) / BLOCK_BYTES))
+    blocks = numbers.groupBy("plane").agg(needed.cast("int").alias("blocks"))
+    dealt = numbers.join(blocks, "plane").withColumn("block", F.pmod(F.xxhash64("frame"), F.col("blocks")).cast("int"))
+    left = dealt.select("plane", "frame", "v", F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"))
+    own = (F.col(c).alias(c) for c in ("plane", "frame", "v"))
+    return left, dealt.where("block > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"))
+
+
+def similar_frames(frames: DataFrame, frame: str, plane: str, values: str, most: int, block: int = BLOCK_FRAMES) -> DataFrame:
     """For each frame the `most` frames of its plane that correlate best with it, ties to the lower one.
 
-    A plane's frames are dealt into blocks by a hash, and each task compares two blocks, so it holds 2 * block frames or
-    so however long the plane; the best of each block meet in a window.
+    A plane's frames are dealt into blocks by a hash, of BLOCK_BYTES and `block` frames at most, and each task compares two
+    blocks, both ways, so it holds two blocks and AT_ONCE correlations however long the plane; the best of each block meet
+    in a window. Pairs are quadratic in a plane's frames; what is sent grows with the frames times the number of blocks.
     """
-    numbers = frames.select(F.col(plane).cast("long").alias(plane), F.col(frame).cast("long").alias(frame), F.col(values).cast("array<double>").alias(values))
-    blocks = numbers.groupBy(plane).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = numbers.join(blocks, plane).withColumn("block", F.pmod(F.xxhash64(frame), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = dealt.select(plane, frame, values, F.col("block").alias("a"), every.alias("b"))
-    others = dealt.select(*(F.col(c).alias(c) for c in (plane, frame, values)), every.alias("a"), F.col("block").alias("b"))
+    left, right = dealt_pairs(frames, frame, plane, values, block)
 
     def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        table = table.sort_by(frame)
-        x = np.array(table[values].to_pylist(), float)
+        table = table.sort_by("frame").combine_chunks()
+        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
         x = x - x.mean(1, keepdims=True)
-        return table[frame].to_numpy(), x / np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["plane", "frame", "other", "correlation"])
-        (names, x), (others_, y) = unit(left), unit(right)
-        close = np.round(x @ y.T, 6)
-        close[names[:, None] == others_] = -np.inf
-        n = min(most, len(others_))
-        best = np.argsort(-close, axis=1, kind="stable")[:, :n]
-        found = np.take_along_axis(close, best, 1).ravel()
-        kept = found > -np.inf
-        columns = [np.repeat(left[plane].to_numpy(), n)[kept], np.repeat(names, n)[kept], others_[best].ravel()[kept], found[kept]]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["plane", "frame", "other", "correlation"])
-
-    pairs = own.groupBy(plane, "a", "b").cogroup(others.groupBy(plane, "a", "b")).applyInArrow(compare, "plane long, frame long, other long, correlation double")
+        return table["frame"].to_numpy(), x / np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
+
+    def best(names: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, same: bool) -> list[tuple]:
+        """Names, others and correlations of the best of each of some frames, a strip of frames at a time."""
+        found, n, rows = [], min(most, len(others)), max(1, AT_ONCE // len(others))
+        for start in range(0, len(names), rows):
+            own = names[start : start + rows]
+            close = x[start : start + rows] @ y.T
+            if same:
+                close[own[:, None] == others] = -np.inf
+            # Rounding keeps the order, so all that round to the last one's value or more lie above this.
+            limit = np.partition(close, len(others) - n, axis=1)[:, len(others) - n] - 2e-6
+            row, column = np.nonzero((close >= limit[:, None]) & (close > -np.inf))
+            value = np.round(close[row, column], 6)
+            order = np.lexsort((-value, row))  # stable, so ties stay in the others' order
+            place = np.arange(len(row)) - np.searchsorted(row, row[order])
+            kept = order[place < most]
+            found.append((own[row[kept]], others[column[kept]], value[kept]))
+        return found
+
+    def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        of, found = key[0].as_py(), []
+        names, x = unit(left) if left.num_rows else (np.zeros(0, np.int64), None)
+        if x is not None and key[1] == key[2]:
+            found = best(names, x, names, x, True)
+        elif x is not None and right.num_rows:
+            others, y = unit(right)
+            found = best(names, x, others, y, False) + best(others, y, names, x, False)
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(np.full(len(columns[0]), of), pa.int64()), *(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True))], names=["plane", "frame", "other", "correlation"])
+
+    pairs = left.groupBy("plane", "a", "b").cogroup(right.groupBy("plane", "a", "b")).applyInArrow(compare, "plane long, frame long, other long, correlation double")
     place = F.row_number().over(Window.partitionBy("plane", "frame").orderBy(F.desc("correlation"), "other"))
     return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= most)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from imgtrace.operators import extraction, frames, images, movies, shape
 
@@ -173,3 +174,18 @@ def test_similar_frames_of_all_blocks(spark, block):
         others = sorted((-round(np.corrcoef(v, u)[0, 1], 6), s) for (q, s), u in stack.items() if q == p and s != t)[:4]
         want += [(p, t, s, pytest.approx(-c, abs=2e-6), k + 1) for k, (c, s) in enumerate(others)]
     assert got == sorted(want, key=lambda x: (x[0], x[1], x[2])) or len(got) == len(want) and {x[:3] for x in got} == {x[:3] for x in want}
+
+
+def test_similar_frames_of_equal_frames_and_few_pairs(spark, monkeypatch):
+    """Ties go to the lower frame in every strip and block, and a long plane makes few rows."""
+    monkeypatch.setattr(images, "AT_ONCE", 40)
+    kinds = np.random.default_rng(11).random((5, 6))
+    rows = spark.createDataFrame([(0, t, kinds[t % 5].tolist()) for t in range(60)], "plane long, frame long, v array<float>")
+    for block in (8192, 13):
+        got = {(r.frame, r.place): (r.other, r.correlation) for r in images.similar_frames(rows, "frame", "plane", "v", 4, block=block).collect()}
+        alike = {t: [s for s in range(t % 5, 60, 5) if s != t][:4] for t in range(60)}
+        assert got == {(t, k + 1): (s, 1.0) for t, near in alike.items() for k, s in enumerate(near)}
+    many = spark.range(3000).select(F.lit(0).alias("plane"), F.col("id").alias("frame"), F.array(*(F.rand(k) for k in range(4))).alias("v"))
+    assert sum(side.count() for side in images.dealt_pairs(many, "frame", "plane", "v", images.BLOCK_FRAMES)) == 3000
+    assert sum(side.count() for side in images.dealt_pairs(many, "frame", "plane", "v", 1000)) == 9000
+    assert images.similar_frames(many, "frame", "plane", "v", 2, block=1000).count() == 6000
