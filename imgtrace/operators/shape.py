@@ -55,14 +55,16 @@ def soma(masks: DataFrame, region: str, y: str, x: str, weight: str) -> DataFram
     """
     placed = masks.join(centres(masks, region, y, x), region).withColumn("apart", F.hypot(F.col(y) - F.col("cy"), F.col(x) - F.col("cx"))).drop("cy", "cx")
     rings = placed.groupBy(region, F.floor("apart").cast("int").alias("ring")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    by_region = rings.groupBy(region).agg(F.map_from_entries(F.collect_list(F.struct("ring", "w"))).alias("rings"), F.max("ring").alias("last"), F.sum("n").alias("n"))
-    density = F.when(F.col("last") > 1, F.transform(F.sequence(F.lit(1), F.col("last") - 1), lambda r: F.coalesce(F.try_element_at("rings", r), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
-    dense = by_region.select(region, "n", "last", density.alias("density")).withColumn("cut", F.array_max("density") / 3)
-    above = dense.withColumn("first", F.array_position(F.transform("density", lambda w: w > F.col("cut")), True))
-    after = F.slice("density", F.greatest(F.col("first"), F.lit(1)).cast("int"), F.size("density"))
-    below = F.array_position(F.transform(after, lambda w: w < F.col("cut")), True)
-    radius = F.when((F.col("n") > SMALL) & (F.col("cut") > 0), F.when(below > 0, F.col("first") + below - 1).otherwise(F.col("last")))
-    return placed.join(above.select(region, radius.alias("crop")), region).withColumn("soma", F.col("crop").isNull() | (F.col("apart") < F.col("crop"))).drop("crop")
+    # Rings in order; where the next one lies further out, the empty ring in between has no weight.
+    after = F.lead("ring").over(Window.partitionBy(region).orderBy("ring"))
+    whole = Window.partitionBy(region)
+    inside = (F.col("ring") > 0) & F.col("after").isNotNull()  # the last ring does not count
+    dense = rings.withColumns({"w": F.coalesce("w", F.lit(0.0)), "after": after}).withColumn("cut", F.max(F.when(inside, F.col("w"))).over(whole) / 3)
+    above = dense.withColumn("first", F.min(F.when(inside & (F.col("w") > F.col("cut")), F.col("ring"))).over(whole))
+    below = F.when(F.col("w") < F.col("cut"), F.col("ring")).when(F.col("after") > F.col("ring") + 1, F.col("ring") + 1)
+    by_region = above.groupBy(region).agg(F.sum("n").alias("n"), F.max("ring").alias("last"), F.max("cut").alias("cut"), F.min(F.when(inside & (F.col("ring") >= F.col("first")), below)).alias("below"))
+    radius = F.when((F.col("n") > SMALL) & (F.col("cut") > 0), F.coalesce("below", "last"))
+    return placed.join(by_region.select(region, radius.alias("crop")), region).withColumn("soma", F.col("crop").isNull() | (F.col("apart") < F.col("crop"))).drop("crop")
 
 
 def hull_area(points: np.ndarray) -> float:

@@ -58,3 +58,30 @@ def test_statistics_are_what_loops_give(spark, crop, aspect, most):
         others = {(y, x) for p, k, y, x, _ in rows if p == r.plane and k != roi and k in stay}
         assert r.overlapping == sum((y, x) in others for _, _, y, x, _ in own)
         assert (r.cy, r.cx) in {(y, x) for _, _, y, x, _ in own}
+
+
+def test_soma_of_regions_with_wide_gaps(spark):
+    """Rings without pixels count as empty, whatever their number, and are never listed."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for roi in range(40):
+        reach = [3, 12, 400, 100_000][roi % 4]
+        spots = {(int(y), int(x)) for y, x in rng.normal(0, reach, (int(rng.integers(3, 60)), 2))}
+        rows += [(roi, y, x, None if rng.random() < 0.1 else float(rng.integers(0, 9))) for y, x in sorted(spots)]
+    table = spark.createDataFrame(rows, "roi long, y long, x long, weight double")
+    out = shape.soma(table, "roi", "y", "x", "weight")
+    got = {(r.roi, r.y, r.x): r.soma for r in out.collect()}
+    centre = {r.roi: (r.cy, r.cx) for r in shape.centres(table, "roi", "y", "x").collect()}
+    for roi in range(40):
+        own = [q[1:] for q in rows if q[0] == roi]
+        apart = [np.hypot(y - centre[roi][0], x - centre[roi][1]) for y, x, _ in own]
+        last, sums = int(max(apart)), {}
+        for d, (_, _, w) in zip(apart, own, strict=True):
+            sums[int(d)] = sums.get(int(d), 0.0) + (w or 0.0)
+        cut = max((w for r, w in sums.items() if 0 < r < last), default=0.0) / 3
+        crop = np.inf
+        if len(own) > 10 and cut > 0:
+            first = min(r for r, w in sums.items() if 0 < r < last and w > cut)
+            crop = next((r for r in range(first, last) if sums.get(r, 0.0) < cut), last)
+        assert [got[roi, y, x] for y, x, _ in own] == [d < crop for d in apart]
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
