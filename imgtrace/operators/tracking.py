@@ -13,6 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,7 +162,8 @@ def without_overlapping(masks: DataFrame, plane: str, roi: str, pixel: str, most
     """plane and roi of the regions that stay: from the last to the first, one goes if more than `most` of its pixels lie in others that are still there.
 
     Counts of holders only fall, so a region within the limit at the start stays. The others hang on each other only
-    through pixels that two of them hold, so each connected group of these takes its turns by itself.
+    through pixels that two of them hold, so each connected group of these takes its turns by itself. Only these pixels
+    travel, a row a region; pixels that a region holds alone, or only with settled ones, are numbers.
     """
     key = F.struct(F.col(plane).cast("long").alias("plane"), F.col(roi).cast("long").alias("roi"))
     rows = masks.select(key.alias("key"), F.struct(plane, pixel).alias("pixel"))
@@ -169,23 +171,32 @@ def without_overlapping(masks: DataFrame, plane: str, roi: str, pixel: str, most
     crowded = F.sum(F.when(F.col("holders") > 1, 1).otherwise(0)).over(Window.partitionBy("key")) > most * F.count("*").over(Window.partitionBy("key"))
     judged = checkpointed(holders.withColumn("open", crowded))
     at_pixel = Window.partitionBy("pixel")
-    open_rows = judged.where("open").select("key", "pixel", (F.col("holders") - F.count("*").over(at_pixel)).alias("settled"), F.min("key").over(at_pixel).alias("first"))
-    grouped = components(open_rows.select(F.col("key").alias("a"), F.col("first").alias("b")))
-    joined = open_rows.join(grouped.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("component", "key").alias("component"), "key.plane", "key.roi", F.col(f"pixel.{pixel}").alias("pixel"), "settled")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        count = (rows["pixel"].value_counts() + rows.groupby("pixel")["settled"].first()).to_dict()
+    contested = F.count("*").over(at_pixel) > 1
+    open_rows = judged.where("open").select("key", "pixel", "holders", contested.alias("contested"), F.min("key").over(at_pixel).alias("first"))
+    grouped = components(open_rows.where("contested").select(F.col("key").alias("a"), F.col("first").alias("b")))
+    cell = F.struct(F.col(f"pixel.{pixel}").cast("long").alias("pixel"), F.col("holders").cast("int").alias("holders"))
+    turns = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("contested") & (F.col("holders") > 1), 1)).alias("always"), F.collect_list(F.when(F.col("contested"), cell)).alias("cells"))
+    joined = turns.join(grouped.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("component", "key").alias("component"), "key.plane", "key.roi", "n", "always", "cells")
+
+    def run(rows: pa.Table) -> pa.Table:
+        name, n, always = (rows[c].to_numpy() for c in ("roi", "n", "always"))
+        cells = rows["cells"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy())])
+        flat = cells.flatten()
+        pixels, place = np.unique(flat.field("pixel").to_numpy(), return_inverse=True)
+        count = np.zeros(len(pixels), np.int32)
+        count[place] = flat.field("holders").to_numpy()
         kept = []
-        for name, own in sorted(((k, g["pixel"].tolist()) for k, g in rows.groupby("roi")), reverse=True):
-            if sum(count[p] > 1 for p in own) > most * len(own):
-                for p in own:
-                    count[p] -= 1
+        for k in np.argsort(-name):
+            own = place[ends[k] : ends[k + 1]]
+            if (count[own] > 1).sum() + always[k] > most * n[k]:
+                np.subtract.at(count, own, 1)
             else:
-                kept.append(name)
-        return pd.DataFrame({"plane": rows["plane"].iloc[0], "roi": sorted(kept)})
+                kept.append(k)
+        return rows.select(["plane", "roi"]).take(pa.array(kept, pa.int64()))
 
     stay = judged.where("not open").select("key.plane", "key.roi").distinct()
-    return stay.union(joined.groupBy("component").applyInPandas(run, "plane long, roi long"))
+    return stay.union(joined.groupBy("component").applyInArrow(run, "plane long, roi long"))
 
 
 def in_bins(rois: DataFrame, y: str, x: str, step: int, margin: int, height: int, width: int) -> DataFrame:

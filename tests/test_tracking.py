@@ -129,3 +129,14 @@ def test_greedy_removal_is_the_loop_over_a_plane(spark):
                 rows += [(plane, roi, (y + dy) * 1000 + x + dx) for dy in range(h) for dx in range(w)]
         out = tracking.without_overlapping(spark.createDataFrame(rows, "plane long, roi long, pixel long"), "plane", "roi", "pixel", most)
         assert {(r.plane, r.roi) for r in out.collect()} == _plain_without(rows, most)
+
+
+def test_removal_sends_a_row_a_region(spark):
+    """Pixels alone, held with settled regions, and contested ones, over many regions; only a row a region meets the others."""
+    rng = np.random.default_rng(21)
+    rows = sorted({(p, r, int(x)) for p in range(2) for r in range(p, 60, 2) for x in rng.integers(0, 200 if r < 30 else 3000, 25)})
+    for most in (0.0, 0.3, 0.6):
+        out = tracking.without_overlapping(spark.createDataFrame(rows, "plane long, roi long, pixel long"), "plane", "roi", "pixel", most)
+        assert {tuple(r) for r in out.collect()} == _plain_without(rows, most)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
