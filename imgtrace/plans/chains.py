@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from imgtrace.functions import temporal
 from imgtrace.operators import alignment, deconvolution, extraction, fields, fluorescence, frames, masks, movies, principal, registration, settings, shape, tracking
+from imgtrace.operators.graphs import checkpointed
 from imgtrace.plans.catalogue import MOVIE, TRACES, brightest, brightest_sql, numbered_traces, query, ranked_events, read, rounded, smoothed_sql, supplier_masks
 from imgtrace.sources import tiff
 from imgtrace.streaming import traces as streams
@@ -141,7 +142,9 @@ def pc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arriving(spark: SparkSession, table: DataFrame, cuts: tuple[int, ...]) -> list[DataFrame]:
-    """A table of region, frame and value as tables that arrive one after the other; the last one ends all regions."""
+    """A table of region, frame and value as tables that arrive one after the other; the last one ends all regions.
+
+    Each part reads the table, so it must be one that is not made anew each time."""
     ends = (0, *cuts)
     parts = [table.where((F.col("frame") >= low) & (F.col("frame") < high)) for low, high in zip(ends, cuts, strict=False)]
     none = F.lit(None)
@@ -152,14 +155,14 @@ def arriving(spark: SparkSession, table: DataFrame, cuts: tuple[int, ...]) -> li
 @query(f"""with {TRACES}, {smoothed_sql(1.0, 3)}, low as (select *, min(s) over (partition by user_id order by frame rows between 3 preceding and 3 following) as low from smooth)
 select user_id as region, frame, round(max(low) over (partition by user_id order by frame rows between 3 preceding and 3 following), 4) + 0.0 as baseline from low""")
 def stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = numbered_traces(spark, sf_dir).select(F.col("user_id").cast("long").alias("region"), F.col("frame").cast("long").alias("frame"), F.col("f").alias("value"))
+    table = checkpointed(numbered_traces(spark, sf_dir).select(F.col("user_id").cast("long").alias("region"), F.col("frame").cast("long").alias("frame"), F.col("f").alias("value")))
     out = streams.in_turns(spark, windows.shared_folder(spark), arriving(spark, table, (20, 45)), lambda s: streams.baselines(s, "region", "frame", "value", 1.0, 3, 3))
     return rounded(out.drop("value"), "baseline")
 
 
 @query()
 def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = ranked_events(spark, sf_dir).select(F.col("user_id").cast("long").alias("region"), F.col("frame").cast("long").alias("frame"), F.col("value").cast("double").alias("value"))
+    table = checkpointed(ranked_events(spark, sf_dir).select(F.col("user_id").cast("long").alias("region"), F.col("frame").cast("long").alias("frame"), F.col("value").cast("double").alias("value")))
     least = table.agg(F.min("value")).first()[0] or 0.0
     return streams.in_turns(spark, windows.shared_folder(spark), arriving(spark, table, (20, 45)), lambda s: streams.spikes(s, "region", "frame", "value", 0.7, 10.0, least))
 

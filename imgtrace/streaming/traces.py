@@ -40,9 +40,8 @@ def baseline_of(held: np.ndarray, first: int, wanted: np.ndarray, n: int, half:
         return np.zeros(0)
     near = np.arange(max(0, wanted[0] - 2 * half), min(n, wanted[-1] + 2 * half + 1))
     smooth = sum(w * held[mirrored(near + k, n) - first] for k, w in zip(range(-reach, reach + 1), weights, strict=True))
-    over = lambda x, f, at: np.array([f(x[max(0, t - half - at[0]) : t + half + 1 - at[0]]) for t in at])
-    low = over(smooth, np.min, near)
-    return over(low, np.max, near)[wanted - near[0]]
+    over = lambda x, f, beyond: f(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, constant_values=beyond), 2 * half + 1), axis=1)
+    return over(over(smooth, np.min, np.inf), np.max, -np.inf)[wanted - near[0]]
 
 
 def baselines(frames: DataFrame, region: str, frame: str, value: str, sigma: float, reach: int, half: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from imgtrace.functions import temporal
 from imgtrace.operators import deconvolution, movies
+from imgtrace.plans import chains
 from imgtrace.streaming import traces
 
 
@@ -72,3 +73,20 @@ def test_what_a_stream_refuses(spark):
     for rows in (((4, 1.0),), ((3, 1.0), (3, 1.0)), ((3, 1.0), (5, 1.0))):
         with pytest.raises(ValueError, match="in order"):
             traces._in_order(one(*rows), "frame", "value", 3)
+
+
+def test_baseline_windows_end_with_the_trace_and_parts_read_one_table(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    weights = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+    weights /= weights.sum()
+    for n in (1, 2, 5, 30):
+        x = rng.normal(size=n)
+        ring = np.concatenate([x, x[::-1]])
+        smooth = [sum(w * ring[(t + k) % (2 * n)] for k, w in zip(range(-2, 3), weights, strict=True)) for t in range(n)]
+        low = [min(smooth[max(0, t - 4) : t + 5]) for t in range(n)]
+        assert traces.baseline_of(x, 0, np.arange(n), n, 4, weights) == pytest.approx([max(low[max(0, t - 4) : t + 5]) for t in range(n)])
+    plans = []
+    monkeypatch.setattr(chains.streams, "in_turns", lambda spark, folder, parts, build: plans.extend(p._jdf.queryExecution().optimizedPlan().toString() for p in parts) or spark.createDataFrame([], "value double, baseline double"))
+    chains.stream_baseline(spark, "/root/testdata/sf0.001")
+    chains.stream_spikes(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 6 and not any("Window" in p for p in plans)
