@@ -429,12 +429,12 @@ told as (select *, max((kind = 'error')::int) over (partition by key, name) as w
 
 def chosen_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sorted({r[0] for r in settings.RULES})
-    key = F.col("c_custkey")
-    number = lambda k: ((key * (k * 7 + 3) % 53 - 6) / F.lit(10.0)).cast("string")
-    rows = [F.struct(F.lit(n).alias("name"), number(k + 1).alias("value")) for k, n in enumerate(names)]
-    rows += [F.struct(F.lit(n).alias("name"), (key % k == 0).cast("string").alias("value")) for n, k in SWITCHES.items()]
+    key, k = F.col("c_custkey"), F.col("k")
+    each = spark.createDataFrame([(n, i * 7 + 10, False) for i, n in enumerate(names)] + [(n, i, True) for n, i in SWITCHES.items()], "name string, k int, switch boolean")
+    value = F.when(F.col("switch"), (key % k == 0).cast("string")).otherwise(((key * k % 53 - 6) / F.lit(10.0)).cast("string"))
     customers = read(spark, sf_dir, "customer").select("c_custkey")
-    return customers.repartition(customers.count() // 50_000 + 1, "c_custkey").select(key.alias("key"), F.inline(F.array(*rows)))  # a small file makes many rows
+    dealt = customers.repartition(customers.count() // 50_000 + 1, "c_custkey")  # a small file makes many rows
+    return dealt.crossJoin(F.broadcast(each)).select(key.alias("key"), "name", value.alias("value"))  # a fixed table
 
 
 @query(f"{CHOSEN} select key, name, kind, problem from told where kind = 'error' or wrong = 0")

@@ -70,3 +70,26 @@ def test_repeated_rows_and_rows_without_key_are_found(spark):
     rows = [(None, "main.tau", "0"), (1, "main.tau", "0"), (1, "main.tau", "0"), (None, "nonrigid_registration.enabled", "true"), (None, "nonrigid_registration.block_size", "0"), (1, None, "0"), (1, "no.rule", "0")]
     found = settings.findings(spark.createDataFrame(rows, "key long, name string, value string")).collect()
     assert sorted((r.key or 0, r.name, r.kind) for r in found) == [(0, "main.tau", "error"), (1, "main.tau", "error"), (1, "main.tau", "error")]
+
+
+def test_values_of_any_kind_have_a_finding(spark):
+    switch, even, blocks = "one_photon_registration.enabled", "one_photon_registration.pre_smoothing_sigma", "nonrigid_registration.block_size"
+    values = ["NaN", "Infinity", "1e30", "43.5", "[43, 2]", "[44, 1]", "[44, x]", "", " 44 ", None]
+    rows = [(k, n, v) for k, value in enumerate(values) for n, v in ((switch, "true"), (even, value), ("nonrigid_registration.enabled", "true"), (blocks, value))]
+    found = {(r.key, r.name, r.problem) for r in settings.findings(spark.createDataFrame(rows, "key long, name string, value string")).collect()}
+    assert found == {(3, even, "not even"), (4, even, "not even"), *((k, n, "out of range") for k in (6, 7) for n in (even, blocks))}
+
+
+def test_keys_meet_by_numbers_only(spark):
+    values = spark.range(40).selectExpr("id % 4 as key", "if(id < 20, 'main.tau', 'roi_detection.enabled') as name", "cast(id % 3 as string) as value")
+    plan = settings.findings(values)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "lambda" not in plan and plan.count("Exchange hashpartitioning") == 1
+    met = plan[plan.index("Exchange hashpartitioning") :].split("Project [", 1)[1].split("]", 1)[0]
+    assert [c.split("#")[0] for c in met.split(", ")] == ["key", "rule", "fact"]
+
+
+def test_findings_on_the_whole_come_once_and_by_key(spark):
+    pair = ("main.first_channel_functional", "main.second_channel_functional")
+    rows = [(k, n, "false") for k in (1, 1, None) for n in pair] + [(2, pair[0], "false"), (3, pair[1], "False"), (4, pair[0], "true"), (4, pair[1], "false")]
+    found = settings.findings(spark.createDataFrame(rows, "key long, name string, value string")).collect()
+    assert sorted((r.key or 0, r.name, r.problem) for r in found) == [(k, pair[0], "no functional channel") for k in (0, 1)]
