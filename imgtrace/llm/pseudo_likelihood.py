@@ -165,11 +165,12 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of logits, in their place, less a number for each row; these numbers; and the sums.
 
-    The number is the greatest of all where no row then vanishes, which is faster to find than each row's greatest.
+    The number is 0 where all logits are so small that nothing overflows and no row vanishes, else each row's greatest.
     """
-    most = x.max(initial=-np.inf)
-    top = np.full((len(x), 1), most, x.dtype) if most - x.min(initial=np.inf) < 60 else x.max(-1, keepdims=True)
-    x -= top
+    top = np.zeros((len(x), 1), x.dtype)
+    if x.max(initial=0) > 60 or x.min(initial=0) < -60:
+        top = x.max(-1, keepdims=True)
+        x -= top
     np.exp(x, out=x)
     return x, top[:, 0], x @ np.ones(x.shape[1], x.dtype)
 
@@ -183,11 +184,17 @@ def _log_prob(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
 
 def _digits(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The three digits of ids, the last first, so that frequent ids differ early; and the first two as one number."""
-    target = target.astype(np.int32)
+    target = target.astype(np.intp)
     a, b = target % DIGIT, target // DIGIT % DIGIT
     return a, b, target // (DIGIT * DIGIT), a * DIGIT + b
 
 
+def _logits(state: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = state @ weights
+    out += bias
+    return out
+
+
 def _hidden(w: Weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hidden state, and the embeddings of each window's neighbours."""
     near = w["embed"].take(context, 0)
@@ -198,52 +205,60 @@ def log_probs(w: Weights, windows: np.ndarray) -> np.ndarray:
     """The log-probability of each window's middle id."""
     hidden, _ = _hidden(w, windows[:, :-1])
     a, b, c, ab = _digits(windows[:, -1])
-    out = _log_prob(hidden @ w["first"] + w["first_bias"], a)
-    out += _log_prob((hidden + w["after_first"].take(a, 0)) @ w["second"] + w["second_bias"].take(a, 0), b)
-    return out + _log_prob((hidden + w["after_second"].take(ab, 0)) @ w["third"] + w["third_bias"].take(ab, 0), c)
+    out = _log_prob(_logits(hidden, w["first"], w["first_bias"]), a)
+    out += _log_prob(_logits(hidden + w["after_first"].take(a, 0), w["second"], w["second_bias"].take(a, 0)), b)
+    return out + _log_prob(_logits(hidden + w["after_second"].take(ab, 0), w["third"], w["third_bias"].take(ab, 0)), c)
 
 
-def _summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The rows added up by their numbers, which lie below n."""
-    out = np.empty((n, rows.shape[1]), np.float32)
-    for k, column in enumerate(np.ascontiguousarray(rows.T)):
-        out[:, k] = np.bincount(at, column, n)
-    return out
+def _summed_neighbours(at: np.ndarray, g_hidden: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The embeddings' gradient: each window's row, scaled by each place, added up by the neighbours' numbers (a row a place) below n."""
+    rows, scale = g_hidden.T.astype(np.float64, order="C"), place.T.astype(np.float64, order="C")
+    out = np.empty((len(rows), n))
+    for k, row in enumerate(rows):
+        out[k] = np.bincount(at.ravel(), np.multiply.outer(scale[k], row).ravel(), n)
+    return out.T.astype(np.float32)
 
 
 def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
     """Of the summed log-probabilities of the windows; and the embeddings' rows that it has, all others being 0."""
-    context, n = windows[:, :-1], len(windows)
+    windows = windows.take(np.argsort(windows[:, -1] % DIGIT, kind="stable"), 0)  # windows of one first digit in a row
+    context, n = windows[:, :-1].astype(np.intp), len(windows)
     a, b, c, ab = _digits(windows[:, -1])
-    every = np.arange(n)
+    flat = np.arange(n) * DIGIT
     hidden, near = _hidden(w, context)
     ones = np.ones(n, np.float32)
     g: Weights = {}
 
     def part(state: np.ndarray, name: str, bias: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        off, _, total = _exponentials(state @ w[name] + bias)
-        off /= -total[:, None]
-        off[every, digit] += 1
+        off, _, total = _exponentials(_logits(state, w[name], bias))
+        off *= (-1 / total)[:, None]
+        off.reshape(-1)[flat + digit] += 1
         g[name] = state.T @ off
         return off, off @ w[name].T
 
     off, g_hidden = part(hidden, "first", w["first_bias"], a)
     g["first_bias"] = ones @ off
     off, g_state = part(hidden + w["after_first"].take(a, 0), "second", w["second_bias"].take(a, 0), b)
-    is_first = np.zeros((n, DIGIT), np.float32)
-    is_first[every, a] = 1
+    is_digit = np.eye(DIGIT, dtype=np.float32)
+    is_first, is_second = is_digit.take(a, 0), is_digit.take(b, 0)
     g["second_bias"], g["after_first"] = is_first.T @ off, is_first.T @ g_state
-    g_hidden = g_hidden + g_state
+    g_hidden += g_state
     off, g_state = part(hidden + w["after_second"].take(ab, 0), "third", w["third_bias"].take(ab, 0), c)
-    g["third_bias"], g["after_second"] = _summed_rows(ab, off, DIGIT * DIGIT), _summed_rows(ab, g_state, DIGIT * DIGIT)
-    g_hidden = (g_hidden + g_state) * (1 - hidden * hidden)
+    both = np.concatenate([off, g_state], 1)
+    ends = np.searchsorted(a, np.arange(DIGIT + 1)).tolist()
+    summed = np.concatenate([is_second[i:j].T @ both[i:j] for i, j in itertools.pairwise(ends)])
+    g["third_bias"], g["after_second"] = summed[:, :DIGIT], summed[:, DIGIT:]
+    g_hidden += g_state
+    g_hidden *= 1 - hidden * hidden
     g["bias"] = ones @ g_hidden
     g["place"] = np.einsum("nkd,nd->kd", near, g_hidden)
-    at = context.ravel()
-    touched = np.flatnonzero(np.bincount(at, minlength=SIZE + 1))
-    slot = np.zeros(SIZE + 1, np.int64)
+    at = context.T.ravel()
+    is_touched = np.zeros(SIZE + 1, bool)
+    is_touched[at] = True
+    touched = np.flatnonzero(is_touched)
+    slot = np.empty(SIZE + 1, np.intp)
     slot[touched] = np.arange(len(touched))
-    g["embed"] = _summed_rows(slot[at], (g_hidden[:, None] * w["place"]).reshape(-1, WIDTH), len(touched))
+    g["embed"] = _summed_neighbours(slot.take(at), g_hidden, w["place"], len(touched))
     return g, touched
 
 
@@ -255,11 +270,18 @@ def train_on(flat: np.ndarray, sums: np.ndarray, windows: np.ndarray, seed: int)
         batch = windows.take(order[start : start + BATCH], 0)
         found, touched = gradient(w, batch)
         for name, grad in found.items():
-            rows = touched if name == "embed" else slice(None)
-            grad /= len(batch)
-            square = seen[name][rows] + grad * grad
-            seen[name][rows] = square
-            w[name][rows] += STEP * grad / np.sqrt(square)
+            grad = grad / np.float32(len(batch))
+            square = grad * grad
+            square += seen[name].take(touched, 0) if name == "embed" else seen[name]
+            grad *= STEP
+            grad /= np.sqrt(square)
+            if name == "embed":
+                seen[name][touched] = square
+                grad += w[name].take(touched, 0)
+                w[name][touched] = grad
+            else:
+                seen[name] = square
+                w[name] += grad
     return flatten(w), flatten(seen)
 
 

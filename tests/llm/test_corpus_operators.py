@@ -615,3 +615,24 @@ def test_large_rows_come_in_batches_of_few(spark):
     with common.rows_a_batch(spark, 8):
         found = common.materialize(spark.range(0, 20, 1, 1).mapInArrow(seen, "n long"), 1 << 20)
     assert sorted(r.n for r in found.collect()) == [4, 8, 8] and spark.conf.get(name) == before
+
+
+def test_small_logits_are_not_shifted():
+    near, far = np.array([[0.0, 1.0], [-40.0, 50.0]], np.float32), np.array([[0.0, 1.0], [-80.0, -70.0]], np.float32)
+    for x, want in ((near, [0, 0]), (far, [1, -70])):
+        powers, top, total = pseudo_likelihood._exponentials(x.copy())
+        assert top.tolist() == want and np.allclose(powers, np.exp(x - top[:, None])) and np.allclose(total, powers.sum(1))
+
+
+def test_a_batch_adds_up_its_windows():
+    pl, rng = pseudo_likelihood, np.random.default_rng(5)
+    windows = pl.windows_of(np.minimum(rng.zipf(1.2, pl.BATCH), pl.SIZE - 1).astype("<u2"))
+    w = pl.unflatten(pl.first_weights(3))
+    alone = [pl.gradient(w, windows[i : i + 1]) for i in range(0, pl.BATCH, 64)]
+    part, at = pl.gradient(w, windows[::64])
+    for name in ("third_bias", "after_second", "second_bias", "after_first", "place"):
+        assert np.allclose(part[name], sum(g[name] for g, _ in alone), atol=1e-4)
+    want = np.zeros_like(w["embed"])
+    for g, rows in alone:
+        want[rows] += g["embed"]
+    assert np.allclose(part["embed"], want[at], atol=1e-4) and not np.delete(want, at, 0).any()
