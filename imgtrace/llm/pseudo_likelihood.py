@@ -97,8 +97,9 @@ def chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces_of(batch, "text", CHUNK):
                 number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-                found = [list(map(number.__getitem__, text.lower().encode().split())) for text in part.column(1).to_pylist()]  # bytes part where WORD does
-                codes = np.concatenate([np.array(x, "<i4") for x in found])
+                split = (text.lower().encode().split() for text in part.column(1).to_pylist())  # bytes part where WORD does
+                found = [np.fromiter(map(number.__getitem__, x), "<i4", len(x)) for x in split]
+                codes = np.concatenate(found)
                 one = lambda values: list_array(values, [len(values)])
                 columns = [
                     one(pa.array(list(number), pa.binary()).cast(pa.string())),
@@ -177,7 +178,7 @@ def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _log_prob(x: np.ndarray, digit: np.ndarray) -> np.ndarray:
     """By a softmax of the logits."""
-    own = x[np.arange(len(x)), digit]
+    own = x.reshape(-1).take(np.arange(len(x)) * x.shape[1] + digit)
     _, top, total = _exponentials(x)
     return own - top - np.log(total)
 
@@ -216,7 +217,7 @@ def _summed_neighbours(at: np.ndarray, g_hidden: np.ndarray, place: np.ndarray,
     out = np.empty((len(rows), n))
     for k, row in enumerate(rows):
         out[k] = np.bincount(at.ravel(), np.multiply.outer(scale[k], row).ravel(), n)
-    return out.T.astype(np.float32)
+    return out.T.astype(np.float32, order="C")
 
 
 def gradient(w: Weights, windows: np.ndarray) -> tuple[Weights, np.ndarray]:
