@@ -132,7 +132,10 @@ def ids_of_words(words: pa.Array, known: pa.Array) -> np.ndarray:
     found = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
     rare = np.flatnonzero(np.isnan(found)) if found.dtype.kind == "f" else np.zeros(0, np.int64)
     ids = np.nan_to_num(found).astype(np.int64)
-    ids[rare] = [SIZE - SHARED + zlib.crc32(w.encode()) % SHARED for w in words.take(pa.array(rare)).to_pylist()]
+    _, offsets, data = words.take(pa.array(rare)).buffers()  # their bytes as they lie, as lists of words are slow to make
+    if len(rare):
+        ends, data = np.frombuffer(offsets, "<i4", len(rare) + 1).tolist(), memoryview(data)
+        ids[rare] = [SIZE - SHARED + zlib.crc32(data[i:j]) % SHARED for i, j in itertools.pairwise(ends)]
     return ids
 
 

@@ -636,3 +636,12 @@ def test_a_batch_adds_up_its_windows():
     for g, rows in alone:
         want[rows] += g["embed"]
     assert np.allclose(part["embed"], want[at], atol=1e-4) and not np.delete(want, at, 0).any()
+
+
+def test_words_of_a_slice_get_their_ids():
+    words = ["é日", "the", "zz", "of", "x" * 300, "q"]
+    known = pa.array(["of", "the"])
+    want = [_plain_ids(w, {"of": 0, "the": 1})[0] for w in words]
+    for i in range(len(words) + 1):
+        assert pseudo_likelihood.ids_of_words(pa.array(words)[i:], known).tolist() == want[i:]
+    assert pseudo_likelihood.ids_of_words(pa.array(words)[1:2], known).tolist() == [1]
