@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from imgtrace.operators.masks import dilated, free_lines, line_pixels
 
 STEP, MOST_ROUNDS = 5, 100
+#: Places of the image (whole lines, one at least) and frames of the movie that meet in a task, and regions whose places are there at once.
+PLACES, FRAMES, REGIONS = 4096, 64, 256
 
 
 def built_masks(masks: DataFrame, region: str, pixel: str, weight: str, with_shared: bool) -> DataFrame:
@@ -48,12 +50,19 @@ def surrounds(masks: DataFrame, plane: str, region: str, pixel: str, height: int
 
 
 def surround_lines(masks: DataFrame, plane: str, region: str, pixel: str, height: int, width: int, border: int, least: int) -> DataFrame:
-    """plane, region, y and xs, the places in a line, of each region's surround: a box grown until more than `least` of its pixels are free.
+    """plane, region, y and xs, the places in a line, of each region's surround, as `surround_boxes` finds them."""
+    grown, inner, held = surround_boxes(masks, plane, region, pixel, height, width, border, least)
+    lines = grown.select(plane, region, "x0", (F.col("x1") - 1).alias("x1"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
+    return free_lines(lines, [(inner, [plane, region]), (held, [plane])], pixel, width).select(plane, region, "y", "xs")
+
+
+def surround_boxes(masks: DataFrame, plane: str, region: str, pixel: str, height: int, width: int, border: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each region's surround as a box (plane, region, y0, y1, x0, x1, ends exclusive) less its own grown pixels and the held ones (the second and third table): a box grown until more than `least` of its pixels are free.
 
     Free are pixels that no region of the plane holds; those of the region grown by `border` do not count and do not belong
     to the surround. A plane is an image of fixed size, and only its held pixels and its regions' boxes meet in a task, to
-    count free pixels by sums over corners; pixels of surrounds are made line by line. Pixels beyond the image hold
-    nothing, and a region that has no others has no surround.
+    count free pixels by sums over corners. Pixels beyond the image hold nothing, and a region that has no others has no
+    surround.
     """
     rows = masks.select(plane, region, F.col(pixel).cast("long").alias(pixel)).distinct()
     key = F.struct(plane, region)
@@ -77,8 +86,67 @@ def surround_lines(masks: DataFrame, plane: str, region: str, pixel: str, height
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(plane, region).schema.fields)
     grown = boxes.groupBy(plane).cogroup(held.groupBy(plane)).applyInArrow(grow, f"{schema}, y0 long, y1 long, x0 long, x1 long")
-    lines = grown.select(plane, region, "x0", (F.col("x1") - 1).alias("x1"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    return free_lines(lines, [(inner, [plane, region]), (held, [plane])], pixel, width).select(plane, region, "y", "xs")
+    return grown, inner, held
+
+
+def surround_means(grown: DataFrame, inner: DataFrame, held: DataFrame, movie: DataFrame, plane: str, region: str, pixel: str, frame: str, value: str, height: int, width: int) -> DataFrame:
+    """region, frame and neuropil: means of the movie's values over surrounds as `surround_boxes` gives them; places without a value don't count.
+
+    The image is cut into strips of lines. A strip's boxes and taken pixels meet its part of FRAMES frames of the movie in
+    one task, as a product of matrices, so neither pixels of surrounds nor lists of them are made.
+    """
+    lines = max(1, PLACES // width)
+    size = lines * width
+    strip, place = F.floor(F.col(pixel) / size).cast("long").alias("strip"), (F.col(pixel) % size).cast("long").alias("place")
+    inside = F.col(pixel).between(0, height * width - 1)
+    cells = movie.where(inside & F.col(value).isNotNull()).select(strip, F.floor(F.col(frame) / FRAMES).cast("long").alias("chunk"), place, frame, F.col(value).cast("double").alias("value"))
+    strips = F.sequence(F.floor(F.col("y0") / lines).cast("long"), F.floor((F.col("y1") - 1) / lines).cast("long"))
+    boxes = grown.select(F.explode(strips).alias("strip"), plane, region, "y0", "y1", "x0", "x1")
+    areas = boxes.unionByName(inner.select(strip, plane, region, place), allowMissingColumns=True).unionByName(held.select(strip, plane, place), allowMissingColumns=True)
+    dealt = areas.crossJoin(F.broadcast(cells.select(F.col("chunk").alias("part")).distinct()))
+
+    def sums(key: tuple[pa.Scalar, ...], values: pa.Table, areas: pa.Table) -> pa.Table:
+        frames = values[frame].combine_chunks().dictionary_encode()
+        n = len(frames.dictionary)
+        at = values["place"].to_numpy() * n + frames.indices.to_numpy()
+        total = np.bincount(at, values["value"].to_numpy(), size * n).reshape(size, n)
+        # The movie beside the counts of its values.
+        both = np.hstack([total, np.bincount(at, minlength=size * n).reshape(size, n)])
+        odd = np.flatnonzero(~np.isfinite(both).all(axis=0))
+        names = areas[region].combine_chunks().dictionary_encode()
+        found, codes = [np.zeros(0, np.int64)], names.indices.fill_null(-1).to_numpy()
+        out = [np.zeros((0, 2 * n))]
+        planes, own = np.unique(areas[plane].to_numpy(), return_inverse=True)
+        is_box = areas["y0"].is_valid().to_numpy()
+        taken = areas["place"].fill_null(-1).to_numpy()
+        ends = np.stack([areas[c].fill_null(0).to_numpy() for c in ("y0", "y1", "x0", "x1")])
+        ends[:2] -= key[0].as_py() * lines
+        order = np.argsort(own, kind="stable")
+        for here in np.split(order, np.searchsorted(own[order], np.arange(1, len(planes)))):
+            free = np.ones(size, bool)
+            free[taken[here[codes[here] < 0]]] = False
+            here = here[np.argsort(codes[here], kind="stable")]
+            boxes, pixels = here[is_box[here]], here[~is_box[here] & (codes[here] >= 0)]
+            for part in (boxes[k : k + REGIONS] for k in range(0, len(boxes), REGIONS)):
+                y0, y1, x0, x1 = ends[:, part, None]
+                y, x = (np.arange(lines) >= y0) & (np.arange(lines) < y1), (np.arange(width) >= x0) & (np.arange(width) < x1)
+                holds = (y[:, :, None] & x[:, None, :]).reshape(len(part), size) & free
+                mine = pixels[np.searchsorted(codes[pixels], codes[part[0]]) : np.searchsorted(codes[pixels], codes[part[-1]], "right")]
+                holds[np.searchsorted(codes[part], codes[mine]), taken[mine]] = False
+                with np.errstate(invalid="ignore"):
+                    got = holds.astype(float) @ both
+                for k in range(len(part) if len(odd) else 0):  # a product would carry what is not finite into all regions
+                    got[k, odd] = both[np.ix_(holds[k], odd)].sum(axis=0)
+                found.append(codes[part])
+                out.append(got)
+        regions, got = np.concatenate(found), np.concatenate(out)
+        columns = [names.dictionary.take(pa.array(np.repeat(regions, n))), frames.dictionary.take(pa.array(np.tile(np.arange(n), len(regions))))]
+        columns += [pa.array(got[:, :n].ravel()), pa.array(got[:, n:].ravel())]
+        return pa.table(columns, names=[region, frame, "total", "n"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (grown.schema[region], movie.schema[frame]))
+    found = cells.groupBy("strip", "chunk").cogroup(dealt.groupBy("strip", "part")).applyInArrow(sums, f"{schema}, total double, n double")
+    return found.where("n > 0").groupBy(region, frame).agg((F.sum("total") / F.sum("n")).alias("neuropil"))
 
 
 def line_means(around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, width: int) -> DataFrame:
@@ -96,10 +164,9 @@ def line_means(around: DataFrame, movie: DataFrame, region: str, pixel: str, fra
     return sums.where("n > 0").groupBy(region, frame).agg((F.sum("total") / F.sum("n")).alias("neuropil"))
 
 
-def traces(built: DataFrame, around: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, coefficient: float, width: int) -> DataFrame:
-    """region, frame, fluorescence, neuropil (0 without a surround; around as `surround_lines` gives it) and corrected (less a share of the neuropil)."""
+def traces(built: DataFrame, near: DataFrame, movie: DataFrame, region: str, pixel: str, frame: str, value: str, coefficient: float) -> DataFrame:
+    """region, frame, fluorescence, neuropil (0 without a surround; near as `surround_means` gives it) and corrected (less a share of the neuropil)."""
     own = built.join(movie, pixel).groupBy(region, frame).agg(F.sum(F.col("share") * F.col(value)).alias("fluorescence"))
-    near = line_means(around, movie, region, pixel, frame, value, width)
     joined = own.join(near, [region, frame], "left").withColumn("neuropil", F.coalesce("neuropil", F.lit(0.0)))
     return joined.withColumn("corrected", F.col("fluorescence") - coefficient * F.col("neuropil"))
 

@@ -5,13 +5,12 @@ Shapes: recordings are nations, their planes the suppliers' numbers modulo 4, re
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgtrace.functions import naming, temporal
 from imgtrace.operators import alignment, catalog, classifier, extraction, images, masks, shape, tracking
+from imgtrace.operators.graphs import checkpointed
 from imgtrace.plans import jobs
 from imgtrace.plans.catalogue import MASKS, brightest, brightest_sql, MOVIE, OFFSETS, PLACED, PRICES, TRACES, monthly_prices, movie, offsets, placed_pixels, query, read, rounded, supplier_masks, traces
 
@@ -347,9 +346,13 @@ def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brightest(spark, sf_dir, 0.96)
 
 
-def grown_surrounds(spark: SparkSession, sf_dir: str, found: Callable[..., DataFrame] = extraction.surrounds) -> DataFrame:
+def placed_in_planes(spark: SparkSession, sf_dir: str, regions: DataFrame) -> DataFrame:
     planes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").cast("long").alias("plane"))
-    return found(bright_regions(spark, sf_dir).join(planes, "roi"), "plane", "roi", "pixel", 1000, 200, 1, 350)
+    return regions.join(planes, "roi")
+
+
+def grown_surrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.surrounds(placed_in_planes(spark, sf_dir, bright_regions(spark, sf_dir)), "plane", "roi", "pixel", 1000, 200, 1, 350)
 
 
 @query(f"with {BUILT} select roi, pixel, round(share, 6) + 0.0 as share from built")
@@ -366,9 +369,12 @@ def mask_surrounds_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
 near as (select roi, frame, avg(value) as n from surround s join prices p on p.pixel = s.pixel group by all)
 select o.roi, o.frame, round(f, 3) + 0.0 as fluorescence, round(coalesce(n, 0), 3) + 0.0 as neuropil, round(f - 0.7 * coalesce(n, 0), 3) + 0.0 as corrected from own o left join near n on n.roi = o.roi and n.frame = o.frame""")
 def extract_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = extraction.built_masks(bright_regions(spark, sf_dir), "roi", "pixel", "weight", False)
-    out = extraction.traces(built, grown_surrounds(spark, sf_dir, extraction.surround_lines), monthly_prices(spark, sf_dir), "roi", "pixel", "frame", "value", 0.7, 200)
-    return rounded(out, "fluorescence", "neuropil", "corrected", digits=3)
+    bright = checkpointed(bright_regions(spark, sf_dir))
+    built = extraction.built_masks(bright, "roi", "pixel", "weight", False)
+    around = extraction.surround_boxes(placed_in_planes(spark, sf_dir, bright), "plane", "roi", "pixel", 1000, 200, 1, 350)
+    prices = monthly_prices(spark, sf_dir)
+    near = extraction.surround_means(*around, prices, "plane", "roi", "pixel", "frame", "value", 1000, 200)
+    return rounded(extraction.traces(built, near, prices, "roi", "pixel", "frame", "value", 0.7), "fluorescence", "neuropil", "corrected", digits=3)
 
 
 @query(f"""with {OFFSETS}, near as (select *, list(y) over w as ys, list(x) over w as xs, list(correlation) over w as cs from offsets window w as (partition by plane order by frame rows between 2 preceding and 2 following)),

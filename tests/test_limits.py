@@ -1,8 +1,13 @@
 """Faults that only odd or large inputs showed."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from imgtrace.operators import classifier, extraction, masks, neuropil, tracking
+from imgtrace.plans import records
 
 
 def test_logistic_layer_reads_equal_rows_once(spark):
@@ -52,3 +57,31 @@ def test_near_pairs_are_sent_to_no_single_task(spark):
     out = masks.near_pairs(rois, "roi", "recording", "y", "x", 1.5)
     assert sorted((r.a, r.b) for r in out.collect()) == [(k, k + 1) for k in range(5)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_of_boxes_are_those_of_their_places(spark, monkeypatch):
+    rng, height, width = random.Random(6), 12, 10
+    held = sorted({(p, 2 * r + p, rng.randrange(40 * (r % 2), 130)) for p in range(2) for r in range(4) for _ in range(4)})
+    movie = [(p, f, rng.uniform(0, 9)) for f in range(7) for p in range(-1, 125) if rng.random() < 0.9 and not (f == 3 and p < 60)]
+    movie += [(55, 0, 4.0), (55, 0, 5.0), (77, 0, None), (21, 1, math.inf), (88, 2, math.nan)]
+    regions, table = spark.createDataFrame(held, "plane long, roi long, pixel long"), spark.createDataFrame(movie, "pixel long, frame long, value double")
+    names = ("plane", "roi", "pixel", height, width, 1, 20)
+    want = {}
+    for r in extraction.surrounds(regions, *names).collect():
+        for p, f, v in movie:
+            if p == r.pixel and v is not None:
+                want.setdefault((r.roi, f), []).append(v)
+    around = extraction.surround_boxes(regions, *names)
+    for places, frames, at_once in ((30, 3, 2), (4096, 64, 256)):
+        monkeypatch.setattr(extraction, "PLACES", places)
+        monkeypatch.setattr(extraction, "FRAMES", frames)
+        monkeypatch.setattr(extraction, "REGIONS", at_once)
+        out = extraction.surround_means(*around, table, "plane", "roi", "pixel", "frame", "value", height, width)
+        got = {(r.roi, r.frame): r.neuropil for r in out.collect()}
+        assert got == pytest.approx({k: sum(v) / len(v) for k, v in want.items()}, nan_ok=True) and len(got) == out.count()
+    assert any(map(math.isnan, got.values())) and math.inf in got.values()
+
+
+def test_extracted_traces_make_no_lists_of_places(spark):
+    plan = records.extract_traces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "array_except" not in plan and "collect_set" not in plan
