@@ -5,11 +5,11 @@ Everything meets on the pixel by an equi-join (an inverted index), so the work f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of pairs on shared pixels that a task takes up.
-PAIRS = 2_000_000
+PAIRS = 4_000_000
 
 
 def normalized(masks: DataFrame, region: str, weight: str) -> DataFrame:
@@ -39,31 +39,65 @@ def background_mean(masks: DataFrame, movie: DataFrame, pixel: str, frame: str,
 
 def shared_pixels(left: DataFrame, right: DataFrame, region: str, pixel: str) -> DataFrame:
     """a, b, shared, n_a and n_b of all pairs of regions that share a pixel."""
-    a, b = _sized(left, region, pixel, "a"), _sized(right, region, pixel, "b")
-    return _counted(a, b)
+    tasks = _tasks(_held(left, region, pixel, "x").join(_held(right, region, pixel, "y"), pixel, "full"), F.coalesce(F.col("x") * F.col("y"), F.lit(0)), F.coalesce("x", "y"))
+    others = _sized(_rows(right, region, pixel)).repartition(tasks, "pixel")
+    lists = others.groupBy("pixel").agg(F.collect_list("region").alias("ys"), F.collect_list("n").alias("n_ys"))
+    return _counted(_blocks(left, region, pixel, tasks).join(lists, "pixel"), tasks)
 
 
-def _counted(a: DataFrame, b: DataFrame, own: bool = False) -> DataFrame:
-    """Pairs of the rows that meet on a pixel, in tasks of about PAIRS such rows, so that a task's memory stays as the input grows."""
-    held = lambda side, n: side.groupBy("pixel").agg(F.count("*").alias(n))
-    met = held(a, "x").select(F.sum(F.col("x") * (F.col("x") - 1) / 2)) if own else held(a, "x").join(held(b, "y"), "pixel").select(F.sum(F.col("x") * F.col("y")))
-    tasks = int((met.first()[0] or 0) // PAIRS) + 1
-    pairs = a.repartition(tasks, "pixel").join(b.repartition(tasks, "pixel"), "pixel")
-    pairs = (pairs.where("a < b") if own else pairs).select("a", "b", "n_a", "n_b").repartition(tasks, "a", "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+def _own_pairs(masks: DataFrame, region: str, pixel: str) -> DataFrame:
+    """shared_pixels of a table with itself, each pair once, the lower region first: a block's regions meet those of its own and of higher blocks."""
+    tasks = _tasks(_held(masks, region, pixel, "x"), F.col("x") * (F.col("x") - 1) / 2, F.col("x"))
+    higher = Window.partitionBy("pixel").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lists = {"ys": F.flatten(F.collect_list("xs").over(higher)), "n_ys": F.flatten(F.collect_list("n_xs").over(higher))}
+    return _counted(_blocks(masks, region, pixel, tasks).withColumns(lists), tasks, own=True)
 
 
-def _sized(masks: DataFrame, region: str, pixel: str, name: str) -> DataFrame:
-    """Pixels of regions with the region's size beside each, so that pairs need no second look at the masks."""
-    size = F.count("*").over(Window.partitionBy(region))
-    return masks.select(F.col(region).alias(name), F.col(pixel).alias("pixel"), size.alias(f"n_{name}"))
+def _held(masks: DataFrame, region: str, pixel: str, n: str) -> DataFrame:
+    return masks.where(F.col(region).isNotNull() & F.col(pixel).isNotNull()).groupBy(pixel).agg(F.count("*").alias(n))
 
 
-def _own_pairs(masks: DataFrame, region: str, pixel: str) -> DataFrame:
-    """shared_pixels of a table with itself, each pair once: the lower region's rows meet the higher's only."""
-    a = _sized(masks, region, pixel, "a")
-    b = a.select(F.col("a").alias("b"), "pixel", F.col("n_a").alias("n_b"))
-    return _counted(a, b, own=True)
+def _tasks(held: DataFrame, pairs: Column, rows: Column) -> int:
+    return int(max(n or 0 for n in held.select(F.sum(pairs), F.sum(rows)).first()) // PAIRS) + 1
+
+
+def _rows(masks: DataFrame, region: str, pixel: str) -> DataFrame:
+    return masks.select(F.col(region).alias("region"), F.col(pixel).alias("pixel")).where("region is not null")
+
+
+def _sized(rows: DataFrame, *more: Column) -> DataFrame:
+    """The region's size beside each pixel, so that pairs need no second look at the masks; a pixel without a number counts for it but meets none."""
+    return rows.select("region", "pixel", F.count("*").over(Window.partitionBy("region")).cast("int").alias("n"), *more).where("pixel is not null")
+
+
+def _blocks(masks: DataFrame, region: str, pixel: str, tasks: int) -> DataFrame:
+    """pixel, block, xs and n_xs: a pixel's regions of each block, and their sizes. Blocks are ranges of regions, as neighbours in number often share pixels."""
+    ranges = _rows(masks, region, pixel).repartitionByRange(tasks, "region")
+    sized = _sized(ranges, F.spark_partition_id().alias("block")).repartition(tasks, "pixel")
+    return sized.groupBy("pixel", "block").agg(F.collect_list("region").alias("xs"), F.collect_list("n").alias("n_xs"))
+
+
+def _one_a_task(spark: SparkSession, tasks: int) -> list[int]:
+    """Numbers that Spark's hash deals into tasks 0, 1, 2, ..., one each, where any numbers in a row would leave some empty and fill others twice or more."""
+    task = F.pmod(F.hash("id"), F.lit(tasks)).alias("task")
+    return [r.id for r in spark.range(32 * tasks).groupBy(task).agg(F.min("id").alias("id")).orderBy("task").collect()]
+
+
+def _counted(met: DataFrame, tasks: int, own: bool = False) -> DataFrame:
+    """Pairs of xs and ys by their number of pixels, in tasks of about PAIRS such rows; `own` pairs are those of ys, that end with xs.
+
+    Lists travel to the task of their block, and become pairs only there, where all rows of a pair are: no pair passes a
+    shuffle, and a task's memory stays as the input grows.
+    """
+    number = F.array(*(F.lit(n) for n in _one_a_task(met.sparkSession, tasks))).cast("array<long>")[F.col("block")]
+    travel = met.select(number.alias("a"), "ys", "n_ys", *([F.size("xs").alias("last")] if own else ["xs", "n_xs"]))
+    dealt = travel.repartition(tasks, "a").withColumnRenamed("a", "block")
+    if own:
+        dealt = dealt.withColumns({x: F.slice(y, F.size(y) - F.col("last") + 1, F.col("last")) for x, y in (("xs", "ys"), ("n_xs", "n_ys"))})
+    first = dealt.select("block", F.posexplode("xs").alias("i", "a"), "n_xs", "ys", "n_ys").select("block", "a", F.col("n_xs")[F.col("i")].cast("long").alias("n_a"), "ys", "n_ys")
+    pairs = first.select("block", "a", "n_a", F.posexplode("ys").alias("j", "b"), "n_ys").select("block", "a", "b", "n_a", F.col("n_ys")[F.col("j")].cast("long").alias("n_b"))
+    pairs = pairs.where("a < b") if own else pairs
+    return pairs.groupBy("block", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).select("a", "b", "shared", "n_a", "n_b")
 
 
 def jaccard(masks: DataFrame, region: str, pixel: str) -> DataFrame:

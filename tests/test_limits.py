@@ -85,3 +85,29 @@ def test_means_of_boxes_are_those_of_their_places(spark, monkeypatch):
 def test_extracted_traces_make_no_lists_of_places(spark):
     plan = records.extract_traces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "array_except" not in plan and "collect_set" not in plan
+
+
+def test_pairs_on_shared_pixels_pass_no_shuffle(spark, monkeypatch):
+    rng = random.Random(9)
+    held = sorted({(rng.randrange(30) ** 2, rng.randrange(25)) for _ in range(200)}) + [(7, None), (900, 3), (900, None), (None, 4), (None, 5)]
+    rows = spark.createDataFrame(held, "roi long, pixel long")
+    own = {a: {p for r, p in held if r == a} for a in {r for r, _ in held} - {None}}
+    met = {(a, b): len(own[a] & own[b] - {None}) for a in own for b in own}
+    shared = {(a, b, n, len(own[a]), len(own[b])) for (a, b), n in met.items() if n}
+    score = {(a, b): n / (na + nb - n) for a, b, n, na, nb in shared if a < b}
+    for pairs in (40, 4_000_000):
+        monkeypatch.setattr(masks, "PAIRS", pairs)
+        out = masks.jaccard(rows, "roi", "pixel")
+        got = [(r.a, r.b, r.jaccard) for r in out.collect()]
+        assert {(a, b): j for a, b, j in got} == pytest.approx(score) and len(got) == len(score)
+        got = [tuple(r) for r in masks.shared_pixels(rows, rows, "roi", "pixel").collect()]
+        assert set(got) == shared and len(got) == len(shared)
+        after, lists = out._jdf.queryExecution().executedPlan().toString().split("Generate", 1)
+        assert "Exchange" not in after and "Exchange" in lists
+
+
+def test_numbers_go_one_to_a_task(spark):
+    for tasks in (1, 2, 13):
+        numbers = spark.createDataFrame([(k, n) for k, n in enumerate(masks._one_a_task(spark, tasks))], "task long, a long")
+        placed = numbers.repartition(tasks, "a").select("task", F.spark_partition_id().alias("at")).collect()
+        assert sorted(tuple(r) for r in placed) == [(k, k) for k in range(tasks)]
