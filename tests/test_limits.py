@@ -111,3 +111,14 @@ def test_numbers_go_one_to_a_task(spark):
         numbers = spark.createDataFrame([(k, n) for k, n in enumerate(masks._one_a_task(spark, tasks))], "task long, a long")
         placed = numbers.repartition(tasks, "a").select("task", F.spark_partition_id().alias("at")).collect()
         assert sorted(tuple(r) for r in placed) == [(k, k) for k in range(tasks)]
+
+
+def test_least_overlaps_pass_no_shuffle_as_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(r, p) for r in range(14) for p in range(r % 4, 3 + r)] + [(3, None)], "roi long, pixel long")
+    own = {r: set(range(r % 4, 3 + r)) for r in range(14)}
+    size = lambda r: len(own[r]) + (r == 3)
+    monkeypatch.setattr(masks, "PAIRS", 30)
+    out = masks.least_overlap(rows, "roi", "pixel")
+    want = {(a, b): len(own[a] & own[b]) / min(size(a), size(b)) for a in own for b in own if a < b and own[a] & own[b]}
+    assert {(r.a, r.b): r.overlap for r in out.collect()} == pytest.approx(want) and out.count() == len(want)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("Generate", 1)[0]
