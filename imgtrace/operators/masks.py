@@ -89,7 +89,7 @@ def _counted(met: DataFrame, tasks: int, own: bool = False) -> DataFrame:
     Lists travel to the task of their block, and become pairs only there, where all rows of a pair are: no pair passes a
     shuffle, and a task's memory stays as the input grows.
     """
-    number = F.array(*(F.lit(n) for n in _one_a_task(met.sparkSession, tasks))).cast("array<long>")[F.col("block")]
+    number = F.array(*(F.lit(n) for n in _one_a_task(met.sparkSession, tasks))).cast("array<long>")[F.col("block") % tasks]  # blocks that share a number share no pair
     travel = met.select(number.alias("a"), "ys", "n_ys", *([F.size("xs").alias("last")] if own else ["xs", "n_xs"]))
     dealt = travel.repartition(tasks, "a").withColumnRenamed("a", "block")
     if own:

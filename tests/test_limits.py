@@ -122,3 +122,11 @@ def test_least_overlaps_pass_no_shuffle_as_pairs(spark, monkeypatch):
     want = {(a, b): len(own[a] & own[b]) / min(size(a), size(b)) for a in own for b in own if a < b and own[a] & own[b]}
     assert {(r.a, r.b): r.overlap for r in out.collect()} == pytest.approx(want) and out.count() == len(want)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("Generate", 1)[0]
+
+
+def test_blocks_may_outnumber_their_tasks(spark):
+    rows = spark.createDataFrame([(r, p) for r in range(20) for p in range(r % 3, 6)], "roi long, pixel long")
+    lists = rows.groupBy(F.col("pixel")).agg(F.collect_list("roi").alias("ys"), F.collect_list(F.lit(1)).alias("n_ys"))
+    met = masks._blocks(rows, "roi", "pixel", 7).join(lists, "pixel")
+    out = {tuple(r) for r in masks._counted(met, 2).select("a", "b", "shared").collect()}
+    assert out == {(a, b, 6 - max(a % 3, b % 3)) for a in range(20) for b in range(20)}
